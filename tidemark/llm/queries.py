@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import packing, quality_rules, token_output
 from tidemark.llm.common import read_table
 
 
+def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"))
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read_table(spark, sf_dir, "documents"))
 
@@ -22,7 +30,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_lexical_packing, op3_token_output, op4_quality_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
