@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, quality_rules, token_output
+from tidemark.llm import fingerprints, packing, quality_rules, token_output, warc
 from tidemark.llm.common import read_table
 
 
@@ -15,6 +15,22 @@ def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+     f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first_id <> d.page_id THEN f.first_id END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
+def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, index = warc.archived(read_table(spark, sf_dir, "pages"))
+    return warc.read_back(spark, path, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -23,6 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(read_table(spark, sf_dir, "documents"))
 
 
+def op6_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -30,8 +50,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lexical_packing, op3_token_output, op4_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_lexical_packing, op2_capture_index, op3_token_output, op4_quality_rules, op6_bottom_k_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_capture_index": OP2_SQL}
