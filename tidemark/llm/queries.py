@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, html_extraction, packing, quality_rules, token_output, warc
+from tidemark.llm import fingerprints, html_extraction, license_scan, packing, quality_rules, source_mixing, token_output, warc
 from tidemark.llm.common import read_table
 
 
@@ -43,6 +43,14 @@ def op6_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.schedule(read_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(read_table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extracted(read_table(spark, sf_dir, "pages"))
 
@@ -54,7 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lexical_packing, op2_capture_index, op3_token_output, op4_quality_rules, op6_bottom_k_fingerprints, op10_html_extraction, pipeline)}
+    return {f.__name__: f for f in (op1_lexical_packing, op2_capture_index, op3_token_output, op4_quality_rules, op6_bottom_k_fingerprints, op7_source_mixing, op9_license_scan, op10_html_extraction, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
