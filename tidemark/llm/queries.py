@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, html_extraction, license_scan, ngram_join, packing, quality_rules, source_mixing, token_output, warc
+from tidemark.llm import fingerprints, html_extraction, katz, license_scan, ngram_join, packing, quality_rules, source_mixing, token_output, warc
 from tidemark.llm.common import read_table
 
 
@@ -51,6 +51,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.schedule(read_table(spark, sf_dir, "documents"))
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(read_table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(read_table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lexical_packing, op2_capture_index, op3_token_output, op4_quality_rules, op5_ngram_jaccard_join, op6_bottom_k_fingerprints, op7_source_mixing, op9_license_scan, op10_html_extraction, pipeline)}
+    return {f.__name__: f for f in (op1_lexical_packing, op2_capture_index, op3_token_output, op4_quality_rules, op5_ngram_jaccard_join, op6_bottom_k_fingerprints, op7_source_mixing, op8_katz_scores, op9_license_scan, op10_html_extraction, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
