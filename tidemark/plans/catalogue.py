@@ -7,6 +7,7 @@ from functools import cache
 
 @cache
 def load() -> None:
-    from tidemark.plans import feature_queries
+    from tidemark.plans import discovery_queries, feature_queries
 
-    feature_queries.load()
+    for module in (feature_queries, discovery_queries):
+        module.load()

@@ -128,6 +128,41 @@ def _binned() -> str:
 
 CTES["binned"] = _binned()
 
+def _outcomes() -> str:
+    from tidemark.operators.rules import ALL_FAMILIES
+
+    parts = []
+    for f, (dims, condition) in ALL_FAMILIES.items():
+        key = " || '|' || ".join(f"CAST({d} AS VARCHAR)" for d in dims)
+        present = " AND ".join(f"{d} IS NOT NULL" for d in dims)
+        parts.append(f"SELECT '{f}' AS family, {key} AS group_key, * FROM binned WHERE ({condition}) AND {present}")
+    return " UNION ALL ".join(parts)
+
+
+CTES["grouped_states"] = _outcomes()
+CTES["outcomes"] = " UNION ALL ".join(
+    f"SELECT family, '{d}' AS direction, {h} AS horizon, group_key, symbol, trade_date, bar_ts, {s}fwd_return_{h}m_pct AS gross, {s}fwd_return_{h}m_pct - 0.2 AS net FROM grouped_states WHERE fwd_return_{h}m_pct IS NOT NULL AND (minute_of_day - 570) % {h} = 0"
+    for d, s in (("long", ""), ("short", "-"))
+    for h in (5,)
+)
+_G = "family, direction, horizon, group_key"
+CTES["group_sums"] = f"""
+SELECT {_G}, count(*) AS observations, sum(gross) AS gross_sum, sum(net) AS net_sum, sum(net * net) AS net_sum_squares, count_if(net > 0) AS wins, sum(CASE WHEN net > 0 THEN net ELSE 0 END) AS positive_sum,
+  sum(CASE WHEN net < 0 THEN -net ELSE 0 END) AS negative_sum_abs, min(net) AS worst_pct, max(net) AS best_pct FROM outcomes GROUP BY {_G}"""
+CTES["group_hist"] = f"SELECT {_G}, CAST(greatest(-200, least(200, floor(net * 10))) AS INTEGER) AS bin, count(*) AS n FROM outcomes GROUP BY ALL"
+CTES["group_shares"] = f"""
+SELECT * FROM (SELECT {_G}, count(*) AS symbols, 100.0 * max(n) / sum(n) AS max_symbol_share_pct FROM (SELECT {_G}, symbol, count(*) AS n FROM outcomes GROUP BY ALL) GROUP BY {_G})
+JOIN (SELECT {_G}, count(*) AS dates, 100.0 * max(n) / sum(n) AS max_date_share_pct FROM (SELECT {_G}, trade_date, count(*) AS n FROM outcomes GROUP BY ALL) GROUP BY {_G}) USING ({_G})"""
+_q = ", ".join(f"min(CASE WHEN seen >= greatest(1, ceil({q} * total)) THEN bin END) AS b{i}" for i, q in enumerate((0.05, 0.25, 0.5, 0.75, 0.95)))
+_m = ", ".join(f"CASE WHEN b{i} <= -200 THEN -20.0 WHEN b{i} >= 200 THEN 20.0 ELSE (b{i} + 0.5) / 10.0 END AS {n}" for i, n in enumerate(("p05_pct", "p25_pct", "median_pct", "p75_pct", "p95_pct")))
+CTES["group_quantiles"] = f"SELECT {_G}, {_m} FROM (SELECT {_G}, {_q} FROM (SELECT *, sum(n) OVER (PARTITION BY {_G} ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {_G}) AS total FROM group_hist) GROUP BY {_G})"
+CTES["group_final"] = """
+SELECT *, CASE WHEN stdev_pct > 1e-9 THEN net_avg_pct / stdev_pct * sqrt(observations) END AS t_stat FROM (
+  SELECT *, gross_sum / observations AS gross_avg_pct, net_sum / observations AS net_avg_pct, 100.0 * wins / observations AS win_rate_pct,
+    CASE WHEN observations > 1 THEN sqrt(greatest(0, (net_sum_squares - net_sum * net_sum / observations) / (observations - 1))) END AS stdev_pct, CASE WHEN negative_sum_abs > 0 THEN positive_sum / negative_sum_abs END AS profit_factor FROM group_sums)"""
+CTES["screened"] = f"SELECT * FROM group_final JOIN group_shares USING ({_G}) JOIN group_quantiles USING ({_G})"
+CTES["screened_early"] = f"SELECT {_G}, count(*) AS v_observations, sum(net) / count(*) AS v_net_avg_pct, CASE WHEN sum(CASE WHEN net < 0 THEN -net ELSE 0 END) > 0 THEN sum(CASE WHEN net > 0 THEN net ELSE 0 END) / sum(CASE WHEN net < 0 THEN -net ELSE 0 END) END AS v_profit_factor FROM outcomes WHERE trade_date >= DATE '2024-01-16' GROUP BY {_G}"
+
 CTES["daily_source"] = "SELECT CAST(l_partkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS trade_date, l_shipdate AS bar_ts, l_extendedprice / l_quantity AS close, l_quantity AS volume, l_orderkey, l_linenumber FROM lineitem"
 _sector = """'{"sector":"' || p_type || '","shortable":' || CASE WHEN p_size % 3 = 0 THEN 'true' ELSE 'false' END || '}'"""
 CTES["assets"] = f"SELECT CAST(p_partkey AS VARCHAR) AS symbol, p_name AS name, p_brand AS exchange, CASE WHEN p_size % 2 = 0 THEN {_sector} ELSE '{{}}' END AS attributes, CASE WHEN p_size % 5 <> 0 THEN {_sector} ELSE '{{}}' END AS raw FROM part"
