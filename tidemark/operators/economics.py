@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import month_label, week_label, weekday_calendar
@@ -137,7 +137,8 @@ def capacity_metrics(obs: DataFrame, rates=(0.01, 0.02, 0.05), column: str = "ba
     return d.withColumns({"capacity_least": F.col("least") * F.col("rate"), "capacity_median": F.col("median") * F.col("rate")})
 
 
-_DAYS = Window.partitionBy(F.lit(1)).orderBy("trade_date")
+def _days() -> WindowSpec:
+    return Window.partitionBy(F.lit(1)).orderBy("trade_date")
 
 
 def with_drawdown(daily: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def with_drawdown(daily: DataFrame) -> DataFrame:
 
     A daily series has one row a day; it is ordered in one task.
     """
-    so_far = _DAYS.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _days().rowsBetween(Window.unboundedPreceding, 0)
     wealth = F.greatest(F.lit(0.0), 1 + F.col("return_pct") / 100)
     d = daily.withColumn("equity", F.when(F.min(wealth).over(so_far) <= 0, 0.0).otherwise(F.exp(F.sum(F.ln(F.when(wealth > 0, wealth))).over(so_far))))
     d = d.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(so_far)))
@@ -154,7 +155,7 @@ def with_drawdown(daily: DataFrame) -> DataFrame:
 
 def drawdown_stats(daily: DataFrame) -> DataFrame:
     d = with_drawdown(daily).withColumn("under", F.col("drawdown_pct") < -1e-9)
-    d = d.withColumn("run", F.count_if(~F.col("under")).over(_DAYS.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("run", F.count_if(~F.col("under")).over(_days().rowsBetween(Window.unboundedPreceding, 0)))
     runs = d.where("under").groupBy("run").agg(F.count("*").alias("n")).agg(F.max("n").alias("maximum_underwater_duration_market_days"), F.avg("n").alias("average_drawdown_duration_market_days"))
     one = d.agg(F.min("drawdown_pct").alias("maximum_drawdown_pct"), F.avg(F.when(F.col("under"), F.col("drawdown_pct"))).alias("average_drawdown_pct"), F.count_if("under").alias("underwater_market_days"), F.max_by("equity", "trade_date").alias("ending_equity_multiple"))
     return one.withColumn("k", F.lit(1)).join(runs.withColumn("k", F.lit(1)), "k").drop("k")
@@ -162,7 +163,7 @@ def drawdown_stats(daily: DataFrame) -> DataFrame:
 
 def rolling_stats(daily: DataFrame, n: int = 20) -> DataFrame:
     """Mean, profit factor, compounded return, Sharpe and drawdown of each full window of ``n`` days."""
-    w = _DAYS.rowsBetween(1 - n, 0)
+    w = _days().rowsBetween(1 - n, 0)
     r = F.col("return_pct")
     wealth = F.greatest(F.lit(1e-300), 1 + r / 100)
     loss = F.sum(F.when(r < 0, -r)).over(w)
@@ -187,7 +188,7 @@ def rolling_summary(rolled: DataFrame) -> DataFrame:
 def losing_streak(daily: DataFrame) -> DataFrame:
     """The longest run of losing days among days with trades."""
     a = daily.where("trades > 0").withColumn("lost", F.col("return_pct") < 0)
-    a = a.withColumn("run", F.count_if(~F.col("lost")).over(_DAYS.rowsBetween(Window.unboundedPreceding, 0)))
+    a = a.withColumn("run", F.count_if(~F.col("lost")).over(_days().rowsBetween(Window.unboundedPreceding, 0)))
     runs = a.where("lost").groupBy("run").agg(F.count("*").alias("n"))
     return runs.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest_losing_streak"))
 

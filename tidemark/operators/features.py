@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SESSION = Window.partitionBy("symbol", "trade_date", "session_label").orderBy("bar_ts")
-_SO_FAR = SESSION.rowsBetween(Window.unboundedPreceding, 0)
+def _session() -> WindowSpec:
+    return Window.partitionBy("symbol", "trade_date", "session_label").orderBy("bar_ts")
+
+
+def _so_far() -> WindowSpec:
+    return _session().rowsBetween(Window.unboundedPreceding, 0)
 
 
 @dataclass(frozen=True)
@@ -51,12 +55,12 @@ def _gated(value: Column, later, earlier, minutes: int) -> Column:
 
 
 def with_bar_number(df: DataFrame) -> DataFrame:
-    return df.withColumn("session_bar_number", F.row_number().over(SESSION))
+    return df.withColumn("session_bar_number", F.row_number().over(_session()))
 
 
 def with_prev_bar(df: DataFrame, base_minutes: int = 1) -> DataFrame:
     """Gap to the bar before, and log and percent return from it if it is one step away."""
-    ts, close = F.lag("bar_ts").over(SESSION), F.lag("close").over(SESSION)
+    ts, close = F.lag("bar_ts").over(_session()), F.lag("close").over(_session())
     df = df.withColumns({"_ts": ts, "_close": close})
     seconds = F.expr("cast(extract(day from bar_ts - _ts) * 86400 + extract(hour from bar_ts - _ts) * 3600 + extract(minute from bar_ts - _ts) * 60 + extract(second from bar_ts - _ts) as int)")
     positive = (F.col("close") > 0) & (F.col("_close") > 0)
@@ -76,7 +80,7 @@ def with_returns(df: DataFrame, horizons=(1, 5, 15, 30, 60), base_minutes: int =
             df = df.withColumns({f"ret_{h}m_pct": F.lit(None).cast("double"), f"history_{h}m_complete": F.lit(False)})
             continue
         k = h // base_minutes
-        df = df.withColumns({"_ts": F.lag("bar_ts", k).over(SESSION), "_close": F.lag("close", k).over(SESSION)})
+        df = df.withColumns({"_ts": F.lag("bar_ts", k).over(_session()), "_close": F.lag("close", k).over(_session())})
         df = df.withColumns({f"ret_{h}m_pct": _gated(pct_change("close", "_close"), "bar_ts", "_ts", h), f"history_{h}m_complete": F.coalesce(F.col("bar_ts") - F.col("_ts") == _minutes(h), F.lit(False))})
     return df.drop("_ts", "_close")
 
@@ -88,41 +92,41 @@ def with_labels(df: DataFrame, horizons=(5, 15, 30, 60), base_minutes: int = 1)
             df = df.withColumns({f"fwd_return_{h}m_pct": F.lit(None).cast("double"), f"future_{h}m_complete": F.lit(False)})
             continue
         k = h // base_minutes
-        df = df.withColumns({"_ts": F.lead("bar_ts", k).over(SESSION), "_close": F.lead("close", k).over(SESSION)})
+        df = df.withColumns({"_ts": F.lead("bar_ts", k).over(_session()), "_close": F.lead("close", k).over(_session())})
         df = df.withColumns({f"fwd_return_{h}m_pct": _gated(pct_change("_close", "close"), "_ts", "bar_ts", h), f"future_{h}m_complete": F.coalesce(F.col("_ts") - F.col("bar_ts") == _minutes(h), F.lit(False))})
     return df.drop("_ts", "_close")
 
 
 def with_session_open(df: DataFrame) -> DataFrame:
-    df = df.withColumn("session_open", F.first("open").over(_SO_FAR))
+    df = df.withColumn("session_open", F.first("open").over(_so_far()))
     return df.withColumn("ret_from_session_open_pct", pct_change("close", "session_open"))
 
 
 def with_session_range(df: DataFrame) -> DataFrame:
-    df = df.withColumns({"cumulative_high": F.max("high").over(_SO_FAR), "cumulative_low": F.min("low").over(_SO_FAR)})
+    df = df.withColumns({"cumulative_high": F.max("high").over(_so_far()), "cumulative_low": F.min("low").over(_so_far())})
     return df.withColumn("cumulative_range_position", ratio(F.col("close") - F.col("cumulative_low"), F.col("cumulative_high") - F.col("cumulative_low")))
 
 
 def with_cum_vwap(df: DataFrame) -> DataFrame:
-    value = F.sum(F.coalesce("vwap", "close") * F.col("volume")).over(_SO_FAR)
-    df = df.withColumn("cumulative_vwap", F.try_divide(value, F.sum("volume").over(_SO_FAR)))
+    value = F.sum(F.coalesce("vwap", "close") * F.col("volume")).over(_so_far())
+    df = df.withColumn("cumulative_vwap", F.try_divide(value, F.sum("volume").over(_so_far())))
     return df.withColumn("distance_from_cumulative_vwap_pct", pct_change("close", "cumulative_vwap"))
 
 
 def with_relative_activity(df: DataFrame, bars: int = 20) -> DataFrame:
-    w = SESSION.rowsBetween(-bars, -1)
+    w = _session().rowsBetween(-bars, -1)
     df = df.withColumns({"previous_20bar_avg_volume": F.avg("volume").over(w), "previous_20bar_avg_trade_count": F.avg("trade_count").over(w)})
     return df.withColumns({"relative_volume_20bar": ratio("volume", "previous_20bar_avg_volume"), "relative_trade_count_20bar": ratio("trade_count", "previous_20bar_avg_trade_count")})
 
 
 def with_rolling_range(df: DataFrame, bars: int = 30) -> DataFrame:
-    w = SESSION.rowsBetween(1 - bars, 0)
+    w = _session().rowsBetween(1 - bars, 0)
     return df.withColumn("rolling_range_30bar_pct", ratio(F.max("high").over(w) - F.min("low").over(w), "close") * 100)
 
 
 def with_realised_vol(df: DataFrame, bars: int = 30) -> DataFrame:
     """Needs bar_log_return."""
-    return df.withColumn("rolling_realised_volatility_30bar", F.stddev_samp("bar_log_return").over(SESSION.rowsBetween(1 - bars, 0)))
+    return df.withColumn("rolling_realised_volatility_30bar", F.stddev_samp("bar_log_return").over(_session().rowsBetween(1 - bars, 0)))
 
 
 def with_mfe_mae(df: DataFrame, minutes: int = 30, base_minutes: int = 1) -> DataFrame:
@@ -130,8 +134,8 @@ def with_mfe_mae(df: DataFrame, minutes: int = 30, base_minutes: int = 1) -> Dat
     if minutes % base_minutes:
         return df.withColumns({f"fwd_mfe_{minutes}m_pct": F.lit(None).cast("double"), f"fwd_mae_{minutes}m_pct": F.lit(None).cast("double")})
     k = minutes // base_minutes
-    w = SESSION.rowsBetween(1, k)
-    df = df.withColumns({"_ts": F.lead("bar_ts", k).over(SESSION), "_high": F.max("high").over(w), "_low": F.min("low").over(w)})
+    w = _session().rowsBetween(1, k)
+    df = df.withColumns({"_ts": F.lead("bar_ts", k).over(_session()), "_high": F.max("high").over(w), "_low": F.min("low").over(w)})
     out = {f"fwd_mfe_{minutes}m_pct": "_high", f"fwd_mae_{minutes}m_pct": "_low"}
     return df.withColumns({n: _gated(pct_change(c, "close"), "_ts", "bar_ts", minutes) for n, c in out.items()}).drop("_ts", "_high", "_low")
 

@@ -258,10 +258,10 @@ def _decisions() -> None:
     register("c14_latest_run", "c_custkey:l, o_orderkey:l, o_totalprice:d", lambda t: t["customer"].select("c_custkey").join(latest(t), F.col("c_custkey") == F.col("o_custkey"), "left"), f"SELECT c_custkey, o.o_orderkey, o.o_totalprice FROM customer LEFT JOIN ({latest_sql}) o ON c_custkey = o.o_custkey")
     board = lambda t: t["customer"].select("c_custkey", "c_acctbal").join(latest(t).select("o_custkey", F.col("o_orderkey").alias("robustness_run")), F.col("c_custkey") == F.col("o_custkey"), "left").join(t["orders"].where("o_orderpriority LIKE '1%'").groupBy("o_custkey").agg(F.max("o_orderkey").alias("frozen_order")).withColumnRenamed("o_custkey", "k"), F.col("c_custkey") == F.col("k"), "left")
     register("c20_leaderboard", "c_custkey:l, robustness_run:l, frozen_order:l", board, f"SELECT c_custkey, o.o_orderkey AS robustness_run, f.frozen_order FROM customer LEFT JOIN ({latest_sql}) o ON c_custkey = o.o_custkey LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS frozen_order FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1) f ON c_custkey = f.o_custkey")
-    order = (F.col("t_stat").desc_nulls_last(), "family", "direction", "group_key")
+    order = lambda: (F.col("t_stat").desc_nulls_last(), "family", "direction", "group_key")
     top = lambda n: f"SELECT * FROM screened WHERE direction = 'long' ORDER BY t_stat DESC NULLS LAST, family, direction, group_key LIMIT {n}"
-    register("f2_top_rules", "family, group_key, t_stat:d", lambda t: screened(t).where("direction = 'long'").withColumn("t_stat", F.round("t_stat", 9)).orderBy(*order).limit(50), top(50).replace("FROM screened", "FROM (SELECT * EXCLUDE t_stat, round(t_stat, 9) AS t_stat FROM screened)"))
-    register("f3_top_summary", "family, n:l", lambda t: screened(t).where("direction = 'long'").withColumn("t_stat", F.round("t_stat", 9)).orderBy(*order).limit(20).groupBy("family").agg(F.count("*").alias("n")), f"SELECT family, count(*) AS n FROM ({top(20).replace('FROM screened', 'FROM (SELECT * EXCLUDE t_stat, round(t_stat, 9) AS t_stat FROM screened)')}) GROUP BY 1")
+    register("f2_top_rules", "family, group_key, t_stat:d", lambda t: screened(t).where("direction = 'long'").withColumn("t_stat", F.round("t_stat", 9)).orderBy(*order()).limit(50), top(50).replace("FROM screened", "FROM (SELECT * EXCLUDE t_stat, round(t_stat, 9) AS t_stat FROM screened)"))
+    register("f3_top_summary", "family, n:l", lambda t: screened(t).where("direction = 'long'").withColumn("t_stat", F.round("t_stat", 9)).orderBy(*order()).limit(20).groupBy("family").agg(F.count("*").alias("n")), f"SELECT family, count(*) AS n FROM ({top(20).replace('FROM screened', 'FROM (SELECT * EXCLUDE t_stat, round(t_stat, 9) AS t_stat FROM screened)')}) GROUP BY 1")
 
 
 def _integrity() -> None:
