@@ -9,6 +9,7 @@ space, or stands at either end, are encoded whole.
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 
@@ -54,6 +55,15 @@ class Encoder:
         self.pool = np.empty(1 << 20, np.uint32)
         self.begin = np.zeros(1 << 18, np.int64)
         self.units = 0
+        self.hits = np.zeros(1 << 18, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the units met twice or more since the last time; most others never come again."""
+        often = {u for u, i in self.place.items() if i >= 0 and self.hits[i] > 1}
+        old_place, old_pool, old_begin = self.place, self.pool, self.begin
+        self._reset()
+        if len(often) <= MAX_UNITS // 2:
+            self._keep(list(often), [old_pool[old_begin[i] : old_begin[i + 1]] for i in map(old_place.__getitem__, often)])
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,13 +89,16 @@ class Encoder:
         good = [bool(p) and not p[0].isspace() and not p[-1].isspace() for p in plain]
         new = [u for u, g in zip(missing, good) if g]
         self.place.update((u, -1) for u, g in zip(missing, good) if not g)
-        ids = self._apart([u[0] if isinstance(u, tuple) else " " + u if self.spaced else u for u in new])
+        self._keep(new, self._apart([u[0] if isinstance(u, tuple) else " " + u if self.spaced else u for u in new]))
+
+    def _keep(self, new: list, ids: list[np.ndarray]) -> None:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         used = int(self.begin[self.units])
         while len(self.pool) < used + size.sum():
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while len(self.begin) < self.units + len(ids) + 1:
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         if ids:
             self.pool[used : used + size.sum()] = np.concatenate(ids)
         self.begin[self.units + 1 : self.units + 1 + len(ids)] = used + np.cumsum(size)
@@ -95,7 +108,7 @@ class Encoder:
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text's followed by ``end`` if given, and where each text's begin."""
         if len(self.place) > MAX_UNITS:
-            self._reset()
+            self._forget()
         units: list = []
         first = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
@@ -105,8 +118,13 @@ class Encoder:
                     parts[0] = (parts[0],)
                 units += parts
             first[i + 1] = len(units)
-        self._add(list(set(units).difference(self.place)))
-        at = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        at = np.fromiter(map(self.place.get, units, repeat(-2)), np.int64, len(units))
+        new = np.flatnonzero(at == -2)
+        if len(new):
+            missing = [units[i] for i in new]
+            self._add(list(set(missing)))
+            at[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
+        np.add.at(self.hits, at[at >= 0], 1)
         odd = at < 0
         odd_texts = np.unique(np.searchsorted(first, np.flatnonzero(odd), "right") - 1)
         at[odd] = 0
