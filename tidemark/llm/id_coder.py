@@ -34,6 +34,11 @@ class BrokenBlock(ValueError):
     """A block's ids do not have its checksum."""
 
 
+#: What a prediction's rate moves to after a miss and a hit; the confidence after each, by the one before.
+_AIM = np.array([0.005, 0.995])
+_NEXT = np.array([*[1 if s <= 1 else s >> 1 for s in range(_LEVELS)], *[min(s + 1, _LEVELS - 1) for s in range(_LEVELS)]], np.int8)
+
+
 class _Model:
     """The state of all blocks of a segment."""
 
@@ -60,34 +65,33 @@ class _Model:
         f = self.flat
         self.at1 = self.n * _SLOTS1 + ((self.prev1 * 40503) >> 4) % _SLOTS1
         self.at2 = self.n * _SLOTS2 + ((self.prev1 * 40503 + self.prev2 * 30011 + 7) >> 3) % _SLOTS2
-        self.c1, self.c2 = f["id1"][self.at1], f["id2"][self.at2]
-        self.s1, self.s2 = f["sure1"][self.at1], f["sure2"][self.at2]
+        self.c1, self.c2 = f["id1"].take(self.at1), f["id2"].take(self.at2)
+        self.s1, self.s2 = f["sure1"].take(self.at1), f["sure2"].take(self.at2)
         self.k1, self.k2 = self.n * _LEVELS + self.s1, self.n * _LEVELS + self.s2
-        self.q1, self.q2 = f["right1"][self.k1], f["right2"][self.k2]
+        self.q1, self.q2 = f["right1"].take(self.k1), f["right2"].take(self.k2)
         a1 = (self.w[1] * self.q1 * 65000.0).astype(np.int64)
         a2 = (self.w[2] * self.q2 * 65000.0).astype(np.int64)
-        same = self.c1 == self.c2
-        a2 += a1 * same * (a2 > 0)
-        a1 *= ~(same & (a2 > 0))
+        same = np.flatnonzero((self.c1 == self.c2) & (a2 > 0))
+        a2[same] += a1[same]
+        a1[same] = 0
         return a2, a1
 
     def update(self, ids: np.ndarray) -> None:
         f = self.flat
         h1, h2 = (self.c1 == ids) & (self.s1 > 0), (self.c2 == ids) & (self.s2 > 0)
-        p0 = self.share0[ids]
+        p0 = self.share0.take(ids)
         l1, l2 = np.where(h1, self.q1, (1.0 - self.q1) * p0), np.where(h2, self.q2, (1.0 - self.q2) * p0)
         w0, w1, w2 = self.w[0] * p0, self.w[1] * l1, self.w[2] * l2
         scale = 0.97 / (w0 + w1 + w2)
         self.w[0], self.w[1], self.w[2] = w0 * scale + 0.01, w1 * scale + 0.01, w2 * scale + 0.01
-        for h, s, k, at, c, right, sure, idk in (
-            (h1, self.s1, self.k1, self.at1, self.c1, "right1", "sure1", "id1"),
-            (h2, self.s2, self.k2, self.at2, self.c2, "right2", "sure2", "id2"),
+        for h, s, q, k, at, right, sure, idk in (
+            (h1, self.s1, self.q1, self.k1, self.at1, "right1", "sure1", "id1"),
+            (h2, self.s2, self.q2, self.k2, self.at2, "right2", "sure2", "id2"),
         ):
-            q = f[right][k]
-            f[right][k] = np.where(s > 0, q + (np.where(h, 0.995, 0.005) - q) * 0.05, 0.0)
-            weak = s <= 1
-            f[sure][at] = np.where(h, np.minimum(s + 1, _LEVELS - 1), np.where(weak, 1, s >> 1))
-            f[idk][at] = np.where(h | ~weak, c, ids)
+            f[right][k] = (q + (_AIM.take(h.view(np.int8)) - q) * 0.05) * (s > 0)
+            f[sure][at] = _NEXT.take(s + _LEVELS * h.view(np.int8))
+            new = np.flatnonzero(~h & (s <= 1))
+            f[idk][at[new]] = ids[new]
         self.prev2, self.prev1 = self.prev1, ids
 
 
@@ -96,23 +100,27 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
         self.out, self.size = np.zeros((lanes, 2 * BLOCK + BLOCK // 4 + 16), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray, bits: int) -> None:
+    def put(self, lanes: np.ndarray | slice, low: np.ndarray, width: np.ndarray, bits: int) -> None:
+        """Code an interval in each lane; a slice stands for the first lanes, all of them."""
         r = self.range[lanes] >> _U(bits)
-        self.low[lanes] += r * low.astype(np.uint64)
-        self.range[lanes] = r * width.astype(np.uint64)
-        over = lanes[self.low[lanes] > _U(_FULL)]
+        now = self.low[lanes] + r * low.view(np.uint64)
+        r *= width.view(np.uint64)
+        self.low[lanes], self.range[lanes] = now, r
+        over = np.flatnonzero(now > _U(_FULL))
         if len(over):
+            over = over if isinstance(lanes, slice) else lanes[over]
             self.low[over] &= _U(_FULL)
             at = self.size[over] - 1
             while len(over):
                 self.out[over, at] += 1
                 go = self.out[over, at] == 0
                 over, at = over[go], at[go] - 1
-        while True:
-            lanes = lanes[self.range[lanes] < _U(_LOW)]
-            if not len(lanes):
-                return
-            self.emit(lanes)
+        short = np.flatnonzero(r < _U(_LOW))
+        if not isinstance(lanes, slice):
+            short = lanes[short]
+        while len(short):
+            self.emit(short)
+            short = short[self.range[short] < _U(_LOW)]
 
     def emit(self, lanes: np.ndarray) -> None:
         self.out[lanes, self.size[lanes]] = self.low[lanes] >> _U(32)
@@ -142,18 +150,20 @@ class _Reader:
         self.at[lanes] += 1
         self.range[lanes] <<= _U(16)
 
-    def spot(self, lanes: np.ndarray, bits: int) -> np.ndarray:
+    def spot(self, lanes: np.ndarray | slice, bits: int) -> np.ndarray:
         self.r = self.range[lanes] >> _U(bits)
-        return np.minimum(self.code[lanes] // self.r, _U((1 << bits) - 1)).astype(np.int64)
+        return np.minimum(self.code[lanes] // self.r, _U((1 << bits) - 1)).view(np.int64)
 
-    def drop(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> None:
-        self.code[lanes] -= self.r * low.astype(np.uint64)
-        self.range[lanes] = self.r * width.astype(np.uint64)
-        while True:
-            lanes = lanes[self.range[lanes] < _U(_LOW)]
-            if not len(lanes):
-                return
-            self.take(lanes)
+    def drop(self, lanes: np.ndarray | slice, low: np.ndarray, width: np.ndarray) -> None:
+        self.code[lanes] -= self.r * low.view(np.uint64)
+        r = self.r * width.view(np.uint64)
+        self.range[lanes] = r
+        short = np.flatnonzero(r < _U(_LOW))
+        if not isinstance(lanes, slice):
+            short = lanes[short]
+        while len(short):
+            self.take(short)
+            short = short[self.range[short] < _U(_LOW)]
 
 
 def _base_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,11 +202,11 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
             is1 = (s == model.c1) & (a1 > 0) & ~is2
             low = np.where(is2, 0, np.where(is1, a2, a2 + a1))
             width = np.where(is2, a2, np.where(is1, a1, 65536 - a2 - a1))
-            writer.put(active, low, width, _STEP_BITS)
-            escaped = active[~(is2 | is1)]
+            writer.put(slice(len(active)), low, width, _STEP_BITS)
+            escaped = np.flatnonzero(~(is2 | is1))
             if len(escaped):
                 x = s[escaped]
-                writer.put(escaped, begin0[x], width0[x], _BASE_BITS)
+                writer.put(escaped, begin0.take(x), width0.take(x), _BASE_BITS)
             model.update(s)
         blocks = writer.end()
     sizes = np.array([len(b) for b in blocks], "<u4")
@@ -228,12 +238,13 @@ def decode_segment(data: bytes) -> np.ndarray:
             if not len(active):
                 break
         a2, a1 = model.predict()
-        spot = reader.spot(active, _STEP_BITS)
+        every = slice(len(active))
+        spot = reader.spot(every, _STEP_BITS)
         is2 = spot < a2
         is1 = ~is2 & (spot < a2 + a1)
-        reader.drop(active, np.where(is2, 0, np.where(is1, a2, a2 + a1)), np.where(is2, a2, np.where(is1, a1, 65536 - a2 - a1)))
+        reader.drop(every, np.where(is2, 0, np.where(is1, a2, a2 + a1)), np.where(is2, a2, np.where(is1, a1, 65536 - a2 - a1)))
         s = np.where(is2, model.c2, model.c1).astype(np.int64)
-        escaped = active[~(is2 | is1)]
+        escaped = np.flatnonzero(~(is2 | is1))
         if len(escaped):
             x = np.minimum(np.searchsorted(begin0, reader.spot(escaped, _BASE_BITS), "right") - 1, len(counts) - 1)
             reader.drop(escaped, begin0[x], width0[x])

@@ -27,7 +27,7 @@ from tidemark.llm.common import slices, stored
 from tidemark.llm.id_coder import decode_segment, encode_segment
 from tidemark.llm.tokens import encoder, tokenizer_path
 
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 8_000_000
 _SEGMENT = "part int, segment int, part_start long, n_ids long, doc_ids array<long>, lengths array<long>, bytes binary"
 
 
