@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SLOTS = 1000
 BLOCK_ROWS = 16
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2_000
 #: More sources than this are not a mixture to plan for: the plan, one row for each, goes to the driver.
 MAX_SOURCES = 10_000
 _P = "_mix_"
