@@ -10,6 +10,9 @@
 4. Before that, stars: sets that share one of their first ``MARKS`` shingles are compared with one of
    them. That joins large groups of near copies with a row or two each, and the lists are then
    searched only for links between different components, so no group costs its square.
+   Lists of more than ``SHORT_LIST`` sets carry the sets' bitmaps instead and send on only pairs that
+   their bitmaps allow; lists with the same two extreme members, as the shingles of one group of
+   near copies have, are read as one.
 5. Candidates are checked against parity bitmaps, whose Hamming distance never exceeds the size of
    the symmetric difference, then exactly on the full sets.
 
@@ -39,6 +42,7 @@ FREQUENT = 64
 MAX_FREQUENT = 100_000
 #: Sets above this size are always heavy: their two-member subsets outnumber any list.
 LIGHT_MOST = 200
+SHORT_LIST = 32
 _BITS = 1 << 20
 _U = np.uint64
 _I64, _BIN = pa.int64(), pa.binary()
@@ -194,7 +198,10 @@ def _sizes_fit(n, m):
 
 
 def list_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of different components that share a key and whose sizes fit; entries: key, doc_id, n, component."""
+    """Pairs of different components that share a key and whose sizes fit; entries: key, doc_id, n, component.
+
+    For short lists: all pairs of a list go on.
+    """
 
     def found(ids: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
         order = np.argsort(n, kind="stable")
@@ -241,6 +248,79 @@ def list_pairs(entries: DataFrame) -> DataFrame:
     return dealt.select("key", "doc_id", "n", "component").mapInArrow(run, "a long, b long").distinct()
 
 
+def _allowed(bitmaps: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, comp: np.ndarray, comp_other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs whose sizes and bitmaps allow a link, of different components; m is sorted."""
+    low = np.searchsorted(100 * m, PERCENT * n, "left")
+    high = np.searchsorted(PERCENT * m, 100 * n, "right")
+    at = 0
+    while at < len(n):
+        step = max(1, 4_000_000 // max(1, int(high[at] - low[at]) * bitmaps.shape[1]))
+        end = min(len(n), at + step)
+        a, b = int(low[at:end].min()), int(high[at:end].max())
+        for c in range(a, b, 1 << 16):
+            d = min(b, c + (1 << 16))
+            apart = np.bitwise_count(bitmaps[at:end, None, :] ^ other[None, c:d, :]).sum(-1, dtype=np.int64)
+            total = n[at:end, None] + m[None, c:d]
+            i, j = np.nonzero((100 * (total - apart) >= PERCENT * (total + apart)) & (comp[at:end, None] != comp_other[None, c:d]))
+            if len(i):
+                yield at + i, c + j
+        at = end
+
+
+def cell_pairs(cells: DataFrame) -> DataFrame:
+    """Pairs of long lists that their bitmaps allow; cells: cell, doc_id, n, component, bitmap."""
+
+    def pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, maps: list[bytes]) -> Iterator[np.ndarray]:
+        size = np.array([len(x) for x in maps])
+        classes = {}
+        for w in np.unique(size):
+            at = np.flatnonzero(size == w)
+            at = at[np.argsort(n[at], kind="stable")]
+            classes[int(w)] = (at, np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1))
+        for w, (at, own) in classes.items():
+            for i, j in _allowed(own, own, n[at], n[at], comp[at], comp[at]):
+                yield np.stack([ids[at[i]], ids[at[j]]], 1)[i < j]
+            if 2 * w in classes:  # sizes that fit are less than twice apart
+                to, wide = classes[2 * w]
+                half = wide.shape[1] // 2
+                for i, j in _allowed(own, wide[:, :half] ^ wide[:, half:], n[at], n[to], comp[at], comp[to]):
+                    yield np.stack([ids[at[i]], ids[to[j]]], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, n, comp, maps = zip(*held)
+            found = list(pairs(np.array(ids), np.array(n), np.array(comp), list(maps)))
+            if found:
+                p = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(p.min(1)), pa.array(p.max(1))], names=["a", "b"])
+
+        for batch in batches:
+            for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "doc_id", "n", "component", "bitmap"))):
+                if cell != now and held:
+                    yield from flush()
+                    held = []
+                now = cell
+                held.append(row)
+        if held:
+            yield from flush()
+
+    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    return dealt.select("cell", "doc_id", "n", "component", "bitmap").mapInArrow(run, "a long, b long").distinct()
+
+
+def candidate_pairs(sig: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of different components that share an index key and whose sizes fit."""
+    known = sig.select("doc_id", "n", "keys").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    entries = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode("keys").alias("key"))
+    lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.xxhash64("doc_id")).alias("one"), F.max(F.xxhash64("doc_id")).alias("other"))
+    lists = stored(lists.where("c > 1 AND low <> high").select("key", "c", F.xxhash64("one", "other").alias("cell")), "join-lists")
+    short = entries.join(lists.where(F.col("c") <= SHORT_LIST).select("key"), "key", "left_semi")
+    cells = entries.join(lists.where(F.col("c") > SHORT_LIST).select("key", "cell"), "key").select("cell", "doc_id", "n", "component").distinct()
+    return list_pairs(short).unionByName(cell_pairs(cells.join(sig.select("doc_id", "bitmap"), "doc_id"))).distinct()
+
+
 def _with_end(batches: Iterator) -> Iterator:
     yield from batches
     yield None
@@ -266,9 +346,7 @@ def components(docs: DataFrame) -> DataFrame:
     sig = stored(signatures(docs, frequent, light).join(others, "doc_id", "left_anti"), "join-signatures")
     stars = verified(docs, sig, star_pairs(sig), "star")
     near = connected_components(stars, "star-components")
-    known = sig.select("doc_id", "n", "keys").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    entries = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode("keys").alias("key"))
-    lists = verified(docs, sig, list_pairs(entries), "list")
+    lists = verified(docs, sig, candidate_pairs(sig, near), "list")
     link = lists
     for c in ("a", "b"):  # links between components of the first round
         link = link.join(near.select(F.col("node").alias(c), F.col("component").alias(f"to_{c}")), c, "left").withColumn(c, F.coalesce(f"to_{c}", c)).drop(f"to_{c}")
