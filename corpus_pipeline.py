@@ -19,13 +19,13 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which their sources are mixed."""
+    """All documents, in the order in which their sources are mixed; packing finds the same schedule again."""
     return source_mixing.mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
-    return packing.packed(docs)
+    """The pieces of the training sequences, which follow the mixture."""
+    return packing.packed(docs, in_mixture=True)
 
 
 STAGES = [

@@ -283,3 +283,20 @@ def test_pipeline_stages_follow_each_other(spark):
     n = sum(r.length for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect())
     e = Encoder(tokenizer_path("byte_bpe_50k.json"), True)
     assert n == sum(len(e.tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+
+
+def test_pipeline_sequences_follow_the_mixture(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(packing, "SHARD_DOCS", 50)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(40)), "en", "few" if i % 17 == 0 else "many", 0) for i in range(1700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    pieces = sorted(corpus_pipeline.packing_stage(spark, docs, SF).collect(), key=lambda r: (r.sequence_id, r.offset))
+    order = list(dict.fromkeys(r.doc_id for r in pieces))
+    assert len(order) == 1700
+    # weights by the square roots of 100 and 1,600 rows: one in five, until the 100 are used up
+    few = 0
+    for i, k in enumerate(order[:400]):
+        few += k % 17 == 0
+        assert abs(few - (i + 1) / 5) <= source_mixing.BLOCK_ROWS + 50 / 5

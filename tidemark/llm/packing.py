@@ -9,6 +9,10 @@
 4. What is left at the end of a shard goes on into the next; at the end of a range the last window
    is cut at powers of two, which need no padding.
 
+With ``in_mixture``, ranges, shards and seeds follow the schedule of the sources instead of the key:
+a shard is a stretch of the mixture, so sequence ids keep the schedule's shares from shard to shard,
+and neighbours come from the seed's own stretch.
+
 Defined results: null and empty texts hold just the end id; every id of every row is in exactly one
 piece; rows with equal doc_id are packed like others; extra columns are ignored; an empty table
 gives no pieces. Memory in a task is bounded by a shard and the longest document.
@@ -25,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import source_mixing
 from tidemark.llm.common import mix64, slices, stored
 from tidemark.llm.tokens import encoder, tokenizer_path
 
@@ -40,8 +45,8 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _PIECES.split(", ")])
 
 
-def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 1, spaced: bool = True) -> DataFrame:
-    """doc_id, locality key, number of ids and ids (little-endian 16-bit) of each document."""
+def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 1, spaced: bool = True, source: bool = False) -> DataFrame:
+    """doc_id, locality key, number of ids and ids (little-endian 16-bit) of each document; its source on demand."""
     path = tokenizer_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,11 +56,15 @@ def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int =
                 pair = mix64(ids.astype(np.uint64) * _U(1 << 20) + np.r_[ids[1:], 0].astype(np.uint64))
             key = np.minimum.reduceat(pair, begins[:-1]) >> _U(1)
             raw = ids.astype("<u2")
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "key": key.astype(np.int64), "n": np.diff(begins), "ids": [raw[a:b].tobytes() for a, b in zip(begins, begins[1:])]},
-                schema=pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]),
-            )
-
+            columns = {"doc_id": batch.column("doc_id"), "key": key.astype(np.int64), "n": np.diff(begins), "ids": [raw[a:b].tobytes() for a, b in zip(begins, begins[1:])]}
+            fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
+            if source:
+                columns["source"] = batch.column("source")
+                fields.append(("source", pa.string()))
+            yield pa.RecordBatch.from_pydict(columns, schema=pa.schema(fields))
+
+    if source:
+        return docs.select("doc_id", "text", "source").mapInArrow(run, f"{_TOKENS}, source string")
     return docs.select("doc_id", "text").mapInArrow(run, _TOKENS)
 
 
@@ -180,15 +189,17 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_PIECES_ARROW)
 
 
-def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The pieces of all sequences over all rows of ``docs``."""
-    tokens = stored(tokenized(docs), "packing-ids")
+def packed(docs: DataFrame, window: int = WINDOW, in_mixture: bool = False, target: dict | None = None) -> DataFrame:
+    """The pieces of all sequences over all rows of ``docs``; ``in_mixture``: in the order in which
+    ``source_mixing`` schedules their sources for ``target``."""
+    tokens = stored(tokenized(docs, source=in_mixture), "packing-ids")
     df = document_frequencies(tokens)
     stats = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("ids")).first()
     count, mean = stats["docs"], max(1.0, (stats["ids"] or 0) / max(1, stats["docs"]))
     idf = np.zeros(1 << 16, np.float32)
     for i, n in df.items():
         idf[i] = np.log(1 + (count - n + 0.5) / (n + 0.5))
+    shard_ids, shard_docs = SHARD_IDS, SHARD_DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(TaskContext.get().partitionId() << 40, window)
@@ -200,7 +211,7 @@ def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 doc_ids.append(doc_id)
                 held.append(np.frombuffer(ids.as_py(), "<u2"))
                 size += len(held[-1])
-                if size >= SHARD_IDS or len(held) >= SHARD_DOCS:
+                if size >= shard_ids or len(held) >= shard_docs:
                     packer.shard(doc_ids, held, idf, mean)
                     doc_ids, held, size = [], [], 0
                     if packer.rows:
@@ -211,5 +222,8 @@ def packed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if packer.rows:
             yield packer.batch()
 
-    near = tokens.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
-    return near.select("doc_id", "ids").mapInArrow(run, _PIECES)
+    if in_mixture:
+        dealt = source_mixing.mixed(tokens.select("doc_id", "source", "ids"), target)
+    else:
+        dealt = tokens.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    return dealt.select("doc_id", "ids").mapInArrow(run, _PIECES)

@@ -84,7 +84,7 @@ def _placed(docs: DataFrame, target: dict | None, block_rows: int, slots: int, s
     sizes = known.groupBy(f"{_P}no", f"{_P}shard").agg(F.count("*").alias(f"{_P}size"))
     before = Window.partitionBy(f"{_P}no").orderBy(f"{_P}shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(f"{_P}no", f"{_P}shard", F.coalesce(F.sum(f"{_P}size").over(before), F.lit(0)).alias(f"{_P}start"))
-    tie = [c for c in ("doc_id", "text") if c in docs.columns]
+    tie = [c for c in ("doc_id", "text", "ids") if c in docs.columns]
     within = Window.partitionBy(f"{_P}no", f"{_P}shard").orderBy(f"{_P}hash", *tie)
     numbered = known.withColumn(f"{_P}rank", F.row_number().over(within) - 1).join(starts, [f"{_P}no", f"{_P}shard"])
     place = F.col(f"{_P}start") + F.col(f"{_P}rank")
@@ -114,6 +114,6 @@ def schedule(docs: DataFrame, target: dict | None = None, block_rows: int = BLOC
 
 def mixed(docs: DataFrame, target: dict | None = None, block_rows: int = BLOCK_ROWS, slots: int = SLOTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The rows of ``docs`` in the order of the mixture, with their own columns only: partitions are
-    consecutive stretches of it."""
+    consecutive stretches of it. Once stored and read again, rows are found in this order by calling it anew."""
     rows = _placed(docs, target, block_rows, slots, shard_rows)
     return rows.repartitionByRange(f"{_P}slot", f"{_P}at").sortWithinPartitions(f"{_P}slot", f"{_P}at").select(*[F.col(f"`{c}`") for c in docs.columns])
