@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import ngram_join, packing, quality_rules, source_mixing
 from tidemark.llm.common import read_table, stored
 
+#: Near duplicates of the corpus: word shingles and the least Jaccard similarity in percent.
+SHINGLE = 5
+PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -15,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays."""
-    return ngram_join.deduplicated(docs)
+    return ngram_join.deduplicated(docs, SHINGLE, PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

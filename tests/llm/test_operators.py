@@ -300,3 +300,24 @@ def test_pipeline_sequences_follow_the_mixture(spark, monkeypatch):
     for i, k in enumerate(order[:400]):
         few += k % 17 == 0
         assert abs(few - (i + 1) / 5) <= source_mixing.BLOCK_ROWS + 50 / 5
+
+
+def test_pipeline_join_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows, wanted = [], set()
+
+    def linked(x, y):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+        return 100 * len(x & y) >= 80 * len(x | y)
+
+    for i, cut in enumerate((3, 4, 5, 6, 7, 8, 9)):  # Jaccard from 0.85 to 0.76 by five words
+        one = [f"d{i}w{rng.randrange(10**6)}" for _ in range(100)]
+        two = one[:40] + [f"other{i}x{j}" for j in range(cut)] + one[40 + cut :]
+        rows += [(2 * i, " ".join(one), "en", "s", 0), (2 * i + 1, " ".join(two), "en", "s", 0)]
+        wanted |= {2 * i} if linked(one, two) else {2 * i, 2 * i + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert 7 not in wanted and 13 in wanted  # six words replaced are a near copy, nine are not
+    assert {r.doc_id for r in corpus_pipeline.join_stage(spark, docs, SF).collect()} == wanted
+    assert 7 in {r.doc_id for r in ngram_join.deduplicated(docs).collect()}

@@ -1,9 +1,11 @@
-"""Exact Jaccard join of word 4-shingle sets by a size-aware heavy-light search.
+"""Exact Jaccard join of word shingle sets by a size-aware heavy-light search.
+
+Words a shingle and percent are parameters of ``components`` and ``deduplicated``, 4 and 85 by default.
 
 1. Equal sets fall together under a digest; one document of each stands for all from here on.
 2. Sets are ordered by (frequent, hash): frequent shingles, at most ``MAX_FREQUENT`` of them with
    counts over all documents, come last. Two sets that link share their l smallest common shingles
-   within both l-prefixes of n - ceil(0.85 n) + l members, whatever the order.
+   within both l-prefixes of n - ceil(percent n / 100) + l members, whatever the order.
 3. Light sets (few shingles) enumerate the two-member subsets of their 2-prefix; heavy sets stand in
    inverted lists under each member of their 1-prefix. The boundary is where the expected cost is
    least: subsets against list entries times the mean list length.
@@ -48,23 +50,23 @@ _U = np.uint64
 _I64, _BIN = pa.int64(), pa.binary()
 
 
-def overlap_needed(n: int) -> int:
+def overlap_needed(n: int, percent: int = PERCENT) -> int:
     """How many of its ``n`` shingles a set shares at least with any set it links with."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def prefix_length(n: int, l: int) -> int:
-    return min(n, n - overlap_needed(n) + l)
+def prefix_length(n: int, l: int, percent: int = PERCENT) -> int:
+    return min(n, n - overlap_needed(n, percent) + l)
 
 
-def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
     words, begins = word_hashes(texts)
-    h, at = shingle_hashes(words, begins, SHINGLE)
+    h, at = shingle_hashes(words, begins, shingle)
     for a, b in zip(at, at[1:]):
         yield np.unique(h[a:b])
 
 
-def _mapped(docs: DataFrame, make: Callable[[object, np.ndarray], tuple | None], schema: str, arrow: pa.Schema, wanted: Callable | None = None) -> DataFrame:
+def _mapped(docs: DataFrame, make: Callable[[object, np.ndarray], tuple | None], schema: str, arrow: pa.Schema, shingle: int, wanted: Callable | None = None) -> DataFrame:
     """Rows made from each document's id and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +74,7 @@ def _mapped(docs: DataFrame, make: Callable[[object, np.ndarray], tuple | None],
             if wanted is not None:
                 batch = batch.filter(pa.array(wanted(batch.column("doc_id"))))
             ids = batch.column("doc_id").to_pylist()
-            rows = [r for r in map(make, ids, _sets(batch.column("text"))) if r is not None] if ids else []
+            rows = [r for r in map(make, ids, _sets(batch.column("text"), shingle)) if r is not None] if ids else []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
@@ -83,25 +85,25 @@ def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, set size, digest of the set (null if empty) and its 1-prefix in hash order."""
 
     def make(doc_id, s: np.ndarray) -> tuple:
         digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-        return doc_id, len(s), digest, _signed(s[: prefix_length(len(s), 1)])
+        return doc_id, len(s), digest, _signed(s[: prefix_length(len(s), 1, percent)])
 
-    return _mapped(docs, make, "doc_id long, n long, digest binary, prefix array<long>", pa.schema([("doc_id", _I64), ("n", _I64), ("digest", _BIN), ("prefix", pa.list_(_I64))]))
+    return _mapped(docs, make, "doc_id long, n long, digest binary, prefix array<long>", pa.schema([("doc_id", _I64), ("n", _I64), ("digest", _BIN), ("prefix", pa.list_(_I64))]), shingle)
 
 
-def light_boundary(sizes: dict[int, int], mean_list: float) -> int:
+def light_boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT) -> int:
     """The largest light size: least total of subset rows and list rows; ``sizes``: sets of each size up to LIGHT_MOST."""
-    pairs = lambda n: prefix_length(n, 2) * (prefix_length(n, 2) - 1) / 2
-    lists = lambda n: prefix_length(n, 1) * (1 + mean_list)
-    cost = lambda b: sum(c * pairs(n) for n, c in sizes.items() if n * PERCENT <= b * 100) + sum(c * lists(n) for n, c in sizes.items() if n > b)
+    pairs = lambda n: prefix_length(n, 2, percent) * (prefix_length(n, 2, percent) - 1) / 2
+    lists = lambda n: prefix_length(n, 1, percent) * (1 + mean_list)
+    cost = lambda b: sum(c * pairs(n) for n, c in sizes.items() if n * percent <= b * 100) + sum(c * lists(n) for n, c in sizes.items() if n > b)
     return min(range(LIGHT_MOST + 1), key=lambda b: (cost(b), b))
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, light: int) -> DataFrame:
+def signatures(docs: DataFrame, frequent: np.ndarray, light: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, size, parity bitmap, first shingles and index keys of every non-empty set."""
 
     def make(doc_id, s: np.ndarray) -> tuple | None:
@@ -114,22 +116,22 @@ def signatures(docs: DataFrame, frequent: np.ndarray, light: int) -> DataFrame:
         else:
             order = s
         keys = []
-        if n * PERCENT <= light * 100 and n > 1:
-            p = order[: prefix_length(n, 2)]
+        if n * percent <= light * 100 and n > 1:
+            p = order[: prefix_length(n, 2, percent)]
             i, j = np.triu_indices(len(p), 1)
             with np.errstate(over="ignore"):
                 keys.append(mix64(p[i] * _U(3) + mix64(p[j])))
         if n > light:
-            keys.append(order[: prefix_length(n, 1)])
+            keys.append(order[: prefix_length(n, 1, percent)])
         bits = 1 << max(6, int(2 * n - 1).bit_length())
         parity = (np.bincount((mix64(s) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
         return doc_id, n, np.packbits(parity, bitorder="little").tobytes(), _signed(order[:MARKS]), _signed(np.concatenate(keys)) if keys else []
 
     arrow = pa.schema([("doc_id", _I64), ("n", _I64), ("bitmap", _BIN), ("marks", pa.list_(_I64)), ("keys", pa.list_(_I64))])
-    return _mapped(docs, make, "doc_id long, n long, bitmap binary, marks array<long>, keys array<long>", arrow)
+    return _mapped(docs, make, "doc_id long, n long, bitmap binary, marks array<long>, keys array<long>", arrow, shingle)
 
 
-def _bitmap_links(pairs: DataFrame) -> DataFrame:
+def _bitmap_links(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps allow a link. Needs columns a, b, n_a, n_b, bm_a, bm_b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +144,9 @@ def _bitmap_links(pairs: DataFrame) -> DataFrame:
                     x = x[: len(x) // 2] ^ x[len(x) // 2 :]
                 while len(y) > len(x):
                     y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                # 100 |A & B| >= 85 |A | B| with |A ^ B| = d: |A & B| = (n + m - d) / 2
+                # 100 |A & B| >= percent |A | B| with |A ^ B| = d: |A & B| = (n + m - d) / 2
                 d = int(count[x ^ y].sum())
-                keep.append(100 * (n + m - d) >= PERCENT * (n + m + d))
+                keep.append(100 * (n + m - d) >= percent * (n + m + d))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "n_a", "n_b", "bm_a", "bm_b").mapInArrow(run, "a long, b long")
@@ -160,15 +162,15 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+def verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame, label: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that do link."""
     side = lambda c: sig.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bm_{c}"))
-    likely = stored(_bitmap_links(pairs.join(side("a"), "a").join(side("b"), "b")), f"{label}-likely")
+    likely = stored(_bitmap_links(pairs.join(side("a"), "a").join(side("b"), "b"), percent), f"{label}-likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = _id_filter(ids)
     hashed = docs.select("doc_id", "text").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)))
     some = hashed.where(F.get(F.lit(_signed(bits)), (F.col("slot") / 64).cast("int")).bitwiseAND(F.expr("shiftleft(1L, cast(slot % 64 as int))")) != 0)
-    sets = _mapped(some, lambda i, s: (i, s.tobytes()), "doc_id long, members binary", pa.schema([("doc_id", _I64), ("members", _BIN)]))
+    sets = _mapped(some, lambda i, s: (i, s.tobytes()), "doc_id long, members binary", pa.schema([("doc_id", _I64), ("members", _BIN)]), shingle)
     sets = stored(sets.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), f"{label}-sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("members").alias(f"s_{c}"))
 
@@ -178,26 +180,26 @@ def verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame, label: str) -> D
             for x, y in zip(batch.column("s_a"), batch.column("s_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
     return stored(joined.mapInArrow(run, "a long, b long"), f"{label}-links")
 
 
-def star_pairs(sig: DataFrame) -> DataFrame:
+def star_pairs(sig: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each set with the first of those that share one of its first shingles."""
     marked = sig.select("doc_id", "n", F.explode("marks").alias("mark"))
     first = marked.groupBy("mark").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("sets")).where("sets > 1")
-    pairs = marked.join(first, "mark").where((F.col("doc_id") != F.col("c.doc_id")) & _sizes_fit(F.col("n"), F.col("c.n")))
+    pairs = marked.join(first, "mark").where((F.col("doc_id") != F.col("c.doc_id")) & _sizes_fit(F.col("n"), F.col("c.n"), percent))
     return pairs.select(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b")).distinct()
 
 
-def _sizes_fit(n, m):
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def _sizes_fit(n, m, percent):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def list_pairs(entries: DataFrame) -> DataFrame:
+def list_pairs(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components that share a key and whose sizes fit; entries: key, doc_id, n, component.
 
     For short lists: all pairs of a list go on.
@@ -206,7 +208,7 @@ def list_pairs(entries: DataFrame) -> DataFrame:
     def found(ids: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
         order = np.argsort(n, kind="stable")
         ids, n, comp = ids[order], n[order], comp[order]
-        ends = np.searchsorted(PERCENT * n, 100 * n, "right")  # partners of larger or equal size end here
+        ends = np.searchsorted(percent * n, 100 * n, "right")  # partners of larger or equal size end here
         step = max(1, 4_000_000 // len(ids))
         for a in range(0, len(ids), step):
             b = min(len(ids), a + step)
@@ -248,10 +250,10 @@ def list_pairs(entries: DataFrame) -> DataFrame:
     return dealt.select("key", "doc_id", "n", "component").mapInArrow(run, "a long, b long").distinct()
 
 
-def _allowed(bitmaps: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, comp: np.ndarray, comp_other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _allowed(bitmaps: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, comp: np.ndarray, comp_other: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs whose sizes and bitmaps allow a link, of different components; m is sorted."""
-    low = np.searchsorted(100 * m, PERCENT * n, "left")
-    high = np.searchsorted(PERCENT * m, 100 * n, "right")
+    low = np.searchsorted(100 * m, percent * n, "left")
+    high = np.searchsorted(percent * m, 100 * n, "right")
     at = 0
     while at < len(n):
         step = max(1, 4_000_000 // max(1, int(high[at] - low[at]) * bitmaps.shape[1]))
@@ -261,13 +263,13 @@ def _allowed(bitmaps: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarra
             d = min(b, c + (1 << 16))
             apart = np.bitwise_count(bitmaps[at:end, None, :] ^ other[None, c:d, :]).sum(-1, dtype=np.int64)
             total = n[at:end, None] + m[None, c:d]
-            i, j = np.nonzero((100 * (total - apart) >= PERCENT * (total + apart)) & (comp[at:end, None] != comp_other[None, c:d]))
+            i, j = np.nonzero((100 * (total - apart) >= percent * (total + apart)) & (comp[at:end, None] != comp_other[None, c:d]))
             if len(i):
                 yield at + i, c + j
         at = end
 
 
-def cell_pairs(cells: DataFrame) -> DataFrame:
+def cell_pairs(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of long lists that their bitmaps allow; cells: cell, doc_id, n, component, bitmap."""
 
     def pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, maps: list[bytes]) -> Iterator[np.ndarray]:
@@ -278,12 +280,12 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
             at = at[np.argsort(n[at], kind="stable")]
             classes[int(w)] = (at, np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1))
         for w, (at, own) in classes.items():
-            for i, j in _allowed(own, own, n[at], n[at], comp[at], comp[at]):
+            for i, j in _allowed(own, own, n[at], n[at], comp[at], comp[at], percent):
                 yield np.stack([ids[at[i]], ids[at[j]]], 1)[i < j]
             if 2 * w in classes:  # sizes that fit are less than twice apart
                 to, wide = classes[2 * w]
                 half = wide.shape[1] // 2
-                for i, j in _allowed(own, wide[:, :half] ^ wide[:, half:], n[at], n[to], comp[at], comp[to]):
+                for i, j in _allowed(own, wide[:, :half] ^ wide[:, half:], n[at], n[to], comp[at], comp[to], percent):
                     yield np.stack([ids[at[i]], ids[to[j]]], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +312,7 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
     return dealt.select("cell", "doc_id", "n", "component", "bitmap").mapInArrow(run, "a long, b long").distinct()
 
 
-def candidate_pairs(sig: DataFrame, near: DataFrame) -> DataFrame:
+def candidate_pairs(sig: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of different components that share an index key and whose sizes fit."""
     known = sig.select("doc_id", "n", "keys").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     entries = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode("keys").alias("key"))
@@ -318,7 +320,7 @@ def candidate_pairs(sig: DataFrame, near: DataFrame) -> DataFrame:
     lists = stored(lists.where("c > 1 AND low <> high").select("key", "c", F.xxhash64("one", "other").alias("cell")), "join-lists")
     short = entries.join(lists.where(F.col("c") <= SHORT_LIST).select("key"), "key", "left_semi")
     cells = entries.join(lists.where(F.col("c") > SHORT_LIST).select("key", "cell"), "key").select("cell", "doc_id", "n", "component").distinct()
-    return list_pairs(short).unionByName(cell_pairs(cells.join(sig.select("doc_id", "bitmap"), "doc_id"))).distinct()
+    return list_pairs(short, percent).unionByName(cell_pairs(cells.join(sig.select("doc_id", "bitmap"), "doc_id"), percent)).distinct()
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -326,10 +328,14 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``."""
-    spark = docs.sparkSession
-    rows = stored(measured(docs), "join-rows")
+def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``.
+
+    ``shingle``: words a shingle; ``percent``: the least Jaccard similarity of a link, above 50.
+    """
+    if not 50 < percent <= 100:
+        raise ValueError("percent is above 50 and at most 100")
+    rows = stored(measured(docs, shingle, percent), "join-rows")
     equal = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
     members = stored(rows.select("doc_id", "n", "digest").join(equal, "digest", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "join-members")
 
@@ -340,13 +346,13 @@ def components(docs: DataFrame) -> DataFrame:
     frequent = np.sort(np.array([r["key"] for r in stats.where(F.col("c") >= least).select("key").collect()], np.int64).view(np.uint64))
     usual = stats.where(F.col("c") < least).agg(F.sum("c"), F.sum(F.col("c") * F.col("c"))).first()
     sizes = {r["n"]: r["c"] for r in rows.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    light = light_boundary(sizes, (usual[1] or 0) / max(1, usual[0] or 0))
+    light = light_boundary(sizes, (usual[1] or 0) / max(1, usual[0] or 0), percent)
 
     others = members.where("doc_id <> first").select("doc_id").distinct()
-    sig = stored(signatures(docs, frequent, light).join(others, "doc_id", "left_anti"), "join-signatures")
-    stars = verified(docs, sig, star_pairs(sig), "star")
+    sig = stored(signatures(docs, frequent, light, shingle, percent).join(others, "doc_id", "left_anti"), "join-signatures")
+    stars = verified(docs, sig, star_pairs(sig, percent), "star", shingle, percent)
     near = connected_components(stars, "star-components")
-    lists = verified(docs, sig, candidate_pairs(sig, near), "list")
+    lists = verified(docs, sig, candidate_pairs(sig, near, percent), "list", shingle, percent)
     link = lists
     for c in ("a", "b"):  # links between components of the first round
         link = link.join(near.select(F.col("node").alias(c), F.col("component").alias(f"to_{c}")), c, "left").withColumn(c, F.coalesce(f"to_{c}", c)).drop(f"to_{c}")
@@ -356,7 +362,7 @@ def components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("far", "near").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are the first of their component, with their own columns only."""
-    gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = components(docs, shingle, percent).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
