@@ -64,9 +64,9 @@ def test_quality_agrees_with_labels(spark):
     assert n.get((1, False), 0) == 0 and n.get((0, True), 0) <= 0.1 * (n.get((0, True), 0) + n[0, False])
 
 
-@pytest.mark.parametrize("short", [2, 32])
+@pytest.mark.parametrize("short", [2, 8])
 def test_jaccard_join_equals_all_pairs(docs, empty, short, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
+    monkeypatch.setattr(ngram_join, "SHORT", short)
     got = {r.doc_id: r for r in ngram_join.components(docs).collect()}
     sets = {}
     for k, t in texts(docs).items():

@@ -46,7 +46,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``max_bytes`` in each (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -92,7 +92,7 @@ class _Powers:
 
 
 _POWERS = _Powers()
-_SEGMENT = 4 << 20
+_SEGMENT = 1 << 20
 
 
 def _segment_words(raw: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

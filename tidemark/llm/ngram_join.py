@@ -2,25 +2,30 @@
 
 Words a shingle and percent are parameters of ``components`` and ``deduplicated``, 4 and 85 by default.
 
-1. Equal sets fall together under a digest; one document of each stands for all from here on.
-2. Sets are ordered by (frequent, hash): frequent shingles, at most ``MAX_FREQUENT`` of them with
-   counts over all documents, come last. Two sets that link share their l smallest common shingles
-   within both l-prefixes of n - ceil(percent n / 100) + l members, whatever the order.
+1. Equal sets are one node, named by a digest of the set. All else is done for nodes.
+2. Sets are ordered by (count, hash): shingles that are frequent in the prefixes of all documents, at
+   most ``MAX_FREQUENT`` of them, come last, the most frequent at the very end. Two sets that link
+   share their l smallest common shingles within both l-prefixes of n - ceil(percent n / 100) + l
+   members, whatever the order.
 3. Light sets (few shingles) enumerate the two-member subsets of their 2-prefix; heavy sets stand in
    inverted lists under each member of their 1-prefix. The boundary is where the expected cost is
-   least: subsets against list entries times the mean list length.
+   least: subsets against list entries and their comparisons.
 4. Before that, stars: sets that share one of their first ``MARKS`` shingles are compared with one of
    them. That joins large groups of near copies with a row or two each, and the lists are then
-   searched only for links between different components, so no group costs its square.
-   Lists of more than ``SHORT_LIST`` sets carry the sets' bitmaps instead and send on only pairs that
-   their bitmaps allow; lists with the same two extreme members, as the shingles of one group of
-   near copies have, are read as one.
-5. Candidates are checked against parity bitmaps, whose Hamming distance never exceeds the size of
-   the symmetric difference, then exactly on the full sets.
+   searched only for links between different components. Lists with the same two extreme members, as
+   the shingles of one group have, are one cell.
+5. Cells of up to ``SHORT`` entries send on all pairs. Larger ones are cut into blocks of about
+   ``BLOCK`` sets: those outside the cell's largest component meet each other and the blocks of that
+   component, every two blocks in a task of their own. A task compares parity bitmaps, whose Hamming
+   distance never exceeds the size of the symmetric difference, and sends on one pair for each two
+   components that it can surely join, and all pairs that are too close to the limit to tell.
+6. Pairs are checked exactly on the full sets. Should a pair that looked sure fail, the cells are
+   searched once more with the components found so far, and then send on all pairs that may link.
 
 No candidate is dropped for the length of its list. Defined results: null and empty texts have no
-shingles and no links; rows that share a doc_id are one document; texts of any length are whole;
-extra columns are ignored; an empty table gives an empty result.
+shingles and no links, and are their own component; rows that share a doc_id count as linked, each
+with its own number of shingles; a null doc_id is never a component's name unless nothing else is
+in it; texts of any length are whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,8 +49,13 @@ FREQUENT = 64
 MAX_FREQUENT = 100_000
 #: Sets above this size are always heavy: their two-member subsets outnumber any list.
 LIGHT_MOST = 200
-SHORT_LIST = 32
-_BITS = 1 << 20
+#: What a comparison of two bitmaps costs, counted in rows of an index.
+COMPARISON = 0.02
+SHORT = 8
+BLOCK = 1024
+#: Widest bitmap in bits: that of a block of very long sets still fits a task.
+MOST_BITS = 1 << 16
+_FILTER_BITS = 1 << 20
 _U = np.uint64
 _I64, _BIN = pa.int64(), pa.binary()
 
@@ -66,15 +76,17 @@ def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
         yield np.unique(h[a:b])
 
 
-def _mapped(docs: DataFrame, make: Callable[[object, np.ndarray], tuple | None], schema: str, arrow: pa.Schema, shingle: int, wanted: Callable | None = None) -> DataFrame:
+def _node(s: np.ndarray) -> int | None:
+    """The name of a set, the same for equal sets; null for the empty one."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+
+
+def _mapped(docs: DataFrame, make: Callable[[object, np.ndarray], tuple | None], schema: str, arrow: pa.Schema, shingle: int) -> DataFrame:
     """Rows made from each document's id and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            if wanted is not None:
-                batch = batch.filter(pa.array(wanted(batch.column("doc_id"))))
-            ids = batch.column("doc_id").to_pylist()
-            rows = [r for r in map(make, ids, _sets(batch.column("text"), shingle)) if r is not None] if ids else []
+            rows = [r for r in map(make, batch.column("doc_id").to_pylist(), _sets(batch.column("text"), shingle)) if r is not None]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
@@ -86,93 +98,101 @@ def _signed(x: np.ndarray) -> list[int]:
 
 
 def measured(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, set size, digest of the set (null if empty) and its 1-prefix in hash order."""
+    """doc_id, set size, node (null if the set is empty) and the set's 1-prefix in hash order."""
 
     def make(doc_id, s: np.ndarray) -> tuple:
-        digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-        return doc_id, len(s), digest, _signed(s[: prefix_length(len(s), 1, percent)])
+        return doc_id, len(s), _node(s), _signed(s[: prefix_length(len(s), 1, percent)])
 
-    return _mapped(docs, make, "doc_id long, n long, digest binary, prefix array<long>", pa.schema([("doc_id", _I64), ("n", _I64), ("digest", _BIN), ("prefix", pa.list_(_I64))]), shingle)
+    return _mapped(docs, make, "doc_id long, n long, node long, prefix array<long>", pa.schema([("doc_id", _I64), ("n", _I64), ("node", _I64), ("prefix", pa.list_(_I64))]), shingle)
 
 
 def light_boundary(sizes: dict[int, int], mean_list: float, percent: int = PERCENT) -> int:
     """The largest light size: least total of subset rows and list rows; ``sizes``: sets of each size up to LIGHT_MOST."""
     pairs = lambda n: prefix_length(n, 2, percent) * (prefix_length(n, 2, percent) - 1) / 2
-    lists = lambda n: prefix_length(n, 1, percent) * (1 + mean_list)
+    lists = lambda n: prefix_length(n, 1, percent) * (1 + COMPARISON * mean_list)
     cost = lambda b: sum(c * pairs(n) for n, c in sizes.items() if n * percent <= b * 100) + sum(c * lists(n) for n, c in sizes.items() if n > b)
     return min(range(LIGHT_MOST + 1), key=lambda b: (cost(b), b))
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, light: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, size, parity bitmap, first shingles and index keys of every non-empty set."""
+def signatures(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, light: int, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, node, size, parity bitmap, first shingles and index keys of every non-empty set.
+
+    ``frequent``: the frequent shingles, sorted; ``rank``: their counts, in the same order.
+    """
 
     def make(doc_id, s: np.ndarray) -> tuple | None:
         n = len(s)
         if not n:
             return None
+        order = s
         if len(frequent):
-            often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-            order = np.concatenate([s[~often], s[often]])
-        else:
-            order = s
+            at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+            order = s[np.argsort(np.where(frequent[at] == s, rank[at], 0), kind="stable")]
         keys = []
         if n * percent <= light * 100 and n > 1:
             p = order[: prefix_length(n, 2, percent)]
             i, j = np.triu_indices(len(p), 1)
+            x, y = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
             with np.errstate(over="ignore"):
-                keys.append(mix64(p[i] * _U(3) + mix64(p[j])))
+                keys.append(mix64(x * _U(3) + mix64(y)))
         if n > light:
             keys.append(order[: prefix_length(n, 1, percent)])
-        bits = 1 << max(6, int(2 * n - 1).bit_length())
+        bits = min(MOST_BITS, 1 << max(6, int(4 * n - 1).bit_length()))
         parity = (np.bincount((mix64(s) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-        return doc_id, n, np.packbits(parity, bitorder="little").tobytes(), _signed(order[:MARKS]), _signed(np.concatenate(keys)) if keys else []
+        return doc_id, _node(s), n, np.packbits(parity, bitorder="little").tobytes(), _signed(order[:MARKS]), _signed(np.concatenate(keys)) if keys else []
 
-    arrow = pa.schema([("doc_id", _I64), ("n", _I64), ("bitmap", _BIN), ("marks", pa.list_(_I64)), ("keys", pa.list_(_I64))])
-    return _mapped(docs, make, "doc_id long, n long, bitmap binary, marks array<long>, keys array<long>", arrow, shingle)
+    arrow = pa.schema([("doc_id", _I64), ("node", _I64), ("n", _I64), ("bitmap", _BIN), ("marks", pa.list_(_I64)), ("keys", pa.list_(_I64))])
+    return _mapped(docs, make, "doc_id long, node long, n long, bitmap binary, marks array<long>, keys array<long>", arrow, shingle)
+
+
+def _within(total: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """100 |A & B| >= percent |A | B| with |A ^ B| = apart and |A| + |B| = total."""
+    return 100 * (total - apart) >= percent * (total + apart)
 
 
 def _bitmap_links(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps allow a link. Needs columns a, b, n_a, n_b, bm_a, bm_b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
         for batch in batches:
-            keep = []
-            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("bm_a", "bm_b", "n_a", "n_b"))):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("bm_a"), batch.column("bm_b"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 while len(x) > len(y):
                     x = x[: len(x) // 2] ^ x[len(x) // 2 :]
                 while len(y) > len(x):
                     y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                # 100 |A & B| >= percent |A | B| with |A ^ B| = d: |A & B| = (n + m - d) / 2
-                d = int(count[x ^ y].sum())
-                keep.append(100 * (n + m - d) >= percent * (n + m + d))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                apart[i] = np.bitwise_count(x ^ y).sum()
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(_within(total, apart, percent)))
 
     return pairs.select("a", "b", "n_a", "n_b", "bm_a", "bm_b").mapInArrow(run, "a long, b long")
 
 
+def _side(sig: DataFrame, c: str) -> DataFrame:
+    return sig.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bm_{c}"))
+
+
 def _id_filter(ids: DataFrame) -> np.ndarray:
     """A bit set over hashes of the ids, of fixed size: it may let others pass, never the reverse."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(_BITS))
-    rows = ids.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(_BITS // 64, np.int64)
+    slot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
+    rows = ids.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {_FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(_FILTER_BITS // 64, np.int64)
     for r in rows:
         out[r["word"]] = r["bits"]
     return out.view(np.uint64)
 
 
-def verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame, label: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that do link."""
-    side = lambda c: sig.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bm_{c}"))
-    likely = stored(_bitmap_links(pairs.join(side("a"), "a").join(side("b"), "b"), percent), f"{label}-likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = _id_filter(ids)
-    hashed = docs.select("doc_id", "text").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(_BITS)))
+def verified(docs: DataFrame, sig: DataFrame, likely: DataFrame, label: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of the stored table ``likely`` that do link."""
+    ids = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    names = stored(sig.select("node", "doc_id").join(ids, "node", "left_semi"), f"{label}-names")
+    bits = _id_filter(names.select(F.coalesce("doc_id", F.lit(0)).alias("id")))
+    hashed = docs.select("doc_id", "text").withColumn("slot", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(_FILTER_BITS)))
     some = hashed.where(F.get(F.lit(_signed(bits)), (F.col("slot") / 64).cast("int")).bitwiseAND(F.expr("shiftleft(1L, cast(slot % 64 as int))")) != 0)
-    sets = _mapped(some, lambda i, s: (i, s.tobytes()), "doc_id long, members binary", pa.schema([("doc_id", _I64), ("members", _BIN)]), shingle)
-    sets = stored(sets.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), f"{label}-sets")
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("members").alias(f"s_{c}"))
+    sets = _mapped(some, lambda i, s: (_node(s), s.tobytes()) if len(s) else None, "node long, members binary", pa.schema([("node", _I64), ("members", _BIN)]), shingle)
+    sets = stored(sets.join(names.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), f"{label}-sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,143 +209,196 @@ def verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame, label: str, shin
 
 def star_pairs(sig: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each set with the first of those that share one of its first shingles."""
-    marked = sig.select("doc_id", "n", F.explode("marks").alias("mark"))
-    first = marked.groupBy("mark").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("sets")).where("sets > 1")
-    pairs = marked.join(first, "mark").where((F.col("doc_id") != F.col("c.doc_id")) & _sizes_fit(F.col("n"), F.col("c.n"), percent))
-    return pairs.select(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b")).distinct()
+    marked = sig.select("node", "n", F.explode("marks").alias("mark"))
+    first = marked.groupBy("mark").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("sets")).where("sets > 1")
+    n, m = F.col("n"), F.col("c.n")
+    pairs = marked.join(first, "mark").where((F.col("node") != F.col("c.node")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
+    return pairs.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
 
 
-def _sizes_fit(n, m, percent):
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def short_pairs(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All pairs of different components and fitting sizes in cells of at most ``SHORT`` rows: cell, node, n, component."""
+    near = SHORT - 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            columns = np.stack([batch.column(c).to_numpy() for c in ("cell", "node", "n", "component")])
+            old = 0 if rest is None else rest.shape[1]
+            rows = columns if rest is None else np.concatenate([rest, columns], 1)
+            cell, node, n, comp = rows
+            out = []
+            for d in range(1, min(near, rows.shape[1] - 1) + 1):
+                x, y = slice(None, -d), slice(d, None)
+                ok = (cell[x] == cell[y]) & (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                ok[: max(0, old - d)] = False  # both were in the last batch
+                out.append(np.stack([node[x][ok], node[y][ok]]))
+            rest = rows[:, -near:]
+            if out and (pairs := np.sort(np.concatenate(out, 1), 0)).shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-def list_pairs(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of different components that share a key and whose sizes fit; entries: key, doc_id, n, component.
+    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    return dealt.select("cell", "node", "n", "component").mapInArrow(run, "a long, b long").distinct()
 
-    For short lists: all pairs of a list go on.
-    """
 
-    def found(ids: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
-        order = np.argsort(n, kind="stable")
-        ids, n, comp = ids[order], n[order], comp[order]
-        ends = np.searchsorted(percent * n, 100 * n, "right")  # partners of larger or equal size end here
-        step = max(1, 4_000_000 // len(ids))
-        for a in range(0, len(ids), step):
-            b = min(len(ids), a + step)
-            last = int(ends[b - 1])
-            i, j = np.nonzero((comp[a:b, None] != comp[None, a:last]) & (np.arange(a, last)[None, :] > np.arange(a, b)[:, None]) & (np.arange(a, last)[None, :] < ends[a:b, None]))
-            if len(i):
-                x, y = ids[a + i], ids[a + j]
-                yield np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+class _Block:
+    """Sets of one block by the width of their bitmaps, each in the order of size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for batch in _with_end(batches):
-            if batch is None:
-                columns, whole = rest, True
-            else:
-                columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "n", "component")]
-                if rest is not None:
-                    columns = [np.concatenate(x) for x in zip(rest, columns)]
-                whole = False
-            if columns is None or not len(columns[0]):
+    def __init__(self, rows: list[tuple]) -> None:
+        self.node, self.n, self.comp = (np.array(x, np.int64) for x in list(zip(*rows))[:3])
+        width = np.array([len(r[3]) for r in rows])
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            at = at[np.argsort(self.n[at], kind="stable")]
+            self.of[w] = (at, np.frombuffer(b"".join(rows[i][3] for i in at), np.uint64).reshape(len(at), -1))
+
+
+def _close(x: _Block, y: _Block, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x and y of sets of different components whose sizes and bitmaps allow a link, and
+    whether they surely link, but for what bitmaps lose by chance."""
+    for w, (own, maps) in x.of.items():
+        for v in (w // 2, w, 2 * w):  # sizes that fit are less than twice apart
+            if v not in y.of:
                 continue
-            key, ids, n, comp = columns
-            cut = np.flatnonzero(np.diff(key)) + 1
-            begins, ends = np.r_[0, cut], np.r_[cut, len(key)]
-            if not whole:  # the last key may go on
-                rest = [c[begins[-1] :] for c in columns]
-                begins, ends = begins[:-1], ends[:-1]
-            several = np.flatnonzero(ends - begins > 1)
-            if len(several):  # lists within one component are passed over at once
-                until = ends[-1]
-                mixed = np.minimum.reduceat(comp[:until], begins) != np.maximum.reduceat(comp[:until], begins)
-                several = several[mixed[several]]
-            out = [p for g in several for p in found(ids[begins[g] : ends[g]], n[begins[g] : ends[g]], comp[begins[g] : ends[g]])]
-            if out:
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    dealt = entries.repartition("key").sortWithinPartitions("key")
-    return dealt.select("key", "doc_id", "n", "component").mapInArrow(run, "a long, b long").distinct()
-
-
-def _allowed(bitmaps: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, comp: np.ndarray, comp_other: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs whose sizes and bitmaps allow a link, of different components; m is sorted."""
-    low = np.searchsorted(100 * m, percent * n, "left")
-    high = np.searchsorted(percent * m, 100 * n, "right")
-    at = 0
-    while at < len(n):
-        step = max(1, 4_000_000 // max(1, int(high[at] - low[at]) * bitmaps.shape[1]))
-        end = min(len(n), at + step)
-        a, b = int(low[at:end].min()), int(high[at:end].max())
-        for c in range(a, b, 1 << 16):
-            d = min(b, c + (1 << 16))
-            apart = np.bitwise_count(bitmaps[at:end, None, :] ^ other[None, c:d, :]).sum(-1, dtype=np.int64)
-            total = n[at:end, None] + m[None, c:d]
-            i, j = np.nonzero((100 * (total - apart) >= percent * (total + apart)) & (comp[at:end, None] != comp_other[None, c:d]))
-            if len(i):
-                yield at + i, c + j
-        at = end
-
-
-def cell_pairs(cells: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of long lists that their bitmaps allow; cells: cell, doc_id, n, component, bitmap."""
-
-    def pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, maps: list[bytes]) -> Iterator[np.ndarray]:
-        size = np.array([len(x) for x in maps])
-        classes = {}
-        for w in np.unique(size):
-            at = np.flatnonzero(size == w)
-            at = at[np.argsort(n[at], kind="stable")]
-            classes[int(w)] = (at, np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1))
-        for w, (at, own) in classes.items():
-            for i, j in _allowed(own, own, n[at], n[at], comp[at], comp[at], percent):
-                yield np.stack([ids[at[i]], ids[at[j]]], 1)[i < j]
-            if 2 * w in classes:  # sizes that fit are less than twice apart
-                to, wide = classes[2 * w]
-                half = wide.shape[1] // 2
-                for i, j in _allowed(own, wide[:, :half] ^ wide[:, half:], n[at], n[to], comp[at], comp[to], percent):
-                    yield np.stack([ids[at[i]], ids[to[j]]], 1)
+            other, theirs = y.of[v]
+            a, b = maps, theirs
+            if v > w:
+                b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+            elif v < w:
+                a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+            n, m = x.n[own], y.n[other]
+            low, high = np.searchsorted(100 * m, percent * n, "left"), np.searchsorted(percent * m, 100 * n, "right")
+            step = max(1, 2_000_000 // max(1, len(m) * a.shape[1]))
+            for at in range(0, len(n), step):
+                end = min(len(n), at + step)
+                c, d = int(low[at:end].min()), int(high[at:end].max())
+                if c >= d:
+                    continue
+                apart = np.bitwise_count(a[at:end, None, :] ^ b[None, c:d, :]).sum(-1, dtype=np.int64)
+                total = n[at:end, None] + m[None, c:d]
+                i, j = np.nonzero(_within(total, apart, percent) & (x.comp[own[at:end], None] != y.comp[None, other[c:d]]))
+                if len(i):
+                    lost = 2 + 2 * apart[i, j] ** 2 // (64 * a.shape[1])
+                    yield own[at + i], other[c + j], _within(total[i, j], apart[i, j] + lost, percent)
+
+
+def _joining(x: _Block, y: _Block, percent: int, every: bool) -> np.ndarray:
+    """Pairs of nodes: for each two components one that surely links them, unless others do already, and all
+    that may link what is still apart. ``every``: all that may link. The last column: whether it looked sure."""
+    names, at = np.unique(np.concatenate([x.comp, y.comp]), return_inverse=True)
+    own, other = at[: len(x.comp)], at[len(x.comp) :]
+    label = np.arange(len(names))
+    out, unsure = [], []
+    for i, j, sure in _close(x, y, percent):
+        if every:
+            out.append(np.stack([x.node[i], y.node[j], np.zeros(len(i), np.int64)], 1))
+            continue
+        unsure.append((i[~sure], j[~sure]))
+        i, j = i[sure], j[sure]
+        cut = np.r_[0, np.flatnonzero(np.diff(i)) + 1, len(i)] if len(i) else np.zeros(1, np.int64)
+        for a, b in zip(cut, cut[1:]):
+            mine = label[own[i[a]]]
+            roots, first = np.unique(label[other[j[a:b]]], return_index=True)
+            new = roots != mine
+            if new.any():
+                k = a + first[new]
+                out.append(np.stack([x.node[i[k]], y.node[j[k]], np.ones(len(k), np.int64)], 1))
+                label[np.isin(label, roots[new])] = mine
+    for i, j in unsure:
+        apart = label[own[i]] != label[other[j]]
+        out.append(np.stack([x.node[i], y.node[j], np.zeros(len(i), np.int64)], 1)[apart])
+    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
+
+
+def block_pairs(cells: DataFrame, percent: int = PERCENT, every: bool = False) -> DataFrame:
+    """Pairs (a, b, sure) found by bitmaps. cells: cell, i, j, side (0 or 1), node, n, component, bitmap;
+    rows of one (cell, i, j), at most about twice ``BLOCK``, meet in one task: side 0 with side 1, or
+    with itself where there is no side 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, ([], [])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids, n, comp, maps = zip(*held)
-            found = list(pairs(np.array(ids), np.array(n), np.array(comp), list(maps)))
-            if found:
-                p = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(p.min(1)), pa.array(p.max(1))], names=["a", "b"])
+            if held[0] and (held[1] or len(held[0]) > 1):
+                x = _Block(held[0])
+                p = _joining(x, _Block(held[1]) if held[1] else x, percent, every)
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(p[:, :2].min(1)), pa.array(p[:, :2].max(1)), pa.array(p[:, 2])], names=["a", "b", "sure"])
 
         for batch in batches:
-            for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "doc_id", "n", "component", "bitmap"))):
-                if cell != now and held:
+            for cell, i, j, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (cell, i, j) != now:
                     yield from flush()
-                    held = []
-                now = cell
-                held.append(row)
-        if held:
-            yield from flush()
+                    now, held = (cell, i, j), ([], [])
+                held[side].append(row)
+        yield from flush()
+
+    dealt = cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    pairs = dealt.select("cell", "i", "j", "side", "node", "n", "component", "bitmap").mapInArrow(run, "a long, b long, sure long")
+    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
-    dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.select("cell", "doc_id", "n", "component", "bitmap").mapInArrow(run, "a long, b long").distinct()
 
+def blocks(cells: DataFrame) -> DataFrame:
+    """cell, i, j, side, node, n, component of all rows of large cells: each row in every block pair that needs it.
 
-def candidate_pairs(sig: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of different components that share an index key and whose sizes fit."""
-    known = sig.select("doc_id", "n", "keys").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    entries = known.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.explode("keys").alias("key"))
-    lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.xxhash64("doc_id")).alias("one"), F.max(F.xxhash64("doc_id")).alias("other"))
+    cells: cell, size (an upper bound of its rows), node, n, component.
+    """
+    one = cells.where(F.col("size") <= BLOCK).select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "n", "component")
+    large = cells.where(F.col("size") > BLOCK)
+    counts = large.groupBy("cell", "component").agg(F.count("*").alias("c"))
+    tops = counts.groupBy("cell").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("c"))
+    cut = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK)).cast("int")
+    tops = stored(tops.select("cell", F.col("top.component").alias("main"), cut(F.col("c") - F.col("top.c")).alias("others"), cut(F.col("top.c")).alias("mains")), "join-tops")
+    known = large.join(tops, "cell").withColumn("is_main", F.col("component") == F.col("main"))
+    place = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    known = known.withColumn("place", place)
+    # blocks 0 to others - 1 hold the sets outside the main component, those from there on the main component
+    meet = lambda low, high, make: F.when(low <= high, F.transform(F.sequence(low, high), make)).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    row = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    p, others, mains = F.col("place"), F.col("others"), F.col("mains")
+    zero = F.lit(0)
+    of_main = meet(zero, others - 1, lambda k: row(k, others + p, 1))
+    of_other = F.concat(meet(p, others + mains - 1, lambda k: row(p, k, 0)), meet(zero, p - 1, lambda k: row(k, p, 1)))
+    many = known.withColumn("at", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)))
+    return one.unionByName(many.select("cell", "at.i", "at.j", "at.side", "node", "n", "component"))
+
+
+def candidate_cells(sig: DataFrame, near: DataFrame) -> DataFrame:
+    """cell, size (an upper bound), node, n, component of all entries of lists with several components."""
+    known = sig.select("node", "n", "keys").join(near, "node", "left")
+    entries = known.select("node", "n", F.coalesce("component", "node").alias("component"), F.explode("keys").alias("key"))
+    lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.xxhash64("node")).alias("one"), F.max(F.xxhash64("node")).alias("other"))
     lists = stored(lists.where("c > 1 AND low <> high").select("key", "c", F.xxhash64("one", "other").alias("cell")), "join-lists")
-    short = entries.join(lists.where(F.col("c") <= SHORT_LIST).select("key"), "key", "left_semi")
-    cells = entries.join(lists.where(F.col("c") > SHORT_LIST).select("key", "cell"), "key").select("cell", "doc_id", "n", "component").distinct()
-    return list_pairs(short, percent).unionByName(cell_pairs(cells.join(sig.select("doc_id", "bitmap"), "doc_id"), percent)).distinct()
+    sizes = stored(lists.groupBy("cell").agg(F.sum("c").alias("size")), "join-sizes")
+    cells = entries.join(lists.select("key", "cell"), "key").select("cell", "node", "n", "component").distinct()
+    return cells.join(sizes, "cell")
 
 
-def _with_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+def list_links(docs: DataFrame, sig: DataFrame, near: DataFrame, label: str, shingle: int, percent: int, every: bool = False) -> tuple[DataFrame, bool]:
+    """Links between different components, enough to join all that link; whether more may be left to find."""
+    cells = stored(candidate_cells(sig, near), f"{label}-cells")
+    pairs = short_pairs(cells.where(F.col("size") <= SHORT), percent)
+    short = _bitmap_links(pairs.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b"), percent).distinct()
+    long = block_pairs(blocks(cells.where(F.col("size") > SHORT)).join(sig.select("node", "bitmap").dropDuplicates(["node"]), "node"), percent, every)
+    likely = stored(short.withColumn("sure", F.lit(0).cast("long")).unionByName(long), f"{label}-likely")
+    links = verified(docs, sig, likely.select("a", "b").distinct(), label, shingle, percent)
+    failed = likely.where("sure = 1").join(links, ["a", "b"], "left_anti")
+    return links, not every and not failed.isEmpty()
+
+
+def _relabelled(links: DataFrame, near: DataFrame) -> DataFrame:
+    """``links`` between components instead of nodes."""
+    for c in ("a", "b"):
+        links = links.join(near.select(F.col("node").alias(c), F.col("component").alias(f"to_{c}")), c, "left").withColumn(c, F.coalesce(f"to_{c}", c)).drop(f"to_{c}")
+    return links.select("a", "b")
+
+
+def _composed(near: DataFrame, far: DataFrame, label: str) -> DataFrame:
+    """Components of nodes where ``far`` joins components of ``near``."""
+    mid = near.select("node", F.col("component").alias("mid")).unionByName(far.select("node", F.col("node").alias("mid"))).dropDuplicates(["node", "mid"])
+    out = mid.join(far.select(F.col("node").alias("mid"), "component"), "mid", "left").select("node", F.coalesce("component", "mid").alias("component"))
+    return stored(out.distinct(), label)
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -336,33 +409,46 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     if not 50 < percent <= 100:
         raise ValueError("percent is above 50 and at most 100")
     rows = stored(measured(docs, shingle, percent), "join-rows")
-    equal = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "first")
-    members = stored(rows.select("doc_id", "n", "digest").join(equal, "digest", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "join-members")
+    heads = stored(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")), "join-heads")
+    copies = rows.select("node", "doc_id").join(heads.where("c > 1"), "node").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "doc_id").distinct()
+    shared = rows.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
 
     counts = rows.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
     stats = stored(counts.where("c > 1"), "join-counts")  # keys of one document tell nothing
     total = stats.agg(F.sum("c"), F.sum(F.col("c") * F.col("c"))).first()
     least = max(FREQUENT, (total[0] or 0) // MAX_FREQUENT + 1)
-    frequent = np.sort(np.array([r["key"] for r in stats.where(F.col("c") >= least).select("key").collect()], np.int64).view(np.uint64))
+    often = sorted((np.int64(r["key"]).view(np.uint64), r["c"]) for r in stats.where(F.col("c") >= least).collect())
+    frequent, rank = np.array([k for k, _ in often], np.uint64), np.array([c for _, c in often], np.int64)
     usual = stats.where(F.col("c") < least).agg(F.sum("c"), F.sum(F.col("c") * F.col("c"))).first()
     sizes = {r["n"]: r["c"] for r in rows.where(F.col("n") <= LIGHT_MOST).groupBy("n").agg(F.count("*").alias("c")).collect()}
     light = light_boundary(sizes, (usual[1] or 0) / max(1, usual[0] or 0), percent)
 
-    others = members.where("doc_id <> first").select("doc_id").distinct()
-    sig = stored(signatures(docs, frequent, light, shingle, percent).join(others, "doc_id", "left_anti"), "join-signatures")
-    stars = verified(docs, sig, star_pairs(sig, percent), "star", shingle, percent)
-    near = connected_components(stars, "star-components")
-    lists = verified(docs, sig, candidate_pairs(sig, near, percent), "list", shingle, percent)
-    link = lists
-    for c in ("a", "b"):  # links between components of the first round
-        link = link.join(near.select(F.col("node").alias(c), F.col("component").alias(f"to_{c}")), c, "left").withColumn(c, F.coalesce(f"to_{c}", c)).drop(f"to_{c}")
-    far = connected_components(link.select("a", "b"), "list-components")
-    out = members.join(near.select(F.col("node").alias("first"), F.col("component").alias("near")), "first", "left").withColumn("near", F.coalesce("near", "first"))
-    out = out.join(far.select(F.col("node").alias("near"), F.col("component").alias("far")), "near", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("far", "near").alias("component_id"))
+    whole = signatures(docs, frequent, rank, light, shingle, percent)
+    match = (F.col("node") == F.col("of_node")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
+    sig = stored(whole.join(copies.select(F.col("node").alias("of_node"), F.col("doc_id").alias("of_doc")), match, "left_anti"), "join-signatures")
+    stars = star_pairs(sig, percent)
+    likely = stored(_bitmap_links(stars.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b"), percent).distinct(), "star-likely")
+    links = verified(docs, sig, likely, "star", shingle, percent)
+    one_document = rows.where("node IS NOT NULL").join(shared, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+    near = connected_components(links.unionByName(one_document), "star-components")
+    more = True
+    for every in (False, True):
+        if more:
+            links, more = list_links(docs, sig, near, f"list-{every}".lower(), shingle, percent, every)
+            near = _composed(near, connected_components(_relabelled(links, near), "list-components"), "join-components")
+    first = near.join(heads, "node").groupBy("component").agg(F.min("first").alias("least"))
+    named = near.join(first, "component").select("node", "least")
+    names = heads.join(named, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
+    out = rows.select("doc_id", "n", "node").join(names, "node", "left")
+    # a document whose rows are an empty and another text belongs where the other one does
+    mixed = rows.groupBy("doc_id").agg(F.max("node").alias("some"), F.max(F.col("node").isNull()).alias("bare")).where("bare AND some IS NOT NULL AND doc_id IS NOT NULL").join(names.withColumnRenamed("node", "some"), "some").select("doc_id", F.col("component_id").alias("of_rest"))
+    return out.join(mixed, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "of_rest", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with their own columns only."""
+    """The rows of ``docs`` that are the first of their component, with their own columns only.
+
+    Rows with the first row's doc_id stay with it; rows without a doc_id stay if nothing else is in their component.
+    """
     gone = components(docs, shingle, percent).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
