@@ -194,40 +194,61 @@ def test_mixing_stays_within_a_block(spark, docs, empty):
     assert source_mixing.schedule(empty).count() == 0 and source_mixing.mixed(empty).count() == 0
 
 
-def test_katz_scores_and_normalisation(docs, empty, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_scores_and_normalisation(docs, empty, order, monkeypatch):
     monkeypatch.setattr(katz, "CHUNK_TOKENS", 5000)
-    got = {r.doc_id: r for r in katz.scored(docs).collect()}
+    more = docs.sparkSession.createDataFrame([(None, "one two one two", "clash")] + [(20_000 + i, "one two three", "clash") for i in range(9)], "doc_id long, text string, n string")
+    docs = docs.select("doc_id", "text", "n").unionByName(more)
+    model = katz.fitted(docs, order)
+    got = {r.doc_id: r for r in katz.scored(docs, order).collect()}
+    again = {r.doc_id: r for r in model.scored(docs).collect()}
     tokens = {k: [*WORD.findall(t.translate(LOWER)), "</s> "] for k, t in texts(docs).items()}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in tokens}
-    c, b = collections.Counter(), collections.Counter()
+    grams = lambda t, n: zip(*[["<s> "] * (n - 1 - i) + t[: len(t) - (n - 1 - i)] for i in range(n)])
+    counts = {n: collections.Counter() for n in range(1, order + 1)}
     for k, t in tokens.items():
-        if not held[k]:
-            c.update(t)
-            b.update(zip(["<s> ", *t[:-1]], t))
-    total, known = sum(c.values()), len(c)
-    tables = [katz.discounted(np.array([sum(v == i for v in x.values()) for i in range(1, katz.MOST + 2)])) for x in (c, b)]
+        for n, c in counts.items():
+            if not held[k]:
+                c.update(grams(t, n))
+    total, known = sum(counts[1].values()), len(counts[1])
+    tables = {n: katz.discounted(np.array([sum(v == i for v in c.values()) for i in range(1, katz.MOST + 2)])) for n, c in counts.items()}
     star = lambda n, t: n - 0.5 if n > katz.MOST else t[n]
-    unknown = 1 - sum(star(v, tables[0]) for v in c.values()) / total
-    p1 = lambda w: star(c[w], tables[0]) / total if c[w] else unknown
-    n, mass, other = collections.Counter(), collections.Counter(), collections.Counter()
-    for (h, w), r in b.items():
-        n[h] += r
-        mass[h] += star(r, tables[1])
-        other[h] += p1(w)
-
-    def p(h, w):
-        if b[h, w]:
-            return star(b[h, w], tables[1]) / n[h]
-        return (1 - mass[h] / n[h]) / (1 - other[h]) * p1(w) if n[h] else p1(w)
-
-    for h in list(n)[:5]:
-        assert sum(p(h, w) for w in c) + p(h, "never seen") == pytest.approx(1)
+    unknown = 1 - sum(star(v, tables[1]) for v in counts[1].values()) / total
+    seen, mass, lower = collections.Counter(), collections.Counter(), collections.Counter()
+
+    def p(gram):
+        n, h = len(gram), gram[:-1]
+        if n == 1:
+            return star(counts[1][gram], tables[1]) / total if counts[1][gram] else unknown
+        if counts[n][gram]:
+            return star(counts[n][gram], tables[n]) / seen[h]
+        return (1 - mass[h] / seen[h]) / (1 - lower[h]) * p(gram[1:]) if seen[h] else p(gram[1:])
+
+    for n in range(2, order + 1):
+        for gram, r in counts[n].items():
+            seen[gram[:-1]] += r
+            mass[gram[:-1]] += star(r, tables[n])
+            lower[gram[:-1]] += p(gram[1:])
+    for h in [x for x in seen if len(x) == order - 1][:5]:
+        assert sum(p((*h, *w)) for w in counts[1]) + p((*h, "never seen")) == pytest.approx(1)
     for k, t in tokens.items():
         r = got[k]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(t), sum(c[w] > 0 for w in t), total)
-        assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (total + known + 1)) for w in t))
-        assert r.score == pytest.approx(sum(np.log10(p(h, w)) for h, w in zip(["<s> ", *t[:-1]], t)))
-    assert katz.scored(empty).count() == 0
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(t), sum(counts[1][w,] > 0 for w in t), total)
+        assert r.base_score == pytest.approx(sum(np.log10((counts[1][w,] + 1) / (total + known + 1)) for w in t))
+        assert r.score == pytest.approx(sum(np.log10(p(g)) for g in grams(t, order)))
+        assert (again[k].score, again[k].n_known) == (pytest.approx(r.score), r.n_known)
+    assert katz.scored(empty).count() == 0 and katz.scored(docs.where("doc_id is null").withColumn("text", F.lit(None).cast("string"))).count() == 1
+
+
+def test_katz_messages_do_not_grow_with_parts(docs, spark, monkeypatch):
+    """Twice the parts cut the same keys and answers into more messages, and add none."""
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 5000)
+    chunks = katz.stored(katz.chunked(docs), "test-chunks")
+    sent = []
+    for parts in (4, 8):
+        rows = katz._kind(katz._counted(chunks, 2, parts), "answer").collect()
+        sent.append(sum(len(katz._unpack(r.data)[0]) for r in rows))
+    assert sent[0] == sent[1]
 
 
 def test_license_lines_are_found(spark, docs, empty):
@@ -254,9 +275,12 @@ def test_main_text(spark):
     assert html_extraction.extracted(pages.limit(0)).count() == 0
 
 
-def test_archives_and_index(spark):
+@pytest.mark.parametrize("sent, opened", [(1_000_000, 1000), (0, 0)])
+def test_archives_and_index(spark, sent, opened, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_SENT", sent)
+    monkeypatch.setattr(warc, "MOST_OPENED", opened)
     html = "<p>" + "long enough to be shared " * 9
-    rows = [(5, "http://b.example.com/x?q=1", html), (3, "https://B.example.com:80/x", html), (9, None, html), (1, "http://a.org", "short"), (2, "http://a.org/", "short"), (4, "http://a.org/n", None), (7, "http://c.net/w", "WARC/1.0\r\n\r\nContent-Length: 3\r\n\r\né")]
+    rows = [(5, "http://b.example.com/x?q=1", html), (3, "https://B.example.com:80/x", html), (9, None, html), (1, "http://a.org", "short"), (2, "http://a.org/", "short"), (4, "http://a.org/n", None), (7, "http://c.net/w", "WARC/1.0\r\n\r\nContent-Length: 3\r\n\r\n\xe9"), (11, "http://d.net/", "a very long page " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
     path, index = warc.archived(pages)
     got = {r.page_id: r for r in warc.read_back(spark, path, index).collect()}
@@ -267,10 +291,35 @@ def test_archives_and_index(spark):
         assert kind == "revisit" or got[k].payload == (h or "")
     assert {r.page_id for r in warc.lookup(spark, path, index, ["http://b.example.com/x", "http://nowhere.io/"]).collect()} == {3}
     assert {r.page_id for r in warc.lookup(spark, path, index, ["http://a.org/"]).collect()} == {1, 2}
+    assert warc.lookup(spark, path, index, ["http://nowhere.io/"]).count() == 0 and warc.lookup(spark, path, index, []).count() == 0
     path, index = warc.archived(pages.limit(0))
     assert warc.read_back(spark, path, index).count() == 0
 
 
+def test_archives_with_spills_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 16)
+    monkeypatch.setattr(warc, "PAGE_BLOCKS", 3)
+    pages = read_table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url", "html")
+    odd = spark.createDataFrame([(None, None, None)] * 3 + [(None, "u", "x" * 200)] * 2 + [(900_000, "u", "x" * 200)] * 2 + [(900_001, "v", "x" * 200)], "page_id long, url string, html string")
+    pages = pages.unionByName(odd)
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(key, "20")
+    try:
+        path = warc.write_archives(pages, archive_bytes=50_000)
+        index = warc.write_index(warc.captures(spark, path), 16)
+        got = warc.read_back(spark, path, index).collect()
+    finally:
+        conf.remove(key)
+    assert len(got) == pages.count()
+    whole = {r.page_id: r.html or "" for r in pages.collect() if r.page_id is not None and r.page_id < 900_000}
+    assert all(r.payload in (None, whole[r.page_id]) for r in got if r.page_id in whole)
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got if r.page_id not in whole) == sorted([(0, "response", None)] * 3 + [(0, "revisit", 900_000)] * 2 + [(900_000, "response", None)] * 2 + [(900_001, "revisit", 900_000)])
+    some = pages.where("page_id % 40 = 3").collect()
+    urls = {r.url for r in some}
+    found = {r.page_id for r in warc.lookup(spark, path, index, sorted(urls)).collect()}
+    assert {r.page_id for r in some} <= found
+
+
 def test_pipeline_stages_follow_each_other(spark):
     import corpus_pipeline
 

@@ -1,31 +1,39 @@
-"""A Katz back-off word bigram model with Good-Turing discounts, trained and evaluated at once.
+"""A Katz back-off model of word n-grams with Good-Turing discounts, kept in partitioned tables.
 
-A text's tokens are its words and an end; its first token follows a start. With c the count of a
-token and r that of a pair in the training texts, and r* the discounted count,
+A text's tokens are its words and an end; its history is padded with starts. With r the count of an
+n-gram (h, w) in the training texts, c(h) the sum of r over w, and r* the discounted count,
 
-    P(w | h) = r* / c(h)               if the pair occurs,
-             = a(h) P(w)               if it does not and h occurs,   P(w) if h does not;
-    P(w)     = c* / N                  for known tokens; unknown ones share what the discounts leave.
+    P(w | h) = r* / c(h)             if the n-gram occurs,
+             = a(h) P(w | h')        if it does not and h occurs (h' is h without its oldest token),
+             = P(w | h')             if h does not occur;
+    P(w)     = c* / N                for known tokens; unknown ones share what the discounts leave.
 
-a(h) is what the discounts leave in h over the mass of P outside h's followers: exact sums, so each
-distribution adds up to one. Counts to ``MOST`` are discounted by Good-Turing, larger ones by 1/2.
+a(h) is what the discounts leave in h over the mass that P(. | h') has outside h's followers: exact
+sums, so each distribution adds up to one. Counts to ``MOST`` are discounted by Good-Turing, larger
+ones by 1/2. ``order`` is the longest n-gram.
 
-How it runs. Texts are read in chunks. A chunk sends its token pairs, packed and sorted, to the owner
-of the second token; the owner has all its pairs and its count, so it scores everything but a(h), and
-answers with one row for each chunk. What it knows about first tokens goes, summed, to their owners
-together with the unseen pairs; those answer likewise. Discounts need the counts of counts of all
-pairs, so owners report how many tokens have each small count instead of logarithms. Tokens that are
-at least 1/``HOT_SHARE`` of all (so at most that many) are spread by pair, their counts sent along.
+Tables. For each order a table of n-grams and their counts, and for orders above one a table of
+histories with c(h) and a(h). Both are keyed by 64-bit hashes and split by them into parts of about
+``PART_KEYS`` keys, whatever the tokens, so no part grows with a frequent word or history.
+
+How it runs. Texts become chunks of token indices, a table. A chunk sends the distinct keys it needs,
+with their training counts, sorted and packed, to the parts they belong to; a part sums what it gets,
+stores its table and answers each chunk with values in the order of the keys it sent. One of the
+chunks that sent an n-gram is told to account for it when histories are summed. Messages hold keys
+and values only, so they grow with the distinct n-grams of the chunks, never with documents times
+parts. A chunk then evaluates each of its tokens recursively from the answers. A fitted model answers
+for other texts in the same way from its stored tables (``KatzModel.scored``).
 
 Defined results: null and empty texts hold just the end; rows that share a doc_id are scored each
-(and learnt from each); without training texts every probability is one; extra columns are ignored;
-an empty table gives an empty result.
+(and learnt from each); the text of a null doc_id is "None" when texts are held out; without training
+texts every probability is one; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, slices, stored, word_hashes
+from tidemark.llm.common import mix64, shared_folder, slices, stored, word_hashes
 
+ORDER = 2
 MOST = 5
-HOT_SHARE = 1000
-CHUNK_TOKENS = 3_000_000
-OWNER_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
+PART_KEYS = 2_000_000
 _U = np.uint64
 START, END = _U(0x5354415254), _U(0x454E44)
 
@@ -70,9 +78,19 @@ def star(counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(counts > MOST, counts - 0.5, table[np.minimum(counts, MOST)])
 
 
+_TYPES = ("<u8", "<i8", "<i4", "<f8", "|u1")
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *[x for a in arrays for x in (len(a), {"u8": 0, "i8": 1, "i4": 2, "f8": 3, "u1": 4}[a.dtype.str[1:]])]], "<i8")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
+    """Arrays in planes of bytes, compressed; unsigned 64-bit ones, the sorted keys, by differences."""
+    head, parts = [len(arrays)], []
+    for a in arrays:
+        kind = next(i for i, t in enumerate(_TYPES) if a.dtype == np.dtype(t))
+        head += [len(a), kind]
+        if kind == 0 and len(a):
+            a = np.diff(a, prepend=_U(0))
+        parts.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array(head, "<i8").tobytes(), *parts]))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -80,287 +98,340 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     k = int(np.frombuffer(raw, "<i8", 1)[0])
     head = np.frombuffer(raw, "<i8", 2 * k, 8).reshape(k, 2)
     out, at = [], 8 + 16 * k
-    for n, kind in head:
-        t = ("<u8", "<i8", "<i4", "<f8", "|u1")[kind]
-        out.append(np.frombuffer(raw, t, n, at))
-        at += n * int(t[2])
+    for n, kind in head.tolist():
+        t = np.dtype(_TYPES[kind])
+        planes = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+        a = np.ascontiguousarray(planes.T).reshape(-1).view(t)
+        out.append(np.cumsum(a, dtype=_U) if kind == 0 else a)
+        at += n * t.itemsize
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(chunk id, doc ids, token hashes, previous-token hashes, row of each token) of bounded size."""
-    ids: list = []
-    cur: list[np.ndarray] = []
-    prev: list[np.ndarray] = []
-    row: list[np.ndarray] = []
-    size, chunk = 0, TaskContext.get().partitionId() << 32
-    for batch in slices(batches, "text"):
-        words, begins = word_hashes(batch.column("text"))
-        n = len(begins) - 1
-        tokens = np.insert(words, begins[1:], END)
-        at = begins + np.arange(n + 1)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[at[:-1]] = START
-        cur.append(tokens)
-        prev.append(before)
-        row.append(np.repeat(np.arange(n, dtype=np.int32), np.diff(at)) + np.int32(len(ids)))
-        ids += batch.column("doc_id").to_pylist()
-        size += len(tokens)
-        if size >= CHUNK_TOKENS:
-            yield chunk, ids, np.concatenate(cur), np.concatenate(prev), np.concatenate(row)
-            ids, cur, prev, row, size, chunk = [], [], [], [], 0, chunk + 1
-    if ids:
-        yield chunk, ids, np.concatenate(cur), np.concatenate(prev), np.concatenate(row)
-
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, c): how often each token stands in the training texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, cur, _, row in _chunks(batches):
-            learnt = ~np.array([held_out(i) for i in ids])
-            token, c = np.unique(cur[learnt[row]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c)], names=["token", "c"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+_ROWS = "kind string, place long, part long, data binary"
+_SCHEMA = pa.schema([("kind", pa.string()), ("place", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
 
 
-_ROWS = "kind int, place long, data binary"
-_KIND_DOCS, _KIND_FIRST, _KIND_UNSEEN, _KIND_COUNTS, _KIND_IDS = 0, 1, 2, 3, 4
+def _row(kind: str, place: int, part: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([place], pa.int64()), pa.array([part], pa.int64()), pa.array([data], pa.binary())], schema=_SCHEMA)
 
 
-def _row(kind: int, place: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([place], pa.int64()), pa.array([data], pa.binary())], names=["kind", "place", "data"])
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(c)[i].as_py() for c in ("kind", "place", "part", "data"))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """Rows sorted by place, as (place, its kinds and data)."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[str, int, bytes]]]]:
+    """Rows sorted by place, as (place, its kinds, parts and data)."""
     now, held = None, []
-    for batch in batches:
-        for kind, place, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "place", "data"))):
-            if place != now and held:
-                yield now, held
-                held = []
-            now = place
-            held.append((kind, data))
+    for kind, place, part, data in _rows(batches):
+        if place != now and held:
+            yield now, held
+            held = []
+        now = place
+        held.append((kind, part, data))
     if held:
         yield now, held
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
-    small = F.least("c", F.lit(MOST + 2))
-    table = token_counts(docs)
-    sums = stored(table.groupBy(small.alias("r")).agg(F.count("*").alias("n"), F.sum("c").alias("c")), "katz-counts").collect()
-    total, known = sum(r["c"] for r in sums), sum(r["n"] for r in sums)
-    share = max(1, total // HOT_SHARE)
-    hot_rows = table.where(F.col("c") >= share).collect() if total else []  # at most HOT_SHARE tokens
-    hot = np.array(sorted(r["token"] for r in hot_rows), np.int64).view(np.uint64)
-    hot = np.sort(hot)
-    hot_count = {r["token"] % (1 << 64): r["c"] for r in hot_rows}
-    hot_c = np.array([hot_count[int(t)] for t in hot], np.int64)
-    cc1 = np.zeros(MOST + 2, np.int64)
-    for r in sums:
-        cc1[r["r"] - 1] = r["n"]
-    star1 = discounted(cc1[: MOST + 1])
-    rest1 = sum(cc1[r - 1] * (r - star1[r]) for r in range(1, MOST + 1)) + 0.5 * cc1[MOST:].sum()
-    unknown = rest1 / total if total else 1.0  # the probability of an unknown token
-    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // OWNER_TOKENS)
-
-    def is_hot(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(hot):
-            return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-        at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
-        return hot[at] == x, at
+def _by_place(rows: DataFrame) -> DataFrame:
+    return rows.select("kind", "place", "part", "data").repartition("place").sortWithinPartitions("place", "kind", "part")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, cur, prev, row in _chunks(batches):
-            learnt = ~np.array([held_out(i) for i in ids])
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """The texts as rows of about ``CHUNK_TOKENS`` tokens: doc ids, lengths, distinct tokens, indices into them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        tokens: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        size, chunk = 0, TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size, chunk
+            types, at = np.unique(np.concatenate(tokens), return_inverse=True)
             given = np.array([i is not None for i in ids], np.uint8)
-            yield _row(_KIND_IDS, chunk % owners, _pack(np.array([chunk], np.int64), np.array([i or 0 for i in ids], np.int64), given))
-            here, _ = is_hot(cur)
-            with np.errstate(over="ignore"):
-                owner = np.where(here, mix64(cur + prev * _U(3)), mix64(cur)) % _U(owners)
-            order = np.lexsort((row, prev, cur, owner))
-            cur, prev, row, owner = cur[order], prev[order], row[order], owner[order]
-            cuts = np.searchsorted(owner, np.arange(owners + 1, dtype=np.uint64))
-            for o in range(owners):
-                a, b = cuts[o], cuts[o + 1]
-                if a == b:
-                    continue
-                c, p = cur[a:b], prev[a:b]
-                new_c = np.r_[True, c[1:] != c[:-1]]
-                new_p = new_c | np.r_[True, p[1:] != p[:-1]]
-                at_c, at_p = np.flatnonzero(new_c), np.flatnonzero(new_p)
-                pairs = np.add.reduceat(new_p.astype(np.int32), at_c)  # pairs of each token, tokens of each pair
-                yield _row(_KIND_DOCS, o, _pack(np.array([chunk, len(ids)], "<i8"), learnt.astype(np.uint8), c[at_c], pairs.astype(np.int32), p[at_p], np.diff(np.r_[at_p, b - a]).astype(np.int32), row[a:b]))
-
-    log_base = np.log10(total + known + 1)
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _grouped(batches):
-            for kind, d in held:
-                if kind == _KIND_IDS:
-                    yield _row(kind, int(_unpack(d)[0][0]), d)
-            parts = [_unpack(d) for kind, d in held if kind == _KIND_DOCS]
-            if not parts:
-                continue
-            firsts = np.r_[0, np.cumsum([p[0][1] for p in parts])]
-            learnt = np.concatenate([p[1] for p in parts]).astype(bool)
-            cur = np.concatenate([np.repeat(np.repeat(p[2], p[3]), p[5]) for p in parts])
-            prev = np.concatenate([np.repeat(p[4], p[5]) for p in parts])
-            row = np.concatenate([p[6].astype(np.int64) + f for p, f in zip(parts, firsts)])
-            chunk = np.array([p[0][0] for p in parts])
-            counts = firsts[1:] - firsts[:-1]
-            del parts
-            order = np.lexsort((prev, cur))
-            cur, prev, row = cur[order], prev[order], row[order]
-            new_c = np.r_[True, cur[1:] != cur[:-1]]
-            new_p = new_c | np.r_[True, prev[1:] != prev[:-1]]
-            in_c, in_p = np.cumsum(new_c) - 1, np.cumsum(new_p) - 1
-            train = learnt[row]
-            c = np.bincount(in_c, train, in_c[-1] + 1).astype(np.int64)
-            r = np.bincount(in_p, train, in_p[-1] + 1).astype(np.int64)
-            there, at = is_hot(cur[new_c])
-            if there.any():
-                c[there] = hot_c[at[there]]
-            tc, tr = c[in_c], r[in_p]
-            n = firsts[-1]
-            add = lambda w, some=slice(None): np.bincount(row[some], w, n)
-            base = add(np.log10(tc + 1.0) - log_base)
-            value = np.where((cur != END) & (tc > 0), -np.log10(np.maximum(tc, 1)), 0.0)
-            p1 = np.where(tc > 0, star(tc, star1) / max(total, 1), unknown)
-            value += np.where(tr > MOST, np.log10(np.maximum(tr - 0.5, 0.5)), np.where(tr == 0, np.log10(p1), 0.0))
-            score = add(value)
-            tokens, knowns = np.bincount(row, minlength=n), np.bincount(row, tc > 0, n).astype(np.int64)
-            seen = [np.bincount(row[tr == k], minlength=n) for k in range(1, MOST + 1)]
-            for i in range(len(chunk)):
-                s = slice(firsts[i], firsts[i + 1])
-                yield _row(_KIND_DOCS, int(chunk[i]), _pack(base[s], score[s], *[x[s].astype(np.int32) for x in (tokens, knowns, *seen)]))
-            yield _row(_KIND_COUNTS, 0, _pack(np.bincount(np.minimum(r, MOST + 2), minlength=MOST + 3)[1 : MOST + 2].astype(np.int64)))
-            # what is known here about first tokens: followers by pair count and by their own count
-            pair_prev, pair_c = prev[new_p], tc[new_p]
-            some = r > 0
-            first, at = np.unique(pair_prev[some], return_inverse=True)
-            rs, cs = r[some], pair_c[some]
-            total_by = lambda w: np.bincount(at, w, len(first)).astype(np.int64)
-            stats = [total_by(rs == k) for k in range(1, MOST + 1)] + [total_by(rs > MOST), total_by(np.where(rs > MOST, rs, 0))]
-            stats += [total_by(cs == k) for k in range(1, MOST + 1)] + [total_by(cs > MOST), total_by(np.where(cs > MOST, cs, 0))]
-            yield from deal(_KIND_FIRST, first, stats, chunk_of=None)
-            # tokens whose pair is unseen, by first token
-            un = np.flatnonzero(tr == 0)
-            if len(un):
-                part = np.searchsorted(firsts, row[un], "right") - 1
-                yield from deal(_KIND_UNSEEN, prev[un], [part_id := chunk[part], row[un] - firsts[part]], chunk_of=part_id)
-
-    def deal(kind: int, first: np.ndarray, columns: list[np.ndarray], chunk_of: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """To the owners of first tokens. Those of hot ones meet in place -1 for their sums, but their
-        unseen pairs stay spread by chunk."""
-        here, _ = is_hot(first)
-        here |= first == START
-        place = (mix64(first) % _U(owners)).astype(np.int64)
-        place = np.where(here, -1, place) if chunk_of is None else np.where(here, owners + chunk_of % owners, place)
-        order = np.argsort(place, kind="stable")
-        place, first = place[order], first[order]
-        columns = [c[order] for c in columns]
-        cut = np.r_[0, np.flatnonzero(np.diff(place)) + 1, len(place)]
-        for a, b in zip(cut, cut[1:]):
-            if b > a:
-                yield _row(kind, int(place[a]), _pack(first[a:b], *[c[a:b].astype(np.int32 if kind == _KIND_FIRST and i not in (6, 13) else np.int64) for i, c in enumerate(columns)]))
-
-    sent = docs.select("doc_id", "text").mapInArrow(send, _ROWS)
-    answers = stored(sent.repartition(owners, "place").sortWithinPartitions("place").mapInArrow(own, _ROWS), "katz-answers")
-    cc2 = np.zeros(MOST + 1, np.int64)
-    for row in answers.where(F.col("kind") == _KIND_COUNTS).mapInArrow(_sum_counts, "r int, n long").groupBy("r").agg(F.sum("n").alias("n")).collect():
-        cc2[row["r"]] = row["n"]
-    star2 = discounted(cc2)
-
-    def weights(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and log10 of a(h) c(h), which turns a back-off token's -log10 c(h) into log10 a(h)."""
-        firsts, sums = np.empty(0, np.uint64), np.zeros((2 * MOST + 4, 0), np.int64)
-        for d in data:
-            f, *columns = _unpack(d)
-            firsts, at = np.unique(np.concatenate([firsts, f]), return_inverse=True)
-            joined = np.concatenate([sums, np.stack([x.astype(np.int64) for x in columns])], 1)
-            sums = np.stack([np.bincount(at, x, len(firsts)).astype(np.int64) for x in joined])
-        k = np.arange(1, MOST + 1)[:, None]
-        count = (sums[:MOST] * k).sum(0) + sums[MOST + 1]
-        mass = (sums[:MOST] * star2[1:, None]).sum(0) + sums[MOST + 1] - 0.5 * sums[MOST]
-        u = sums[MOST + 2 :]
-        other = ((u[:MOST] * star1[1:, None]).sum(0) + u[MOST + 1] - 0.5 * u[MOST]) / max(total, 1)
-        return firsts, np.log10((count - mass) / (1 - other))
-
-    hot_data = answers.where((F.col("kind") == _KIND_FIRST) & (F.col("place") == -1)).select("kind", "place", "data").coalesce(1).mapInArrow(lambda b: _weight_rows(b, weights), "first long, weight double").collect()
-    hot_first = np.array([r["first"] for r in hot_data], np.int64).view(np.uint64)
-    hot_order = np.argsort(hot_first)
-    hot_first, hot_weight = hot_first[hot_order], np.array([r["weight"] for r in hot_data])[hot_order]
-
-    def back_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, held in _grouped(batches):
-            unseen = [_unpack(d) for kind, d in held if kind == _KIND_UNSEEN]
-            if not unseen:
-                continue
-            firsts, weight = (hot_first, hot_weight) if place >= owners else weights([d for kind, d in held if kind == _KIND_FIRST])
-            if not len(firsts):
-                continue
-            first, chunk, row = (np.concatenate(x) for x in zip(*unseen))
-            at = np.minimum(np.searchsorted(firsts, first), len(firsts) - 1)
-            value = np.where(firsts[at] == first, weight[at], 0.0)
-            order = np.lexsort((row, chunk))
-            chunk, row, value = chunk[order], row[order], value[order]
-            cut = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1, len(chunk)]
-            for a, b in zip(cut, cut[1:]):
-                rows, where = np.unique(row[a:b], return_inverse=True)
-                yield _row(_KIND_UNSEEN, int(chunk[a]), _pack(rows.astype(np.int64), np.bincount(where, value[a:b])))
-
-    to_first = answers.where(F.col("kind").isin(_KIND_FIRST, _KIND_UNSEEN) & (F.col("place") >= 0))
-    backed = to_first.repartition(owners, "place").sortWithinPartitions("place").mapInArrow(back_off, _ROWS)
-
-    log_star = np.log10(star2[1:])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _grouped(batches):
-            _, ids, given = _unpack(next(d for kind, d in held if kind == _KIND_IDS))
-            n = len(ids)
-            base, score = np.zeros(n), np.zeros(n)
-            counts = np.zeros((2 + MOST, n), np.int64)
-            for kind, d in held:
-                if kind == _KIND_DOCS:
-                    b, s, *more = _unpack(d)
-                    base += b
-                    score += s
-                    counts += np.stack(more)
-                elif kind == _KIND_UNSEEN:
-                    rows, value = _unpack(d)
-                    score[rows] += value
-            score += (counts[2:] * log_star[:, None]).sum(0) - start_log
-            doc_ids = [int(i) if g else None for i, g in zip(ids, given)]
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": doc_ids, "held_out": [held_out(i) for i in doc_ids], "n_tokens": counts[0], "n_known": counts[1], "train_tokens": [total] * n, "base_score": base, "score": score},
-                schema=_OUT_ARROW,
-            )
-
-    # every training text holds one end: its count is that of the starts
-    end = table.where(F.col("token") == int(END)).first() if not len(hot) or int(END) not in hot_count else {"c": hot_count[int(END)]}
-    start_log = np.log10(end["c"]) if end else 0.0
-    whole = answers.where(F.col("kind").isin(_KIND_DOCS, _KIND_IDS)).unionByName(backed)
-    return whole.repartition(owners, "place").sortWithinPartitions("place").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-_OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(MOST + 1, np.int64)
-    for batch in batches:
-        for d in batch.column("data"):
-            total += _unpack(d.as_py())[0]
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(MOST + 1, dtype=np.int32)), pa.array(total)], names=["r", "n"])
+            row = _row("chunk", chunk, 0, _pack(np.array([i or 0 for i in ids], np.int64), given, np.concatenate(lengths).astype(np.int32), types, at.astype(np.int32)))
+            for x in (ids, tokens, lengths):
+                x.clear()
+            size, chunk = 0, chunk + 1
+            return row
+
+        for batch in slices(batches, "text"):
+            words, begins = word_hashes(batch.column("text"))
+            tokens.append(np.insert(words, begins[1:], END))
+            lengths.append(np.diff(begins) + 1)
+            ids += batch.column("doc_id").to_pylist()
+            size += len(tokens[-1])
+            if size >= CHUNK_TOKENS:
+                yield flush()
+        if ids:
+            yield flush()
+
+    return docs.select("doc_id", "text").mapInArrow(run, _ROWS)
+
+
+class _Chunk:
+    """The tokens of a chunk and the keys of its n-grams and histories."""
+
+    def __init__(self, data: bytes) -> None:
+        ids, given, self.lengths, self.types, self.at = _unpack(data)
+        self.ids = [int(i) if g else None for i, g in zip(ids, given)]
+        self.held = np.array([held_out(i) for i in self.ids], bool)
+        self.begins = np.r_[0, np.cumsum(self.lengths)].astype(np.int64)
+        self.learnt = np.repeat(~self.held, self.lengths)
+
+    def histories(self, order: int) -> np.ndarray:
+        """The key of the ``order`` - 1 tokens before each token."""
+        tokens = self.types[self.at]
+        place = np.arange(len(tokens)) - np.repeat(self.begins[:-1], self.lengths)
+        key = np.full(len(tokens), order, np.uint64)
+        with np.errstate(over="ignore"):
+            for back in range(order - 1, 0, -1):
+                key = mix64(key * _U(3) + np.where(place >= back, np.roll(tokens, back), START))
+        return key
+
+    def grams(self, order: int) -> np.ndarray:
+        """The key of each token's n-gram; the token itself for order 1."""
+        tokens = self.types[self.at]
+        if order == 1:
+            return tokens
+        with np.errstate(over="ignore"):
+            return mix64(self.histories(order) * _U(5) + tokens)
+
+    def keys(self, kind: str, order: int) -> np.ndarray:
+        return self.grams(order) if kind == "gram" else self.histories(order)
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys by (part, key), where each part's begin, and each key's place among them."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    part = (distinct % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], np.searchsorted(part[order], np.arange(parts + 1)), place[at]
+
+
+def _sent(kind: str, chunk: int, keys: np.ndarray, cuts: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        s = slice(cuts[p], cuts[p + 1])
+        yield _row(kind, p, chunk, _pack(keys[s], *[v[s] for v in values]))
+
+
+def _summed(batches: Iterator[pa.RecordBatch], table, reply) -> Iterator[pa.RecordBatch]:
+    """One part at a time: sums of each key's values over all chunks. ``table`` makes the stored rows
+    from keys and sums, ``reply`` a chunk's answer from the sums at its keys and whether it is the first to have them."""
+    for part, held in _grouped(batches):
+        chunks = [c for _, c, _ in held]
+        packs = [_unpack(d) for _, _, d in held]
+        sizes = np.cumsum([len(p[0]) for p in packs])
+        keys = np.concatenate([p[0] for p in packs])
+        values = [np.concatenate(v) for v in list(zip(*packs))[1:]]
+        values = [v.astype(np.int64) if v.dtype.kind == "i" else v for v in values]
+        del packs, held
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]]
+        begin = np.flatnonzero(new)
+        sums = [np.add.reduceat(v[order], begin) for v in values]
+        yield from table(part, ordered[begin], sums)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        first = np.zeros(len(order), bool)
+        first[order[begin]] = True
+        for c, a, b in zip(chunks, [0, *sizes], sizes):
+            yield _row("answer", c, part, _pack(*reply([s[at[a:b]] for s in sums], first[a:b])))
+
+
+@dataclass
+class KatzModel:
+    """Where the tables are, how many parts they have, and the numbers that all evaluations share."""
+
+    order: int
+    parts: int
+    total: int = 0
+    known: int = 0
+    stars: dict[int, np.ndarray] = field(default_factory=dict)
+    unknown: float = 1.0
+    tables: dict[tuple[str, int], DataFrame] = field(default_factory=dict)
+
+    def probabilities(self, chunk: _Chunk, answers: dict[tuple[str, int], list[np.ndarray]], order: int) -> tuple[np.ndarray, np.ndarray]:
+        """P of each token by n-grams up to ``order``, and each token's own count."""
+        at = {key: _dealt(chunk.keys(*key), self.parts)[2] for key in answers}
+        count = answers["gram", 1][0][at["gram", 1]].astype(np.int64)
+        p = np.where(count > 0, star(count, self.stars[1]) / max(self.total, 1), self.unknown)
+        for k in range(2, order + 1):
+            r = answers["gram", k][0][at["gram", k]].astype(np.int64)
+            c, a = (x[at["history", k]] for x in answers["history", k])
+            p = np.where(r > 0, star(r, self.stars[k]) / np.maximum(c, 1), np.where(c > 0, a, 1.0) * p)
+        return p, count
+
+    def finished(self, chunks: DataFrame, answers: dict[tuple[str, int], DataFrame]) -> DataFrame:
+        model, width = self._plain(), np.log10(self.total + self.known + 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, held in _grouped(batches):
+                chunk, got = _opened(held)
+                p, count = model.probabilities(chunk, got, model.order)
+                row = np.repeat(np.arange(len(chunk.ids)), chunk.lengths)
+                add = lambda w: np.bincount(row, w, len(chunk.ids))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, f.type) for x, f in zip((chunk.ids, chunk.held, chunk.lengths.astype(np.int64), add(count > 0).astype(np.int64), np.full(len(chunk.ids), model.total), add(np.log10(count + 1.0) - width), add(np.log10(p))), _OUT)],
+                    schema=_OUT,
+                )
+
+        return _by_place(_together(chunks, answers)).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """The scores of any texts, from the stored tables; columns as of the module's ``scored``."""
+        chunks = stored(chunked(docs), "katz-chunks")
+        answers = {}
+        for (kind, k), table in self.tables.items():
+            parts = self.parts
+
+            def ask(batches: Iterator[pa.RecordBatch], kind: str = kind, k: int = k) -> Iterator[pa.RecordBatch]:
+                for _, chunk, _, data in _rows(batches):
+                    keys, cuts, _ = _dealt(_Chunk(data).keys(kind, k), parts)
+                    yield from _sent("z", chunk, keys, cuts)
+
+            def tell(batches: Iterator[pa.RecordBatch], width: int = 1 if kind == "gram" else 2) -> Iterator[pa.RecordBatch]:
+                now, keys, values = None, np.empty(0, _U), [np.zeros(0)] * width
+                for kind, part, chunk, data in _rows(batches):
+                    if part != now:
+                        now, keys, values = part, np.empty(0, _U), [np.zeros(0)] * width
+                    if kind == "table":
+                        keys, *values = _unpack(data)
+                        continue
+                    (asked,) = _unpack(data)
+                    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+                    there = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+                    yield _row("answer", chunk, part, _pack(*[np.where(there, v[at] if len(keys) else 0, 0).astype(np.float64) for v in values]))
+
+            asks = chunks.mapInArrow(ask, _ROWS)
+            answers[kind, k] = stored(_by_place(table.unionByName(asks)).mapInArrow(tell, _ROWS), f"katz-{kind}-{k}-told")
+        return self.finished(chunks, answers)
+
+    def _plain(self) -> "KatzModel":
+        """Without tables, for tasks."""
+        return KatzModel(self.order, self.parts, self.total, self.known, self.stars, self.unknown)
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _together(chunks: DataFrame, answers: dict[tuple[str, int], DataFrame]) -> DataFrame:
+    """Chunks and their answers, of kinds "gram 1", "history 2" and so on."""
+    for (kind, k), rows in answers.items():
+        chunks = chunks.unionByName(rows.select(F.lit(f"{kind} {k}").alias("kind"), "place", "part", "data"))
+    return chunks
+
+
+def _opened(held: list[tuple[str, int, bytes]]) -> tuple[_Chunk, dict[tuple[str, int], list[np.ndarray]]]:
+    """A chunk and, by kind and order, the values of its keys in the order of ``_dealt``."""
+    got: dict[tuple[str, int], list] = {}
+    chunk = _Chunk(next(d for kind, _, d in held if kind == "chunk"))
+    for kind, _, d in held:  # sorted by part
+        if kind != "chunk":
+            name, k = kind.split()
+            got.setdefault((name, int(k)), []).append(_unpack(d))
+    return chunk, {key: [np.concatenate(x) for x in zip(*packs)] for key, packs in got.items()}
+
+
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    """Stored by kind: tables, answers and counts each in a folder of their own."""
+    path = shared_folder(rows.sparkSession, label)
+    rows.write.partitionBy("kind").parquet(path)
+    return rows.sparkSession.read.schema("place long, part long, data binary, kind string").parquet(path)
+
+
+def _counted(chunks: DataFrame, k: int, parts: int) -> DataFrame:
+    """The n-gram table of order ``k``, the answers to all chunks, and how many n-grams have each small count."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, place, _, data in _rows(batches):
+            chunk = _Chunk(data)
+            keys, cuts, at = _dealt(chunk.grams(k), parts)
+            yield from _sent("keys", place, keys, cuts, np.bincount(at, chunk.learnt, len(keys)).astype(np.int32))
+
+    def table(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        r = sums[0]
+        yield _row("table", part, 0, _pack(keys[r > 0], r[r > 0]))
+        counts = np.bincount(np.minimum(r, MOST + 2), minlength=MOST + 3)[1:]
+        for i, n in enumerate([*counts, r.sum()]):
+            yield _row("counts", i, int(n), b"")
+
+    def reply(sums: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, ...]:
+        return sums[0], first.astype(np.uint8)
 
+    return _written(_by_place(chunks.mapInArrow(send, _ROWS)).mapInArrow(lambda b: _summed(b, table, reply), _ROWS), f"katz-grams-{k}")
 
-def _weight_rows(batches: Iterator[pa.RecordBatch], weights) -> Iterator[pa.RecordBatch]:
-    data = [d.as_py() for batch in batches for d in batch.column("data")]
-    if data:
-        firsts, w = weights(data)
-        yield pa.RecordBatch.from_arrays([pa.array(firsts.view(np.int64)), pa.array(w)], names=["first", "weight"])
+
+def _histories(chunks: DataFrame, answers: dict[tuple[str, int], DataFrame], model: KatzModel, k: int) -> DataFrame:
+    """The history table of order ``k`` and the answers to all chunks."""
+    plain = model._plain()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, held in _grouped(batches):
+            chunk, got = _opened(held)
+            r, first = got.pop(("gram", k))
+            lower = plain.probabilities(chunk, got, k - 1)[0]
+            grams, _, gram = _dealt(chunk.grams(k), plain.parts)
+            keys, cuts, at = _dealt(chunk.histories(k), plain.parts)
+            where = np.empty(len(grams), np.int64)
+            where[gram] = np.arange(len(gram))  # a token that ends each n-gram
+            mine = np.flatnonzero((first > 0) & (r > 0))
+            r, token = r[mine].astype(np.int64), where[mine]
+            add = lambda w: np.bincount(at[token], w, len(keys))
+            yield from _sent("keys", place, keys, cuts, add(r).astype(np.int64), add(star(r, plain.stars[k])), add(lower[token]))
+
+    def table(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        count, mass, lower = sums
+        weight = np.where(count > 0, (1 - mass / np.maximum(count, 1)) / np.maximum(1 - lower, 1e-300), 1.0)
+        sums[:] = [count, weight]
+        yield _row("table", part, 0, _pack(keys[count > 0], count[count > 0], weight[count > 0]))
+
+    rows = _by_place(_together(chunks, answers)).mapInArrow(send, _ROWS)
+    return _written(_by_place(rows).mapInArrow(lambda b: _summed(b, table, lambda sums, _: sums), _ROWS), f"katz-histories-{k}")
+
+
+def _kind(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.where(F.col("kind") == kind).select("kind", "place", "part", "data")
+
+
+def _fitted(docs: DataFrame, order: int) -> tuple[KatzModel, DataFrame, dict[tuple[str, int], DataFrame]]:
+    """The model, the chunks of ``docs``, and what the tables answer to them."""
+    chunks = stored(chunked(docs), "katz-chunks")
+    tokens = chunks.select(F.sum(F.octet_length("data"))).first()[0] or 0  # an n-gram in some two bytes of a chunk
+    model = KatzModel(order, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // (2 * PART_KEYS)))
+    answers: dict[tuple[str, int], DataFrame] = {}
+    for k in range(1, order + 1):
+        rows = _counted(chunks, k, model.parts)
+        counts = np.zeros(MOST + 3, np.int64)
+        for r in _kind(rows, "counts").groupBy("place").agg(F.sum("part").alias("n")).collect():
+            counts[r["place"]] = r["n"]
+        model.stars[k] = discounted(counts[: MOST + 1])
+        if k == 1:
+            model.total, model.known = int(counts[-1]), int(counts[:-1].sum())
+            small = np.arange(1, MOST + 1)
+            rest = (counts[:MOST] * (small - model.stars[1][1:])).sum() + 0.5 * counts[MOST:-1].sum()
+            model.unknown = rest / model.total if model.total else 1.0
+        model.tables["gram", k], answers["gram", k] = _kind(rows, "table"), _kind(rows, "answer")
+        if k > 1:
+            rows = _histories(chunks, answers, model, k)
+            model.tables["history", k], answers["history", k] = _kind(rows, "table"), _kind(rows, "answer")
+    return model, chunks, answers
+
+
+def fitted(docs: DataFrame, order: int = ORDER) -> KatzModel:
+    """A model learnt from the rows of ``docs`` that are not held out."""
+    return _fitted(docs, order)[0]
+
+
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
+
+    The parts that make the tables also answer for the texts, which saves asking twice.
+    """
+    model, chunks, answers = _fitted(docs, order)
+    return model.finished(chunks, answers)
