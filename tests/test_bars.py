@@ -1,6 +1,7 @@
 """Invariants and hand-made cases of the bar engine."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,17 +117,87 @@ def test_missing_outcomes_are_counted(spark):
     assert (m.candidate_signals, m.observations, m.missing_data_rate_pct) == (4, 3, 25.0)
 
 
-def test_allocation_follows_a_plain_loop(spark):
-    c = xo.ExecutionConfig(max_positions=2, position_pct=40.0, max_symbol_pct=100.0, max_gross_pct=100.0)
-    day = dt.date(2024, 1, 2)
+def _plain_allocation(rows, c):
+    """What a day accepts, one signal after the other: {(symbol, minute): (reason, fill)}."""
+    order = {"symbol": lambda r: (r["at"], r["symbol"]), "liquidity_desc": lambda r: (r["at"], -(r["day"] or 0), r["symbol"]), "signal_strength_desc": lambda r: (r["at"], -abs(r["strength"] or 0), -(r["day"] or 0), r["symbol"])}[c.priority]
+    open_now, out = [], {}
+    for r in sorted(rows, key=order):
+        key, sign = (r["symbol"], r["at"]), 1 if r["direction"] == "long" else -1
+        if r["price"] is None or r["end_price"] is None:
+            out[key] = ("unavailable_entry_fill" if r["price"] is None else "unavailable_exit_fill", None)
+            continue
+        open_now = [p for p in open_now if p["until"] > r["at"]]
+        if c.one_per_symbol and r["symbol"] in [p["symbol"] for p in open_now]:
+            out[key] = ("existing_symbol_position", None)
+            continue
+        if len(open_now) >= c.max_positions:
+            out[key] = ("max_positions", None)
+            continue
+        capital, desired = r["capital"], r["capital"] * c.position_pct / 100
+        caps = [x for x in ((r["bar"] or 0) * c.bar_participation_pct / 100, (r["day"] or 0) * c.daily_participation_pct / 100) if x > 0]
+        capacity = min(caps, default=0.0)
+        gross, net = sum(p["size"] for p in open_now), sum(p["sign"] * p["size"] for p in open_now)
+        size = max(0.0, min(desired, capacity, capital * c.max_symbol_pct / 100, max(0.0, capital * c.max_gross_pct / 100 - gross), max(0.0, capital * c.max_net_pct / 100 - sign * net)))
+        reason = None
+        if capacity <= 0:
+            reason = "liquidity_capacity_unavailable"
+        elif not c.allow_partial and size + 1e-9 < desired:
+            reason = "partial_fill_not_allowed"
+        elif size <= 0 or size / desired < c.min_fill:
+            reason = "minimum_fill_fraction"
+        else:
+            open_now.append({"symbol": r["symbol"], "until": r["at"] + r["minutes"], "sign": sign, "size": size})
+        out[key] = (reason, size)
+    return out
+
+
+@pytest.mark.parametrize("partial, priority", [(True, "liquidity_desc"), (False, "symbol"), (True, "signal_strength_desc")])
+def test_allocation_follows_a_plain_loop(spark, partial, priority):
+    """Long and short signals with ties, missing fills, no capacity and every limit in reach."""
+    rng = random.Random(11)
+    c = xo.ExecutionConfig(max_positions=4, position_pct=30.0 if partial else 20.0, max_symbol_pct=28.0, max_gross_pct=95.0, max_net_pct=50.0, allow_partial=partial, priority=priority, min_fill=0.3, bar_participation_pct=10.0, daily_participation_pct=1.0)
+    scenes, rows = {}, []
+    for capital in (1000.0, 50_000.0):
+        for delay in (0, 1, 2, 5):
+            for day in (2, 3):
+                some = {(rng.choice("ABCDEFG"), rng.randrange(0, 60, 3)) for _ in range(60)}
+                made = [
+                    {"symbol": s, "at": m, "minutes": rng.choice((5, 12, 30)), "direction": rng.choice(("long", "long", "short")), "price": rng.choice((None, 10.0, 10.0, 10.0, 10.0)), "end_price": rng.choice((None, 11.0, 11.0, 11.0, 9.0)),
+                     "bar": rng.choice((None, 0.0, 900.0, 5000.0, 1e6, 1e6)), "day": rng.choice((None, 20_000.0, 50_000.0, 1e7, 1e7)), "strength": rng.choice((None, 1.0, -3.0, 2.0)), "capital": capital}
+                    for s, m in sorted(some)
+                ]
+                scenes[capital, delay, day] = made
+                at = lambda m, day=day: dt.datetime(2024, 1, day, 10, 0) + m * MINUTE
+                rows += [(capital, delay, dt.date(2024, 1, day), r["symbol"], at(r["at"]), at(r["at"]), at(r["at"] + r["minutes"]), r["direction"], r["price"], r["end_price"], 1.0, r["bar"], r["day"], r["strength"]) for r in made]
+    s = spark.createDataFrame(rows, "capital double, delay int, trade_date date, symbol string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction string, entry_price double, exit_price double, gross_return_pct double, entry_bar_dollar_volume double, daily_dollar_volume double, signal_strength double")
+    got = {}
+    for r in xo.allocate_day(xo.size_fills(s, F.col("capital"), c), c).collect():
+        got.setdefault((r.capital, r.delay, r.trade_date.day), {})[r.symbol, r.signal_ts.hour * 60 + r.signal_ts.minute - 600] = r
+    reasons = set()
+    for scene, made in scenes.items():
+        want = _plain_allocation(made, c)
+        assert {k: r.rejection_reason for k, r in got[scene].items()} == {k: w for k, (w, _) in want.items()}, scene
+        for k, (why, size) in want.items():
+            reasons.add(why)
+            assert got[scene][k].accepted == (why is None)
+            assert got[scene][k].filled_notional == (pytest.approx(size) if size is not None else None)
+    assert {None, "unavailable_entry_fill", "unavailable_exit_fill", "existing_symbol_position", "max_positions", "liquidity_capacity_unavailable"} < reasons
+    assert xo.allocate_day(xo.size_fills(s.limit(0), F.col("capital"), c), c).count() == 0
+
+
+def test_equity_follows_the_trades(spark):
+    """One long and one short trade of a day, minute by minute."""
     at = lambda m: dt.datetime(2024, 1, 2, 10, 0) + m * MINUTE
-    rows = [("A", 0, 10), ("B", 1, 11), ("C", 2, 12), ("A", 5, 15), ("C", 10, 20), ("A", 11, 21), ("B", 12, 22)]
-    s = spark.createDataFrame([(1000.0, 0, day, n, at(a), at(a), at(b), "long", 10.0, 11.0, 10.0, 1e9, 1e9) for n, a, b in rows], "capital double, delay int, trade_date date, symbol string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction string, entry_price double, exit_price double, gross_return_pct double, entry_bar_dollar_volume double, daily_dollar_volume double")
-    got = xo.allocate_day(xo.size_fills(s, F.col("capital"), c), c).orderBy("signal_ts").collect()
-    assert [r.rejection_reason for r in got] == [None, None, "max_positions", "existing_symbol_position", None, None, "max_positions"]
-    assert sum(r.filled_notional for r in got if r.accepted) == pytest.approx(1600.0)
-    end = xo.equity_curve(xo.with_costs(s.limit(0).transform(lambda d: xo.allocate_day(xo.size_fills(d, F.col("capital"), c), c)), (20.0,)), spark.createDataFrame([], "symbol string, bar_ts timestamp_ntz, close double"), 5)
-    assert end.count() == 0
+    day = dt.date(2024, 1, 2)
+    trades = spark.createDataFrame([(1000.0, 0, day, "A", at(0), at(0), at(2), "long", 10.0, 11.0, 10.0, 1e9, 100.0, 1.0, True), (1000.0, 0, day, "B", at(1), at(1), at(3), "short", 20.0, 19.0, 5.0, 1e9, 200.0, 1.0, True)],
+        "capital double, delay int, trade_date date, symbol string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction string, entry_price double, exit_price double, gross_return_pct double, capacity_notional double, filled_notional double, fill_fraction double, accepted boolean")
+    marks = spark.createDataFrame([("A", at(0), 10.0), ("A", at(1), 10.5), ("B", at(1), 20.0), ("B", at(2), 22.0)], "symbol string, bar_ts timestamp_ntz, close double")
+    e = {r.ts.minute: r for r in xo.equity_curve(xo.with_costs(trades, (20.0,)), marks, 1).collect()}
+    a, b = 100 * (10.0 - 0.2) / 100, 200 * (5.0 - 0.2) / 100
+    assert [e[m].equity for m in range(4)] == pytest.approx([1000, 1005, 1000 + a - 20, 1000 + a + b])
+    assert [(e[m].gross_exposure, e[m].net_exposure, e[m].open_positions) for m in range(4)] == [(100, 100, 1), (300, -100, 2), (200, -200, 1), (0, 0, 0)]
+    d = xo.daily_portfolio(xo.equity_curve(xo.with_costs(trades, (20.0,)), marks, 1), xo.with_costs(trades, (20.0,))).first()
+    assert (d.end_equity, d.turnover, d.peak_gross_exposure) == (pytest.approx(1000 + a + b), 600, 300) and d.worst_drawdown_pct == pytest.approx(((980 + a) / 1005 - 1) * 100)
 
 
 def test_slices_and_upserts_are_idempotent(spark, tmp_path):

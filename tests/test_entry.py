@@ -40,3 +40,22 @@ def test_arriving_bars_refresh_what_they_touch(spark, tmp_path):
     columns = ["symbol", "bar_ts", "session_label", "ret_5m_pct", "fwd_return_15m_pct", "same_minute_avg_volume_prior_days", "previous_regular_close"]
     got, want = spark.read.parquet(out).select(columns), fo.build_features(bars, proxies.FEATURES).select(columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
+    bars = proxies.bars_from_events(spark.read.parquet(f"{SF}/events.parquet")).cache()
+    store = str(tmp_path / "bars")
+    for part in (bars.where("trade_date < DATE '2024-01-10'"), bars, bars):
+        refresh.append_new(part, store)
+    assert spark.read.parquet(store).count() == bars.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_a_refresh_reads_no_more_than_it_needs(spark):
+    bars = proxies.bars_from_events(spark.read.parquet(f"{SF}/events.parquet")).cache()
+    days = bars.where("trade_date = DATE '2024-01-25'").select("trade_date").distinct()
+    first = refresh.first_needed(bars, days, 2).first()["first"]
+    columns = ["symbol", "bar_ts", "ret_5m_pct", "same_minute_avg_volume_prior_days", "previous_regular_close"]
+    config = fo.FeatureConfig(base_minutes=5, predictors=(5, 15, 30, 60), outcomes=(5, 15, 30, 60), baseline_days=2)
+    one = lambda b: fo.build_features(b, config).where("trade_date = DATE '2024-01-25'").select(columns)
+    some, whole = one(bars.where(bars.trade_date.between(first, "2024-01-25"))), one(bars)
+    assert whole.count() and whole.exceptAll(some).count() == 0 and some.count() == whole.count()

@@ -23,6 +23,8 @@ class ExecutionConfig:
     min_fill: float = 0.25
     allow_partial: bool = True
     costs_bps: tuple[float, ...] = (20.0, 25.0, 30.0, 40.0)
+    #: "liquidity_desc", "signal_strength_desc" or "symbol": who comes first among signals of one instant.
+    priority: str = "liquidity_desc"
     large_loss_pct: float = -2.0
     breakeven_bps: float = 1.0
 
@@ -49,41 +51,55 @@ _ALLOCATED = (
 
 
 def allocate_day(signals: DataFrame, c: ExecutionConfig) -> DataFrame:
-    """Accept signals in order within each (capital, delay, day); positions never cross days.
+    """Accept signals in order of time and priority within each (capital, delay, day); positions never cross days.
 
-    A group is one day of one scenario: as many rows as a day has signals, whatever the history. Needs
-    the columns of ``_ALLOCATED`` up to fill_fraction, rejection_reason and desired_notional.
+    A signal is tested for its fills, a position in its symbol, the number of positions, capacity, a
+    partial fill and the least fill, in this order. A group is one day of one scenario: as many rows as
+    a day has signals, whatever the history. Needs the columns of ``_ALLOCATED`` up to
+    capacity_notional, desired_notional and daily_dollar_volume, and signal_strength if it decides.
+    What a signal could fill is null where it did not come to that.
     """
+    limit = {n: getattr(c, f"max_{n}_pct") / 100 for n in ("gross", "net", "symbol")}
 
     def run(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values(["entry_ts", "signal_ts", "symbol"], kind="stable", na_position="last").reset_index(drop=True)
+        by, up = ["signal_ts"], [True]
+        if c.priority == "signal_strength_desc":
+            day, by, up = day.assign(_s=day["signal_strength"].fillna(0.0).abs()), [*by, "_s"], [*up, False]
+        if c.priority != "symbol":
+            day, by, up = day.assign(_v=day["daily_dollar_volume"].fillna(0.0)), [*by, "_v"], [*up, False]
+        day = day.sort_values([*by, "symbol"], ascending=[*up, True], kind="stable").reset_index(drop=True)
         capital = float(day["capital"].iloc[0])
         held: list[tuple] = []  # exit, symbol, sign, notional
-        out_fill, out_frac, out_ok, out_why = [], [], [], []
+        fills: list[tuple] = []
         for r in day.itertuples():
-            why, fill, fraction = r.rejection_reason if isinstance(r.rejection_reason, str) else None, float(r.filled_notional), float(r.fill_fraction)
-            if why is None:
+            fill = fraction = why = None
+            if pd.isna(r.entry_price):
+                why = "unavailable_entry_fill"
+            elif pd.isna(r.exit_price):
+                why = "unavailable_exit_fill"
+            else:
                 held = [h for h in held if h[0] > r.entry_ts]
                 sign = 1 if r.direction == "long" else -1
-                net, gross = sum(h[2] * h[3] for h in held), sum(h[3] for h in held)
                 if c.one_per_symbol and any(h[1] == r.symbol for h in held):
                     why = "existing_symbol_position"
                 elif len(held) >= c.max_positions:
                     why = "max_positions"
                 else:
-                    room = min(capital * c.max_gross_pct / 100 - gross, capital * c.max_net_pct / 100 - sign * net)
-                    fill = max(0.0, min(fill, room))
+                    gross, net = sum(h[3] for h in held), sum(h[2] * h[3] for h in held)
+                    room = min(max(0.0, capital * limit["gross"] - gross), max(0.0, capital * limit["net"] - sign * net), capital * limit["symbol"])
+                    fill = max(0.0, min(r.desired_notional, room, r.capacity_notional))
                     fraction = fill / r.desired_notional if r.desired_notional > 0 else 0.0
-                    if fill <= 0 or fraction < c.min_fill:
+                    if r.capacity_notional <= 0:
+                        why = "liquidity_capacity_unavailable"
+                    elif not c.allow_partial and fill + 1e-9 < r.desired_notional:
+                        why = "partial_fill_not_allowed"
+                    elif fill <= 0 or fraction < c.min_fill:
                         why = "minimum_fill_fraction"
                     else:
                         held.append((r.exit_ts, r.symbol, sign, fill))
-            out_fill.append(fill)
-            out_frac.append(fraction)
-            out_ok.append(why is None)
-            out_why.append(why)
-        day = day.assign(filled_notional=out_fill, fill_fraction=out_frac, accepted=out_ok, rejection_reason=out_why)
-        return day[[x.split()[0] for x in _ALLOCATED.split(", ")]]
+            fills.append((fill, fraction, why is None, why))
+        day["filled_notional"], day["fill_fraction"], day["accepted"], day["rejection_reason"] = zip(*fills)
+        return day.astype({"filled_notional": float, "fill_fraction": float})[[x.split()[0] for x in _ALLOCATED.split(", ")]]
 
     return signals.groupBy("capital", "delay", "trade_date").applyInPandas(run, _ALLOCATED)
 

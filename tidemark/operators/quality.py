@@ -10,7 +10,14 @@ SESSION_MINUTES = {"regular": 390, "premarket": 330, "postmarket": 240, "overnig
 
 
 def expected_bars(session: str, timeframe_minutes: int) -> int:
-    return SESSION_MINUTES[session] // timeframe_minutes
+    return max(1, SESSION_MINUTES[session] // timeframe_minutes)
+
+
+def session_coverage(bars: DataFrame, timeframe_minutes: int) -> DataFrame:
+    """Bars of each symbol's session against how many it can have at most."""
+    table = F.create_map(*[F.lit(x) for s in SESSION_MINUTES for x in (s, expected_bars(s, timeframe_minutes))])
+    days = bars.groupBy("symbol", "trade_date", "session_label").agg(F.count("*").alias("bars"))
+    return days.withColumn("expected", table[F.col("session_label")]).withColumn("coverage_pct", 100.0 * F.col("bars") / F.col("expected"))
 
 
 def quality_inventory(bars: DataFrame) -> DataFrame:

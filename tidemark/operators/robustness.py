@@ -11,21 +11,29 @@ from tidemark.operators.rules import rule_filter
 
 
 def with_excursion(df: DataFrame, minutes: int) -> DataFrame:
-    """Highest high and lowest low over (t, t + minutes] of the same symbol."""
-    w = f"(PARTITION BY symbol ORDER BY bar_ts RANGE BETWEEN INTERVAL '1' MINUTE FOLLOWING AND INTERVAL '{minutes}' MINUTE FOLLOWING)"
-    return df.withColumns({"path_high": F.expr(f"max(high) OVER {w}"), "path_low": F.expr(f"min(low) OVER {w}")})
+    """Highest high and lowest low over (t, t + minutes] of the same symbol; minutes: a day at most."""
+    return _ahead(df, minutes, "INTERVAL '1' MINUTE FOLLOWING")
 
 
 def with_path(df: DataFrame, minutes: int) -> DataFrame:
     """The same over [t, t + minutes]."""
-    w = f"(PARTITION BY symbol ORDER BY bar_ts RANGE BETWEEN CURRENT ROW AND INTERVAL '{minutes}' MINUTE FOLLOWING)"
-    return df.withColumns({"path_high": F.expr(f"max(high) OVER {w}"), "path_low": F.expr(f"min(low) OVER {w}")})
+    return _ahead(df, minutes, "CURRENT ROW")
 
 
-def join_entry(signals: DataFrame, features: DataFrame, delays=(0, 1, 2, 5), columns=("close", "fwd_return_5m_pct")) -> DataFrame:
-    """Each signal at each delay with the bar exactly so much later; null where there is none."""
+def _ahead(df: DataFrame, minutes: int, first: str) -> DataFrame:
+    """Each task has one day of a symbol, and the first minutes of the next day carried back to it."""
+    day = F.to_date("bar_ts")
+    early = F.hour("bar_ts") * 60 + F.minute("bar_ts") <= minutes
+    days = df.withColumn("_day", F.explode(F.when(early, F.array(day, F.date_sub(day, 1))).otherwise(F.array(day))))
+    w = f"(PARTITION BY symbol, _day ORDER BY bar_ts RANGE BETWEEN {first} AND INTERVAL '{minutes}' MINUTE FOLLOWING)"
+    out = days.withColumns({"path_high": F.expr(f"max(high) OVER {w}"), "path_low": F.expr(f"min(low) OVER {w}")})
+    return out.where(F.col("_day") == day).drop("_day")
+
+
+def join_entry(signals: DataFrame, features: DataFrame, delays=(0, 1, 2, 5), columns=("close", "fwd_return_5m_pct"), step_minutes: int = 1) -> DataFrame:
+    """Each signal at each delay, in bars of ``step_minutes``, with the bar exactly so much later; null where there is none."""
     s = signals.select("symbol", "bar_ts", "trade_date", F.explode(F.array(*[F.lit(d) for d in delays])).alias("delay"))
-    s = s.withColumn("entry_ts", F.expr("bar_ts + make_dt_interval(0, 0, delay, 0)"))
+    s = s.withColumn("entry_ts", F.expr(f"bar_ts + make_dt_interval(0, 0, delay * {step_minutes}, 0)"))
     bars = features.select("symbol", F.col("bar_ts").alias("entry_ts"), *[F.col(c).alias(f"entry_{c}") for c in columns])
     return s.join(bars, ["symbol", "entry_ts"], "left")
 
@@ -103,9 +111,17 @@ def loo_min(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def top_share(obs: DataFrame, keys: list[str], percents=(1, 5, 10)) -> DataFrame:
-    """Share of the total that the best outcomes make, and the mean without them."""
+    """Share of the total that the best outcomes make, and the mean without them.
+
+    Ranks are counted within bins of a hundredth of a percent, over what the bins above hold, so no
+    task sorts all outcomes of a key.
+    """
+    known = obs.where("net IS NOT NULL").withColumn("_bin", F.floor(F.col("net") * 100))
     w = Window.partitionBy(*keys)
-    r = obs.where("net IS NOT NULL").withColumns({"r": F.row_number().over(w.orderBy(F.col("net").desc())), "n": F.count("*").over(w), "total": F.sum("net").over(w)})
+    bins = known.groupBy(*keys, "_bin").agg(F.count("*").alias("c"), F.sum("net").alias("s"))
+    bins = bins.withColumns({"before": F.sum("c").over(w.orderBy(F.col("_bin").desc())) - F.col("c"), "n": F.sum("c").over(w), "total": F.sum("s").over(w)}).drop("c", "s")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(F.col("net").desc()))
+    r = known.select(*keys, "_bin", "net").withColumn("inside", inside).join(bins, [*keys, "_bin"]).withColumn("r", F.col("before") + F.col("inside"))
     out = []
     for p in percents:
         k = F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100))
@@ -187,8 +203,8 @@ def strategy_regimes(trades: DataFrame) -> DataFrame:
         "session": F.when(m < 660, "opening").when(m >= 900, "closing").otherwise("midday"),
     }
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("regime_type"), x.alias("regime_value")) for k, x in labels.items()]))
-    share = 100.0 * F.avg(b.isNotNull().cast("int")).over(Window.partitionBy(F.lit(1)))
-    r = trades.withColumn("coverage_pct", share).where(b.isNotNull()).withColumn("r", pairs)
+    share = trades.agg((100.0 * F.avg(b.isNotNull().cast("int"))).alias("coverage_pct"), F.lit(1).alias("_one"))
+    r = trades.where(b.isNotNull()).withColumn("_one", F.lit(1)).join(F.broadcast(share), "_one").withColumn("r", pairs)
     net = F.col("net_return_pct")
     return r.groupBy("r.regime_type", "r.regime_value").agg(
         F.count("*").alias("observations"), F.countDistinct("signal_ts").alias("independent_events"), F.avg(net).alias("net_avg_pct"), F.percentile(net, F.lit(0.5)).alias("median_pct"), _profit_factor(net).alias("profit_factor"),

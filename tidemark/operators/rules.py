@@ -19,13 +19,13 @@ FAMILIES: dict[str, tuple[tuple[str, ...], str]] = {
     "volume_shock": (("time_bin", "rvol_bin", "ret5_bin"), "relative_volume_20bar >= 1.5 AND ret_5m_pct IS NOT NULL"),
     "dip_repair": (
         ("time_bin", "ret30_bin", "vwap_side", "range_bin", "rvol_change_bin", "rtcount_change_bin"),
-        "ret_30m_pct <= -2 AND distance_from_cumulative_vwap_pct IS NOT NULL AND cumulative_range_position IS NOT NULL AND relative_volume_change_ratio IS NOT NULL AND relative_trade_count_change_ratio IS NOT NULL",
+        "ret_30m_pct <= -2 AND cumulative_range_position IS NOT NULL AND relative_volume_change_ratio IS NOT NULL AND relative_trade_count_change_ratio IS NOT NULL",
     ),
     "compression_expansion": (
         ("midday_time_bin", "range_ratio_bin", "vol_ratio_bin", "rvol_bin", "rtcount_bin"),
         "minute_of_day >= 690 AND minute_of_day < 840 AND range_vs_previous_day_ratio < 0.6 AND volatility_vs_previous_day_ratio IS NOT NULL AND relative_volume_20bar IS NOT NULL AND relative_trade_count_20bar IS NOT NULL",
     ),
-    "gap_state": (("time_bin", "gap_bin", "vwap_side", "opening_state_bin", "rvol_bin", "rtcount_bin"), "minute_of_day >= 600 AND abs(gap_from_previous_regular_close_pct) >= 1 AND opening_range_position IS NOT NULL"),
+    "gap_state": (("time_bin", "gap_bin", "vwap_side", "opening_state_bin", "rvol_bin", "rtcount_bin"), "minute_of_day >= 600 AND abs(gap_from_previous_regular_close_pct) >= 1 AND opening_range_position IS NOT NULL AND relative_volume_20bar IS NOT NULL AND relative_trade_count_20bar IS NOT NULL"),
     "activity_absorption": (("time_bin", "rvol_bin", "rtcount_bin", "abs_ret5_bin", "vwap_side"), "(relative_volume_20bar >= 1.5 OR relative_trade_count_20bar >= 1.5) AND ret_5m_pct IS NOT NULL"),
     "price_efficiency": (("time_bin", "ret5_bin", "impact_change_bin", "rvol_bin"), "abs(ret_5m_pct) >= 1 AND activity_impact_change_ratio IS NOT NULL AND relative_volume_20bar IS NOT NULL"),
     "new_high_liquidity_divergence": (

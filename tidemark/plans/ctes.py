@@ -16,13 +16,18 @@ _H = (5, 15, 30, 60)
 
 CTES: dict[str, str] = {}
 
-CTES["event_slots"] = """
-SELECT *, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY ts, event_id) - 1 AS slot
+CTES["event_places"] = """
+SELECT *, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY ts, event_id) - 1 AS place
 FROM (SELECT event_type || '_' || CAST(CAST(floor(user_id / 150) AS BIGINT) AS VARCHAR) AS symbol, CAST(ts AS DATE) AS trade_date, ts, event_id, user_id, 100 + value / 100 AS close FROM events)"""
 
+CTES["event_lanes"] = """
+SELECT * EXCLUDE symbol, symbol || CASE WHEN place >= 85 THEN '.' || CAST(place // 85 AS VARCHAR) ELSE '' END AS symbol FROM event_places"""
+
+CTES["event_slots"] = """
+SELECT *, place % 85 + sum(CASE WHEN user_id % 17 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, trade_date ORDER BY place ROWS UNBOUNDED PRECEDING) AS slot FROM event_lanes"""
+
 CTES["event_open"] = """
-SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol, trade_date ORDER BY slot), close) AS open
-FROM event_slots WHERE slot < 100 AND user_id % 17 <> 0"""
+SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol, trade_date ORDER BY slot), close) AS open FROM event_slots"""
 
 CTES["bars"] = """
 SELECT symbol, '5Min' AS timeframe, 'sip' AS feed, 'raw' AS adjustment, CASE WHEN 570 + 5 * slot < 960 THEN 'regular' ELSE 'postmarket' END AS session_label,

@@ -64,7 +64,7 @@ def load() -> None:
     register("b21_rule_text", f"{G}, rule", text, f"SELECT *, {text_sql} AS rule FROM screened WHERE family = 'volume_shock'")
     sums = "observations:l, gross_sum:d, net_sum:d, net_sum_squares:d, wins:l, positive_sum:d, negative_sum_abs:d, worst_pct:d, best_pct:d"
     register("d8_group_stats", f"{G}, {sums}", lambda t: do.group_stats(outcomes(t)), "SELECT * FROM group_sums")
-    register("d9_group_histogram", f"{G}, bin:l, n:l", lambda t: do.group_hist(outcomes(t)).where("n > 1"), "SELECT * FROM group_hist WHERE n > 1")
+    register("d9_group_histogram", f"{G}, bin:l, n:l", lambda t: do.group_hist(outcomes(t)), "SELECT * FROM group_hist")
     register("d10_group_concentration", f"{G}, symbols:l, dates:l, max_symbol_share_pct:d, max_date_share_pct:d", lambda t: do.group_concentration(outcomes(t)), "SELECT * FROM group_shares")
     parts = lambda t: do.group_stats(outcomes(t), ("trade_date", *do.GROUP))
     register("d11_merged_stats", f"{G}, {sums}", lambda t: do.merge_stats(parts(t)), "SELECT * FROM group_sums")

@@ -11,10 +11,11 @@ from tidemark.operators import integrity as io
 from tidemark.operators import market as mo
 from tidemark.operators import robustness as bo
 from tidemark.operators import rules as ro
+from tidemark.operators import universe as uo
 from tidemark.plans.ctes import CTES
 from tidemark.plans.discovery_queries import RULE, RULE_SQL, scored, screened
 from tidemark.plans.registry import register
-from tidemark.plans.universe_queries import scratch
+from tidemark.plans.universe_queries import _PLAN, scratch
 from tidemark.sources import proxies, scans, sinks
 from tidemark.streaming import refresh as stream
 
@@ -57,18 +58,31 @@ def market(t):
     return b.join(mo.market_breadth_extras(t.samples).select("bar_ts", "median_relative_volume"), "bar_ts", "left")
 
 
+DELAYS = (0, 1, 2, 5)
+
+
 def entries(t):
-    """Signals of the rule entered at the next bar and left three bars later, on the same day."""
-    e = bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, (0, 5), ("close", "bar_dollar_volume"))
+    """Signals of the rule entered so many bars later and left three bars after that, on the same day."""
+    e = bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, DELAYS, ("close", "bar_dollar_volume"), 5)
     return bo.join_exit(e, t.features, 15)
 
 
+def symbol_snapshots(t):
+    """Each symbol's median daily dollar volume in the lookback of each monthly snapshot, with the days for which it holds."""
+    shots = uo.plan_snapshots(t.bars.where("symbol = 'click_0'").select("trade_date").distinct(), 5, 20)
+    days = t.bars.groupBy("symbol", "trade_date").agg(F.sum(F.col("close") * F.col("volume")).alias("daily_dollar_volume"))
+    back = days.join(F.broadcast(shots), days["trade_date"].between(F.col("lookback_start"), F.col("lookback_end")))
+    keys = ("symbol", "snapshot_date", "lookback_end", "effective_start", "effective_end")
+    return back.groupBy(*keys).agg(F.percentile("daily_dollar_volume", F.lit(0.5)).alias("median_daily_dollar_volume")).withColumn("completed", F.lit(True))
+
+
 def signals(t):
-    e = entries(t).withColumn("capital", F.explode(F.array(*[F.lit(c) for c in EXECUTION.capitals])))
-    day = t.bars.groupBy("symbol", "trade_date").agg(F.sum(F.col("close") * F.col("volume")).alias("daily_dollar_volume"))
-    e = e.join(day, ["symbol", "trade_date"], "left").select(
+    """Sized signals; daily volume is that of the snapshot in force, from days before the signal's only."""
+    e = uo.pit_dollar_volume(entries(t).alias("e").join(symbol_snapshots(t).alias("m"), (F.col("e.symbol") == F.col("m.symbol")) & F.col("trade_date").between(F.col("effective_start"), F.col("effective_end")), "left").drop(F.col("m.symbol")))
+    e = e.withColumn("capital", F.explode(F.array(*[F.lit(c) for c in EXECUTION.capitals])))
+    e = e.select(
         "capital", "delay", "trade_date", "symbol", F.col("bar_ts").alias("signal_ts"), "entry_ts", "exit_ts", F.lit("long").alias("direction"), F.col("entry_close").alias("entry_price"), "exit_price",
-        ((F.col("exit_price") / F.col("entry_close") - 1) * 100).alias("gross_return_pct"), F.col("entry_bar_dollar_volume"), "daily_dollar_volume",
+        ((F.col("exit_price") / F.col("entry_close") - 1) * 100).alias("gross_return_pct"), F.col("entry_bar_dollar_volume"), F.col("pit_dollar_volume").alias("daily_dollar_volume"),
     )
     return xo.size_fills(e, F.col("capital"), EXECUTION)
 
@@ -93,15 +107,52 @@ def summary(t):
     out = base.where("rule = 'base'").withColumn("one", F.lit(1))
     for o in other.values():
         out = out.join(o, "one")
-    return out.withColumns({"cost30_net_avg_pct": F.col("gross_avg_pct") - 0.3, "delay2_net_avg_pct": F.lit(None).cast("double")})
+    late = bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, (2,), step_minutes=5).agg((F.avg("entry_fwd_return_5m_pct") - 0.2).alias("delay2_net_avg_pct"), F.lit(1).alias("one"))
+    return out.join(late, "one").withColumn("cost30_net_avg_pct", F.col("gross_avg_pct") - 0.3)
 
 
 _BASE = f"""SELECT (SELECT avg(net) FROM obs_net) AS net_avg_pct, (SELECT avg(gross_return_pct) - 0.3 FROM obs_net) AS cost30, (SELECT {_PF('net')} FROM obs_net) AS pf, (SELECT avg(m) / stddev_samp(m) * sqrt(count(*)) FROM obs_day) AS ct,
 (SELECT avg(net) FROM obs_all WHERE rule = 'relaxed') AS relaxed, (SELECT avg(net) FROM obs_all WHERE rule = 'tightened') AS tightened"""
-_ENTRY = "SELECT s.symbol, s.bar_ts, s.trade_date, d.delay, s.bar_ts + to_minutes(d.delay) AS entry_ts FROM (SELECT * FROM samples WHERE {}) s, (VALUES (0), (5)) d(delay)".format(RULE_SQL)
+_ENTRY = "SELECT s.symbol, s.bar_ts, s.trade_date, d.delay, s.bar_ts + to_minutes(5 * d.delay) AS entry_ts FROM (SELECT * FROM samples WHERE {}) s, (VALUES (0), (1), (2), (5)) d(delay)".format(RULE_SQL)
 _EXIT = f"SELECT e.*, f.close AS entry_close, f.bar_dollar_volume AS entry_bar_dollar_volume, x.close AS exit_price FROM ({_ENTRY}) e LEFT JOIN feat f ON f.symbol = e.symbol AND f.bar_ts = e.entry_ts LEFT JOIN feat x ON x.symbol = e.symbol AND x.bar_ts = e.entry_ts + INTERVAL 15 MINUTE AND x.trade_date = e.trade_date"
 
 
+CTES["symbol_snapshots"] = f"SELECT d.symbol, p.snapshot_date, p.effective_start, p.effective_end, quantile_cont(v, 0.5) AS median_volume FROM (SELECT symbol, trade_date, sum(close * volume) AS v FROM bars GROUP BY ALL) d JOIN ({_PLAN}) p ON d.trade_date BETWEEN p.lookback_start AND p.lookback_end GROUP BY ALL"
+_share = lambda x, pct: f"CASE WHEN {x} * {pct} > 0 THEN {x} * {pct} END"
+CTES["sized_signals"] = f"""
+SELECT c AS capital, e.delay, e.trade_date, e.symbol, e.bar_ts AS signal_ts, e.entry_ts, e.entry_ts + INTERVAL 15 MINUTE AS exit_ts, e.entry_close AS entry_price, e.exit_price, (e.exit_price / e.entry_close - 1) * 100 AS gross_return_pct,
+  p.median_volume AS daily_dollar_volume, c * 0.05 AS desired_notional, coalesce(least({_share('e.entry_bar_dollar_volume', 0.05)}, {_share('p.median_volume', 0.001)}), 0) AS capacity_notional
+FROM ({_EXIT}) e LEFT JOIN symbol_snapshots p ON p.symbol = e.symbol AND e.trade_date BETWEEN p.effective_start AND p.effective_end, (VALUES (10000.0::DOUBLE), (100000.0::DOUBLE)) v(c)"""
+_KEYS = "capital, delay, trade_date"
+CTES["allocated"] = f"""
+WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY signal_ts, coalesce(daily_dollar_volume, 0) DESC, symbol) AS n FROM sized_signals),
+k AS (
+  SELECT DISTINCT {_KEYS}, CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS filled_notional, CAST(NULL AS VARCHAR) AS rejection_reason, CAST([] AS STRUCT(exit_ts TIMESTAMP, symbol VARCHAR, notional DOUBLE)[]) AS held FROM o
+  UNION ALL
+  SELECT {_KEYS}, n, CASE WHEN why IS NULL OR why IN ('liquidity_capacity_unavailable', 'minimum_fill_fraction') THEN fill END, why, CASE WHEN why IS NULL THEN list_append(live, {{'exit_ts': exit_ts, 'symbol': symbol, 'notional': fill}}) ELSE live END
+  FROM (SELECT *, CASE WHEN entry_price IS NULL THEN 'unavailable_entry_fill' WHEN exit_price IS NULL THEN 'unavailable_exit_fill' WHEN list_contains(list_transform(live, lambda x: x.symbol), symbol) THEN 'existing_symbol_position' WHEN len(live) >= 3 THEN 'max_positions'
+      WHEN capacity_notional <= 0 THEN 'liquidity_capacity_unavailable' WHEN fill <= 0 OR fill / desired_notional < 0.25 THEN 'minimum_fill_fraction' END AS why
+    FROM (SELECT *, greatest(0, least(desired_notional, capital * 0.1, capacity_notional, capital - coalesce(list_sum(list_transform(live, lambda x: x.notional)), 0))) AS fill
+      FROM (SELECT o.*, CASE WHEN o.entry_price IS NULL OR o.exit_price IS NULL THEN k.held ELSE list_filter(k.held, lambda x: x.exit_ts > o.entry_ts) END AS live FROM k JOIN o ON o.capital = k.capital AND o.delay = k.delay AND o.trade_date = k.trade_date AND o.n = k.n + 1))))
+SELECT o.*, k.filled_notional, k.rejection_reason, k.rejection_reason IS NULL AS accepted FROM k JOIN o USING ({_KEYS}, n)"""
+CTES["costed_trades"] = "SELECT a.*, c AS cost_bps, gross_return_pct - c / 100 AS net_return_pct, filled_notional * c / 10000 AS estimated_cost FROM allocated a, (VALUES (20.0::DOUBLE), (30.0::DOUBLE)) v(c) WHERE accepted"
+_SCENE = "capital, delay, cost_bps"
+CTES["money"] = f"""
+SELECT {_SCENE}, count(*) AS trades, avg(net_return_pct) AS net_expected_value_pct, 100.0 * avg(CASE WHEN net_return_pct > 0.01 THEN 1 ELSE 0 END) AS trade_win_rate_pct, 100.0 * avg(CASE WHEN net_return_pct < -0.01 THEN 1 ELSE 0 END) AS loss_rate_pct, sum(filled_notional * gross_return_pct / 100) AS gross_pnl, sum(filled_notional * net_return_pct / 100) AS net_pnl,
+  sum(estimated_cost) AS estimated_costs, quantile_cont(capacity_notional, 0.5) AS median_trade_capacity, count(DISTINCT signal_ts) AS independent_event_count, {_PF('net_return_pct')} AS profit_factor FROM costed_trades GROUP BY ALL"""
+_OPEN = "SELECT t.*, b.close AS mark FROM (SELECT *, unnest(generate_series(entry_ts, exit_ts - INTERVAL 5 MINUTE, INTERVAL 5 MINUTE)) AS ts FROM {}) t LEFT JOIN bars b ON b.symbol = t.symbol AND b.bar_ts = t.ts"
+CTES["equity_points"] = f"""
+SELECT *, capital + realised_pnl + open_pnl AS equity FROM (
+  SELECT {_SCENE}, trade_date, ts, coalesce(open_pnl, 0) AS open_pnl, coalesce(gross_exposure, 0) AS gross_exposure, coalesce(gross_exposure, 0) AS net_exposure, coalesce(open_positions, 0) AS open_positions, sum(coalesce(closed, 0)) OVER (PARTITION BY {_SCENE} ORDER BY trade_date, ts ROWS UNBOUNDED PRECEDING) AS realised_pnl
+  FROM (SELECT {_SCENE}, trade_date, ts, sum(filled_notional * (mark / entry_price - 1)) AS open_pnl, sum(filled_notional) AS gross_exposure, count(*) AS open_positions FROM ({_OPEN.format('costed_trades')}) GROUP BY ALL)
+  FULL JOIN (SELECT {_SCENE}, trade_date, exit_ts AS ts, sum(filled_notional * net_return_pct / 100) AS closed FROM costed_trades GROUP BY ALL) USING ({_SCENE}, trade_date, ts))"""
+CTES["equity_peaks"] = f"SELECT *, (equity / peak - 1) * 100 AS drawdown_pct FROM (SELECT *, greatest(capital, max(equity) OVER (PARTITION BY {_SCENE} ORDER BY trade_date, ts ROWS UNBOUNDED PRECEDING)) AS peak FROM equity_points)"
+CTES["portfolio_days"] = f"""
+SELECT e.*, (end_equity / coalesce(lag(end_equity) OVER (PARTITION BY {_SCENE} ORDER BY trade_date), capital) - 1) * 100 AS return_pct, t.turnover, t.costs
+FROM (SELECT {_SCENE}, trade_date, arg_max(equity, ts) AS end_equity, max(gross_exposure) AS peak_gross_exposure, min(drawdown_pct) AS worst_drawdown_pct FROM equity_peaks GROUP BY ALL) e
+LEFT JOIN (SELECT {_SCENE}, trade_date, 2 * sum(filled_notional) AS turnover, sum(estimated_cost) AS costs FROM costed_trades GROUP BY ALL) t USING ({_SCENE}, trade_date)"""
+
+
 def load() -> None:
     _replay()
     _economics()
@@ -115,7 +166,7 @@ def _replay() -> None:
     range_sql = lambda low: f"SELECT *, max(high) OVER w AS path_high, min(low) OVER w AS path_low FROM feat WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts RANGE BETWEEN {low} AND INTERVAL 30 MINUTE FOLLOWING)"
     register("c7_excursion", f"{key}, path_high:d, path_low:d", lambda t: bo.with_excursion(t.bars, 30), range_sql("INTERVAL 1 MINUTE FOLLOWING"))
     register("c8_path", f"{key}, path_high:d, path_low:d", lambda t: bo.with_path(t.bars, 30), range_sql("CURRENT ROW"))
-    register("c5_join_entry", "symbol, bar_ts, delay:l, entry_ts, entry_close:d", lambda t: bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, (0, 5)), f"SELECT e.*, f.close AS entry_close FROM ({_ENTRY}) e LEFT JOIN feat f ON f.symbol = e.symbol AND f.bar_ts = e.entry_ts")
+    register("c5_join_entry", "symbol, bar_ts, delay:l, entry_ts, entry_close:d", lambda t: bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, DELAYS, step_minutes=5), f"SELECT e.*, f.close AS entry_close FROM ({_ENTRY}) e LEFT JOIN feat f ON f.symbol = e.symbol AND f.bar_ts = e.entry_ts")
     register("c6_join_exit", "symbol, bar_ts, delay:l, exit_price:d", entries, _EXIT)
     register("c21_match_rules", "rule, symbol, bar_ts", all_obs, "SELECT * FROM obs_all")
     register("b23_perturbed_rules", "rule, n:l", lambda t: all_obs(t).groupBy("rule").agg(F.count("*").alias("n")), "SELECT rule, count(*) AS n FROM obs_all GROUP BY 1")
@@ -124,8 +175,8 @@ def _replay() -> None:
       {', '.join(f'quantile_cont(net, {q}) AS {n}' for n, q in bo.PERCENTILES.items())}, min(net) AS worst_pct, max(net) AS best_pct, 100.0 * avg(CASE WHEN net > 0 THEN 1 WHEN net <= 0 THEN 0 END) AS win_rate_pct, stddev_samp(net) AS stdev_pct,
       avg(net) / stddev_samp(net) * sqrt(count(net)) AS t_stat, {_PF('net')} AS profit_factor, avg(mfe_pct) AS mfe_avg_pct, quantile_cont(mfe_pct, 0.5) AS mfe_median_pct, avg(mae_pct) AS mae_avg_pct, quantile_cont(mae_pct, 0.5) AS mae_median_pct"""
     register("d20_observation_metrics", f"rule, {metrics}", lambda t: bo.obs_metrics(all_obs(t), ["rule"]), f"SELECT rule, {sql} FROM obs_all GROUP BY rule")
-    register("d26_variant_metrics", "delay:l, observations:l, net_avg_pct:d", lambda t: bo.obs_metrics(bo.with_net(bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, (0, 1, 2, 5)).withColumns({"gross_return_pct": F.col("entry_fwd_return_5m_pct"), "mfe_pct": F.lit(0.0), "mae_pct": F.lit(0.0)}), 20.0), ["delay"]),
-             f"SELECT d.delay, count(f.fwd_return_5m_pct) AS observations, avg(f.fwd_return_5m_pct - 0.2) AS net_avg_pct FROM (SELECT * FROM samples WHERE {RULE_SQL}) s CROSS JOIN (VALUES (0), (1), (2), (5)) d(delay) LEFT JOIN feat f ON f.symbol = s.symbol AND f.bar_ts = s.bar_ts + to_minutes(d.delay) GROUP BY 1")
+    register("d26_variant_metrics", "delay:l, observations:l, net_avg_pct:d", lambda t: bo.obs_metrics(bo.with_net(bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, DELAYS, step_minutes=5).withColumns({"gross_return_pct": F.col("entry_fwd_return_5m_pct"), "mfe_pct": F.lit(0.0), "mae_pct": F.lit(0.0)}), 20.0), ["delay"]),
+             f"SELECT d.delay, count(f.fwd_return_5m_pct) AS observations, avg(f.fwd_return_5m_pct - 0.2) AS net_avg_pct FROM (SELECT * FROM samples WHERE {RULE_SQL}) s CROSS JOIN (VALUES (0), (1), (2), (5)) d(delay) LEFT JOIN feat f ON f.symbol = s.symbol AND f.bar_ts = s.bar_ts + to_minutes(5 * d.delay) GROUP BY 1")
     register("d21_clustered_t", "rule, dates:l, date_clustered_t_stat:d", lambda t: bo.clustered_t(all_obs(t), ["rule"]), "SELECT rule, count(*) AS dates, avg(m) / stddev_samp(m) * sqrt(count(*)) AS date_clustered_t_stat FROM (SELECT rule, trade_date, avg(net) AS m FROM obs_all WHERE net IS NOT NULL GROUP BY ALL) GROUP BY rule")
     register("d22_leave_one_date_out", "leave_one_date_out_min_net_avg_pct:d", lambda t: bo.loo_min(obs(t), ["rule"]), "SELECT min(((SELECT sum(s) FROM obs_day) - s) / nullif((SELECT sum(n) FROM obs_day) - n, 0)) AS leave_one_date_out_min_net_avg_pct FROM obs_day")
     k = lambda p: f"greatest(1, ceil(n * {p} / 100.0))"
@@ -165,15 +216,15 @@ def _economics() -> None:
     x = "net"
     register("d27_trade_distribution", "observations:l, average_winner_pct:d, median_winner_pct:d, average_loser_pct:d, median_loser_pct:d, breakeven_trades:l, win_loss_magnitude_ratio:d, p01_pct:d, skewness:d, excess_kurtosis:d", lambda t: eo.trade_distribution(obs(t), ["rule"]),
              f"""SELECT count(*) AS observations, avg(CASE WHEN {x} > 0 THEN {x} END) AS average_winner_pct, quantile_cont(CASE WHEN {x} > 0 THEN {x} END, 0.5) AS median_winner_pct, avg(CASE WHEN {x} < 0 THEN {x} END) AS average_loser_pct, quantile_cont(CASE WHEN {x} < 0 THEN {x} END, 0.5) AS median_loser_pct,
-             count_if({x} = 0) AS breakeven_trades, abs(avg(CASE WHEN {x} > 0 THEN {x} END) / avg(CASE WHEN {x} < 0 THEN {x} END)) AS win_loss_magnitude_ratio, quantile_cont({x}, 0.01) AS p01_pct, avg(pow((net - mu) / sd, 3)) AS skewness, avg(pow((net - mu) / sd, 4)) - 3 AS excess_kurtosis FROM (SELECT net, avg(net) OVER () AS mu, stddev_pop(net) OVER () AS sd FROM obs_net)""")
-    register("d28_expected_shortfall", "expected_shortfall_95_pct:d, expected_shortfall_99_pct:d", lambda t: eo.expected_shortfall(obs(t), ["rule"]), "SELECT avg(CASE WHEN net <= (SELECT quantile_cont(net, 0.05) FROM obs_net) THEN net END) AS expected_shortfall_95_pct, avg(CASE WHEN net <= (SELECT quantile_cont(net, 0.01) FROM obs_net) THEN net END) AS expected_shortfall_99_pct FROM obs_net")
+             count_if({x} = 0) AS breakeven_trades, abs(avg(CASE WHEN {x} > 0 THEN {x} END) / avg(CASE WHEN {x} < 0 THEN {x} END)) AS win_loss_magnitude_ratio, quantile_cont({x}, 0.01) AS p01_pct, avg(pow((net - mu) / sd, 3)) AS skewness, avg(pow((net - mu) / sd, 4)) - 3 AS excess_kurtosis FROM (SELECT net, avg(net) OVER () AS mu, stddev_pop(net) OVER () AS sd FROM obs_net) HAVING count(*) > 0""")
+    register("d28_expected_shortfall", "expected_shortfall_95_pct:d, expected_shortfall_99_pct:d", lambda t: eo.expected_shortfall(obs(t), ["rule"]), "SELECT avg(CASE WHEN net <= (SELECT quantile_cont(net, 0.05) FROM obs_net) THEN net END) AS expected_shortfall_95_pct, avg(CASE WHEN net <= (SELECT quantile_cont(net, 0.01) FROM obs_net) THEN net END) AS expected_shortfall_99_pct FROM obs_net HAVING count(*) > 0")
     events = "SELECT bar_ts, avg(net) AS m, count(*) AS n FROM obs_net GROUP BY 1"
     register("d29_event_dependence", "independent_timestamp_events:l, event_ratio:d, average_trades_per_event:d, max_trades_per_event:l, p95_trades_per_event:d, event_level_net_expectancy_pct:d, event_level_median_pct:d, event_level_win_rate_pct:d", lambda t: eo.event_dependence(obs(t), ["rule"]),
-             f"SELECT count(*) AS independent_timestamp_events, count(*) / sum(n) AS event_ratio, avg(n) AS average_trades_per_event, max(n) AS max_trades_per_event, quantile_cont(n, 0.95) AS p95_trades_per_event, avg(m) AS event_level_net_expectancy_pct, quantile_cont(m, 0.5) AS event_level_median_pct, 100.0 * avg(CASE WHEN m > 0 THEN 1 ELSE 0 END) AS event_level_win_rate_pct FROM ({events})")
+             f"SELECT count(*) AS independent_timestamp_events, count(*) / sum(n) AS event_ratio, avg(n) AS average_trades_per_event, max(n) AS max_trades_per_event, quantile_cont(n, 0.95) AS p95_trades_per_event, avg(m) AS event_level_net_expectancy_pct, quantile_cont(m, 0.5) AS event_level_median_pct, 100.0 * avg(CASE WHEN m > 0 THEN 1 ELSE 0 END) AS event_level_win_rate_pct FROM ({events}) HAVING count(*) > 0")
     register("d30_intraclass_correlation", "icc:d", lambda t: eo.icc(obs(t), ["bar_ts"], ["rule"]),
-             "WITH g AS (SELECT bar_ts, count(*) AS n, avg(net) AS m FROM obs_net GROUP BY 1), a AS (SELECT (SELECT count(*) FROM g) AS k, (SELECT count(*) FROM obs_net) AS t, (SELECT avg(net) FROM obs_net) AS mu), b AS (SELECT (SELECT sum(n * pow(m - mu, 2)) FROM g, a) / (k - 1) AS bt, (SELECT sum(pow(o.net - g.m, 2)) FROM obs_net o JOIN g USING (bar_ts)) / (t - k) AS wi, (t - (SELECT sum(n * n) FROM g) / t) / (k - 1) AS n0 FROM a) SELECT (bt - wi) / (bt + (n0 - 1) * wi) AS icc FROM b")
-    register("d31_effective_events", "effective_events:d", lambda t: eo.event_dependence(obs(t), ["rule"]), f"SELECT sum(n) * sum(n) / sum(n * n) AS effective_events FROM ({events})")
-    register("d32_mae_correlation", "pairs:l, mae_final_outcome_correlation:d", lambda t: eo.mae_corr(obs(t), ["rule"]), "SELECT count(*) AS pairs, corr(mae_pct, net) AS mae_final_outcome_correlation FROM obs_net WHERE mae_pct IS NOT NULL")
+             "WITH g AS (SELECT bar_ts, count(*) AS n, avg(net) AS m FROM obs_net GROUP BY 1), a AS (SELECT (SELECT count(*) FROM g) AS k, (SELECT count(*) FROM obs_net) AS t, (SELECT avg(net) FROM obs_net) AS mu), b AS (SELECT (SELECT sum(n * pow(m - mu, 2)) FROM g, a) / (k - 1) AS bt, (SELECT sum(pow(o.net - g.m, 2)) FROM obs_net o JOIN g USING (bar_ts)) / (t - k) AS wi, (t - (SELECT sum(n * n) FROM g) / t) / (k - 1) AS n0 FROM a) SELECT (bt - wi) / (bt + (n0 - 1) * wi) AS icc FROM b WHERE (SELECT count(*) FROM obs_net) > 0")
+    register("d31_effective_events", "effective_events:d", lambda t: eo.event_dependence(obs(t), ["rule"]), f"SELECT sum(n) * sum(n) / sum(n * n) AS effective_events FROM ({events}) HAVING count(*) > 0")
+    register("d32_mae_correlation", "pairs:l, mae_final_outcome_correlation:d", lambda t: eo.mae_corr(obs(t), ["rule"]), "SELECT count(*) AS pairs, CASE WHEN count(*) >= 3 THEN corr(mae_pct, net) END AS mae_final_outcome_correlation FROM obs_net WHERE mae_pct IS NOT NULL HAVING count(*) > 0")
     register("d33_calendar_returns", "trade_date, return_pct:d, trades:l", calendar, "SELECT * FROM calendar")
     register("d33_calendar_summary", "active_days:l, market_days:l, average_return_per_active_day_pct:d, average_return_per_market_day_pct:d, median_return_per_market_day_pct:d, profitable_market_day_pct:d", lambda t: eo.calendar_summary(calendar(t)), "SELECT count_if(trades > 0) AS active_days, count(*) AS market_days, avg(CASE WHEN trades > 0 THEN return_pct END) AS average_return_per_active_day_pct, avg(return_pct) AS average_return_per_market_day_pct, quantile_cont(return_pct, 0.5) AS median_return_per_market_day_pct, 100.0 * avg(CASE WHEN return_pct > 0 THEN 1 ELSE 0 END) AS profitable_market_day_pct FROM calendar")
     register("d34_period_compound", "period, return_pct:d", lambda t: eo.period_compound(calendar(t), "week").unionByName(eo.period_compound(calendar(t), "month")), " UNION ALL ".join(f"SELECT {w} AS period, (exp(sum(ln(1 + return_pct / 100))) - 1) * 100 AS return_pct FROM calendar GROUP BY 1" for w in (_WEEK, _MONTH)))
@@ -197,48 +248,84 @@ def _economics() -> None:
     register("e24_best_share", "best_day_share_pct:d, best_week_share_pct:d, best_month_share_pct:d", lambda t: eo.best_share(calendar(t)), f"SELECT {share('trade_date')} AS best_day_share_pct, {share(_WEEK)} AS best_week_share_pct, {share(_MONTH)} AS best_month_share_pct")
 
 
+REQUIRED = ("discovery", "validation", "robustness")
+
+
+def runs(t):
+    """A ledger of research runs from orders."""
+    o = t["orders"]
+    return o.select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 50).alias("rule_id"), F.element_at(F.array(*[F.lit(x) for x in REQUIRED]), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("stage"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"), F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string")).alias("config_hash"), (F.col("o_totalprice") - 150_000).alias("net_expected_value_pct"), F.col("o_orderdate").alias("completed_at"))
+
+
+_PASSED = "SELECT ['discovery', 'validation', 'robustness'][o_orderkey % 3 + 1] FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 = 3 AND o_totalprice > 150000"
+
+
 def _execution() -> None:
     scenario = "capital:d, delay:l"
-    day = "SELECT symbol, trade_date, sum(close * volume) AS daily_dollar_volume FROM bars GROUP BY ALL"
-    sized = f"SELECT *, c AS capital, c * 0.05 AS desired, coalesce(least(entry_bar_dollar_volume * 0.05, daily_dollar_volume * 0.001), 0) AS capacity_notional FROM ({_EXIT}) e LEFT JOIN ({day}) d USING (symbol, trade_date), (VALUES (10000.0), (100000.0)) v(c)"
-    filled = f"SELECT *, greatest(0, least(desired, c * 0.1, capacity_notional)) AS filled_notional FROM ({sized})"
-    reason = "CASE WHEN entry_close IS NULL THEN 'unavailable_entry_fill' WHEN exit_price IS NULL THEN 'unavailable_exit_fill' WHEN capacity_notional <= 0 THEN 'liquidity_capacity_unavailable' WHEN filled_notional / desired < 0.25 THEN 'minimum_fill_fraction' END"
-    register("d40_size_fills", f"{scenario}, symbol, signal_ts, capacity_notional:d, filled_notional:d, fill_fraction:d, rejection_reason", signals, f"SELECT *, bar_ts AS signal_ts, filled_notional / desired AS fill_fraction, {reason} AS rejection_reason FROM ({filled})")
-    # allocation depends on what was accepted before on the same day: tests hold it against a plain loop
-    register("d41_allocate_day", f"{scenario}, trade_date, symbol, signal_ts, accepted, rejection_reason, filled_notional:d", trades)
+    reason = "CASE WHEN entry_price IS NULL THEN 'unavailable_entry_fill' WHEN exit_price IS NULL THEN 'unavailable_exit_fill' WHEN capacity_notional <= 0 THEN 'liquidity_capacity_unavailable' WHEN filled_notional / desired_notional < 0.25 THEN 'minimum_fill_fraction' END"
+    register("d40_size_fills", f"{scenario}, symbol, signal_ts, capacity_notional:d, filled_notional:d, fill_fraction:d, rejection_reason", signals, f"SELECT *, filled_notional / desired_notional AS fill_fraction, {reason} AS rejection_reason FROM (SELECT *, greatest(0, least(desired_notional, capital * 0.1, capacity_notional)) AS filled_notional FROM sized_signals)")
+    register("d41_allocate_day", f"{scenario}, trade_date, symbol, signal_ts, accepted, rejection_reason, filled_notional:d", trades, "SELECT * FROM allocated")
     register("d42_dedupe_overlaps", "symbol, trade_date, bar_ts", lambda t: xo.dedupe_overlaps(obs(t), 15),
              "WITH RECURSIVE o AS MATERIALIZED (SELECT DISTINCT symbol, trade_date, bar_ts FROM obs), k AS (SELECT symbol, trade_date, min(bar_ts) AS bar_ts FROM o GROUP BY ALL UNION ALL SELECT symbol, trade_date, nx FROM (SELECT k.symbol, k.trade_date, (SELECT min(o.bar_ts) FROM o WHERE o.symbol = k.symbol AND o.trade_date = k.trade_date AND o.bar_ts >= k.bar_ts + INTERVAL 15 MINUTE) AS nx FROM k) WHERE nx IS NOT NULL) SELECT * FROM k")
-    register("d43_rejections", f"{scenario}, reason, n:l, share_pct:d", lambda t: xo.rejections(trades(t)))
-    register("d44_money_metrics", f"{scenario}, cost_bps:d, trades:l, net_expected_value_pct:d, trade_win_rate_pct:d, loss_rate_pct:d, gross_pnl:d, net_pnl:d, estimated_costs:d, median_trade_capacity:d, profit_factor:d", lambda t: xo.trade_money_metrics(costed(t), EXECUTION))
-    register("d47_stress_matrix", f"{scenario}, cost_bps:d, trades:l, net_expected_value_pct:d, net_pnl:d", lambda t: xo.stress_matrix(trades(t), EXECUTION))
-    register("c13_open_positions", f"{scenario}, symbol, ts, mark:d", lambda t: xo.open_positions(trades(t).where("accepted"), t.bars, 5))
-    register("d45_equity_curve", f"{scenario}, cost_bps:d, ts, realised_pnl:d, open_pnl:d, gross_exposure:d, net_exposure:d, open_positions:l, equity:d", equity)
-    register("e20_equity_drawdown", f"{scenario}, cost_bps:d, ts, peak:d, drawdown_pct:d", lambda t: xo.with_drawdown(equity(t)))
-    register("d46_daily_portfolio", f"{scenario}, cost_bps:d, trade_date, end_equity:d, return_pct:d, turnover:d, costs:d, peak_gross_exposure:d, worst_drawdown_pct:d", lambda t: xo.daily_portfolio(equity(t), costed(t)))
+    register("d43_rejections", f"{scenario}, reason, n:l, share_pct:d", lambda t: xo.rejections(trades(t)), "SELECT *, 100.0 * n / sum(n) OVER (PARTITION BY capital, delay) AS share_pct FROM (SELECT capital, delay, coalesce(rejection_reason, 'accepted') AS reason, count(*) AS n FROM allocated GROUP BY ALL)")
+    money = "SELECT * FROM money"
+    register("d44_money_metrics", f"{scenario}, cost_bps:d, trades:l, net_expected_value_pct:d, trade_win_rate_pct:d, loss_rate_pct:d, gross_pnl:d, net_pnl:d, estimated_costs:d, median_trade_capacity:d, profit_factor:d", lambda t: xo.trade_money_metrics(costed(t), EXECUTION), money)
+    register("d47_stress_matrix", f"{scenario}, cost_bps:d, trades:l, net_expected_value_pct:d, net_pnl:d", lambda t: xo.stress_matrix(trades(t), EXECUTION), money)
+    register("c13_open_positions", f"{scenario}, symbol, ts, mark:d", lambda t: xo.open_positions(trades(t).where("accepted"), t.bars, 5), _OPEN.format("(SELECT * FROM allocated WHERE accepted)"))
+    register("d45_equity_curve", f"{scenario}, cost_bps:d, ts, realised_pnl:d, open_pnl:d, gross_exposure:d, net_exposure:d, open_positions:l, equity:d", equity, "SELECT * FROM equity_points")
+    register("e20_equity_drawdown", f"{scenario}, cost_bps:d, ts, peak:d, drawdown_pct:d", lambda t: xo.with_drawdown(equity(t)), "SELECT * FROM equity_peaks")
+    register("d46_daily_portfolio", f"{scenario}, cost_bps:d, trade_date, end_equity:d, return_pct:d, turnover:d, costs:d, peak_gross_exposure:d, worst_drawdown_pct:d", lambda t: xo.daily_portfolio(equity(t), costed(t)), "SELECT * FROM portfolio_days")
 
     def by_regime(t):
         spy = mo.benchmark_pivot(mo.benchmark_features(t.bars, proxies.BENCHMARKS, 5), {"click_0": "spy"}, ("ret_30m_pct",)).select("bar_ts", F.col("spy_ret_30m_pct").alias("spy_return_30m_pct"))
         m = market(t).join(spy, "bar_ts", "left").withColumn("minute_of_day", F.hour("bar_ts") * 60 + F.minute("bar_ts")).withColumnRenamed("bar_ts", "signal_ts")
         return bo.strategy_regimes(costed(t).where("capital = 10000 AND delay = 0 AND cost_bps = 20").join(m, "signal_ts", "left"))
 
-    register("d50_strategy_regimes", "regime_type, regime_value, observations:l, independent_events:l, net_avg_pct:d, median_pct:d, profit_factor:d, win_rate_pct:d, total_pnl:d, coverage_pct:d", by_regime)
+    bands = {
+        "breadth": "CASE WHEN b < 40 THEN 'weak' WHEN b > 60 THEN 'strong' ELSE 'neutral' END", "spy_30m": "CASE WHEN coalesce(s, 0) < -0.25 THEN 'falling' WHEN coalesce(s, 0) > 0.25 THEN 'rising' ELSE 'sideways' END",
+        "dispersion": "CASE WHEN coalesce(d, 0) < 1 THEN 'low' WHEN coalesce(d, 0) >= 2 THEN 'high' ELSE 'medium' END", "market_activity": "CASE WHEN coalesce(v, 0) < 0.8 THEN 'low' WHEN coalesce(v, 0) >= 1.5 THEN 'high' ELSE 'normal' END",
+        "session": "CASE WHEN hour(signal_ts) * 60 + minute(signal_ts) < 660 THEN 'opening' WHEN hour(signal_ts) * 60 + minute(signal_ts) >= 900 THEN 'closing' ELSE 'midday' END",
+    }
+    chosen = "SELECT c.*, m.pct_positive_30m AS b, s.ret_30m_pct AS s, m.stddev_return_30m_pct AS d, m.median_relative_volume AS v FROM (SELECT * FROM costed_trades WHERE capital = 10000 AND delay = 0 AND cost_bps = 20) c LEFT JOIN market_now m ON m.bar_ts = c.signal_ts LEFT JOIN (SELECT * FROM feat WHERE symbol = 'click_0') s ON s.bar_ts = c.signal_ts"
+    union = " UNION ALL ".join(f"SELECT '{n}' AS regime_type, {e} AS regime_value, * FROM w WHERE b IS NOT NULL" for n, e in bands.items())
+    register("d50_strategy_regimes", "regime_type, regime_value, observations:l, independent_events:l, net_avg_pct:d, median_pct:d, profit_factor:d, win_rate_pct:d, total_pnl:d, coverage_pct:d", by_regime,
+             f"""WITH w AS ({chosen}) SELECT regime_type, regime_value, count(*) AS observations, count(DISTINCT signal_ts) AS independent_events, avg(net_return_pct) AS net_avg_pct, quantile_cont(net_return_pct, 0.5) AS median_pct, {_PF('net_return_pct')} AS profit_factor,
+             100.0 * avg(CASE WHEN net_return_pct > 0 THEN 1 ELSE 0 END) AS win_rate_pct, sum(filled_notional * net_return_pct / 100) AS total_pnl, (SELECT 100.0 * count(b) / count(*) FROM w) AS coverage_pct FROM ({union}) GROUP BY ALL""")
 
     def scored_card(t):
+        c = costed(t)
         s = xo.stress_matrix(trades(t), EXECUTION).where("capital = 10000")
         pick = lambda cost, delay, name: F.max(F.when((F.col("cost_bps") == cost) & (F.col("delay") == delay), F.col("net_expected_value_pct"))).alias(name)
         stress = s.groupBy("capital").agg(pick(30, 0, "stress_30_0"), pick(20, 1, "stress_base_1"), pick(20, 2, "stress_base_2"), pick(20, 5, "stress_base_5"))
-        base = xo.trade_money_metrics(costed(t).where("cost_bps = 20 AND delay = 0"), EXECUTION).where("capital = 10000")
-        days = xo.daily_portfolio(equity(t), costed(t)).where("capital = 10000 AND cost_bps = 20 AND delay = 0").groupBy("capital").agg(F.avg("return_pct").alias("average_return_per_market_day_pct"), F.min("worst_drawdown_pct").alias("maximum_drawdown_pct"))
-        return xo.scorecard(base.join(stress, "capital").join(days, "capital").withColumns({"top_10pct_return_share_pct": F.lit(None).cast("double"), "chronology_pass": F.lit(True)}))
-
-    register("h8_scorecard", "capital:d, economic_quality_pass, execution_quality_pass, risk_quality_pass, return_concentration_pass, statistical_credibility_pass, classification", scored_card)
+        base = xo.trade_money_metrics(c.where("cost_bps = 20 AND delay = 0"), EXECUTION).where("capital = 10000")
+        days = xo.daily_portfolio(equity(t), c).where("capital = 10000 AND cost_bps = 20 AND delay = 0").groupBy("capital").agg(F.avg("return_pct").alias("average_return_per_market_day_pct"), F.min("worst_drawdown_pct").alias("maximum_drawdown_pct"))
+        top = bo.top_share(c.where("cost_bps = 20 AND delay = 0 AND capital = 10000").withColumn("net", F.col("net_return_pct")), ["capital"], (10,))
+        gate = xo.chronology(runs(t), "c3", REQUIRED).agg((F.count("*") == 0).alias("chronology_pass"), F.lit(10_000.0).alias("capital"))
+        return xo.scorecard(base.join(stress, "capital").join(days, "capital").join(top, "capital").join(gate, "capital"))
+
+    at = lambda cost, delay: f"coalesce((SELECT net_expected_value_pct FROM money WHERE capital = 10000 AND cost_bps = {cost} AND delay = {delay}), -1) > 0"
+    base = "capital = 10000 AND cost_bps = 20 AND delay = 0"
+    top = f"SELECT 100.0 * sum(CASE WHEN r <= greatest(1, ceil(n * 10 / 100.0)) THEN net_return_pct END) / any_value(total) AS x FROM (SELECT net_return_pct, row_number() OVER (ORDER BY net_return_pct DESC) AS r, count(*) OVER () AS n, sum(net_return_pct) OVER () AS total FROM costed_trades WHERE {base})"
+    register("h8_scorecard", "capital:d, economic_quality_pass, execution_quality_pass, five_minute_delay_positive, risk_quality_pass, return_concentration_pass, statistical_credibility_pass, chronology_pass, classification", scored_card,
+             f"""SELECT *, CASE WHEN NOT economic_quality_pass THEN 'exploratory' WHEN NOT (execution_quality_pass AND risk_quality_pass AND statistical_credibility_pass AND chronology_pass) THEN 'promising' ELSE 'statistically_credible' END AS classification FROM (
+             SELECT m.capital, coalesce(net_expected_value_pct, 0) > 0 AND coalesce(profit_factor, 0) > 1 AND coalesce(d.average, 0) > 0 AS economic_quality_pass, {at(30, 0)} AND {at(20, 1)} AND {at(20, 2)} AS execution_quality_pass, {at(20, 5)} AS five_minute_delay_positive, coalesce(d.worst >= -20, false) AS risk_quality_pass,
+               coalesce((SELECT x FROM ({top})) <= 150, true) AS return_concentration_pass, independent_event_count >= 30 AND trades >= 100 AS statistical_credibility_pass, (SELECT count(*) = 0 FROM (VALUES ('discovery'), ('validation'), ('robustness')) v(stage) WHERE stage NOT IN ({_PASSED})) AS chronology_pass
+             FROM money m JOIN (SELECT capital, avg(return_pct) AS average, min(worst_drawdown_pct) AS worst FROM portfolio_days WHERE {base} GROUP BY capital) d USING (capital) WHERE {base})""")
 
 
 def _decisions() -> None:
     register("h5_verdict", "rule, verdict", lambda t: bo.verdict(summary(t)), f"SELECT 'base' AS rule, CASE WHEN net_avg_pct <= 0 OR coalesce(ct, -99) <= 0 THEN 'REJECT' WHEN NOT (cost30 > 0 AND pf > 1.05 AND ct >= 1 AND relaxed > 0 AND tightened > 0) THEN 'WEAK' ELSE 'PROMISING' END AS verdict FROM ({_BASE})")
-    checks = "rule, positive_net_expectancy, profit_factor_above_one, positive_after_30bps, positive_relaxed_neighbour, positive_tightened_neighbour, decision, classification"
-    core = "net_avg_pct > 0 AND pf > 1 AND cost30 > 0"
-    register("h6_promotion", checks, lambda t: eo.promotion(summary(t)), f"SELECT 'base' AS rule, net_avg_pct > 0 AS positive_net_expectancy, pf > 1 AS profit_factor_above_one, cost30 > 0 AS positive_after_30bps, relaxed > 0 AS positive_relaxed_neighbour, tightened > 0 AS positive_tightened_neighbour, CASE WHEN {core} THEN 'retain_for_research' ELSE 'reject' END AS decision, 'exploratory' AS classification FROM ({_BASE})")
+    checks = "rule, " + ", ".join(eo.CHECKS) + ", decision, classification"
+    top1 = "SELECT avg(CASE WHEN r > greatest(1, ceil(n / 100.0)) THEN net END) FROM (SELECT net, row_number() OVER (ORDER BY net DESC) AS r, count(*) OVER () AS n FROM obs_net)"
+    late = f"SELECT avg(f.fwd_return_5m_pct) - 0.2 FROM (SELECT * FROM samples WHERE {RULE_SQL}) s LEFT JOIN feat f ON f.symbol = s.symbol AND f.bar_ts = s.bar_ts + INTERVAL 10 MINUTE"
+    tests = {
+        "positive_net_expectancy": "net_avg_pct > 0", "positive_event_expectancy": "(SELECT avg(m) FROM (SELECT avg(net) AS m FROM obs_net GROUP BY bar_ts)) > 0", "profit_factor_above_one": "pf > 1", "positive_after_30bps": "cost30 > 0", "positive_after_2m_delay": f"({late}) > 0",
+        "positive_relaxed_neighbour": "relaxed > 0", "positive_tightened_neighbour": "tightened > 0", "not_dependent_on_top_1pct": f"({top1}) > 0", "minimum_observations": "(SELECT count(*) FROM obs_net) >= 250", "minimum_dates": "(SELECT count(*) FROM obs_day) >= 10",
+    }
+    core = "positive_net_expectancy AND positive_event_expectancy AND profit_factor_above_one AND positive_after_30bps AND not_dependent_on_top_1pct"
+    robust = "positive_after_2m_delay AND positive_relaxed_neighbour AND positive_tightened_neighbour"
+    register("h6_promotion", checks, lambda t: eo.promotion(summary(t)), f"""SELECT 'base' AS rule, *, CASE WHEN NOT ({core}) THEN 'reject' WHEN NOT ({robust}) THEN 'retain_for_research' ELSE 'promote_for_further_validation' END AS decision,
+      CASE WHEN NOT ({core}) OR NOT ({robust}) THEN 'exploratory' WHEN minimum_observations AND minimum_dates AND coalesce(ct > 0, false) THEN 'statistically_credible' ELSE 'promising' END AS classification FROM (SELECT ct, {', '.join(f'coalesce({e}, false) AS {n}' for n, e in tests.items())} FROM ({_BASE}))""")
 
     def capped(t):
         s = scored(t).withColumns({"classification": F.when(F.col("t_stat") > 2, "statistically_credible").otherwise("promising"), "adjusted_p": F.lit(0.2) - F.col("t_stat") / 20, "portfolio_available": F.col("observations") % 2 == 0, "regimes_available": F.col("observations") % 3 == 0, "negative_regimes": F.col("wins") % 2})
@@ -247,11 +334,7 @@ def _decisions() -> None:
     sql = "SELECT *, CASE WHEN t_stat > 2 AND coalesce(0.2 - t_stat / 20 <= 0.05, false) THEN 'statistically_credible' ELSE 'promising' END AS classification, CASE WHEN observations % 3 <> 0 THEN 'not_measured' WHEN wins % 2 > 0 THEN 'mixed' ELSE 'no_negative_supported_regime_detected' END AS regime_stability, 6 + CASE WHEN observations % 3 <> 0 THEN 1 ELSE 0 END AS blockers FROM screened"
     register("h7_evidence_caps", "family, direction, horizon:l, group_key, classification, regime_stability, blockers:l", capped, sql)
 
-    def runs(t):
-        o = t["orders"]
-        return o.select(F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % 50).alias("rule_id"), F.element_at(F.array(F.lit("discovery"), F.lit("validation"), F.lit("robustness")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("stage"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"), F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string")).alias("config_hash"), (F.col("o_totalprice") - 150_000).alias("net_expected_value_pct"), F.col("o_orderdate").alias("completed_at"))
-
-    register("h9_chronology", "stage", lambda t: xo.chronology(runs(t), "c3", ("discovery", "validation", "robustness", "holdout")), "SELECT stage FROM (VALUES ('discovery'), ('validation'), ('robustness'), ('holdout')) v(stage) WHERE stage NOT IN (SELECT ['discovery', 'validation', 'robustness'][o_orderkey % 3 + 1] FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 7 = 3 AND o_totalprice > 150000)")
+    register("h9_chronology", "stage", lambda t: xo.chronology(runs(t), "c3", ("discovery", "validation", "robustness", "holdout")), "SELECT stage FROM (VALUES ('discovery'), ('validation'), ('robustness'), ('holdout')) v(stage) WHERE stage NOT IN (" + _PASSED + ")")
     latest = lambda t: scans.latest_per_key(t["orders"].where("o_orderstatus = 'F'"), ("o_custkey",), F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc())
     latest_sql = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F') WHERE r = 1"
     register("e25_latest_per_key", "o_custkey:l, o_orderkey:l", latest, latest_sql)

@@ -107,13 +107,13 @@ def load() -> None:
     def added(t):
         path = scratch(t.spark, "new-rows")
         sinks.write_new(t["orders"].where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("old").alias("batch")), path, ["o_orderkey"])
-        sinks.write_new(t["orders"].where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("batch")), path, ["o_orderkey"])
+        sinks.write_new(t["orders"].where("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("batch")), path, ["o_orderkey"])
         return t.spark.read.parquet(path)
 
-    register("a7_write_new", "o_orderkey:l, batch", added, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS batch FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
-    updates = lambda t: t["orders"].where("o_orderkey % 3 = 0").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice * 2 AS o_totalprice")
+    register("a7_write_new", "o_orderkey:l, batch", added, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS batch FROM orders")
+    updates = lambda t: t["orders"].where("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice * 2 AS o_totalprice")
     register("a8_upsert", "o_orderkey:l, o_orderstatus, o_totalprice:d", lambda t: sinks.upsert(t["orders"].where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus", "o_totalprice"), updates(t), ["o_orderkey"], F.col("o_orderstatus") == "F"),
-             "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 AND (o_orderkey % 3 <> 0 OR o_orderstatus = 'F') THEN o_totalprice ELSE o_totalprice * 2 END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+             "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 AND (o_orderkey % 3 <> 0 OR o_orderstatus = 'F') THEN o_totalprice ELSE o_totalprice * 2 END AS o_totalprice FROM orders")
 
     def monthly(t):
         path = scratch(t.spark, "months")
@@ -156,6 +156,9 @@ def load() -> None:
     register("d5_quality_inventory", "session_label, bars:l, symbols:l, first_ts, last_ts", lambda t: qo.quality_inventory(t.bars), "SELECT session_label, count(*) AS bars, count(DISTINCT symbol) AS symbols, min(bar_ts) AS first_ts, max(bar_ts) AS last_ts FROM bars GROUP BY 1")
     register("d6_quality_coverage", "trade_date, bars:l, symbols:l", lambda t: qo.quality_coverage(t.bars), "SELECT trade_date, count(*) AS bars, count(DISTINCT symbol) AS symbols FROM bars GROUP BY 1")
     n = qo.expected_bars("regular", 5)
+    spans = "CASE session_label WHEN 'regular' THEN 390 WHEN 'premarket' THEN 330 WHEN 'postmarket' THEN 240 WHEN 'overnight' THEN 480 ELSE 1440 END"
+    register("b27_expected_bars", "symbol, trade_date, session_label, bars:l, expected:l, coverage_pct:d", lambda t: qo.session_coverage(t.bars, 5),
+             f"SELECT *, greatest(1, {spans} // 5) AS expected, 100.0 * bars / greatest(1, {spans} // 5) AS coverage_pct FROM (SELECT symbol, trade_date, session_label, count(*) AS bars FROM bars GROUP BY ALL)")
     register("d6_quality_bands", "coverage_band, symbol_days:l", lambda t: qo.quality_bands(t.bars, n), f"SELECT CASE WHEN n >= 0.95 * {n} THEN 'complete' WHEN n >= 0.75 * {n} THEN '75-95%' WHEN n >= 0.25 * {n} THEN '25-75%' ELSE 'under 25%' END AS coverage_band, count(*) AS symbol_days FROM (SELECT symbol, trade_date, count(*) AS n FROM bars GROUP BY ALL) GROUP BY 1")
     register("d6_quality_minimum_days", "symbols_below_minimum_days:l, symbols:l", lambda t: qo.quality_min_days(t.daily_source, 28), "SELECT count_if(n < 28) AS symbols_below_minimum_days, count(*) AS symbols FROM (SELECT symbol, count(DISTINCT trade_date) AS n FROM daily_source GROUP BY 1)")
     register("d7_quality_anomalies", "nonpositive_prices:l, invalid_ohlc:l, negative_activity:l, zero_volume_bars:l, checked_bars:l", lambda t: qo.quality_anomalies(t.bars.withColumn("volume", F.col("volume") - 1000).withColumn("high", F.col("high") - 0.02)),
@@ -187,7 +190,14 @@ def load() -> None:
 SELECT k.key, coalesce(c.covered, false) AS covered FROM (SELECT DISTINCT key FROM r) k LEFT JOIN (SELECT key, NOT bool_or(gap) AND max(range_end) >= DATE '{window[1]}' AS covered FROM s GROUP BY key) c USING (key)"""
     register("d51_covers_range", "key:l, covered", lambda t: uo.covers_range(ranges(t), ("key",), *window), cover_sql)
     kinds = lambda t: ranges(t).withColumn("kind", F.concat(F.lit("load "), (F.col("key") % 3).cast("string")))
-    register("d52_source_readiness", "sessions:l, blockers, ready", lambda t: uo.source_readiness(sessions(t), kinds(t), "2024-01-01", "2024-01-20", 10), None)
+    near = ("2024-01-01", "2024-01-20")
+    ready_sql = f"""WITH k AS (SELECT 'load ' || (key % 3) AS kind, range_start, range_end FROM ({_RANGES})),
+s AS (SELECT *, range_start > coalesce(max(range_end) OVER (PARTITION BY kind ORDER BY range_start, range_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), DATE '{near[0]}' - 1) + 1 AS gap FROM k WHERE range_end >= DATE '{near[0]}' AND range_start <= DATE '{near[1]}'),
+c AS (SELECT kind, NOT bool_or(gap) AND max(range_end) >= DATE '{near[1]}' AS covered FROM s GROUP BY kind),
+o AS (SELECT d.kind || ' does not cover the lookback' AS why FROM (SELECT DISTINCT kind FROM k) d LEFT JOIN c USING (kind) WHERE NOT coalesce(covered, false)),
+n AS (SELECT count(*) AS sessions FROM ({DAYS}) WHERE trade_date BETWEEN DATE '{near[0]}' AND DATE '{near[1]}')
+SELECT sessions, concat_ws('; ', CASE WHEN sessions < 10 THEN 'too few benchmark sessions' END, (SELECT string_agg(why, '; ' ORDER BY why) FROM o)) AS blockers, sessions >= 10 AND (SELECT count(*) FROM o) = 0 AS ready FROM n"""
+    register("d52_source_readiness", "sessions:l, blockers, ready", lambda t: uo.source_readiness(sessions(t), kinds(t), *near, 10).withColumn("blockers", F.array_join("blockers", "; ")), ready_sql)
     left_sql = f"""WITH r AS ({_RANGES}), d AS (SELECT DISTINCT key, CAST(unnest(generate_series(range_start - 10, range_end, INTERVAL 1 DAY)) AS DATE) AS day FROM r), c AS (SELECT DISTINCT key, CAST(unnest(generate_series(range_start, range_end, INTERVAL 1 DAY)) AS DATE) AS day FROM r),
   l AS (SELECT * FROM d EXCEPT SELECT * FROM c) SELECT key, min(day) AS range_start, max(day) AS range_end FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY key ORDER BY day) AS INTEGER) AS island FROM l) GROUP BY key, island"""
     register("g1_uncovered_ranges", "key:l, range_start, range_end", lambda t: uo.uncovered(ranges(t).withColumn("range_start", F.date_sub("range_start", 10)), ranges(t), "key"), left_sql)

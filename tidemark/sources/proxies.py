@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.features import FeatureConfig
 
-SLOTS = 100
+#: Bars of a symbol's day; what goes beyond becomes the day of a further symbol, so that no event is left out.
+LANE = 85
 #: Five-minute bars; the first two symbols stand in for index benchmarks.
 FEATURES = FeatureConfig(base_minutes=5, predictors=(5, 15, 30, 60), outcomes=(5, 15, 30, 60), baseline_days=10)
 BENCHMARKS = ("click_0", "view_0")
 
 
 def bars_from_events(events: DataFrame) -> DataFrame:
-    """Five-minute bars: events in order fill the slots of a symbol's day; some slots are left out."""
+    """Five-minute bars: events in order fill the slots of a symbol's day; some leave a slot before them empty."""
     day = Window.partitionBy("symbol", "trade_date").orderBy("ts", "event_id")
+    until = Window.partitionBy("symbol", "trade_date").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     e = events.select(
         F.concat(F.col("event_type"), F.lit("_"), F.floor(F.col("user_id") / 150).cast("string")).alias("symbol"),
         F.to_date("ts").alias("trade_date"), "ts", "event_id", "user_id", "value",
     )
-    e = e.withColumn("slot", F.row_number().over(day) - 1).where(f"slot < {SLOTS} AND user_id % 17 <> 0")
+    e = e.withColumn("place", F.row_number().over(day) - 1).withColumn("lane", F.floor(F.col("place") / LANE))
+    e = e.withColumn("symbol", F.when(F.col("lane") > 0, F.concat("symbol", F.lit("."), F.col("lane").cast("string"))).otherwise(F.col("symbol")))
+    e = e.withColumn("slot", F.col("place") % LANE + F.sum(F.when(F.col("user_id") % 17 == 0, 1).otherwise(0)).over(until))
     e = e.withColumn("minute_of_day", (570 + 5 * F.col("slot")).cast("int"))
     e = e.withColumn("close", 100 + F.col("value") / 100)
     e = e.withColumn("open", F.coalesce(F.lag("close").over(Window.partitionBy("symbol", "trade_date").orderBy("slot")), F.col("close")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +19,57 @@ def affected_days(bars: DataFrame, changed: DataFrame, later_days: int = 20) ->
     return n.join(reach, "n", "left_semi").select("trade_date")
 
 
+def first_needed(bars: DataFrame, days: DataFrame, rows_back: int) -> DataFrame:
+    """One row, ``first``: the earliest date that features of ``days`` look at.
+
+    That is the earliest of each symbol's day before them, and of each (symbol, session, minute)'s
+    ``rows_back`` rows before them. Only keys and dates are read.
+    """
+    start = days.agg(F.min("trade_date").alias("start"))
+    old = bars.select("symbol", "session_label", "minute_of_day", "trade_date").join(F.broadcast(start), F.col("trade_date") < F.col("start"))
+    by_minute = Window.partitionBy("symbol", "session_label", "minute_of_day").orderBy(F.col("trade_date").desc())
+    minutes = old.withColumn("n", F.row_number().over(by_minute)).where(F.col("n") <= rows_back).agg(F.min("trade_date").alias("first"))
+    before = old.groupBy("symbol").agg(F.max("trade_date").alias("first")).agg(F.min("first").alias("first"))
+    return minutes.unionByName(before).unionByName(start.select(F.col("start").alias("first"))).agg(F.min("first").alias("first"))
+
+
 def refresh(bars: DataFrame, changed: DataFrame, path: str, config: FeatureConfig = FeatureConfig()) -> None:
-    """Recompute the affected dates and replace exactly those partitions."""
-    days = affected_days(bars, changed, config.baseline_days)
-    write_slice(build_features(bars, config).join(F.broadcast(days), "trade_date", "left_semi"), path, ["trade_date"])
+    """Recompute the affected dates from the days that they look at, and replace exactly those partitions."""
+    days = affected_days(bars, changed, config.baseline_days).cache()
+    first, last = first_needed(bars, days, config.baseline_days).first()["first"], days.agg(F.max("trade_date")).first()[0]
+    if first is not None:
+        # two literal bounds, so that the scan reads just these partitions
+        needed = bars.where(F.col("trade_date").between(F.lit(first), F.lit(last)))
+        write_slice(build_features(needed, config).join(F.broadcast(days), "trade_date", "left_semi"), path, ["trade_date"])
+    days.unpersist()
+
+
+def append_new(rows: DataFrame, bars_path: str, key: tuple[str, ...] = ("symbol", "timeframe", "feed", "adjustment", "bar_ts")) -> None:
+    """Append the rows whose key is not there yet, so that a batch that comes again adds nothing.
+
+    Only the partitions of the rows' own dates are read for it.
+    """
+    spark = rows.sparkSession
+    new = rows.dropDuplicates(list(key))
+    try:
+        known = spark.read.parquet(bars_path)
+    except AnalysisException:  # the first batch
+        known = None
+    if known is not None:
+        dates = [r[0] for r in rows.select("trade_date").distinct().collect()]  # the dates of one batch
+        new = new.join(known.where(F.col("trade_date").isin(dates)).select(*key), list(key), "left_anti").select(*rows.columns)
+    new.write.mode("append").partitionBy("trade_date").parquet(bars_path)
 
 
 def refresh_stream(spark: SparkSession, arrivals: str, bars_path: str, path: str, schema, checkpoint: str, config: FeatureConfig = FeatureConfig()):
-    """Take new bar files as they arrive, add them to the bars, refresh what they touch; ends when all are taken."""
+    """Take new bar files as they arrive, add them to the bars, refresh what they touch; ends when all are taken.
+
+    A batch that is run again after a crash adds no bar twice and replaces the same slices.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
         rows.persist()
-        rows.write.mode("append").partitionBy("trade_date").parquet(bars_path)
+        append_new(rows, bars_path)
         refresh(spark.read.parquet(bars_path), rows, path, config)
         rows.unpersist()
 
