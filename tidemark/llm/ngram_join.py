@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, shingle_hashes, slices, stored, word_hashes
@@ -173,23 +173,24 @@ def _side(sig: DataFrame, c: str) -> DataFrame:
     return sig.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bm_{c}"))
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit set over hashes of the ids, of fixed size: it may let others pass, never the reverse."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(_FILTER_BITS))
-    rows = ids.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {_FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(_FILTER_BITS // 64, np.int64)
+def _id_filter(ids: DataFrame) -> Column:
+    """Whether a doc_id may be among ``ids``: a bit set over hashes, of fixed size, in one literal."""
+    slot = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(0))), F.lit(_FILTER_BITS))
+    bit = F.expr("shiftleft(1, cast(slot % 8 as int))")
+    rows = ids.select(slot("id").alias("slot")).select(F.floor(F.col("slot") / 8).cast("int").alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits")).collect()
+    out = bytearray(_FILTER_BITS // 8)
     for r in rows:
-        out[r["word"]] = r["bits"]
-    return out.view(np.uint64)
+        out[r["place"]] = r["bits"]
+    here = slot("doc_id")
+    byte = F.conv(F.hex(F.substring(F.lit(out), F.floor(here / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (here % 8).cast("int") + 1)) != 0
 
 
 def verified(docs: DataFrame, sig: DataFrame, likely: DataFrame, label: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of the stored table ``likely`` that do link."""
     ids = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     names = stored(sig.select("node", "doc_id").join(ids, "node", "left_semi"), f"{label}-names")
-    bits = _id_filter(names.select(F.coalesce("doc_id", F.lit(0)).alias("id")))
-    hashed = docs.select("doc_id", "text").withColumn("slot", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(_FILTER_BITS)))
-    some = hashed.where(F.get(F.lit(_signed(bits)), (F.col("slot") / 64).cast("int")).bitwiseAND(F.expr("shiftleft(1L, cast(slot % 64 as int))")) != 0)
+    some = docs.select("doc_id", "text").where(_id_filter(names.select(F.col("doc_id").alias("id"))))
     sets = _mapped(some, lambda i, s: (_node(s), s.tobytes()) if len(s) else None, "node long, members binary", pa.schema([("node", _I64), ("members", _BIN)]), shingle)
     sets = stored(sets.join(names.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), f"{label}-sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s_{c}"))
@@ -279,7 +280,7 @@ def _close(x: _Block, y: _Block, percent: int) -> Iterator[tuple[np.ndarray, np.
                 total = n[at:end, None] + m[None, c:d]
                 i, j = np.nonzero(_within(total, apart, percent) & (x.comp[own[at:end], None] != y.comp[None, other[c:d]]))
                 if len(i):
-                    lost = 2 + 2 * apart[i, j] ** 2 // (64 * a.shape[1])
+                    lost = 6 + 8 * apart[i, j] ** 2 // (64 * a.shape[1])  # many times what chance takes
                     yield own[at + i], other[c + j], _within(total[i, j], apart[i, j] + lost, percent)
 
 
