@@ -46,8 +46,8 @@ from tidemark.llm.common import mix64, shared_folder, slices, stored, word_hashe
 
 ORDER = 2
 MOST = 5
-CHUNK_TOKENS = 2_000_000
-PART_KEYS = 2_000_000
+CHUNK_TOKENS = 1_000_000
+PART_KEYS = 1_000_000
 _U = np.uint64
 START, END = _U(0x5354415254), _U(0x454E44)
 
