@@ -1,13 +1,15 @@
 """Main-text extraction: gradient-boosted trees score DOM nodes, one decision decodes the whole tree.
 
-Training. Labelled pages are made, not given: texts of a bounded sample of ``SAMPLE_PAGES`` pages are
-laid into ``TRAIN_PAGES`` random page plans (menus, headers, sidebars, notices, adverts, forms,
-comments, footers around an article with and without telling tags and attributes). The trees then
-learn from node features which nodes hold main text.
+Training. Labelled pages are made, not given: words of a bounded sample of ``SAMPLE_PAGES`` pages,
+``SAMPLE_WORDS`` of each chosen by hash from the whole page, are laid into ``TRAIN_PAGES`` random page
+plans (menus, headers, sidebars, notices, adverts, forms, comments and footers around an article, and
+some inside it). Which text is main text is known by construction. Tags and attribute words are
+telling, misleading or new by chance, so that the trees have to weigh them against densities, depth
+and siblings; how much an attribute word tells is learnt from the same pages.
 
 Decoding. A node is worth its log-odds. Keeping it allows keeping children, dropping it drops all
 below it; the best total over the tree is found from the leaves up, so no block is kept inside a
-dropped element and none dropped only for a doubtful parent.
+dropped element and none dropped only for a doubtful parent. An only child goes with its parent.
 
 Defined results: null or empty html gives an empty text; broken markup is read like browsers do in
 spirit (see ``dom.parse``); pages of any size are read whole; rows that repeat are each extracted;
@@ -16,7 +18,9 @@ extra columns are ignored; an empty table gives an empty result (the model then
 
 from __future__ import annotations
 
+import math
 import random
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +33,11 @@ from tidemark.llm.common import slices
 from tidemark.llm.dom import Node, features, parse
 
 SAMPLE_PAGES = 200
-TRAIN_PAGES = 500
-TREES, DEPTH, RATE, BINS = 50, 4, 0.25, 24
+SAMPLE_WORDS = 300
+TRAIN_PAGES = 1200
+TREES, DEPTH, RATE, BINS = 70, 5, 0.2, 24
+#: An attribute word tells something from so many training elements on.
+LEAST_SEEN = 8
 
 
 @dataclass
@@ -41,6 +48,7 @@ class Trees:
     feature: np.ndarray  # (trees, 2**DEPTH - 1)
     split: np.ndarray
     leaf: np.ndarray  # (trees, 2**DEPTH)
+    evidence: dict[str, float] | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -91,105 +99,194 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(float(np.log(share / (1 - share))), feature, split, leaf)
 
 
-#: Plans of what stands around the main text, (opening, closing) with a place for inner blocks.
-_AROUND = (
-    ("<nav>", "</nav>"), ("<header>", "</header>"), ("<footer>", "</footer>"), ("<aside>", "</aside>"), ('<div class="ad">', "</div>"), ('<div id="sidebar">', "</div>"),
-    ('<div class="menu">', "</div>"), ('<div class="site-footer">', "</div>"), ('<div class="comments">', "</div>"), ('<section id="comments">', "</section>"), ("<form>", "</form>"),
-    ('<div class="cookie-notice">', "</div>"), ('<div class="related-posts">', "</div>"), ('<div role="navigation">', "</div>"), ('<div class="share">', "</div>"),
-    ('<div class="newsletter">', "</div>"), ('<div class="promo banner">', "</div>"), ('<div class="widget">', "</div>"), ('<div class="advert sponsored">', "</div>"),
-)
-_MAIN = ("<article{}>", "<main{}>", '<div class="content"{}>', '<div class="post-body"{}>', "<div{}>", '<section class="entry"{}>', '<div id="main"{}>')
+#: Attribute words that pages like to give to parts, and the elements these parts often are.
+PARTS = {
+    "menu": (("nav", "div", "div", "ul", "header"), "nav navigation navbar menu topbar breadcrumb breadcrumbs links toolbar pagination"),
+    "head": (("header", "header", "div", "div"), "header masthead top banner site branding head"),
+    "foot": (("footer", "footer", "div", "div"), "footer foot bottom site copyright legal colophon"),
+    "side": (("aside", "aside", "div", "section"), "sidebar side aside widget rail column recent related recommended more popular"),
+    "notice": (("div", "div", "section", "dialog"), "cookie cookies consent notice alert popup modal overlay gdpr banner"),
+    "advert": (("div", "div", "aside", "section"), "ad ads advert advertisement sponsor sponsored promo promotion banner"),
+    "form": (("form", "form", "div"), "form login signup subscribe newsletter search"),
+    "comments": (("section", "div", "div", "ol"), "comment comments reply replies respond disqus discussion feedback"),
+    "share": (("div", "div", "ul", "p"), "share sharing social follow tags buttons"),
+}
+MAIN = (("article", "article", "main", "div", "div", "section"), "article content post entry story main body text prose blog news page single")
 
 
-def training_pages(texts: list[str], n: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
-    """Pages whose main elements carry ``data-main="1"``, which no feature looks at."""
-    rng = random.Random(seed)
-    words = " ".join(texts).split() or "a plain line of words to stand in for text when there are no pages to learn from".split()
-
-    def prose(low: int, high: int) -> str:
-        out = []
-        for _ in range(rng.randint(low, high)):
-            k = rng.randint(4, 16)
-            i = rng.randrange(max(1, len(words) - k))
-            out.append(" ".join(words[i : i + k]).strip(".,") + rng.choice([".", ".", ".", "?", ","]))
-        return " ".join(out)
+def training_pages(words: list[str], n: int = TRAIN_PAGES, seed: int = 7, telling: float = 0.5) -> list[str]:
+    """Pages whose main elements carry ``data-main="1"`` and whose parts inside them ``data-off="1"``, which no feature looks at.
 
-    def links(low: int, high: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="#">{prose(1, 1)[: rng.randint(3, 30)]}</a></li>' for _ in range(rng.randint(low, high))) + "</ul>"
-
-    def aside() -> str:
-        a, b = rng.choice(_AROUND)
-        form = '<input name="q"><button>Go</button>' if "form" in a or rng.random() < 0.1 else ""
-        inner = rng.choice([lambda: links(1, 8), lambda: prose(1, 3), lambda: f"<p>{prose(1, 3)}</p>", lambda: "".join(f"<div><p>{prose(1, 3)}</p></div>" for _ in range(rng.randint(1, 4))), lambda: f"<h3>{prose(1, 1)[:20]}</h3>{links(1, 5)}"])()
-        return a + form + inner + b
+    ``telling``: how many of the parts have an attribute word of their kind.
+    """
+    rng = random.Random(seed)
+    words = words or "a plain line of words to stand in for text when there are no pages to learn from".split()
+    every = [w for _, w in PARTS.values() for w in w.split()] + MAIN[1].split()
+
+    def prose(low: int, high: int, most: int = 16) -> str:
+        return " ".join(" ".join(rng.choices(words, k=rng.randint(3, most))).strip(".,").capitalize() + rng.choice((".", ".", ".", "?", "!", ", so it was.")) for _ in range(rng.randint(low, high)))
+
+    def phrase(low: int, high: int) -> str:
+        return " ".join(rng.choices(words, k=rng.randint(low, high))).strip(".,")
+
+    def link(low: int = 1, high: int = 3) -> str:
+        return f'<a href="/{rng.randrange(999)}">{phrase(low, high)}</a>'
+
+    def attributes(kind: str, mark: str) -> str:
+        own = []
+        if rng.random() < telling:
+            own.append(rng.choice(kind.split()))
+        if rng.random() < 0.4:  # a word of any kind of part, or one that nobody has seen
+            own.append(rng.choice(every))
+        if rng.random() < 0.5:
+            own.append("".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(3, 9))))
+        rng.shuffle(own)
+        name = f' {rng.choice(("class", "class", "class", "id", "role"))}="{rng.choice((" ", "-", "_")).join(own)}"' if own else ""
+        return name + mark
+
+    def wrapped(kind: str, inner: str, mark: str = "") -> str:
+        tags, tokens = PARTS[kind]
+        tag = rng.choice(tags)
+        return f"<{tag}{attributes(tokens, mark)}>{inner}</{tag}>"
+
+    def items(make, low: int, high: int) -> str:
+        n = rng.randint(low, high)
+        return rng.choice((lambda: "<ul>" + "".join(f"<li>{make()}</li>" for _ in range(n)) + "</ul>", lambda: "".join(f"<div>{make()}</div>" for _ in range(n)), lambda: " | ".join(make() for _ in range(n)), lambda: "".join(make() for _ in range(n))))()
+
+    def comment() -> str:
+        who = rng.choice((f"<b>{phrase(1, 2)}</b>", link(1, 2), f"<span>{phrase(1, 2)}</span>", f"<h4>{phrase(1, 2)}</h4>"))
+        said = rng.choice((f"<p>{prose(1, 3, 10)}</p>", prose(1, 2, 10), f"<div>{prose(1, 2, 10)}</div>"))
+        return f"<div>{who} {rng.choice(('', '<time>12:30</time>', phrase(1, 2)))}{said}{rng.choice(('', link(1, 1), '<button>x</button>'))}</div>"
+
+    def part(kind: str) -> str:
+        if kind == "menu":
+            return items(link, 2, 9)
+        if kind == "head":
+            return rng.choice((link(1, 2), f"<p>{phrase(1, 4)}</p>", f"<div>{phrase(1, 3)}</div>", f"<h1>{link(1, 3)}</h1>", f"<h2>{link(1, 2)}</h2>")) + rng.choice(("", items(link, 2, 6)))
+        if kind == "foot":
+            return rng.choice(("&copy; ", "&copy; 2024 ", "")) + rng.choice((phrase(1, 6), prose(1, 2, 8), f"<p>{prose(1, 1)}</p>")) + rng.choice(("", items(link, 1, 8)))
+        if kind == "side":
+            return rng.choice(("", f"<h3>{phrase(1, 3)}</h3>", f"<h2>{phrase(1, 3)}</h2>")) + rng.choice((items(link, 2, 8), items(lambda: link(2, 6) + f"<p>{prose(1, 1, 8)}</p>", 2, 5), f"<p>{prose(1, 2, 9)}</p>", prose(1, 2, 9)))
+        if kind == "notice":
+            return rng.choice((prose(1, 2), f"<p>{prose(1, 2)}</p>")) + rng.choice(("", "<button>OK</button>", link(1, 2)))
+        if kind == "advert":
+            return rng.choice((prose(1, 1, 9), prose(1, 2, 8), f"<p>{prose(1, 1, 8)}</p>", link(3, 7), f"<h4>{phrase(2, 4)}</h4>{prose(1, 1, 6)}"))
+        if kind == "form":
+            return rng.choice((f"<label>{phrase(1, 3)}</label>", f"<p>{prose(1, 1, 8)}</p>", f"<h3>{phrase(1, 4)}</h3>")) + '<input name="q">' + rng.choice(("", "<button>Go</button>", "<select><option>a</option></select>"))
+        if kind == "share":
+            return items(lambda: link(1, 1), 2, 6)
+        return rng.choice(("", f"<h3>{phrase(1, 3)}</h3>", f"<h2>{rng.randint(1, 90)} {phrase(1, 1)}</h2>")) + "".join(comment() for _ in range(rng.randint(1, 7))) + rng.choice(("", "<form><textarea></textarea><button>x</button></form>"))
 
     def block() -> str:
         return rng.choices(
-            [lambda: f"<p>{prose(1, 6)}</p>", lambda: f"<h2>{prose(1, 1)[:40]}</h2>", lambda: f"<ul><li>{prose(1, 2)}</li><li>{prose(1, 1)}</li></ul>", lambda: f"<blockquote><p>{prose(1, 2)}</p></blockquote>", lambda: f"<table><tr><td>{prose(1, 1)}</td><td>{prose(1, 1)}</td></tr></table>", lambda: f'<p>{prose(1, 2)} <a href="#">{prose(1, 1)}</a></p>', lambda: f"<pre>{prose(1, 2)}</pre>"],
-            [12, 2, 2, 1, 1, 2, 1],
-        )[0]()
+            (lambda: f"<p>{prose(1, 6)}</p>", lambda: f"<h2>{phrase(1, 6)}</h2>", lambda: items(lambda: prose(1, 2), 2, 5) if rng.random() < 0.5 else f"<ul><li>{phrase(1, 8)}</li><li>{phrase(1, 8)}</li></ul>", lambda: f"<blockquote><p>{prose(1, 2)}</p></blockquote>", lambda: f"<table><tr><td>{phrase(1, 3)}</td><td>{phrase(1, 3)}</td></tr><tr><td>{phrase(1, 3)}</td><td>{phrase(1, 3)}</td></tr></table>",
+             lambda: f"<p>{prose(1, 2)} {link(1, 4)} {phrase(2, 6)}.</p>", lambda: f"<pre>{phrase(4, 20)}</pre>", lambda: f"<figure><figcaption>{prose(1, 1)}</figcaption></figure>", lambda: f"<p><b>{prose(1, 2)}<br><p>{prose(1, 3)}</p>", lambda: f"<div><p>{prose(1, 4)}</p></div>", lambda: f"<p>{phrase(1, 4)}</p>"),
+            (12, 2, 2, 1, 1, 3, 1, 1, 1, 1, 1),
+        )[0]()
 
+    kinds = list(PARTS)
     pages = []
     for _ in range(n):
-        head = f"<h1>{prose(1, 1)[:60]}</h1>" if rng.random() < 0.9 else ""
-        bare = rng.random() < 0.15
-        body = prose(1, 2) if bare and rng.random() < 0.5 else "".join(block() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14, 25])))
-        inside = rng.random() < 0.25
-        if inside:  # something that does not belong to the text stands within it
-            cut = body.find("</p>") + 4 if "</p>" in body else 0
-            body = body[:cut] + aside().replace("<p>", '<p data-off="1">') + body[cut:]
-        main = rng.choice(_MAIN).format(' data-main="1"')
-        close = f"</{main[1:].split()[0].split('>')[0]}>"
-        parts = [*(aside() for _ in range(rng.randint(0, 3))), main + head + body + close, *(aside() for _ in range(rng.randint(0, 3)))]
-        page = "".join(parts)
+        title = f"<h1>{phrase(1, 9)}</h1>"
+        head = rng.choice(("", title, title, title, f'<header class="{rng.choice(("header", "entry-header", "top"))}">{title}</header>', f'<h1 class="{rng.choice(every)}">{phrase(2, 8)}</h1>'))
+        some = [block() for _ in range(rng.choice((1, 1, 2, 3, 5, 8, 14, 25)))]
+        if rng.random() < 0.3:  # something that does not belong to the text stands within it
+            kind = rng.choice(("share", "advert", "form", "side", "comments", "notice"))
+            some.insert(len(some) if kind in ("comments", "share") and rng.random() < 0.6 else rng.randint(1, len(some)), wrapped(kind, part(kind), ' data-off="1"'))
+        body = head + (prose(1, 4) if rng.random() < 0.08 else "".join(some))
+        tag = rng.choice(MAIN[0])
+        inner = f"<{tag}{attributes(MAIN[1], ' data-main="1"')}>{body}</{tag}>"
+        before = [wrapped(k, part(k)) for k in rng.sample(("menu", "head", "advert", "notice", "form", "side"), rng.randint(0, 3))]
+        after = [wrapped(k, part(k)) for k in rng.sample(("foot", "comments", "side", "advert", "share", "notice", "form", "menu"), rng.randint(0, 3))]
+        if rng.random() < 0.25:
+            inner = f"<div>{inner}{wrapped(k := rng.choice(kinds), part(k))}</div>"
+        page = "".join((*before, inner, *after))
         if rng.random() < 0.3:
-            page = f'<div class="{rng.choice(["wrap", "container", "page", "outer"])}">{page}</div>'
+            page = f'<div class="{rng.choice(("wrap", "container", "page", "outer", "main", "content"))}">{page}</div>'
         pages.append(f"<html><body>{page}</body></html>")
     return pages
 
 
-def labelled(root: Node) -> tuple[list[list[float]], list[int]]:
-    """Features and labels of a training page: an element is wanted if it holds main text."""
-    nodes, rows = features(root)
-    off = lambda x: x.bad > 0 or x.tag in ("nav", "aside", "footer", "header", "form")  # noqa: E731  plans in _AROUND
+def labels(nodes: list[Node]) -> list[int]:
+    """A text of a training page is wanted if its element says so, an element if it holds wanted text."""
     wanted: dict[int, int] = {}
-    barred: dict[int, bool] = {id(root): False}
-    for x in nodes:
-        barred[id(x)] = barred[id(x.parent)] or off(x)
     for x in reversed(nodes):
-        own = x.tag == "#text" and x.label and not barred[id(x)]
-        wanted[id(x)] = int(own or any(wanted[id(c)] for c in x.children))
-    return rows, [wanted[id(x)] for x in nodes]
+        wanted[id(x)] = int(x.label if x.tag == "#text" else any(wanted[id(c)] for c in x.children))
+    return [wanted[id(x)] for x in nodes]
+
+
+def learnt_evidence(parsed: list[list[Node]]) -> dict[str, float]:
+    """The log-odds of main text that each attribute word adds, of words in ``LEAST_SEEN`` training elements or more."""
+    seen: dict[str, list[int]] = {}
+    total = [1, 1]
+    for nodes in parsed:
+        for x, y in zip(nodes, labels(nodes)):
+            for t in x.tokens:
+                seen.setdefault(t, [0, 0])[y] += 1
+                total[y] += 1
+    return {t: math.log((b + 1) / (total[1] + 2)) - math.log((a + 1) / (total[0] + 2)) for t, (a, b) in seen.items() if a + b >= LEAST_SEEN}
+
 
+def sample_words(pages: DataFrame, sample: int = SAMPLE_PAGES, words: int = SAMPLE_WORDS) -> list[str]:
+    """Words of ``sample`` pages: ids are chosen first, and each page's words in its own task."""
+    ids = [r["page_id"] for r in pages.where(F.length("html") > 0).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
 
-def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Trees:
-    """Trees trained on page plans filled with texts of ``sample`` pages, chosen by a hash of page_id."""
-    rows = pages.select("html").where(F.length("html") > 0).orderBy(F.xxhash64("page_id")).limit(sample).collect()
-    texts = []
-    for r in rows:
-        texts += [x.text for x in features(parse(r["html"][:20_000]))[0] if x.tag == "#text"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for html in batch.column("html").to_pylist():
+                own = {w for x in features(parse(html))[0] for w in x.text.split() if x.tag == "#text"}
+                yield pa.RecordBatch.from_pydict({"words": [sorted(own, key=lambda w: zlib.crc32(w.encode()))[:words]]})
+
+    chosen = pages.where(F.col("page_id").isin(ids) & (F.length("html") > 0)).dropDuplicates(["page_id"]).select("html")
+    return [w for r in chosen.mapInArrow(run, "words array<string>").collect() for w in r["words"]] if ids else []
+
+
+def fit(pages: DataFrame | None = None, sample: int = SAMPLE_PAGES) -> Trees:
+    """Trees trained on page plans filled with words of ``sample`` pages, chosen by a hash of page_id."""
+    made = [parse(page) for page in training_pages(sorted(sample_words(pages, sample)) if pages is not None else [])]
+    evidence = learnt_evidence([features(root)[0] for root in (parse(p) for p in training_pages([], TRAIN_PAGES // 2, seed=8))])
     x, y = [], []
-    for page in training_pages(texts):
-        a, b = labelled(parse(page))
-        x += a
-        y += b
-    return fit_trees(np.array(x), np.array(y, float))
+    for root in made:
+        nodes, rows = features(root, evidence)
+        x += rows
+        y += labels(nodes)
+    trees = fit_trees(np.array(x), np.array(y, float))
+    trees.evidence = evidence
+    return trees
 
 
 def decode(nodes: list[Node], scores: np.ndarray) -> str:
-    """The text of the best consistent choice of nodes."""
+    """The text of the best consistent choice of nodes.
+
+    Siblings of the same tag and attribute words mostly have the same part in a page: among n of a
+    kind, one counts 1/n for itself, the rest is what its kind is worth on average.
+    """
+    own = {id(x): float(s) for x, s in zip(nodes, scores)}
+    total: dict[int, float] = {}
     worth: dict[int, float] = {}
-    below: dict[int, float] = {}
-    for x, s in zip(reversed(nodes), scores[::-1]):
-        total = float(s) + below.get(id(x), 0.0)
-        if x.children or x.tag == "#text":
-            worth[id(x)] = max(0.0, total)
-        if x.parent is not None:
-            below[id(x.parent)] = below.get(id(x.parent), 0.0) + worth.get(id(x), 0.0)
+
+    def settle(children: list[Node], alone: bool = True) -> float:
+        if len(children) == 1 and alone:  # an only child goes with its parent
+            worth[id(children[0])] = 1.0
+            return total[id(children[0])]
+        kinds: dict[tuple, tuple[int, float]] = {}
+        for c in children:
+            n, t = kinds.get((c.tag, c.tokens), (0, 0.0))
+            kinds[c.tag, c.tokens] = n + 1, t + total[id(c)]
+        for c in children:
+            n, t = kinds[c.tag, c.tokens]
+            shared = (total[id(c)] + (n - 1) * t / n) / n
+            worth[id(c)] = max(0.0, shared) if c.children or c.tag == "#text" else 0.0
+        return sum(worth[id(c)] for c in children)
+
+    for x in reversed(nodes):  # children come first
+        total[id(x)] = own[id(x)] + settle(x.children)
+    if nodes:
+        settle(nodes[0].parent.children, alone=False)
     kept: dict[int, bool] = {}
     out = []
     for x in nodes:  # parents come first
-        kept[id(x)] = kept.get(id(x.parent), True) and worth.get(id(x), 0.0) > 0
+        kept[id(x)] = kept.get(id(x.parent), True) and worth[id(x)] > 0
         if kept[id(x)] and x.tag == "#text":
             out.append(x.text)
     return "\n\n".join(out)
@@ -203,7 +300,7 @@ def extracted(pages: DataFrame, model: Trees | None = None) -> DataFrame:
         for batch in slices(batches, "html"):
             parsed, rows = [], []
             for html in batch.column("html").to_pylist():
-                nodes, f = features(parse(html or ""))
+                nodes, f = features(parse(html or ""), model.evidence)
                 parsed.append(nodes)
                 rows += f
             scores = model.score(np.array(rows)) if rows else np.empty(0)
