@@ -120,6 +120,29 @@ def test_packing_covers_every_id_once(docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_neighbours_equal_brute_force_bm25():
+    rng = np.random.default_rng(2)
+    docs = [rng.zipf(1.3, n) % 500 for n in (1, 3, 40, 40, 90, 200, 7, 7, 1000, 60, 0)]
+    docs += [docs[4].copy(), np.r_[docs[5][:150], docs[3]]]
+    docs = [d.astype("<u2") for d in docs]
+    df = np.zeros(1 << 16)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf = np.where(df > 0, np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)), 0)
+    mean = np.mean([len(d) for d in docs])
+    shard = packing._Shard(docs, idf, mean)
+    shard.free[[2, 9]] = False
+    for seed, q in enumerate(docs):
+        score = {}
+        for i, d in enumerate(docs):
+            tf = collections.Counter(d.tolist())
+            s = sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(q.tolist()) if tf[t])
+            if s > 0 and shard.free[i]:
+                score[i] = s
+        got = shard.neighbours(seed).tolist()
+        assert set(got) == set(score) and all(score[a] >= score[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
 def test_token_output_round_trip(docs, empty):
     e = Encoder(tokenizer_path("word_bpe_49k.json"), False)
     got, at = {r.doc_id: r for r in token_output.round_trip(docs).collect()}, 0
@@ -252,14 +275,56 @@ def test_katz_messages_do_not_grow_with_parts(docs, spark, monkeypatch):
     assert sent[0] == sent[1]
 
 
-def test_license_lines_are_found(spark, docs, empty):
-    sf = "/root/testdata/sf0.01"
-    d = read_table(spark, sf, "documents")
-    model = license_scan.fit(d)
-    found = {(r.doc_id, r.line): r.family for r in license_scan.scanned(d, model).collect()}
+@pytest.fixture(scope="module")
+def license_model(spark):
+    return license_scan.fit(read_table(spark, "/root/testdata/sf0.01", "documents"))
+
+
+def test_license_lines_are_found(spark, docs, empty, license_model):
+    d = read_table(spark, "/root/testdata/sf0.01", "documents")
+    found = {(r.doc_id, r.family) for r in license_scan.scanned(d, license_model).collect()}
     wanted = {"Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0", "All rights reserved.": "proprietary"}
-    expected = {(r.doc_id, i): wanted[x] for r in d.collect() for i, x in enumerate((r.text or "").split("\n")) if x in wanted}
-    assert found == expected and license_scan.scanned(empty, model).count() == 0 and license_scan.scanned(docs, model).count() >= 0
+    expected = {(r.doc_id, wanted[x]) for r in d.collect() for x in (r.text or "").split("\n") if x in wanted}
+    assert found == expected and license_scan.scanned(empty, license_model).count() == 0 and license_scan.scanned(docs, license_model).count() >= 0
+
+
+#: Notices as files have them, wrapped and inside other text.
+_NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "gpl-3.0": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "apache-2.0": "// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0",
+}
+
+
+def test_license_notices_as_files_have_them(spark, license_model):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows, want = [], set()
+    for i, (family, notice) in enumerate(_NOTICES.items()):
+        for k, text in enumerate((notice, f"{prose(30)}\n\n{notice}\n\n{prose(30)}", f"{prose(90)} {notice} {prose(90)}", f"# SPDX-License-Identifier: {dict(mit='MIT', bsd='BSD-3-Clause', isc='ISC').get(family, 'GPL-3.0-only' if family == 'gpl-3.0' else 'Apache-2.0')}\nint main;")):
+            rows.append((100 * i + k, text))
+            want.add((100 * i + k, family))
+    rows += [(None, "Licensed under the MIT license."), (7000, "This software is distributed under the MIT License, as is."), (7001, "Licensed under the MIT license.\n" * 3), (7001, "Licensed under the MIT license.\n" * 3)]
+    clean = [None, "", "\n\n", prose(4000), "He lost his license under the bridge, and the software was of no use to the public.", "The rights of all are reserved for the brave and free.", "mit license granted permission the copy of any charge free software obtaining person", "You can use this work in any form that you like. The source is the general public."]
+    rows += [(8000 + i, t) for i, t in enumerate(clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("clash"))
+    found = license_scan.scanned(df, license_model).collect()
+    got = {(r.doc_id, r.family) for r in found}
+    assert want <= got and {(None, "mit"), (7000, "mit"), (7001, "mit")} <= got
+    assert sum(r.doc_id == 7001 for r in found) == 2 and not [x for x in got if (x[0] or 0) >= 8000]
+    assert {f for k, f in got if k is not None and k < 1000 and (k, f) not in want} <= {"mit"}  # the same words stand in both families
+    assert next(r.line for r in found if r.doc_id == 1) == 2
+
+
+def test_license_words_needed_are_a_lower_bound():
+    need = license_scan.needed_words()
+    assert need >= 1
+    for ts in license_scan.TEMPLATES.values():
+        for t in ts:
+            own = set(t.split())
+            assert len(own & set(license_scan.TELLING)) - (len(own) - -(-7 * len(own) // 10)) >= need
 
 
 @pytest.fixture(scope="module")

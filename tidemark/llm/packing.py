@@ -2,10 +2,12 @@
 
 1. Texts become token ids once, stored as a table with a locality key (a min-hash of id pairs).
 2. Document frequencies of all ids over all documents: a table bounded by the vocabulary.
-3. Rows are dealt out by ranges of (key, doc_id), so copies and near copies come together whatever
-   the size of their group, and each range is cut into shards of bounded size. A shard has an
-   inverted index with BM25 weights. A seed document opens a window; its unused neighbours, best
-   first, fill it greedily; when none fits whole, the best one is cut and opens the next window.
+3. Rows are dealt out by ranges of (lead, key, doc_id). The lead is the id with the largest BM25
+   weight in the document among those that another document has too, so documents of a subject come
+   together, and copies and near copies next to each other, whatever the size of their group. Each
+   range is cut into shards of bounded size. A shard has an inverted index with BM25 weights. A seed
+   document opens a window and asks the index with all its terms; its unused neighbours, best first,
+   fill the window greedily; when none fits whole, the best one is cut and opens the next window.
 4. What is left at the end of a shard goes on into the next; at the end of a range the last window
    is cut at powers of two, which need no padding.
 
@@ -36,7 +38,8 @@ from tidemark.llm.tokens import encoder, tokenizer_path
 WINDOW = 2048
 SHARD_IDS = 3_000_000
 SHARD_DOCS = 4096
-QUERY_TERMS = 24
+#: Ids are kept in 16 bits.
+MOST_IDS = 1 << 16
 K1, B = 1.2, 0.75
 _U = np.uint64
 
@@ -55,6 +58,8 @@ def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int =
             with np.errstate(over="ignore"):
                 pair = mix64(ids.astype(np.uint64) * _U(1 << 20) + np.r_[ids[1:], 0].astype(np.uint64))
             key = np.minimum.reduceat(pair, begins[:-1]) >> _U(1)
+            if len(ids) and ids.max() >= MOST_IDS:
+                raise ValueError(f"{tokenizer} has ids beyond {MOST_IDS}")
             raw = ids.astype("<u2")
             columns = {"doc_id": batch.column("doc_id"), "key": key.astype(np.int64), "n": np.diff(begins), "ids": [raw[a:b].tobytes() for a, b in zip(begins, begins[1:])]}
             fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
@@ -72,7 +77,7 @@ def document_frequencies(tokens: DataFrame) -> dict[int, int]:
     """In how many documents each id occurs; as many entries as the vocabulary has ids at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(MOST_IDS, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
                 total[np.unique(np.frombuffer(ids.as_buffer(), "<u2"))] += 1
@@ -83,6 +88,12 @@ def document_frequencies(tokens: DataFrame) -> dict[int, int]:
     return {r["id"]: r["df"] for r in table.collect()}
 
 
+def _weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document and their BM25 weights in it."""
+    t, tf = np.unique(ids, return_counts=True)
+    return t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
+
+
 class _Shard:
     """The inverted index of one shard: postings sorted by term, with BM25 weights."""
 
@@ -90,17 +101,15 @@ class _Shard:
         terms, owner, weight = [], [], []
         self.query: list[np.ndarray] = []
         for i, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
+            t, w = _weights(ids, idf, mean)
             terms.append(t)
             owner.append(np.full(len(t), i, np.int32))
             weight.append(w)
-            best = np.argpartition(-w, QUERY_TERMS - 1)[:QUERY_TERMS] if len(t) > QUERY_TERMS else np.arange(len(t))
-            self.query.append(np.sort(t[best]))
+            self.query.append(t)
         terms_all = np.concatenate(terms)
         order = np.argsort(terms_all, kind="stable")
         self.owner, self.weight = np.concatenate(owner)[order], np.concatenate(weight)[order]
-        self.begin = np.searchsorted(terms_all[order], np.arange((1 << 16) + 1))
+        self.begin = np.searchsorted(terms_all[order], np.arange(MOST_IDS + 1))
         self.free = np.ones(len(docs), bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
@@ -196,10 +205,20 @@ def packed(docs: DataFrame, window: int = WINDOW, in_mixture: bool = False, targ
     df = document_frequencies(tokens)
     stats = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("ids")).first()
     count, mean = stats["docs"], max(1.0, (stats["ids"] or 0) / max(1, stats["docs"]))
-    idf = np.zeros(1 << 16, np.float32)
+    idf = np.zeros(MOST_IDS, np.float32)
     for i, n in df.items():
         idf[i] = np.log(1 + (count - n + 0.5) / (n + 0.5))
     shard_ids, shard_docs = SHARD_IDS, SHARD_DOCS
+    shared = np.array([df.get(i, 0) > 1 for i in range(MOST_IDS)])
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads = []
+            for raw in batch.column("ids"):
+                t, w = _weights(np.frombuffer(raw.as_buffer(), "<u2"), idf, mean)
+                known = shared[t]
+                leads.append(int(t[known][np.argmax(w[known])]) if known.any() else -1)
+            yield batch.append_column("lead", pa.array(leads, pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(TaskContext.get().partitionId() << 40, window)
@@ -225,5 +244,6 @@ def packed(docs: DataFrame, window: int = WINDOW, in_mixture: bool = False, targ
     if in_mixture:
         dealt = source_mixing.mixed(tokens.select("doc_id", "source", "ids"), target)
     else:
-        dealt = tokens.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+        rows = tokens.select("doc_id", "key", "ids").mapInArrow(led, "doc_id long, key long, ids binary, lead int")
+        dealt = rows.repartitionByRange("lead", "key", "doc_id").sortWithinPartitions("lead", "key", "doc_id", "ids")
     return dealt.select("doc_id", "ids").mapInArrow(run, _PIECES)
