@@ -1,14 +1,16 @@
 """Weak supervision for document quality, in DataFrame expressions only.
 
 Rules look at a document and vote for good (1), for bad (-1) or abstain (0). A naive Bayes label
-model ties them together: expectation-maximisation over the histogram of vote patterns estimates
-how accurate each rule is and how common good documents are, without labels. A document is kept
-when its posterior probability of being good reaches the threshold; no rule has a veto.
+model ties them together: expectation-maximisation over the histogram of vote patterns estimates,
+without labels, how often each rule votes for good, for bad or not at all on documents of either
+class, and how common good documents are. Nothing bounds the estimates but one smoothing count for
+each. A document is kept when its posterior probability of being good reaches the threshold; no rule
+has a veto.
 
 Defined results: null text counts as empty; an empty text has no words and fails the base test;
 repeated rows each get the same verdict; other columns, whatever their names, are ignored by
 ``measured`` and carried through by ``filtered``; an empty table gives an empty table (the label
-model then stays at its start values).
+model then stays near its start values).
 """
 
 from __future__ import annotations
@@ -31,11 +33,15 @@ _M = "_q_"
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents; how often each rule's vote is right on good and on bad ones."""
+    """Share of good documents; how often each rule votes -1, 0 and 1 on good and on bad ones."""
 
     prior: float
-    on_good: tuple[float, ...]
-    on_bad: tuple[float, ...]
+    on_good: tuple[tuple[float, float, float], ...]
+    on_bad: tuple[tuple[float, float, float], ...]
+
+    def accuracies(self) -> list[tuple[float, float]]:
+        """How often each rule's vote is right when it votes, on good and on bad documents."""
+        return [(g[2] / (g[0] + g[2]), b[0] / (b[0] + b[2])) for g, b in zip(self.on_good, self.on_bad)]
 
 
 def _let(value: Column, body) -> Column:
@@ -130,25 +136,25 @@ def votes() -> Column:
 N_RULES = 8
 
 
-def fit(measures: DataFrame, rounds: int = 25, prior: float = 0.8, on_good: float = 0.95, on_bad: float = 0.4) -> LabelModel:
+#: Where estimation starts: votes -1, 0, 1 of any rule on good and on bad documents.
+START_GOOD, START_BAD = (0.05, 0.05, 0.90), (0.40, 0.20, 0.40)
+
+
+def fit(measures: DataFrame, rounds: int = 40, prior: float = 0.8) -> LabelModel:
     """Expectation-maximisation on the histogram of vote patterns (3 ** N_RULES rows at most).
 
-    A rule has two accuracies, on good and on bad documents: a document is bad in one way or
-    another, so most rules find nothing wrong with most bad documents. One row holds the histogram;
-    ``aggregate`` runs the rounds. Only the model, 2 * N_RULES + 1 numbers, comes to the driver.
-    The accuracies keep within bounds that add up to more than one, so that a vote never turns into
-    evidence for its opposite; one smoothing vote on either side.
+    One row holds the histogram; ``aggregate`` runs the rounds. Only the model, 6 * N_RULES + 1
+    numbers, comes to the driver. Without documents the model stays near its start values.
     """
     patterns = measures.where(~F.col(f"{_M}base_failed")).groupBy(votes().alias("v")).agg(F.count("*").alias("c"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("v", F.col("c").cast("double").alias("c")))).alias("h"))
-    fill = lambda x: F.array_repeat(F.lit(x), N_RULES)
-    start = F.struct(F.lit(prior).alias("prior"), fill(on_good).alias("good"), fill(on_bad).alias("bad"))
+    fill = lambda x: F.array_repeat(F.array(*map(F.lit, x)), N_RULES)
+    start = F.struct(F.lit(prior).alias("prior"), fill(START_GOOD).alias("good"), fill(START_BAD).alias("bad"))
 
     def posterior(v: Column, s: Column) -> Column:
         odds = F.ln(s["prior"] / (1 - s["prior"]))
         for j in range(N_RULES):
-            a, b = s["good"][j], s["bad"][j]
-            odds = odds + F.when(v[j] == 1, F.ln(a / (1 - b))).when(v[j] == -1, F.ln((1 - a) / b)).otherwise(0.0)
+            odds = odds + F.ln(s["good"][j][v[j] + 1] / s["bad"][j][v[j] + 1])
         return 1 / (1 + F.exp(-odds))
 
     def step(h: Column, s: Column) -> Column:
@@ -156,28 +162,25 @@ def fit(measures: DataFrame, rounds: int = 25, prior: float = 0.8, on_good: floa
 
         def updated(w: Column) -> Column:
             total = lambda f: F.aggregate(w, F.lit(0.0), lambda t, p: t + f(p))
-            kept = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
             good, bad = [], []
             for j in range(N_RULES):
-                on = lambda value, part, j=j: total(lambda p: F.when(p["v"][j] == value, part(p)).otherwise(0.0))
-                g1, g0 = on(1, lambda p: p["g"]), on(-1, lambda p: p["g"])
-                b1, b0 = on(1, lambda p: p["c"] - p["g"]), on(-1, lambda p: p["c"] - p["g"])
-                good.append(kept((g1 + 1) / (g1 + g0 + 2), 0.80, 0.999))
-                bad.append(kept((b0 + 1) / (b1 + b0 + 2), 0.22, 0.99))
+                for out, part in ((good, lambda p: p["g"]), (bad, lambda p: p["c"] - p["g"])):
+                    counts = F.array(*[total(lambda p, v=v: F.when(p["v"][j] == v, part(p)).otherwise(0.0)) + 1 for v in (-1, 0, 1)])
+                    out.append(_let(counts, lambda n: F.transform(n, lambda x: x / (n[0] + n[1] + n[2]))))
             share = (total(lambda p: p["g"]) + 1) / (total(lambda p: p["c"]) + 2)
-            return F.struct(kept(share, 0.05, 0.95).alias("prior"), F.array(*good).alias("good"), F.array(*bad).alias("bad"))
+            return F.struct(share.alias("prior"), F.array(*good).alias("good"), F.array(*bad).alias("bad"))
 
         return _let(weighed, updated)
 
     row = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: step(F.col("h"), s)).alias("m")).first()["m"]
-    return LabelModel(row["prior"], tuple(row["good"]), tuple(row["bad"]))
+    return LabelModel(row["prior"], tuple(map(tuple, row["good"])), tuple(map(tuple, row["bad"])))
 
 
 def good_probability(model: LabelModel) -> Column:
     """The posterior probability that a document is good, from its votes."""
     odds, cast = F.lit(math.log(model.prior / (1 - model.prior))), votes()
-    for j, (a, b) in enumerate(zip(model.on_good, model.on_bad)):
-        odds = odds + F.when(cast[j] == 1, math.log(a / (1 - b))).when(cast[j] == -1, math.log((1 - a) / b)).otherwise(0.0)
+    for j, (g, b) in enumerate(zip(model.on_good, model.on_bad)):
+        odds = odds + F.when(cast[j] == 1, math.log(g[2] / b[2])).when(cast[j] == -1, math.log(g[0] / b[0])).otherwise(math.log(g[1] / b[1]))
     return 1 / (1 + F.exp(-odds))
 
 
