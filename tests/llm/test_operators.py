@@ -58,6 +58,37 @@ def test_quality_measures_and_decisions(docs, empty):
     assert quality_rules.judged(empty).count() == 0
 
 
+def _plain_em(votes, rounds=40, prior=0.8):
+    """Naive Bayes with two classes and three outcomes a rule, by plain arrays."""
+    n, k = votes.shape
+    one_hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
+    good, bad = np.tile(quality_rules.START_GOOD, (k, 1)), np.tile(quality_rules.START_BAD, (k, 1))
+    weigh = lambda: 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + (one_hot * (np.log(good) - np.log(bad))).sum((1, 2)))))
+    for _ in range(rounds):
+        p = weigh()
+        good, bad = ((one_hot * w[:, None, None]).sum(0) + 1 for w in (p, 1 - p))
+        good, bad = good / good.sum(1, keepdims=True), bad / bad.sum(1, keepdims=True)
+        prior = (p.sum() + 1) / (n + 2)
+    return prior, good, bad, weigh()
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_model_equals_plain_em(spark, sf):
+    d = read_table(spark, f"/root/testdata/{sf}", "documents")
+    m = quality_rules.measured(d)
+    model = quality_rules.fit(m)
+    rows = m.select("doc_id", quality_rules.votes().alias("v"), "_q_base_failed").collect()
+    used = [r for r in rows if not r["_q_base_failed"]]
+    prior, good, bad, p = _plain_em(np.array([r.v for r in used]))
+    assert model.prior == pytest.approx(prior) and np.allclose(model.on_good, good) and np.allclose(model.on_bad, bad)
+    want = {r.doc_id: (x, bool(x >= 0.5)) for r, x in zip(used, p)}
+    for r in quality_rules.judged(d).collect():
+        if not r.base_failed:
+            assert (r.quality, r.kept) == (pytest.approx(want[r.doc_id][0], abs=1e-9), want[r.doc_id][1])
+    # nothing pins an estimate: each rule's numbers follow what was seen of it
+    assert len({round(a, 6) for a, _ in model.accuracies()}) > 3
+
+
 def test_quality_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     j = quality_rules.judged(read_table(spark, sf, "documents")).where(~F.col("base_failed")).drop("quality").join(read_table(spark, sf, "labels"), "doc_id")

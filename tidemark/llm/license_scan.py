@@ -1,108 +1,199 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. Word and word-pair features are hashed; multinomial logistic
-regression tells licence families and an unknown class apart. It is trained on the templates below
-with random words dropped or set around them, and for the unknown class on a bounded sample of
-``SAMPLE_LINES`` corpus lines that share few words with any template. A cut on the family probability
-is calibrated on held-out unknown lines. A predicted paragraph is confirmed when it contains most
-words of one of the family's templates. All steps are DataFrame operations and JVM-side ML stages.
-
-Defined results: null and empty texts have no paragraphs; every line of a text of any length is
-classified; repeated rows give repeated findings; extra columns are ignored; an empty table gives no
-findings (the unknown class then trains on stock lines).
+Paragraphs are runs of lines between blank ones, whatever the line breaks inside; a long one is read
+in windows of ``WINDOW`` words, ``STEP`` apart, so that any notice of ``WINDOW`` - ``STEP`` words is
+whole in one. Binary features are the words and word pairs that occur in templates; multinomial
+logistic regression tells licence families and an unknown class apart. It is trained on templates
+with words dropped and set into other text, and for the unknown class on a bounded sample of corpus
+windows, on template words out of order, and on too small parts of templates. The cut on the family
+probability is the quantile of held-out unknown windows that lets ``FALSE_ALARMS`` of them pass, 0.5
+at least. A predicted window is confirmed when it has ``OVERLAP`` of the words of a family's template.
+Families whose templates hardly differ, as versions of one licence, are kin: among them the one with
+the largest overlap stands, in a window and among windows that overlap each other.
+
+Every confirmed window holds at least ``needed_words()`` telling template words; windows, paragraphs
+and texts with fewer are passed over first, which changes no result. All steps are DataFrame
+operations and JVM-side ML stages.
+
+The labelled sample: windows of ``SAMPLE_DOCS`` documents chosen by a hash of doc_id, ``SAMPLE_WINDOWS``
+of them by a hash of their words. All else covers all rows and whole texts.
+
+Defined results: null and empty texts have no paragraphs; repeated rows give repeated findings; a null
+doc_id is kept; extra columns are ignored; an empty table gives no findings (the unknown class then
+trains on stock lines).
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import math
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_LINES = 4000
+SAMPLE_DOCS = 500
+SAMPLE_WINDOWS = 4000
 FALSE_ALARMS = 0.0005
 OVERLAP = 0.7
+WINDOW, STEP = 64, 24
 UNKNOWN = "unknown"
 
-#: Short notices and opening words of well-known licences.
+#: Short notices, identifiers and opening words of well-known licences.
 TEMPLATES = {
     "mit": (
         "released under the mit license",
         "licensed under the mit license",
+        "spdx license identifier mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    "isc": (
+        "licensed under the isc license",
+        "spdx license identifier isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     ),
     "apache-2.0": (
         "licensed under the apache license version 2 0",
+        "spdx license identifier apache 2 0",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
     ),
     "gpl-3.0": (
         "this work is licensed under the gnu general public license version 3",
+        "spdx license identifier gpl 3 0",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license either version 3 of the license",
     ),
     "gpl-2.0": (
         "this work is licensed under the gnu general public license version 2",
+        "spdx license identifier gpl 2 0",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license either version 2 of the license",
     ),
-    "lgpl-3.0": ("this library is licensed under the gnu lesser general public license version 3",),
-    "agpl-3.0": ("licensed under the gnu affero general public license version 3",),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"),
+    "lgpl-3.0": ("this library is licensed under the gnu lesser general public license version 3", "spdx license identifier lgpl 3 0"),
+    "agpl-3.0": ("licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3 0"),
+    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0", "spdx license identifier mpl 2 0"),
     "bsd": (
         "licensed under the bsd 3 clause license",
+        "licensed under the bsd license",
+        "spdx license identifier bsd 3 clause",
+        "spdx license identifier bsd 2 clause",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     ),
-    "cc-by-4.0": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    "cc-by-sa-4.0": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    "cc-by-nc-4.0": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    "cc0-1.0": ("dedicated to the public domain under cc0 1 0", "this work is released into the public domain under cc0 1 0 universal"),
+    "cc-by-4.0": ("licensed under cc by 4 0", "spdx license identifier cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
+    "cc-by-sa-4.0": ("licensed under cc by sa 4 0", "spdx license identifier cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    "cc-by-nc-4.0": ("licensed under cc by nc 4 0", "spdx license identifier cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    "cc0-1.0": ("dedicated to the public domain under cc0 1 0", "spdx license identifier cc0 1 0", "this work is released into the public domain under cc0 1 0 universal"),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "spdx license identifier unlicense"),
     "proprietary": ("all rights reserved", "copyright all rights reserved no part may be reproduced without written permission"),
 }
 FAMILIES = (*TEMPLATES, UNKNOWN)
-STOCK_LINES = ("the weather was fine on the day of the fair", "she opened the door and went into the garden", "a public meeting was held in the general store")
+#: Words that any text has, which alone tell nothing of a licence.
+COMMON = frozenset("a all an and any are at by can either except following for free in into is it may no not of or part person that the this to under use with without you".split())
+#: Lines that speak of such words without being a notice.
+STOCK_LINES = (
+    "the weather was fine on the day of the fair", "she opened the door and went into the garden", "a public meeting was held in the general store", "he lost his driving license in the first version of the story",
+    "all rights of the people must be respected", "the software was free and the source was open", "permission to enter the public garden was granted by the general", "the terms of the work were not in the form that you may use",
+)
+_WORDS = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.split()})
+_PAIRS = sorted({f"{a} {b}" for ts in TEMPLATES.values() for t in ts for a, b in zip(t.split(), t.split()[1:])})
+TELLING = [w for w in _WORDS if w not in COMMON]
+
+
+def needed_words(overlap_cut: float = OVERLAP) -> int:
+    """How many distinct telling words a window has at least that is confirmed by any template."""
+    sets = [set(t.split()) for ts in TEMPLATES.values() for t in ts]
+    return max(0, min(math.ceil(overlap_cut * len(s) - 1e-9) - len(s & COMMON) for s in sets))
 
 
-def words_of(line: Column) -> Column:
+def words_of(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def _list(values: list[str]) -> str:
+    """Words as an SQL list: one parsed text instead of a literal object for each."""
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _telling(words: str, least: int) -> Column:
+    return F.expr(f"size(array_distinct(filter({words}, w -> w IN ({_list(TELLING)})))) >= {least}")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line number (from 0) and line, for every line of every text that has a word."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
-    return lines.withColumn("words", words_of(F.col("text"))).where(F.size("words") > 0)
+def windows_of(docs: DataFrame, least: int = 0) -> DataFrame:
+    """doc_id, paragraph, line (of the window's first word) and words of every window; ``least``: telling words it has."""
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    if least:
+        some = some.withColumn("own", words_of(F.col("text"))).where(_telling("own", least)).drop("own")
+    # a text is cut before each blank line; what a piece has of line ends gives the next one's first line
+    pieces = some.select("row", "doc_id", F.posexplode(F.split("text", r"(?<=\n)(?=[ \t\f\r\x0B]*\n)")).alias("paragraph", "piece"))
+    ends = F.length("piece") - F.length(F.replace(F.col("piece"), F.lit("\n"), F.lit("")))
+    before = Window.partitionBy("row").orderBy("paragraph").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("base", F.coalesce(F.sum(ends).over(before), F.lit(0)))
+    words = F.flatten(F.transform(F.split("piece", "\n"), lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), i.alias("line")))))
+    placed = pieces.withColumn("placed", words).where(F.size("placed") > 0)
+    if least:
+        placed = placed.where(_telling("placed.w", least))
+    last = F.greatest(F.lit(0), F.ceil((F.size("placed") - WINDOW) / STEP) * STEP).cast("int")
+    spans = placed.withColumn("at", F.explode(F.sequence(F.lit(0), last, F.lit(STEP)))).withColumn("window", F.slice("placed", F.col("at") + 1, WINDOW))
+    out = spans.select("row", "doc_id", "paragraph", "at", (F.col("base") + F.col("window")[0]["line"]).cast("int").alias("line"), F.col("window.w").alias("words"))
+    return out.where(_telling("words", least)) if least else out
 
 
-def _template_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f, t.split(" ")) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>")
+def _terms() -> Column:
+    """The template words and word pairs of ``words``."""
+    pairs = "zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> concat(a, ' ', b))"
+    return F.expr(f"concat(filter(words, w -> w IN ({_list(_WORDS)})), filter({pairs}, p -> p IN ({_list(_PAIRS)})))")
 
 
-def overlap(words: Column, family: Column) -> Column:
-    """The largest share of a template's words that the paragraph has, over the family's templates."""
-    out = F.lit(None).cast("double")
-    for f, ts in TEMPLATES.items():
-        shares = [F.size(F.array_intersect(words, w := F.array_distinct(F.array(*[F.lit(x) for x in t.split(" ")])))) / F.size(w) for t in ts]
-        out = F.when(family == f, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(out)
-    return out
+def _share(template: str) -> str:
+    own = sorted(set(template.split()))
+    return f"size(array_intersect(words, array({_list(own)}))) / {len(own)}"
 
 
-def training_rows(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFrame:
-    """family, words and a hash that splits training from held-out rows."""
+def kin(least: float = 0.8) -> dict[str, list[str]]:
+    """The families of which some template shares ``least`` of all words with one of the family's, itself included."""
+    sets = {f: [set(t.split()) for t in ts] for f, ts in TEMPLATES.items()}
+    return {f: [g for g in TEMPLATES if any(len(x & y) >= least * len(x | y) for x in sets[f] for y in sets[g])] for f in TEMPLATES}
+
+
+def confirmed() -> Column:
+    """For the predicted ``family``: the largest share of a template's words that ``words`` has, over the
+    templates of its kin, and the family that has it; the predicted one among equals."""
+
+    def best(f: str, g: str) -> str:
+        return f"named_struct('overlap', array_max(array({', '.join(map(_share, TEMPLATES[g]))})), 'predicted', {int(f == g)}, 'family', '{g}')"
+
+    cases = " ".join(f"WHEN '{f}' THEN array_max(array({', '.join(best(f, g) for g in own)}))" for f, own in kin().items())
+    return F.expr(f"CASE family {cases} END")
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """family, words and whether a row is held out for calibration."""
     spark = docs.sparkSession
     chance = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1000)) / 1000.0
-    few = docs.select("text").where(F.length("text") > 0).orderBy(F.xxhash64("doc_id")).limit(sample_lines // 8)
-    lines = few.select(F.explode(F.split("text", "\n")).alias("text")).withColumn("words", F.slice(words_of(F.col("text")), 1, 400)).where(F.size("words") > 0)
-    near = F.greatest(*[overlap(F.col("words"), F.lit(f)) for f in TEMPLATES])
-    stock = spark.createDataFrame([(t.split(" "),) for t in STOCK_LINES], "words array<string>")
-    unknown = lines.where(near < 0.5).orderBy(F.xxhash64("words")).limit(sample_lines).select("words").unionByName(stock)
-    # words that stand by themselves, in any mixture of licence words without a licence's wording, are unknown too
-    table = _template_table(spark).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(59))))
-    stray = table.select(F.slice(F.sort_array(F.transform("template", lambda w: F.struct(F.xxhash64(w, "copy").alias("h"), w.alias("w")))), 1, 2)["w"].alias("words"))
+    ids = docs.where(F.length("text") > 0).select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
+    corpus = windows_of(docs.join(F.broadcast(ids), "doc_id", "left_semi")).select("words")  # ids: SAMPLE_DOCS rows at most
+    corpus = corpus.where(F.expr(f"array_max(array({', '.join(_share(t) for ts in TEMPLATES.values() for t in ts)})) < 0.5")).orderBy(F.xxhash64("words")).limit(SAMPLE_WINDOWS).cache()
+    spare = spark.createDataFrame([(STOCK_LINES[0].split(" "),)], "words array<string>")
+    numbered = corpus.unionByName(spare).withColumn("n", F.row_number().over(Window.orderBy(F.xxhash64("words"))) - 1)  # SAMPLE_WINDOWS rows at most
+    stock = spark.createDataFrame([(t.split(" "),) for t in STOCK_LINES], "words array<string>").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))).select("words")
+    table = spark.createDataFrame([(f, t.split(" ")) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    shuffled = F.sort_array(F.transform("template", lambda w: F.struct(F.xxhash64(w, "copy").alias("h"), w.alias("w"))))["w"]
+    few = F.greatest(F.lit(1), F.floor(F.size("template") * (F.col("copy") % 5) / 10)).cast("int")
+    filler = lambda k, seed: F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("copy", "family", i, F.lit(seed)), F.lit(5000)).cast("string")))
+    some = lambda most, seed: (F.pmod(F.xxhash64("copy", "template", F.lit(seed)), F.lit(most)) + 1).cast("int")
+    stray = table.select(F.concat(filler(some(20, 1), 1), F.slice(shuffled, 1, few), filler(some(20, 2), 2)).alias("words"))  # words out of order, too few
+    part = table.where("copy < 20").select(F.concat(F.slice("template", 1, few), filler(some(20, 3), 3)).alias("words"))  # the beginning only
     kept = F.filter("template", lambda w, i: (F.col("copy") < 20) | (chance(w, i, F.col("copy")) > 0.08))
-    around = F.transform(F.sequence(F.lit(0), F.pmod(F.xxhash64("copy", "family"), F.lit(5)).cast("int")), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("copy", i), F.lit(5000)).cast("string")))
-    licences = table.select("family", F.when(F.col("copy") % 2 == 0, kept).otherwise(F.concat(around, kept)).alias("words"))
-    none = unknown.unionByName(stray).select(F.lit(UNKNOWN).alias("family"), "words")
-    return licences.unionByName(none).withColumn("held", F.pmod(F.xxhash64("words"), F.lit(5)) == 0)
+    # a notice alone, behind a few words, and inside a window of the corpus
+    size = numbered.agg(F.count("*").alias("size"))
+    table = table.withColumn("one", F.lit(1)).join(F.broadcast(size.withColumn("one", F.lit(1))), "one").withColumn("n", F.pmod(F.xxhash64("copy", "template", F.lit(7)), F.col("size")).cast("int")).join(numbered.withColumnRenamed("words", "other"), "n")
+    whole = F.when(F.col("copy") % 4 == 0, kept).when(F.col("copy") % 4 == 1, F.concat(filler(some(5, 4), 4), kept)).otherwise(F.concat(F.slice("other", 1, some(40, 5)), kept, F.slice("other", 41, some(24, 6))))
+    licences = table.select("family", whole.alias("words"))
+    none = corpus.unionByName(stock).unionByName(stray).unionByName(part).select(F.lit(UNKNOWN).alias("family"), "words")
+    rows = licences.unionByName(none)
+    return rows.withColumns({"held": F.pmod(F.xxhash64("words"), F.lit(5)) == 0, "terms": _terms()})
 
 
 class LicenseModel:
@@ -119,28 +210,33 @@ def _probabilities(stages: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, false_alarms: float = FALSE_ALARMS) -> LicenseModel:
-    """Train on bounded data; cut where ``false_alarms`` of the held-out unknown rows would pass, 0.5 at least."""
-    rows = training_rows(docs)
+    """Train on bounded data; cut where at most ``false_alarms`` of the held-out unknown rows would pass."""
     number = F.create_map(*[F.lit(x) for i, f in enumerate(FAMILIES) for x in (f, float(i))])
-    rows = rows.withColumn("label", number[F.col("family")]).coalesce(4).cache()
-    stages = Pipeline(
-        stages=[
-            NGram(n=2, inputCol="words", outputCol="pairs"),
-            SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-            HashingTF(numFeatures=1 << 14, binary=True, inputCol="terms", outputCol="features"),
-            LogisticRegression(family="multinomial", regParam=0.001, maxIter=40, standardization=False),
-        ]
-    ).fit(rows.where(~F.col("held")))
+    rows = training_rows(docs).withColumn("label", number[F.col("family")]).coalesce(4).cache()
+    vector = CountVectorizerModel.from_vocabulary([*_WORDS, *_PAIRS], inputCol="terms", outputCol="features").setBinary(True)
+    regression = LogisticRegression(family="multinomial", regParam=0.0001, maxIter=80, standardization=False)
+    train = rows.where(~F.col("held"))
+    stages = PipelineModel([vector, regression.fit(vector.transform(train))])
     unknown = _probabilities(stages, rows.where(F.col("held") & (F.col("family") == UNKNOWN)))
     cut = unknown.agg(F.percentile(F.col("best")["p"], F.lit(1.0 - false_alarms))).first()[0]
     rows.unpersist()
-    return LicenseModel(stages, min(0.9, max(0.5, cut or 0.5)))
+    return LicenseModel(stages, max(0.5, cut or 0.5))
 
 
 def scanned(docs: DataFrame, model: LicenseModel | None = None, overlap_cut: float = OVERLAP) -> DataFrame:
-    """doc_id, line, family, probability, overlap of every confirmed licence paragraph."""
+    """doc_id, paragraph, line, family, probability, overlap of every family confirmed in a paragraph.
+
+    Of the windows that find a family in a paragraph the one with the largest overlap stands, the first
+    of equal ones; ``line`` is the line (from 0) on which it begins.
+    """
     model = model or fit(docs)
-    found = _probabilities(model.stages, lines_of(docs)).where(F.col("best")["p"] >= model.cut)
+    rows = windows_of(docs, needed_words(overlap_cut)).withColumn("terms", _terms())
+    found = _probabilities(model.stages, rows).where(F.col("best")["p"] > model.cut)
     names = F.array(*[F.lit(f) for f in TEMPLATES])
-    named = found.select("doc_id", "line", "words", F.get(names, F.col("best")["i"]).alias("family"), F.col("best")["p"].alias("probability"))
-    return named.withColumn("overlap", overlap(F.col("words"), F.col("family"))).where(F.col("overlap") >= overlap_cut).drop("words")
+    named = found.select("row", "doc_id", "paragraph", "at", "line", F.get(names, F.col("best")["i"]).alias("family"), F.col("best")["p"].alias("probability"), "words")
+    sure = named.withColumn("c", confirmed()).where(F.col("c.overlap") >= overlap_cut).select("row", "doc_id", "paragraph", "at", "line", "c.family", "probability", "c.overlap")
+    first = F.create_map(*[F.lit(x) for f, own in kin().items() for x in (f, own[0])])  # a family in each kin stands for it
+    near = Window.partitionBy("row", "paragraph", first[F.col("family")]).orderBy("at").rangeBetween(1 - WINDOW, WINDOW - 1)
+    sure = sure.withColumn("most", F.max("overlap").over(near)).where(F.col("overlap") == F.col("most"))
+    best = F.max(F.struct("overlap", (-F.col("at")).alias("up"), "line", "probability")).alias("b")
+    return sure.groupBy("row", "doc_id", "paragraph", "family").agg(best).select("doc_id", "paragraph", "b.line", "family", "b.probability", "b.overlap")
