@@ -126,10 +126,37 @@ def finalise_stats(stats: DataFrame) -> DataFrame:
     return out.withColumn("t_stat", F.when(F.col("stdev_pct") > 1e-9, F.col("net_avg_pct") / F.col("stdev_pct") * F.sqrt(n)))
 
 
+def _quantile(hist: Column, total: Column, q: float) -> Column:
+    """The middle of the first of the sorted bins (bin, n) that reaches ceil(q n) outcomes; the end bins give their edge."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
+    reach = F.greatest(F.lit(1), F.ceil(q * total))
+    step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.coalesce(s["at"], F.when(s["seen"] + x["n"] >= reach, x["bin"])).alias("at"))
+    value = lambda b: F.when(b <= HIST_LEAST, HIST_LEAST / 10.0).when(b >= HIST_MOST, HIST_MOST / 10.0).otherwise((b + 0.5) / 10.0)
+    return F.aggregate(hist, start, step, lambda s: value(s["at"]))
+
+
 def screen(outcomes: DataFrame, keys=GROUP) -> DataFrame:
-    """All statistics of each group."""
-    stats = finalise_stats(group_stats(outcomes, keys))
-    return stats.join(group_concentration(outcomes, keys), list(keys)).join(hist_quantiles(group_hist(outcomes, keys), QUANTILES, keys), list(keys))
+    """All statistics of each group, from one pass over the outcomes.
+
+    Sums are taken by symbol, by date and by bin at once (grouping sets); a group's own row follows from
+    those: a histogram has a bounded number of bins.
+    """
+    rows = outcomes.select(*keys, "symbol", "trade_date", hist_bin(F.col("net")).alias("bin"), "gross", "net")
+    parts = ("symbol", "trade_date", "bin")
+    net = F.col("net")
+    sums = (
+        F.count("*").alias("n"), F.sum("gross").alias("gross_sum"), F.sum("net").alias("net_sum"), F.sum(net * net).alias("net_sum_squares"), F.count_if(net > 0).alias("wins"), F.sum(F.when(net > 0, net).otherwise(0.0)).alias("positive_sum"),
+        F.sum(F.when(net < 0, -net).otherwise(0.0)).alias("negative_sum_abs"), F.min("net").alias("worst_pct"), F.max("net").alias("best_pct"), F.grouping_id().alias("_g"),
+    )
+    columns = [F.col(c) for c in (*keys, *parts)]
+    cut = rows.groupingSets([[*columns[: len(keys)], F.col(p)] for p in parts], *columns).agg(*sums)
+    of = {p: F.col("_g") == 7 - (4 >> i) for i, p in enumerate(parts)}
+    only = lambda p, c: F.when(of[p], F.col(c))
+    added = ("gross_sum", "net_sum", "net_sum_squares", "wins", "positive_sum", "negative_sum_abs")
+    shares = [x for p, many, share in (("symbol", "symbols", "max_symbol_share_pct"), ("trade_date", "dates", "max_date_share_pct")) for x in (F.count_if(of[p]).alias(many), (100.0 * F.max(only(p, "n")) / F.sum(only(p, "n"))).alias(share))]
+    hist = F.sort_array(F.collect_list(F.when(of["bin"], F.struct("bin", "n")))).alias("_hist")
+    out = cut.groupBy(*keys).agg(F.sum(only("bin", "n")).alias("observations"), *[F.sum(only("bin", c)).alias(c) for c in added], F.min(only("bin", "worst_pct")).alias("worst_pct"), F.max(only("bin", "best_pct")).alias("best_pct"), *shares, hist)
+    return finalise_stats(out).withColumns({n: _quantile(F.col("_hist"), F.col("observations"), q) for n, q in QUANTILES.items()}).drop("_hist")
 
 
 def join_validation(found: DataFrame, valid: DataFrame, keys=GROUP) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -22,10 +23,12 @@ _STATS = "trading_days:l, average_bars_per_day:d, median_daily_dollar_volume:d,
 
 
 def scratch(spark, label: str) -> str:
-    """A folder for a query's own files, in the cluster's shared folder where one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    import uuid
-
+    """A folder for a query's own files, in the cluster's shared folder; a temporary one only within one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
