@@ -28,10 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where that setting is absent (single-machine tests) a temporary folder is taken.
+    Only where that setting is absent and the session runs in one process, as in tests, a temporary
+    folder is taken; on a cluster its absence is an error, for executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
