@@ -182,19 +182,47 @@ def test_token_output_round_trip(docs, empty):
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert token_output.round_trip(empty).count() == 0
+    odd = docs.sparkSession.createDataFrame([(None, "b c"), (None, None), (3, "x"), (3, "a"), (2, "word " * 30_000)], "doc_id long, text string")
+    rows = sorted(token_output.round_trip(odd).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 2, 3, 3] and [r.n_tokens for r in rows][0] == 1
+    assert [r.start for r in rows] == np.r_[0, np.cumsum([r.n_tokens for r in rows])][:-1].tolist()
+    segments = token_output.encoded(odd).collect()
+    cut = docs.sparkSession.createDataFrame([(r.part, bytearray(r.bytes[:60]) + bytearray([r.bytes[60] ^ 1]) + bytearray(r.bytes[61:])) for r in segments], "part int, bytes binary")
+    with pytest.raises(Exception, match="BrokenBlock|checksum|Error"):
+        token_output.decoded(cut).collect()
 
 
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 30_000])
 def test_id_coder(n):
     rng = np.random.default_rng(n)
     x = np.concatenate([rng.zipf(1.4, n) % 49_408, np.full(min(n, 500), 7)])
-    data = id_coder.encode_segment(x)
-    assert (id_coder.decode_segment(data) == x).all()
+    data = id_coder.encode_segment(x, own=b"of the writer")
+    assert (id_coder.decode_segment(data) == x).all() and id_coder.own_bytes(data) == b"of the writer"
+    last = -(-len(x) // 2048) - 1
+    for which in ([0], [last], [0, last]):
+        if n:
+            blocks = id_coder.decode_blocks(data, sorted(set(which)))
+            assert all((b == x[i * 2048 : (i + 1) * 2048]).all() for b, i in zip(blocks, sorted(set(which)), strict=True))
     if n > 2048:
         broken = bytearray(data)
         broken[-40] ^= 255
         with pytest.raises(id_coder.BrokenBlock):
             id_coder.decode_segment(bytes(broken))
+        assert (id_coder.decode_blocks(bytes(broken), [0])[0] == x[:2048]).all()  # another block's damage is not its own
+        broken = bytearray(data)
+        broken[40] ^= 255
+        with pytest.raises(id_coder.BrokenBlock):
+            id_coder.own_bytes(bytes(broken))
+
+
+def test_id_coder_adapts_to_a_block():
+    """Ids that are rare in the segment and common in a block cost less than the segment's entropy says."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([1000 + 40 * i + rng.integers(0, 40, 2048) for i in range(64)])
+    share = np.bincount(x) / len(x)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    data = id_coder.encode_segment(x)
+    assert (id_coder.decode_segment(data) == x).all() and 8 * len(data) / len(x) < 0.65 * entropy
 
 
 @pytest.mark.parametrize("file, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])

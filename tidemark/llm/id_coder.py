@@ -1,18 +1,21 @@
 """A context-mixing range coder for token ids, run on many blocks at once.
 
 A segment is cut into blocks of ``BLOCK`` ids. Every block starts from the same fresh state and is
-coded on its own, with a CRC-32 of its ids, so that any block can be read without the others. All
-blocks of a segment advance together, one id each a step: one NumPy operation serves them all.
+coded on its own, with a CRC-32 of its ids, so that any block can be read without the others
+(``decode_blocks``). All blocks of a segment advance together, one id each a step: one NumPy operation
+serves them all.
 
-Three predictions are mixed for each id:
+Four predictions are mixed for each id:
 
-* order 0: how common ids are in the segment, from a table in its header;
+* order 0, adaptive: counts of the ids of this block, in a hashed cache whose rare entries give way;
 * order 1 and order 2: the id that last followed the previous one or two ids in this block, with a
-  confidence count. How often a count is right is learnt as the block goes.
+  confidence count. How often a count is right is learnt as the block goes;
+* a fallback that knows every id: how common ids are in the segment, from a table in its header.
 
-The mixture's weights follow Bayes' rule with a floor. The coder's interval is split in three: the
-order-2 id, the order-1 id, and an escape after which the id is coded by order 0. Probabilities use
-only IEEE basic operations, so that encoder and decoder agree on every machine.
+The mixture's weights follow Bayes' rule with a floor. The coder's interval is split in parts: the
+order-2 id, the order-1 id, the ids of the cache by their counts, and an escape after which the id is
+coded by the fallback. Probabilities use only IEEE basic operations, so that encoder and decoder agree
+on every machine. A segment also carries bytes of its writer's own, with a CRC-32 of theirs.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"TMIDS1\0\0"
-_SLOTS1, _SLOTS2, _LEVELS = 1024, 2048, 8
+MAGIC = b"TMIDS2\0\0"
+_SLOTS0, _SLOTS1, _SLOTS2, _LEVELS = 512, 1024, 2048, 8
+_MOST_COUNT, _GROUP0 = 1 << 14, 16
 _STEP_BITS, _BASE_BITS = 16, 24
 _FULL, _LOW = (1 << 48) - 1, 1 << 32
 _U = np.uint64
@@ -48,20 +52,22 @@ class _Model:
         self.sure1, self.sure2 = np.zeros((lanes, _SLOTS1), np.int8), np.zeros((lanes, _SLOTS2), np.int8)
         start = np.r_[0.0, np.linspace(0.3, 0.9, _LEVELS - 1)]
         self.right1, self.right2 = np.tile(start, (lanes, 1)), np.tile(start, (lanes, 1))
-        self.w = np.full((3, lanes), 1 / 3)
+        self.w = np.full((4, lanes), 1 / 4)
+        self.id0, self.count0, self.total0 = np.full((lanes, _SLOTS0), -1, np.int32), np.zeros((lanes, _SLOTS0), np.int32), np.zeros(lanes, np.int64)
+        self.sums0 = np.zeros((lanes, _SLOTS0 // _GROUP0), np.int32)  # counts by group of slots
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.cut(lanes)
 
     def cut(self, lanes: int) -> None:
         """Go on with the first blocks only: the last may be shorter."""
         self.n = np.arange(lanes)
-        for k in ("id1", "id2", "sure1", "sure2", "right1", "right2", "prev1", "prev2"):
+        for k in ("id0", "id1", "id2", "sure1", "sure2", "right1", "right2", "prev1", "prev2", "count0", "total0", "sums0"):
             setattr(self, k, getattr(self, k)[:lanes])
         self.w = self.w[:, :lanes]
-        self.flat = {k: getattr(self, k).reshape(-1) for k in ("id1", "id2", "sure1", "sure2", "right1", "right2")}
+        self.flat = {k: getattr(self, k).reshape(-1) for k in ("id0", "id1", "id2", "sure1", "sure2", "right1", "right2", "count0", "sums0")}
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The widths, out of 2**16, of the order-2 id and of the order-1 id."""
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The widths, out of 2**16, of the order-2 id, of the order-1 id and of all of the cache."""
         f = self.flat
         self.at1 = self.n * _SLOTS1 + ((self.prev1 * 40503) >> 4) % _SLOTS1
         self.at2 = self.n * _SLOTS2 + ((self.prev1 * 40503 + self.prev2 * 30011 + 7) >> 3) % _SLOTS2
@@ -74,16 +80,60 @@ class _Model:
         same = np.flatnonzero((self.c1 == self.c2) & (a2 > 0))
         a2[same] += a1[same]
         a1[same] = 0
-        return a2, a1
+        self.a0 = (self.w[3] * 65000.0).astype(np.int64) * (self.total0 > 0)
+        return a2, a1, self.a0
+
+    def slots0(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return ((ids * 40503) >> 4) % _SLOTS0 + lanes * _SLOTS0
+
+    def cached(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the ids are in the cache, where their parts of its interval begin, and their widths."""
+        flat = self.slots0(lanes, ids)
+        there = np.flatnonzero(self.flat["id0"].take(flat) == ids)
+        lanes, flat = lanes[there], flat[there]
+        slot = flat - lanes * _SLOTS0
+        group, row = slot // _GROUP0, np.arange(len(lanes))
+        sums = self.sums0[lanes]
+        before = np.cumsum(sums, 1)[row, group] - sums[row, group]
+        within = self.count0.reshape(len(self.count0), -1, _GROUP0)[lanes, group]
+        end = before + np.cumsum(within, 1)[row, slot % _GROUP0]
+        begin, end = self._scaled(lanes, end - self.flat["count0"].take(flat)), self._scaled(lanes, end)
+        return there, begin, end - begin
+
+    def pointed(self, lanes: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose parts hold the spots of the cache's interval, and the parts' begins and widths."""
+        row = np.arange(len(lanes))
+        sums = np.cumsum(self.sums0[lanes], 1)
+        group = (self._scaled(lanes[:, None], sums) <= spot[:, None]).sum(1)
+        before = np.where(group > 0, sums[row, np.maximum(group - 1, 0)], 0)
+        ends = before[:, None] + np.cumsum(self.count0.reshape(len(self.count0), -1, _GROUP0)[lanes, group], 1)
+        scaled = self._scaled(lanes[:, None], ends)
+        at = (scaled <= spot[:, None]).sum(1)
+        begin = np.where(at > 0, scaled[row, np.maximum(at - 1, 0)], self._scaled(lanes, before))
+        return self.id0[lanes, group * _GROUP0 + at].astype(np.int64), begin, scaled[row, at] - begin
+
+    def _scaled(self, lanes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return self.a0[lanes] * counts // self.total0[lanes]
 
     def update(self, ids: np.ndarray) -> None:
         f = self.flat
         h1, h2 = (self.c1 == ids) & (self.s1 > 0), (self.c2 == ids) & (self.s2 > 0)
         p0 = self.share0.take(ids)
         l1, l2 = np.where(h1, self.q1, (1.0 - self.q1) * p0), np.where(h2, self.q2, (1.0 - self.q2) * p0)
-        w0, w1, w2 = self.w[0] * p0, self.w[1] * l1, self.w[2] * l2
-        scale = 0.97 / (w0 + w1 + w2)
-        self.w[0], self.w[1], self.w[2] = w0 * scale + 0.01, w1 * scale + 0.01, w2 * scale + 0.01
+        at0 = self.slots0(self.n, ids)
+        n0 = f["count0"].take(at0)
+        h0 = f["id0"].take(at0) == ids
+        w0, w1, w2, w3 = self.w[0] * p0, self.w[1] * l1, self.w[2] * l2, self.w[3] * (h0 * n0 / np.maximum(self.total0, 1) + 0.05 * p0)
+        scale = 0.96 / (w0 + w1 + w2 + w3)
+        self.w[0], self.w[1], self.w[2], self.w[3] = w0 * scale + 0.01, w1 * scale + 0.01, w2 * scale + 0.01, w3 * scale + 0.01
+        left = n0 >> 1  # what another id leaves of a count; nothing left, it takes the slot
+        now = np.where(h0, np.minimum(n0 + 2, _MOST_COUNT), np.where(left > 0, left, 2))
+        taken = np.flatnonzero(~h0 & (left == 0))
+        f["id0"][at0[taken]] = ids[taken]
+        f["count0"][at0] = now
+        now -= n0
+        self.total0 += now
+        f["sums0"][at0 // _GROUP0] += now
         for h, s, q, k, at, right, sure, idk in (
             (h1, self.s1, self.q1, self.k1, self.at1, "right1", "sure1", "id1"),
             (h2, self.s2, self.q2, self.k2, self.at2, "right2", "sure2", "id2"),
@@ -174,8 +224,8 @@ def _base_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return width, begin, width / float(1 << _BASE_BITS)
 
 
-def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment's bytes: header, order-0 table, block sizes and checksums, blocks. ``block`` <= BLOCK."""
+def encode_segment(ids: np.ndarray, block: int = BLOCK, own: bytes = b"") -> bytes:
+    """A segment's bytes: header, the writer's ``own`` bytes, fallback table, block sizes and checksums, blocks. ``block`` <= BLOCK."""
     ids = np.ascontiguousarray(ids, np.int64)
     n = len(ids)
     lanes = -(-n // block)
@@ -197,62 +247,100 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
                 if not len(active):
                     break
             s = grid[t, : len(active)]
-            a2, a1 = model.predict()
+            a2, a1, a0 = model.predict()
             is2 = (s == model.c2) & (a2 > 0)
             is1 = (s == model.c1) & (a1 > 0) & ~is2
-            low = np.where(is2, 0, np.where(is1, a2, a2 + a1))
-            width = np.where(is2, a2, np.where(is1, a1, 65536 - a2 - a1))
+            low = np.where(is2, 0, np.where(is1, a2, a2 + a1 + a0))
+            width = np.where(is2, a2, np.where(is1, a1, 65536 - a2 - a1 - a0))
+            escaped = ~(is2 | is1)
+            rest = np.flatnonzero(escaped & (a0 > 0))
+            if len(rest):
+                there, begin, own_width = model.cached(rest, s[rest])
+                rest = rest[there]
+                # an id that is in the cache may still be cheaper by the fallback
+                found = own_width > width[rest] * share0.take(s[rest])
+                rest = rest[found]
+                low[rest], width[rest] = a2[rest] + a1[rest] + begin[found], own_width[found]
+                escaped[rest] = False
             writer.put(slice(len(active)), low, width, _STEP_BITS)
-            escaped = np.flatnonzero(~(is2 | is1))
+            escaped = np.flatnonzero(escaped)
             if len(escaped):
                 x = s[escaped]
                 writer.put(escaped, begin0.take(x), width0.take(x), _BASE_BITS)
             model.update(s)
         blocks = writer.end()
     sizes = np.array([len(b) for b in blocks], "<u4")
-    return b"".join([MAGIC, struct.pack("<QIII", n, block, lanes, len(table)), table, sizes.tobytes(), crcs.tobytes(), *blocks])
+    return b"".join([MAGIC, struct.pack("<QIIIII", n, block, lanes, len(table), len(own), zlib.crc32(own)), own, table, sizes.tobytes(), crcs.tobytes(), *blocks])
 
 
-def decode_segment(data: bytes) -> np.ndarray:
-    """The ids of a segment; BrokenBlock if a block does not have its checksum."""
+_HEAD = 8 + struct.calcsize("<QIIIII")
+
+
+def _header(data: bytes) -> tuple[int, int, int, int, int, int]:
     if data[:8] != MAGIC:
         raise BrokenBlock("not a segment")
-    n, block, lanes, m = struct.unpack_from("<QIII", data, 8)
-    at = 28
+    return struct.unpack_from("<QIIIII", data, 8)
+
+
+def own_bytes(data: bytes) -> bytes:
+    """What the segment's writer put beside the ids; BrokenBlock if it does not have its checksum."""
+    *_, size, crc = _header(data)
+    own = data[_HEAD : _HEAD + size]
+    if zlib.crc32(own) != crc:
+        raise BrokenBlock("the segment's own bytes do not have their checksum")
+    return own
+
+
+def decode_blocks(data: bytes, which: list[int] | None = None) -> list[np.ndarray]:
+    """The ids of the chosen blocks, or of all, without decoding others; BrokenBlock if one does not have its checksum."""
+    n, block, lanes, m, size, _ = _header(data)
+    at = _HEAD + size
     counts = np.frombuffer(zlib.decompress(data[at : at + m]), "<u4").astype(np.int64)
     at += m
-    sizes, crcs = np.frombuffer(data, "<u4", lanes, at), np.frombuffer(data, "<u4", lanes, at + 4 * lanes)
-    at += 8 * lanes
-    if not n:
-        return np.empty(0, np.uint32)
-    words = np.frombuffer(data[at:], "<u2")
+    sizes, crcs = np.frombuffer(data, "<u4", lanes, at).astype(np.int64), np.frombuffer(data, "<u4", lanes, at + 4 * lanes)
+    begins = at + 8 * lanes + np.r_[0, np.cumsum(sizes)]
+    chosen = list(range(lanes)) if which is None else sorted(which)
+    if not chosen:
+        return []
+    words = np.frombuffer(b"".join(data[begins[i] : begins[i + 1]] for i in chosen), "<u2")
     width0, begin0, share0 = _base_table(counts)
-    reader = _Reader(words, np.r_[0, np.cumsum(sizes // 2)].astype(np.int64))
-    last = n - (lanes - 1) * block
-    grid = np.zeros((block, lanes), np.int64)
-    model, active = _Model(lanes, share0), np.arange(lanes)
+    reader = _Reader(words, np.r_[0, np.cumsum(sizes[chosen] // 2)].astype(np.int64))
+    length = np.array([min(block, n - i * block) for i in chosen])
+    grid = np.zeros((block, len(chosen)), np.int64)
+    model, active = _Model(len(chosen), share0), np.arange(len(chosen))
     for t in range(block):
-        if t == last:
+        if t == length[-1] and len(active) == len(chosen):
             active = active[:-1]
-            model.cut(lanes - 1)
+            model.cut(len(active))
             if not len(active):
                 break
-        a2, a1 = model.predict()
+        a2, a1, a0 = model.predict()
         every = slice(len(active))
         spot = reader.spot(every, _STEP_BITS)
         is2 = spot < a2
         is1 = ~is2 & (spot < a2 + a1)
-        reader.drop(every, np.where(is2, 0, np.where(is1, a2, a2 + a1)), np.where(is2, a2, np.where(is1, a1, 65536 - a2 - a1)))
+        is0 = ~is2 & ~is1 & (spot < a2 + a1 + a0)
+        low, width = np.where(is2, 0, np.where(is1, a2, a2 + a1 + a0)), np.where(is2, a2, np.where(is1, a1, 65536 - a2 - a1 - a0))
         s = np.where(is2, model.c2, model.c1).astype(np.int64)
-        escaped = np.flatnonzero(~(is2 | is1))
+        held = np.flatnonzero(is0)
+        if len(held):
+            s[held], begin, own_width = model.pointed(held, spot[held] - a2[held] - a1[held])
+            low[held], width[held] = a2[held] + a1[held] + begin, own_width
+        reader.drop(every, low, width)
+        escaped = np.flatnonzero(~(is2 | is1 | is0))
         if len(escaped):
             x = np.minimum(np.searchsorted(begin0, reader.spot(escaped, _BASE_BITS), "right") - 1, len(counts) - 1)
             reader.drop(escaped, begin0[x], width0[x])
             s[escaped] = x
         grid[t, : len(active)] = s
         model.update(s)
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype(np.uint32)
-    for i in range(lanes):
-        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != crcs[i]:
+    out = [grid[:k, i].astype(np.uint32) for i, k in enumerate(length)]
+    for i, ids in zip(chosen, out):
+        if zlib.crc32(ids.astype("<u4").tobytes()) != crcs[i]:
             raise BrokenBlock(f"block {i} does not have its checksum")
-    return ids
+    return out
+
+
+def decode_segment(data: bytes) -> np.ndarray:
+    """All ids of a segment."""
+    return np.concatenate([np.empty(0, np.uint32), *decode_blocks(data)])

@@ -1,11 +1,12 @@
 """Token-id output: whole texts as ids in range-coded segments, in ascending document order.
 
 ``encoded`` deals documents out by ranges of doc_id, encodes each range in order and cuts it into
-segments of whole documents. A row of its result is one segment: where it stands, its documents
-(ids and lengths) and its bytes in the format of ``id_coder``. Rows are written as a Parquet table in
-the shared folder: Spark commits it task by task, so a lost executor costs only its own tasks.
-``decoded`` reads segments back on their own. A segment's place in the whole is the sum of the
-ids of all ranges before its own, one number for each range.
+segments of whole documents. A row of its result is one segment in the format of ``id_coder``: ids in
+coded blocks, and in the same bytes, with a checksum, its documents (ids and lengths) and how many ids
+its range has before it. Rows are written as a Parquet table in the shared folder: Spark commits it
+task by task, so a lost executor costs only its own tasks. ``decoded`` reads segments back from their
+bytes alone and checks lengths against end ids. A segment's place in the whole is the sum of the ids
+of all ranges before its own, one number for each range.
 
 Defined results: null and empty texts hold just the end id; rows with equal doc_id follow one
 another by text; null doc_id comes first; a text of any length stays in one segment; extra columns
@@ -24,11 +25,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stored
-from tidemark.llm.id_coder import decode_segment, encode_segment
+from tidemark.llm.id_coder import BrokenBlock, decode_segment, encode_segment, own_bytes
 from tidemark.llm.tokens import encoder, tokenizer_path
 
 SEGMENT_IDS = 8_000_000
-_SEGMENT = "part int, segment int, part_start long, n_ids long, doc_ids array<long>, lengths array<long>, bytes binary"
+_SEGMENT = "part int, segment int, n_ids long, bytes binary"
+
+
+def _packed(start: int, doc_ids: list, lengths: list[int]) -> bytes:
+    """The documents of a segment: the ids before it, then doc_ids, whether they are given, and lengths."""
+    columns = [[start, len(doc_ids)], [i or 0 for i in doc_ids], [int(i is not None) for i in doc_ids], lengths]
+    return zlib.compress(np.array([x for c in columns for x in c], "<i8").tobytes(), 6)
+
+
+def _unpacked(own: bytes) -> tuple[int, list, np.ndarray]:
+    start, k, *_ = x = np.frombuffer(zlib.decompress(own), "<i8")
+    ids, given, lengths = x[2 : 2 + k], x[2 + k : 2 + 2 * k], x[2 + 2 * k :]
+    return int(start), [int(i) if g else None for i, g in zip(ids, given)], lengths
 
 
 def encoded(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 2, spaced: bool = False, segment_ids: int = SEGMENT_IDS) -> DataFrame:
@@ -45,7 +58,7 @@ def encoded(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 2,
         def flush() -> pa.RecordBatch:
             nonlocal segment, start, size
             ids = np.concatenate(held) if held else np.empty(0, np.uint32)
-            row = {"part": [part], "segment": [segment], "part_start": [start], "n_ids": [len(ids)], "doc_ids": [list(doc_ids)], "lengths": [list(lengths)], "bytes": [encode_segment(ids)]}
+            row = {"part": [part], "segment": [segment], "n_ids": [len(ids)], "bytes": [encode_segment(ids, own=_packed(start, doc_ids, lengths))]}
             segment, start, size = segment + 1, start + len(ids), 0
             for x in (doc_ids, held, lengths):
                 x.clear()
@@ -68,26 +81,29 @@ def encoded(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 2,
 
 
 _ARROW = pa.schema(
-    [("part", pa.int32()), ("segment", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("bytes", pa.binary())]
+    [("part", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("bytes", pa.binary())]
 )
 
 
-def decoded(segments: DataFrame) -> DataFrame:
+def decoded(segments: DataFrame, end: int = 2) -> DataFrame:
     """doc_id, part, start (within the part), n_tokens and ids_crc32 of every document, from the
-    segments' bytes alone; a segment with a broken block raises."""
+    segments' bytes alone; a broken segment, or a document without its end id, raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = decode_segment(row["bytes"]).astype("<u4")
-                ends = np.cumsum(row["lengths"])
-                crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends, row["lengths"])]
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("bytes").to_pylist()):
+                start, doc_ids, lengths = _unpacked(own_bytes(data))
+                ids = decode_segment(data).astype("<u4")
+                ends = np.cumsum(lengths)
+                if len(ids) != (ends[-1] if len(ends) else 0) or (ids[ends - 1] != end).any():
+                    raise BrokenBlock("documents do not end where the segment says")
+                crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends, lengths)]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": row["doc_ids"], "part": [row["part"]] * len(ends), "start": row["part_start"] + ends - row["lengths"], "n_tokens": row["lengths"], "ids_crc32": crcs},
+                    {"doc_id": doc_ids, "part": [part] * len(ends), "start": start + ends - lengths, "n_tokens": lengths, "ids_crc32": crcs},
                     schema=pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]),
                 )
 
-    return segments.select("part", "part_start", "doc_ids", "lengths", "bytes").mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
+    return segments.select("part", "bytes").mapInArrow(run, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
