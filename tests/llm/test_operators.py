@@ -123,6 +123,42 @@ def test_jaccard_join_equals_all_pairs(docs, empty, short, monkeypatch):
     assert ngram_join.components(empty).count() == 0
 
 
+def test_jaccard_join_of_a_split_group_and_shared_ids(spark, monkeypatch):
+    """A large group around the limit, its cells cut into many blocks; rows that share a doc_id; null ids and repeats."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "SHORT", 2)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 8)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        w = base.copy()
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            w[rng.randrange(90)] = f"e{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(w)))
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "xyz")
+    rows += [(1, a), (5, a), (5, b), (3, b), (5, b), (None, c), (8, c), (None, "alone in the world of all words"), (9, ""), (9, a)]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [(k, frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3))) for k, w in ((k, t.split()) for k, t in rows)]
+    up = list(range(len(sets)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (k, x) in enumerate(sets):
+        for j, (m, y) in enumerate(sets[:i]):
+            if (k is not None and k == m) or (x and y and 100 * len(x & y) >= 85 * len(x | y)):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    least = {}
+    for i, (k, _) in enumerate(sets):
+        if k is not None:
+            least[top(i)] = min(k, least.get(top(i), k))
+    want = sorted((repr(k), len(x), repr(least.get(top(i)))) for i, (k, x) in enumerate(sets))
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == want
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(e).collect()}
