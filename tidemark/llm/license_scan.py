@@ -187,8 +187,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     part = table.where("copy < 20").select(F.concat(F.slice("template", 1, few), filler(some(20, 3), 3)).alias("words"))  # the beginning only
     kept = F.filter("template", lambda w, i: (F.col("copy") < 20) | (chance(w, i, F.col("copy")) > 0.08))
     # a notice alone, behind a few words, and inside a window of the corpus
-    size = numbered.agg(F.count("*").alias("size"))
-    table = table.withColumn("one", F.lit(1)).join(F.broadcast(size.withColumn("one", F.lit(1))), "one").withColumn("n", F.pmod(F.xxhash64("copy", "template", F.lit(7)), F.col("size")).cast("int")).join(numbered.withColumnRenamed("words", "other"), "n")
+    table = table.withColumn("n", F.pmod(F.xxhash64("copy", "template", F.lit(7)), F.lit(numbered.count())).cast("int")).join(numbered.withColumnRenamed("words", "other"), "n")
     whole = F.when(F.col("copy") % 4 == 0, kept).when(F.col("copy") % 4 == 1, F.concat(filler(some(5, 4), 4), kept)).otherwise(F.concat(F.slice("other", 1, some(40, 5)), kept, F.slice("other", 41, some(24, 6))))
     licences = table.select("family", whole.alias("words"))
     none = corpus.unionByName(stock).unionByName(stray).unionByName(part).select(F.lit(UNKNOWN).alias("family"), "words")
