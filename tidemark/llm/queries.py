@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, html_extraction, katz, license_scan, ngram_join, packing, quality_rules, source_mixing, token_output, warc
+from tidemark.llm import fill_in_middle, fingerprints, html_extraction, katz, license_scan, ngram_join, packing, pivot_search, quality_rules, source_divergence, source_mixing, token_output, warc
 from tidemark.llm.common import read_table
 
 
@@ -63,6 +63,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extracted(read_table(spark, sf_dir, "pages"))
 
 
+def op11_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_products(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergences(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,8 +82,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lexical_packing, op2_capture_index, op3_token_output, op4_quality_rules, op5_ngram_jaccard_join, op6_bottom_k_fingerprints, op7_source_mixing, op8_katz_scores, op9_license_scan, op10_html_extraction, pipeline)}
+    return {f.__name__: f for f in (op1_lexical_packing, op2_capture_index, op3_token_output, op4_quality_rules, op5_ngram_jaccard_join, op6_bottom_k_fingerprints, op7_source_mixing, op8_katz_scores, op9_license_scan, op10_html_extraction, op11_pivot_search, op12_source_divergence, op13_fill_in_middle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_capture_index": OP2_SQL}
+    return {"op2_capture_index": OP2_SQL, "op11_pivot_search": pivot_search.SQL, "op12_source_divergence": source_divergence.SQL, "op13_fill_in_middle": fill_in_middle.SQL}
