@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import month_label, week_label, weekday_calendar
+from tidemark.operators.selection import joined, quantiles
 
 YEAR_DAYS = 252
 
@@ -14,31 +15,32 @@ def trade_distribution(obs: DataFrame, keys: list[str]) -> DataFrame:
     """Winners and losers, tails and shape (population moments) of net outcomes."""
     x = F.col("net")
     win, lose = F.when(x > 0, x), F.when(x < 0, x)
-    half = F.lit(0.5)
-    df = obs.where("net IS NOT NULL").groupBy(*keys).agg(
-        F.count("*").alias("observations"), F.avg(win).alias("average_winner_pct"), F.percentile(win, half).alias("median_winner_pct"), F.avg(lose).alias("average_loser_pct"), F.percentile(lose, half).alias("median_loser_pct"),
-        F.count_if(x == 0).alias("breakeven_trades"), F.percentile("net", F.lit(0.01)).alias("p01_pct"), F.skewness("net").alias("_skew"), F.kurtosis("net").alias("_kurt"), F.stddev_pop("net").alias("_sd"),
+    known = obs.where("net IS NOT NULL")
+    df = known.groupBy(*keys).agg(
+        F.count("*").alias("observations"), F.avg(win).alias("average_winner_pct"), F.avg(lose).alias("average_loser_pct"),
+        F.count_if(x == 0).alias("breakeven_trades"), F.skewness("net").alias("_skew"), F.kurtosis("net").alias("_kurt"), F.stddev_pop("net").alias("_sd"),
     )
     shape = lambda c: F.when(F.col("observations") < 3, None).when(F.col("_sd") <= 1e-12, 0.0).otherwise(F.col(c))
     df = df.withColumns({"win_loss_magnitude_ratio": F.abs(F.try_divide("average_winner_pct", "average_loser_pct")), "skewness": shape("_skew"), "excess_kurtosis": shape("_kurt")})
-    return df.drop("_skew", "_kurt", "_sd")
+    return joined(df.drop("_skew", "_kurt", "_sd"), quantiles(known, keys, {"median_winner_pct": (win, 0.5), "median_loser_pct": (lose, 0.5), "p01_pct": ("net", 0.01)}), keys)
 
 
 def expected_shortfall(obs: DataFrame, keys: list[str], qs=(0.05, 0.01)) -> DataFrame:
     """Mean of the outcomes at or below each quantile."""
-    cuts = obs.where("net IS NOT NULL").groupBy(*keys).agg(*[F.percentile("net", F.lit(q)).alias(f"_c{i}") for i, q in enumerate(qs)])
-    joined = obs.where("net IS NOT NULL").join(cuts, keys)
-    return joined.groupBy(*keys).agg(*[F.avg(F.when(F.col("net") <= F.col(f"_c{i}"), F.col("net"))).alias(f"expected_shortfall_{round(100 - 100 * q)}_pct") for i, q in enumerate(qs)])
+    known = obs.where("net IS NOT NULL")
+    cuts = quantiles(known, keys, {f"_c{i}": ("net", q) for i, q in enumerate(qs)})
+    return joined(known, cuts, keys).groupBy(*keys).agg(*[F.avg(F.when(F.col("net") <= F.col(f"_c{i}"), F.col("net"))).alias(f"expected_shortfall_{round(100 - 100 * q)}_pct") for i, q in enumerate(qs)])
 
 
 def event_dependence(obs: DataFrame, keys: list[str]) -> DataFrame:
     """Outcomes of one timestamp as one event."""
     e = obs.where("net IS NOT NULL").groupBy(*keys, "bar_ts").agg(F.avg("net").alias("m"), F.count("*").alias("n"))
-    return e.groupBy(*keys).agg(
-        F.count("*").alias("independent_timestamp_events"), (F.count("*") / F.sum("n")).alias("event_ratio"), F.avg("n").alias("average_trades_per_event"), F.max("n").alias("max_trades_per_event"), F.percentile("n", F.lit(0.95)).alias("p95_trades_per_event"),
-        F.avg("m").alias("event_level_net_expectancy_pct"), F.percentile("m", F.lit(0.5)).alias("event_level_median_pct"), (100.0 * F.avg((F.col("m") > 0).cast("int"))).alias("event_level_win_rate_pct"),
+    out = e.groupBy(*keys).agg(
+        F.count("*").alias("independent_timestamp_events"), (F.count("*") / F.sum("n")).alias("event_ratio"), F.avg("n").alias("average_trades_per_event"), F.max("n").alias("max_trades_per_event"),
+        F.avg("m").alias("event_level_net_expectancy_pct"), (100.0 * F.avg((F.col("m") > 0).cast("int"))).alias("event_level_win_rate_pct"),
         (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("effective_events"),
     )
+    return joined(out, quantiles(e, keys, {"p95_trades_per_event": ("n", 0.95), "event_level_median_pct": ("m", 0.5)}), keys)
 
 
 def icc(obs: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
@@ -131,8 +133,8 @@ def occupancy(obs: DataFrame, minutes: int) -> DataFrame:
 
 def capacity_metrics(obs: DataFrame, rates=(0.01, 0.02, 0.05), column: str = "bar_dollar_volume") -> DataFrame:
     """Dollar volume of signals and what a share of it allows."""
-    q = F.percentile(column, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    d = obs.agg(F.min(column).alias("least"), q[0].alias("p05"), q[1].alias("median"), q[2].alias("p95"), (100.0 * F.avg(F.col(column).isNull().cast("int"))).alias("missing_pct"))
+    d = obs.agg(F.min(column).alias("least"), (100.0 * F.avg(F.col(column).isNull().cast("int"))).alias("missing_pct"))
+    d = joined(d, quantiles(obs, [], {"p05": (column, 0.05), "median": (column, 0.5), "p95": (column, 0.95)}), [])
     d = d.withColumn("rate", F.explode(F.array(*[F.lit(r) for r in rates])))
     return d.withColumns({"capacity_least": F.col("least") * F.col("rate"), "capacity_median": F.col("median") * F.col("rate")})
 

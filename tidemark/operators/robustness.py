@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.rules import rule_filter
+from tidemark.operators.selection import at_top, joined, quantiles, selected, top_count
 
 
 def with_excursion(df: DataFrame, minutes: int) -> DataFrame:
@@ -80,15 +81,19 @@ PERCENTILES = {"p05_pct": 0.05, "p25_pct": 0.25, "median_pct": 0.5, "p75_pct": 0
 
 
 def obs_metrics(obs: DataFrame, keys: list[str]) -> DataFrame:
-    """Signals, missing outcomes and the distribution of net outcomes (column net) by ``keys``."""
+    """Signals, missing outcomes and the distribution of net outcomes (column net) by ``keys``.
+
+    Quantiles are exact, by selection: ``obs`` is read several times, so give a stored table.
+    """
     net = F.col("net")
     n = F.count("net")
     df = obs.groupBy(*keys).agg(
         F.count("*").alias("candidate_signals"), n.alias("observations"), F.avg("gross_return_pct").alias("gross_avg_pct"), F.avg("net").alias("net_avg_pct"), F.stddev_samp("net").alias("stdev_pct"), F.min("net").alias("worst_pct"), F.max("net").alias("best_pct"),
-        (100.0 * F.avg((net > 0).cast("int"))).alias("win_rate_pct"), _profit_factor(net).alias("profit_factor"), F.percentile("net", F.array(*[F.lit(q) for q in PERCENTILES.values()])).alias("_q"),
-        F.avg("mfe_pct").alias("mfe_avg_pct"), F.percentile("mfe_pct", F.lit(0.5)).alias("mfe_median_pct"), F.avg("mae_pct").alias("mae_avg_pct"), F.percentile("mae_pct", F.lit(0.5)).alias("mae_median_pct"),
+        (100.0 * F.avg((net > 0).cast("int"))).alias("win_rate_pct"), _profit_factor(net).alias("profit_factor"),
+        F.avg("mfe_pct").alias("mfe_avg_pct"), F.avg("mae_pct").alias("mae_avg_pct"),
     )
-    df = df.withColumns({name: F.col("_q")[i] for i, name in enumerate(PERCENTILES)}).drop("_q")
+    wanted = {name: ("net", q) for name, q in PERCENTILES.items()} | {"mfe_median_pct": ("mfe_pct", 0.5), "mae_median_pct": ("mae_pct", 0.5)}
+    df = joined(df, quantiles(obs, keys, wanted), keys)
     missing = F.col("candidate_signals") - F.col("observations")
     return df.withColumns({"missing_outcomes": missing, "missing_data_rate_pct": 100.0 * missing / F.col("candidate_signals"), "t_stat": t_stat(F.col("net_avg_pct"), F.col("stdev_pct"), F.col("observations"))})
 
@@ -113,33 +118,41 @@ def loo_min(obs: DataFrame, keys: list[str]) -> DataFrame:
 def top_share(obs: DataFrame, keys: list[str], percents=(1, 5, 10)) -> DataFrame:
     """Share of the total that the best outcomes make, and the mean without them.
 
-    Ranks are counted within bins of a hundredth of a percent, over what the bins above hold, so no
-    task sorts all outcomes of a key.
+    The least outcome among the best is found by selection; what lies above and below it is summed, and
+    those equal to it are counted: nothing is sorted, however many outcomes are equal.
     """
-    known = obs.where("net IS NOT NULL").withColumn("_bin", F.floor(F.col("net") * 100))
-    w = Window.partitionBy(*keys)
-    bins = known.groupBy(*keys, "_bin").agg(F.count("*").alias("c"), F.sum("net").alias("s"))
-    bins = bins.withColumns({"before": F.sum("c").over(w.orderBy(F.col("_bin").desc())) - F.col("c"), "n": F.sum("c").over(w), "total": F.sum("s").over(w)}).drop("c", "s")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(F.col("net").desc()))
-    r = known.select(*keys, "_bin", "net").withColumn("inside", inside).join(bins, [*keys, "_bin"]).withColumn("r", F.col("before") + F.col("inside"))
-    out = []
+    net, n = F.col("net"), F.col("n")
+    known = obs.where("net IS NOT NULL")
+    edges = selected(known, keys, {f"_t{p}": ("net", 1 - p / 100, at_top(p)) for p in percents})
+    sums = [F.count("*").alias("n"), F.sum("net").alias("total")]
+    for p in percents:
+        above, below = net > F.col(f"_t{p}"), net < F.col(f"_t{p}")
+        sums += [F.sum(F.when(above, net)).alias(f"_above{p}"), F.count_if(above).alias(f"_n_above{p}"), F.sum(F.when(below, net)).alias(f"_below{p}"), F.count_if(below).alias(f"_n_below{p}"), F.max(f"_t{p}").alias(f"_edge{p}")]
+    df = joined(known, edges, keys).groupBy(*keys).agg(*sums)
+    out = {}
     for p in percents:
-        k = F.greatest(F.lit(1), F.ceil(F.col("n") * p / 100))
-        top = F.sum(F.when(F.col("r") <= k, F.col("net")))
-        out += [F.when(F.abs(F.first("total")) > 1e-12, 100.0 * top / F.first("total")).alias(f"top_{p}pct_return_share_pct"), F.avg(F.when(F.col("r") > k, F.col("net"))).alias(f"net_expectancy_excluding_top_{p}pct_pct")]
-    return r.groupBy(*keys).agg(*out)
+        k = top_count(n, p)
+        top = F.coalesce(f"_above{p}", F.lit(0.0)) + (k - F.col(f"_n_above{p}")) * F.col(f"_edge{p}")
+        rest = F.coalesce(f"_below{p}", F.lit(0.0)) + (n - k - F.col(f"_n_below{p}")) * F.col(f"_edge{p}")
+        out[f"top_{p}pct_return_share_pct"] = F.when(F.abs("total") > 1e-12, 100.0 * top / F.col("total"))
+        out[f"net_expectancy_excluding_top_{p}pct_pct"] = F.when(n > k, rest / (n - k))
+    return df.select(*keys, *[v.alias(name) for name, v in out.items()])
 
 
 def breakdown(obs: DataFrame, dims=("liquidity_tier", "price_group", "symbol", "trade_date", "month", "year")) -> DataFrame:
-    """Metrics by each dimension on its own: grouping sets in one pass."""
+    """Metrics by each dimension on its own: sums by grouping sets in one pass, medians by one selection over all
+    values of all dimensions. ``obs`` is read several times, so give a stored table."""
     d = obs.withColumns({"month": F.date_format("trade_date", "yyyy-MM"), "year": F.date_format("trade_date", "yyyy"), "trade_date": F.col("trade_date").cast("string")})
     d = d.select("net", *[F.col(c).cast("string").alias(c) for c in dims])
-    aggs = (F.count("net").alias("observations"), F.avg("net").alias("net_avg_pct"), F.percentile("net", F.lit(0.5)).alias("median_pct"), F.grouping_id().alias("_g"))
+    aggs = (F.count("net").alias("observations"), F.avg("net").alias("net_avg_pct"), F.grouping_id().alias("_g"))
     out = d.groupingSets([[F.col(c)] for c in dims], *[F.col(c) for c in dims]).agg(*aggs)
     n = len(dims)
     masks = {(1 << n) - 1 - (1 << (n - 1 - i)): c for i, c in enumerate(dims)}
     name = reduce(lambda a, kv: F.when(F.col("_g") == kv[0], kv[1]).otherwise(a), masks.items(), F.lit(None).cast("string"))
-    return out.select(name.alias("dimension"), F.coalesce(F.coalesce(*dims), F.lit("missing")).alias("value"), "observations", "net_avg_pct", "median_pct")
+    out = out.select(name.alias("dimension"), F.coalesce(F.coalesce(*dims), F.lit("missing")).alias("value"), "observations", "net_avg_pct")
+    each = d.select("net", F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.coalesce(c, F.lit("missing")).alias("value")) for c in dims])).alias("x")).select("net", "x.*")
+    keys = ["dimension", "value"]
+    return joined(out, quantiles(each, keys, {"median_pct": ("net", 0.5)}), keys)
 
 
 def verdict(df: DataFrame, mode: str = "development") -> DataFrame:
@@ -159,16 +172,17 @@ def join_context(obs: DataFrame, features: DataFrame, market: DataFrame, columns
 
 
 def regime_thresholds(market: DataFrame, columns=("stddev_return_30m_pct", "dispersion_30m_pct", "median_relative_volume")) -> DataFrame:
-    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    return market.agg(*[x for c in columns for x in (q(c)[0].alias(f"{c}_p25"), q(c)[1].alias(f"{c}_p75"), F.count(c).alias(f"{c}_n"))])
+    """One row: lower and upper quartile and number of each column."""
+    counts = market.agg(*[F.count(c).alias(f"{c}_n") for c in columns])
+    return joined(counts, quantiles(market, [], {f"{c}_p{round(100 * q)}": (c, q) for c in columns for q in (0.25, 0.75)}), [])
 
 
 def _band(x: Column, low, high, names: tuple[str, str, str]) -> Column:
     return F.when(x < low, names[0]).when(x > high, names[2]).when(x.isNotNull(), names[1])
 
 
-def regime_labels(obs: DataFrame, thresholds: dict[str, float]) -> dict[str, Column]:
-    """Labels of seven regimes from market-state columns."""
+def regime_labels(thresholds: dict[str, Column]) -> dict[str, Column]:
+    """Labels of seven regimes from market-state columns; ``thresholds`` as of ``regime_thresholds``, values or columns."""
     t, c = thresholds, F.col
     return {
         "market_direction": _band(c("median_return_30m_pct"), -0.1, 0.1, ("falling", "sideways", "rising")),
@@ -186,7 +200,8 @@ def regime_stats(obs: DataFrame, labels: dict[str, Column], least: int = 30, lea
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("regime"), v.alias("label")) for k, v in labels.items()]))
     r = obs.where("net IS NOT NULL").select("bar_ts", "trade_date", "net", pairs.alias("r")).select("bar_ts", "trade_date", "net", "r.regime", "r.label").where("label IS NOT NULL")
     events = r.groupBy("regime", "label", "bar_ts").agg(F.avg("net").alias("m")).groupBy("regime", "label").agg(F.avg("m").alias("event_mean_net_return_pct"), F.count("*").alias("events"))
-    out = r.groupBy("regime", "label").agg(F.count("*").alias("observations"), F.avg("net").alias("net_avg_pct"), F.percentile("net", F.lit(0.5)).alias("median_pct"), _profit_factor(F.col("net")).alias("profit_factor")).join(events, ["regime", "label"])
+    out = r.groupBy("regime", "label").agg(F.count("*").alias("observations"), F.avg("net").alias("net_avg_pct"), _profit_factor(F.col("net")).alias("profit_factor")).join(events, ["regime", "label"])
+    out = out.join(quantiles(r, ["regime", "label"], {"median_pct": ("net", 0.5)}), ["regime", "label"])
     supported = (F.col("observations") >= least) & (F.col("events") >= least_events)
     return out.withColumns({"supported": supported, "negative": supported & ((F.col("net_avg_pct") <= 0) | (F.col("event_mean_net_return_pct") <= 0))})
 
@@ -206,7 +221,10 @@ def strategy_regimes(trades: DataFrame) -> DataFrame:
     share = trades.agg((100.0 * F.avg(b.isNotNull().cast("int"))).alias("coverage_pct"), F.lit(1).alias("_one"))
     r = trades.where(b.isNotNull()).withColumn("_one", F.lit(1)).join(F.broadcast(share), "_one").withColumn("r", pairs)
     net = F.col("net_return_pct")
-    return r.groupBy("r.regime_type", "r.regime_value").agg(
-        F.count("*").alias("observations"), F.countDistinct("signal_ts").alias("independent_events"), F.avg(net).alias("net_avg_pct"), F.percentile(net, F.lit(0.5)).alias("median_pct"), _profit_factor(net).alias("profit_factor"),
+    r = r.select("*", "r.*")
+    keys = ["regime_type", "regime_value"]
+    out = r.groupBy(*keys).agg(
+        F.count("*").alias("observations"), F.countDistinct("signal_ts").alias("independent_events"), F.avg(net).alias("net_avg_pct"), _profit_factor(net).alias("profit_factor"),
         (100.0 * F.avg((net > 0).cast("int"))).alias("win_rate_pct"), F.sum(F.col("filled_notional") * net / 100).alias("total_pnl"), F.first("coverage_pct").alias("coverage_pct"),
     )
+    return joined(out, quantiles(r, keys, {"median_pct": ("net_return_pct", 0.5)}), keys)
