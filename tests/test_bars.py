@@ -192,24 +192,78 @@ def test_equity_follows_the_trades(spark):
     trades = spark.createDataFrame([(1000.0, 0, day, "A", at(0), at(0), at(2), "long", 10.0, 11.0, 10.0, 1e9, 100.0, 1.0, True), (1000.0, 0, day, "B", at(1), at(1), at(3), "short", 20.0, 19.0, 5.0, 1e9, 200.0, 1.0, True)],
         "capital double, delay int, trade_date date, symbol string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction string, entry_price double, exit_price double, gross_return_pct double, capacity_notional double, filled_notional double, fill_fraction double, accepted boolean")
     marks = spark.createDataFrame([("A", at(0), 10.0), ("A", at(1), 10.5), ("B", at(1), 20.0), ("B", at(2), 22.0)], "symbol string, bar_ts timestamp_ntz, close double")
-    e = {r.ts.minute: r for r in xo.equity_curve(xo.with_costs(trades, (20.0,)), marks, 1).collect()}
+    e = {r.ts.minute: r for r in xo.equity_curve(trades, marks, (20.0,), 1).collect()}
     a, b = 100 * (10.0 - 0.2) / 100, 200 * (5.0 - 0.2) / 100
     assert [e[m].equity for m in range(4)] == pytest.approx([1000, 1005, 1000 + a - 20, 1000 + a + b])
     assert [(e[m].gross_exposure, e[m].net_exposure, e[m].open_positions) for m in range(4)] == [(100, 100, 1), (300, -100, 2), (200, -200, 1), (0, 0, 0)]
-    d = xo.daily_portfolio(xo.equity_curve(xo.with_costs(trades, (20.0,)), marks, 1), xo.with_costs(trades, (20.0,))).first()
+    d = xo.daily_portfolio(xo.equity_curve(trades, marks, (20.0,), 1), xo.with_costs(trades, (20.0,))).first()
     assert (d.end_equity, d.turnover, d.peak_gross_exposure) == (pytest.approx(1000 + a + b), 600, 300) and d.worst_drawdown_pct == pytest.approx(((980 + a) / 1005 - 1) * 100)
 
 
+def test_equity_of_overlapping_trades_is_that_of_a_plain_loop(spark):
+    """Long and short trades that overlap in one symbol, missing marks, two days and costs: rows are symbols and instants."""
+    rng, rows = random.Random(3), []
+    at = lambda d, m: dt.datetime(2024, 1, d, 10, 0) + m * MINUTE
+    for day in (2, 3):
+        for _ in range(25):
+            a = rng.randrange(0, 20)
+            rows.append((1000.0, 0, dt.date(2024, 1, day), rng.choice("AB"), at(day, a), at(day, a + rng.randrange(1, 9)), rng.choice(("long", "short")), 10.0 + rng.random(), rng.random(), 100.0 * rng.random(), rng.random() < 0.9))
+    trades = spark.createDataFrame(rows, "capital double, delay int, trade_date date, symbol string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction string, entry_price double, gross_return_pct double, filled_notional double, accepted boolean")
+    marks = {(s, at(d, m)): 10 + rng.random() for s in "AB" for d in (2, 3) for m in range(30) if rng.random() < 0.8}
+    bars = spark.createDataFrame([(s, t, p) for (s, t), p in marks.items()], "symbol string, bar_ts timestamp_ntz, close double")
+    done = [r for r in rows if r[-1]]
+    got = xo.equity_curve(trades, bars, (0.0, 30.0), 1).collect()
+    instants = {t for r in done for t in [r[4] + i * MINUTE for i in range(int((r[5] - r[4]) / MINUTE) + 1)]}
+    assert {(r.ts, r.cost_bps) for r in got} == {(t, c) for t in instants for c in (0.0, 30.0)} and len(got) == 2 * len(instants)
+    for r in got:
+        live = [x for x in done if x[4] <= r.ts < x[5]]
+        sign = lambda x: 1 if x[6] == "long" else -1
+        open_pnl = sum(sign(x) * x[9] * (marks[x[3], r.ts] / x[7] - 1) for x in live if (x[3], r.ts) in marks)
+        realised = sum(x[9] * (x[8] - r.cost_bps / 100) / 100 for x in done if x[5] <= r.ts)
+        assert (r.open_pnl, r.realised_pnl, r.gross_exposure, r.net_exposure, r.open_positions) == pytest.approx((open_pnl, realised, sum(x[9] for x in live), sum(sign(x) * x[9] for x in live), len(live)), abs=1e-9)
+    held = xo.holdings(trades.where("accepted"), bars).collect()
+    assert len(held) == len({(x[3], t) for x in done for t in [x[4] + i * MINUTE for i in range(int((x[5] - x[4]) / MINUTE))]})
+
+
+def test_allocation_needs_no_python_worker(spark):
+    columns = "capital double, delay int, trade_date date, symbol string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction string, entry_price double, exit_price double, gross_return_pct double, entry_bar_dollar_volume double, daily_dollar_volume double"
+    c = xo.ExecutionConfig()
+    plan = xo.allocate_day(xo.size_fills(spark.createDataFrame([], columns), F.col("capital"), c), c)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_slices_and_upserts_are_idempotent(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "v int, k string")
     for _ in range(2):
         sinks.write_slice(df, str(tmp_path / "s"), ["k"])
-        sinks.write_new(df, str(tmp_path / "n"), ["k"])
+        sinks.write_new(df, str(tmp_path / "n"), ["k"], sinks.key_hash(["k"], 3))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2 and spark.read.parquet(str(tmp_path / "n")).count() == 2
     once = sinks.upsert(df, df.withColumn("v", F.col("v") + 1), ["k"], F.col("k") == "a")
     assert {r.k: r.v for r in once.collect()} == {"a": 1, "b": 3}
 
 
+def test_appends_and_upserts_touch_the_parts_of_their_keys_only(spark, tmp_path):
+    path, part = str(tmp_path / "t"), sinks.key_range("k", 100)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").glob("key_part=*/*.parquet")}
+    folder = lambda names: {f.split("key_part=")[1].split("/")[0] for f in names}
+    sinks.write_new(spark.range(1000).select(F.col("id").alias("k"), F.lit(0).alias("v")), path, ["k"], part)
+    first = files()
+    sinks.upsert_into(spark.createDataFrame([(5, 7), (5, 6), (250, 8), (1150, 9)], "k long, v int"), path, ["k"], part, F.col("k") == 250)
+    second = files()
+    assert folder(set(first) - set(second)) == {"0", "2"} and folder(set(second) - set(first)) == {"0", "2", "11"}
+    got = {r.k: r.v for r in spark.read.parquet(path).collect()}
+    assert len(got) == 1001 and (got[5], got[250], got[1150]) == (6, 0, 9)
+    sinks.upsert_into(spark.createDataFrame([(5, 6)], "k long, v int"), path, ["k"], part)
+    assert {r.k: r.v for r in spark.read.parquet(path).collect()} == got
+    before = files()
+    new = spark.createDataFrame([(999, 3), (1000, 4), (1000, 2), (None, 1)], "k long, v int")
+    sinks.write_new(new, path, ["k"], part)
+    assert set(before) <= set(files()) and folder(set(files()) - set(before)) == {"10", "__HIVE_DEFAULT_PARTITION__"}
+    assert {r.k: r.v for r in spark.read.parquet(path).collect()} == got | {1000: 2, None: 1}
+    looked = sinks._touched(spark, path, spark.createDataFrame([(3,)], "key_part long"))
+    assert {r[0].split("key_part=")[1].split("/")[0] for r in looked.select(F.input_file_name()).collect()} == {"3"}
+
+
 def test_overlapping_signals_of_a_symbol_are_dropped(spark):
     at = lambda m: dt.datetime(2024, 1, 2, 10, 0) + m * MINUTE
     s = spark.createDataFrame([("A", dt.date(2024, 1, 2), at(m)) for m in (0, 3, 5, 9, 10)], "symbol string, trade_date date, bar_ts timestamp_ntz")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.selection import joined, quantiles
+
 
 @dataclass(frozen=True)
 class ExecutionConfig:
@@ -44,64 +45,61 @@ def size_fills(signals: DataFrame, capital: Column, c: ExecutionConfig) -> DataF
     return df.withColumn("rejection_reason", reason)
 
 
-_ALLOCATED = (
-    "capital double, delay int, trade_date date, symbol string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction string, entry_price double, exit_price double, gross_return_pct double, "
-    "capacity_notional double, filled_notional double, fill_fraction double, accepted boolean, rejection_reason string"
-)
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_HELD = "array<struct<exit:timestamp_ntz,symbol:string,sign:double,notional:double>>"
+_FILLS = "array<struct<filled_notional:double,fill_fraction:double,rejection_reason:string>>"
 
 
 def allocate_day(signals: DataFrame, c: ExecutionConfig) -> DataFrame:
     """Accept signals in order of time and priority within each (capital, delay, day); positions never cross days.
 
     A signal is tested for its fills, a position in its symbol, the number of positions, capacity, a
-    partial fill and the least fill, in this order. A group is one day of one scenario: as many rows as
-    a day has signals, whatever the history. Needs the columns of ``_ALLOCATED`` up to
-    capacity_notional, desired_notional and daily_dollar_volume, and signal_strength if it decides.
-    What a signal could fill is null where it did not come to that.
+    partial fill and the least fill, in this order. It is a fold over one day of one scenario, whose
+    state is the open positions: a group has as many rows as a day has signals, whatever the history.
+    Needs capital, delay, trade_date, symbol, signal_ts, entry_ts, exit_ts, direction, entry_price,
+    exit_price, gross_return_pct, capacity_notional, desired_notional and daily_dollar_volume, and
+    signal_strength if it decides. What a signal could fill is null where it did not come to that.
     """
-    limit = {n: getattr(c, f"max_{n}_pct") / 100 for n in ("gross", "net", "symbol")}
-
-    def run(day: pd.DataFrame) -> pd.DataFrame:
-        by, up = ["signal_ts"], [True]
-        if c.priority == "signal_strength_desc":
-            day, by, up = day.assign(_s=day["signal_strength"].fillna(0.0).abs()), [*by, "_s"], [*up, False]
-        if c.priority != "symbol":
-            day, by, up = day.assign(_v=day["daily_dollar_volume"].fillna(0.0)), [*by, "_v"], [*up, False]
-        day = day.sort_values([*by, "symbol"], ascending=[*up, True], kind="stable").reset_index(drop=True)
-        capital = float(day["capital"].iloc[0])
-        held: list[tuple] = []  # exit, symbol, sign, notional
-        fills: list[tuple] = []
-        for r in day.itertuples():
-            fill = fraction = why = None
-            if pd.isna(r.entry_price):
-                why = "unavailable_entry_fill"
-            elif pd.isna(r.exit_price):
-                why = "unavailable_exit_fill"
-            else:
-                held = [h for h in held if h[0] > r.entry_ts]
-                sign = 1 if r.direction == "long" else -1
-                if c.one_per_symbol and any(h[1] == r.symbol for h in held):
-                    why = "existing_symbol_position"
-                elif len(held) >= c.max_positions:
-                    why = "max_positions"
-                else:
-                    gross, net = sum(h[3] for h in held), sum(h[2] * h[3] for h in held)
-                    room = min(max(0.0, capital * limit["gross"] - gross), max(0.0, capital * limit["net"] - sign * net), capital * limit["symbol"])
-                    fill = max(0.0, min(r.desired_notional, room, r.capacity_notional))
-                    fraction = fill / r.desired_notional if r.desired_notional > 0 else 0.0
-                    if r.capacity_notional <= 0:
-                        why = "liquidity_capacity_unavailable"
-                    elif not c.allow_partial and fill + 1e-9 < r.desired_notional:
-                        why = "partial_fill_not_allowed"
-                    elif fill <= 0 or fraction < c.min_fill:
-                        why = "minimum_fill_fraction"
-                    else:
-                        held.append((r.exit_ts, r.symbol, sign, fill))
-            fills.append((fill, fraction, why is None, why))
-        day["filled_notional"], day["fill_fraction"], day["accepted"], day["rejection_reason"] = zip(*fills)
-        return day.astype({"filled_notional": float, "fill_fraction": float})[[x.split()[0] for x in _ALLOCATED.split(", ")]]
-
-    return signals.groupBy("capital", "delay", "trade_date").applyInPandas(run, _ALLOCATED)
+    keys, order = ["capital", "delay", "trade_date"], [F.col("signal_ts")]
+    if c.priority == "signal_strength_desc":
+        order.append((-F.abs(F.coalesce("signal_strength", F.lit(0.0)))).alias("by_strength"))
+    if c.priority != "symbol":
+        order.append((-F.coalesce("daily_dollar_volume", F.lit(0.0))).alias("by_volume"))
+    kept = ("symbol", "entry_ts", "exit_ts", "direction", "entry_price", "exit_price", "gross_return_pct", "capacity_notional", "desired_notional")
+    days = signals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *kept))).alias("day"))
+    limit = lambda name: F.col("capital") * (getattr(c, f"max_{name}_pct") / 100)
+    missing = lambda x: x.isNull() | F.isnan(x)
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+
+    def step(s: Column, r: Column) -> Column:
+        sign = F.when(r["direction"] == "long", 1.0).otherwise(-1.0)
+        unfilled = F.when(missing(r["entry_price"]), "unavailable_entry_fill").when(missing(r["exit_price"]), "unavailable_exit_fill")
+
+        def among(live: Column) -> Column:
+            gross = F.aggregate(live, zero, lambda a, h: a + h["notional"])
+            net = F.aggregate(live, zero, lambda a, h: a + h["sign"] * h["notional"])
+            room = F.least(F.greatest(zero, limit("gross") - gross), F.greatest(zero, limit("net") - sign * net), limit("symbol"))
+            return _let(F.greatest(zero, F.least(r["desired_notional"], room, r["capacity_notional"])), lambda fill: judged(live, fill))
+
+        def judged(live: Column, fill: Column) -> Column:
+            fraction = F.when(r["desired_notional"] > 0, fill / r["desired_notional"]).otherwise(0.0)
+            crowd = F.when(F.lit(c.one_per_symbol) & F.exists(live, lambda h: h["symbol"] == r["symbol"]), "existing_symbol_position").when(F.size(live) >= c.max_positions, "max_positions")
+            short = F.when(r["capacity_notional"] <= 0, "liquidity_capacity_unavailable").when(F.lit(not c.allow_partial) & (fill + 1e-9 < r["desired_notional"]), "partial_fill_not_allowed").when((fill <= 0) | (fraction < c.min_fill), "minimum_fill_fraction")
+            tested = F.struct(F.when(crowd.isNull(), fill).alias("filled_notional"), F.when(crowd.isNull(), fraction).alias("fill_fraction"), F.coalesce(crowd, short).alias("rejection_reason"))
+            return _let(tested, lambda out: F.struct(F.when(out["rejection_reason"].isNull(), F.concat(live, F.array(F.struct(r["exit_ts"].alias("exit"), r["symbol"].alias("symbol"), sign.alias("sign"), fill.alias("notional"))))).otherwise(live).cast(_HELD).alias("held"), F.concat(s["out"], F.array(out)).cast(_FILLS).alias("out")))
+
+        gone = F.struct(none.alias("filled_notional"), none.alias("fill_fraction"), unfilled.alias("rejection_reason"))
+        kept_on = F.struct(s["held"].cast(_HELD).alias("held"), F.concat(s["out"], F.array(gone)).cast(_FILLS).alias("out"))
+        return F.when(unfilled.isNotNull(), kept_on).otherwise(_let(F.filter(s["held"], lambda h: h["exit"] > r["entry_ts"]), among))
+
+    start = F.struct(F.array().cast(_HELD).alias("held"), F.array().cast(_FILLS).alias("out"))
+    folded = days.select(*keys, F.explode(F.arrays_zip("day", F.aggregate("day", start, step, lambda s: s["out"]).alias("fill"))).alias("x"))
+    rows = folded.select(*keys, "x.day.*", "x.fill.*")
+    return rows.select(*keys, "symbol", "signal_ts", "entry_ts", "exit_ts", "direction", "entry_price", "exit_price", "gross_return_pct", "capacity_notional", "filled_notional", "fill_fraction", F.col("rejection_reason").isNull().alias("accepted"), "rejection_reason")
 
 
 def dedupe_overlaps(signals: DataFrame, minutes: int) -> DataFrame:
@@ -132,12 +130,14 @@ def trade_money_metrics(costed: DataFrame, c: ExecutionConfig, keys=("capital",
     net, edge = F.col("net_return_pct"), c.breakeven_bps / 100
     rate = lambda x: 100.0 * F.avg(x.cast("int"))
     pnl, gross = F.sum(F.col("filled_notional") * net / 100), F.sum(F.col("filled_notional") * F.col("gross_return_pct") / 100)
-    return costed.groupBy(*keys).agg(
-        F.count("*").alias("trades"), F.avg(net).alias("net_expected_value_pct"), F.percentile(net, F.lit(0.5)).alias("median_net_trade_return_pct"), rate(net > edge).alias("trade_win_rate_pct"), rate(net < -edge).alias("loss_rate_pct"),
+    out = costed.groupBy(*keys).agg(
+        F.count("*").alias("trades"), F.avg(net).alias("net_expected_value_pct"), rate(net > edge).alias("trade_win_rate_pct"), rate(net < -edge).alias("loss_rate_pct"),
         rate(net <= c.large_loss_pct).alias("large_loss_frequency_pct"), gross.alias("gross_pnl"), pnl.alias("net_pnl"), F.sum("estimated_cost").alias("estimated_costs"), F.when(gross > 0, 100.0 * F.sum("estimated_cost") / gross).alias("fraction_gross_alpha_consumed_by_costs_pct"),
-        F.percentile("capacity_notional", F.lit(0.5)).alias("median_trade_capacity"), F.min("capacity_notional").alias("minimum_trade_capacity"), F.percentile("filled_notional", F.lit(0.5)).alias("median_filled_notional"), F.countDistinct("signal_ts").alias("independent_event_count"),
+        F.min("capacity_notional").alias("minimum_trade_capacity"), F.countDistinct("signal_ts").alias("independent_event_count"),
         F.when(F.sum(F.when(net < 0, -net)) > 0, F.coalesce(F.sum(F.when(net > 0, net)), F.lit(0.0)) / F.sum(F.when(net < 0, -net))).alias("profit_factor"),
     )
+    medians = {"median_net_trade_return_pct": (net, 0.5), "median_trade_capacity": ("capacity_notional", 0.5), "median_filled_notional": ("filled_notional", 0.5)}
+    return joined(out, quantiles(costed, list(keys), medians), list(keys))
 
 
 def stress_matrix(trades: DataFrame, c: ExecutionConfig) -> DataFrame:
@@ -145,29 +145,51 @@ def stress_matrix(trades: DataFrame, c: ExecutionConfig) -> DataFrame:
     return trade_money_metrics(with_costs(trades, c.costs_bps), c).select("capital", "delay", "cost_bps", "trades", "net_expected_value_pct", "net_pnl")
 
 
-def open_positions(trades: DataFrame, bars: DataFrame, step_minutes: int = 1) -> DataFrame:
-    """Each accepted trade at each minute entry <= t < exit, with the bar's close where there is one."""
-    t = trades.withColumn("ts", F.explode(F.expr(f"sequence(entry_ts, exit_ts - INTERVAL '{step_minutes}' MINUTE, INTERVAL '{step_minutes}' MINUTE)")))
-    return t.join(bars.select("symbol", F.col("bar_ts").alias("ts"), F.col("close").alias("mark")), ["symbol", "ts"], "left")
+SCENARIO = ("capital", "delay")
 
 
-def equity_curve(costed: DataFrame, bars: DataFrame, step_minutes: int = 1, keys=("capital", "delay", "cost_bps")) -> DataFrame:
-    """Realised and open profit, exposure and number of positions at each instant of each scenario.
+def holdings(trades: DataFrame, bars: DataFrame, step_minutes: int = 1, keys=SCENARIO) -> DataFrame:
+    """What each scenario holds of each symbol at each bar's instant while anything is open, and the bar's close.
 
-    Realised profit is summed within days, then over days, so no task sorts a whole history.
+    Entries and exits are deltas of units and cost; their running sums within a symbol's day hold until
+    the next delta. So trades of one symbol at one instant are one row, whatever they are and cost;
+    mark * units - cost is their open profit. ``trades`` are the accepted ones; entries and exits stand on bars.
     """
-    sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
-    held = open_positions(costed, bars, step_minutes)
-    value = F.col("filled_notional") * sign * (F.col("mark") / F.col("entry_price") - 1)
-    now = held.groupBy(*keys, "trade_date", "ts").agg(F.sum(value).alias("open_pnl"), F.sum("filled_notional").alias("gross_exposure"), F.sum(F.col("filled_notional") * sign).alias("net_exposure"), F.count("*").alias("open_positions"))
-    done = costed.groupBy(*keys, "trade_date", F.col("exit_ts").alias("ts")).agg(F.sum(F.col("filled_notional") * F.col("net_return_pct") / 100).alias("closed"))
-    both = now.join(done, [*keys, "trade_date", "ts"], "full_outer").fillna(0, ["open_pnl", "gross_exposure", "net_exposure", "open_positions", "closed"])
-    day = both.groupBy(*keys, "trade_date").agg(F.sum("closed").alias("day_closed"))
-    before = Window.partitionBy(*keys).orderBy("trade_date")
-    day = day.select(*keys, "trade_date", (F.sum("day_closed").over(before) - F.col("day_closed")).alias("carried"))
-    inside = Window.partitionBy(*keys, "trade_date").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("inside", F.sum("closed").over(inside)).join(day, [*keys, "trade_date"])
-    return out.withColumn("realised_pnl", F.col("carried") + F.col("inside")).withColumn("equity", F.col("capital") + F.col("realised_pnl") + F.coalesce("open_pnl", F.lit(0.0))).drop("carried", "inside", "closed")
+    notional = F.col("filled_notional") * F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
+    delta = lambda ts, f: F.struct(F.col(ts).alias("ts"), (f * notional / F.col("entry_price")).alias("units"), (f * notional).alias("cost"), (f * F.col("filled_notional")).alias("gross"), F.lit(int(f)).alias("open"))
+    part = [*keys, "trade_date", "symbol"]
+    deltas = trades.select(*part, F.explode(F.array(delta("entry_ts", 1.0), delta("exit_ts", -1.0))).alias("d")).select(*part, "d.*")
+    at = deltas.groupBy(*part, "ts").agg(*[F.sum(x).alias(x) for x in ("units", "cost", "gross", "open")])
+    w = Window.partitionBy(*part).orderBy("ts")
+    spans = at.select(*part, "ts", F.lead("ts").over(w).alias("until"), *[F.sum(x).over(w).alias(x) for x in ("units", "cost", "gross", "open")]).where("open > 0")
+    instants = F.explode(F.expr(f"sequence(ts, until - INTERVAL '{step_minutes}' MINUTE, INTERVAL '{step_minutes}' MINUTE)")).alias("ts")
+    held = spans.select(*part, instants, "units", "cost", "gross", "open")
+    return held.join(bars.select("symbol", F.col("bar_ts").alias("ts"), F.col("close").alias("mark")), ["symbol", "ts"], "left")
+
+
+def equity_curve(trades: DataFrame, bars: DataFrame, costs, step_minutes: int = 1, keys=SCENARIO) -> DataFrame:
+    """Realised and open profit, exposure and number of positions at each instant of each scenario and cost.
+
+    Realised profit is linear in the cost, open profit and exposure do not depend on it: everything is
+    worked out once for all costs. Realised profit is summed within days, then over days, so no task
+    sorts a whole history. ``trades`` are read twice.
+    """
+    done = trades.where("accepted")
+    day = [*keys, "trade_date"]
+    held = holdings(done, bars, step_minutes, keys)
+    nothing = lambda *names: [F.lit(0.0).alias(n) for n in names]
+    now = held.select(*day, "ts", F.coalesce(F.col("mark") * F.col("units") - F.col("cost"), F.lit(0.0)).alias("open_pnl"), F.col("gross").alias("gross_exposure"), F.col("cost").alias("net_exposure"), F.col("open").alias("open_positions"), *nothing("gain", "spent"))
+    out = done.select(*day, F.col("exit_ts").alias("ts"), *nothing("open_pnl", "gross_exposure", "net_exposure"), F.lit(0).cast("long").alias("open_positions"), (F.col("filled_notional") * F.col("gross_return_pct") / 100).alias("gain"), (F.col("filled_notional") / 10_000).alias("spent"))
+    sums = ("open_pnl", "gross_exposure", "net_exposure", "open_positions", "gain", "spent")
+    both = now.unionByName(out).groupBy(*day, "ts").agg(*[F.sum(c).alias(c) for c in sums])
+    inside = Window.partitionBy(*day).orderBy("ts")
+    both = both.withColumns({c: F.sum(c).over(inside) for c in ("gain", "spent")})
+    ends = both.groupBy(*day).agg(F.max_by("gain", "ts").alias("day_gain"), F.max_by("spent", "ts").alias("day_spent"))
+    before = Window.partitionBy(*keys).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    ends = ends.select(*day, *[F.coalesce(F.sum(f"day_{c}").over(before), F.lit(0.0)).alias(f"day_{c}") for c in ("gain", "spent")])
+    whole = both.join(ends, day).withColumn("cost_bps", F.explode(F.array(*[F.lit(float(x)) for x in costs])))
+    realised = F.col("day_gain") + F.col("gain") - F.col("cost_bps") * (F.col("day_spent") + F.col("spent"))
+    return whole.select(*day, "ts", "cost_bps", "open_pnl", "gross_exposure", "net_exposure", "open_positions", realised.alias("realised_pnl")).withColumn("equity", F.col("capital") + F.col("realised_pnl") + F.col("open_pnl"))
 
 
 def with_drawdown(equity: DataFrame, keys=("capital", "delay", "cost_bps")) -> DataFrame:
