@@ -182,12 +182,30 @@ def join_prev_day(features: DataFrame, daily: DataFrame) -> DataFrame:
     return out.withColumn("gap_from_previous_regular_close_pct", pct_change("session_open", "previous_regular_close"))
 
 
-def build_features(bars: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """All features and labels of the bars."""
+#: What a day's row holds, besides symbol and trade_date.
+DAY_COLUMNS = ("day_open", "day_high", "day_low", "day_close", "day_volume", "realised_volatility")
+
+
+def session_features(bars: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """The features and labels that look at bars of the same session only."""
     df = with_prev_bar(with_bar_number(bars), config.base_minutes)
     df = with_labels(with_returns(df, config.predictors, config.base_minutes), config.outcomes, config.base_minutes)
     df = with_cum_vwap(with_session_range(with_session_open(df)))
     df = with_rolling_range(with_relative_activity(df, config.activity_bars), config.range_bars)
     df = with_mfe_mae(with_realised_vol(df, config.range_bars), config.excursion_minutes, config.base_minutes)
-    df = with_minute_baseline(df.withColumn("bar_dollar_volume", F.col("close") * F.col("volume")), config.baseline_days)
-    return join_prev_day(df, with_prev_day(daily_bars(bars)))
+    return df.withColumn("bar_dollar_volume", F.col("close") * F.col("volume"))
+
+
+def build_features(bars: DataFrame, config: FeatureConfig = FeatureConfig(), minutes: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """All features and labels of the bars.
+
+    ``minutes`` (symbol, session_label, minute_of_day, trade_date, volume, bar_return_pct) and ``days`` (as of
+    ``daily_bars``) stand for earlier bars that are not given; they have no rows of their own in the result.
+    """
+    df, daily = session_features(bars, config), daily_bars(bars)
+    if minutes is not None:
+        df = df.withColumn("_given", F.lit(True)).unionByName(minutes.withColumn("_given", F.lit(False)), allowMissingColumns=True)
+    df = with_minute_baseline(df, config.baseline_days)
+    if minutes is not None:
+        df = df.where("_given").drop("_given")
+    return join_prev_day(df, with_prev_day(daily if days is None else daily.unionByName(days)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 NESTED = ("array", "map", "struct")
 
 
-def _there(spark: SparkSession, path: str) -> DataFrame | None:
+def there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
@@ -20,18 +22,83 @@ def _there(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A folder for a query's own files, in the cluster's shared folder; a temporary one only within one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def scratch_table(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back: what is read several times is worked out once."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_slice(df: DataFrame, path: str, keys: list[str]) -> None:
     """Replace exactly the partitions that ``df`` has rows of; writing it again changes nothing."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def write_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys are not there yet, one of each key."""
-    old = _there(df.sparkSession, path)
-    new = df.dropDuplicates(keys)
+#: Partition column of keyed tables: the part of the key space in which a row's key lies.
+PART = "key_part"
+
+
+def key_range(column: str, width: int) -> Column:
+    """Parts of ``width`` neighbouring numbers: keys that come together stay together."""
+    return F.floor(F.col(column) / width)
+
+
+def key_hash(columns: list[str], parts: int) -> Column:
+    """Parts of keys without an order; null keys are keys."""
+    return F.pmod(F.xxhash64(*columns), F.lit(parts))
+
+
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The least row of each key by its other columns: the same one at every run."""
+    values = [c for c in df.columns if c not in keys]
+    if not values:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*values)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
+def _touched(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame | None:
+    """The table's rows in the parts in which ``rows`` lie: the scan lists and reads those partitions only."""
+    old = there(spark, path)
+    if old is None:
+        return None
+    parts = [r[0] for r in rows.select(PART).distinct().collect()]  # the parts of one batch
+    known = F.col(PART).isin([p for p in parts if p is not None])
+    return old.where(known | F.col(PART).isNull() if None in parts else known)
+
+
+def write_new(df: DataFrame, path: str, keys: list[str], part: Column) -> None:
+    """Append the rows whose keys are not there yet, one of each key.
+
+    ``part``, a function of the keys, says in which partition a key lies; keys are looked up in the parts
+    of the new rows only.
+    """
+    new = scratch_table(one_of_each(df, keys).withColumn(PART, part), "new-rows")
+    old = _touched(df.sparkSession, path, new)
     if old is not None:
-        new = new.join(old.select(*keys), keys, "left_anti")
-    new.write.mode("append").parquet(path)
+        there_already = reduce(lambda a, b: a & b, [new[k].eqNullSafe(old[k]) for k in keys])
+        new = new.join(old.select(*keys), there_already, "left_anti")
+    new.write.mode("append").partitionBy(PART).parquet(path)
+
+
+def upsert_into(updates: DataFrame, path: str, keys: list[str], part: Column, keep_if: Column | None = None) -> None:
+    """Put ``updates`` (one of each key) into a table of ``write_new`` by key; rows where ``keep_if`` holds stay.
+
+    Only partitions that hold a key of the updates are read and replaced; running it again changes nothing.
+    """
+    new = scratch_table(one_of_each(updates, keys).withColumn(PART, part), "updates")
+    old = _touched(updates.sparkSession, path, new)
+    merged = new if old is None else upsert(old.select(*new.columns), new, keys, keep_if)
+    write_slice(scratch_table(merged, "merged"), path, [PART])
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], keep_if: Column | None = None) -> DataFrame:
