@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.rules import ALL_FAMILIES, group_key
+from tidemark.operators.selection import joined
 
 BUCKETS = 1024
 HIST_LEAST, HIST_MOST = -200, 200
@@ -159,6 +160,76 @@ def screen(outcomes: DataFrame, keys=GROUP) -> DataFrame:
     return finalise_stats(out).withColumns({n: _quantile(F.col("_hist"), F.col("observations"), q) for n, q in QUANTILES.items()}).drop("_hist")
 
 
+#: A cell is a whole number: the family above, four bits for each of its dimensions (no dimension has more bins).
+_BITS, _DIMS = 4, 6
+
+
+def cells(families=tuple(ALL_FAMILIES)) -> Column:
+    """The array of a state's groups, one for each family whose filter it passes and whose dimensions it has."""
+    out = []
+    for i, f in enumerate(families):
+        dims, condition = ALL_FAMILIES[f]
+        code = F.lit(i)
+        for k in range(_DIMS):
+            code = F.shiftleft(code, _BITS) + (F.col(dims[k]) if k < len(dims) else F.lit(0))
+        out.append(F.when(F.expr(f"({condition})"), code))  # null without all dimensions
+    return F.array_compact(F.array(*out))
+
+
+def cell_names(cell: Column, families=tuple(ALL_FAMILIES)) -> tuple[Column, Column]:
+    """Family and group key of a cell."""
+    place = F.shiftright(cell, _BITS * _DIMS)
+    family = F.element_at(F.array(*[F.lit(f) for f in families]), place + 1)
+    bins = F.array(*[F.shiftright(cell, _BITS * (_DIMS - 1 - k)).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("string") for k in range(_DIMS)])
+    many = F.element_at(F.array(*[F.lit(len(ALL_FAMILIES[f][0])) for f in families]), place + 1)
+    return family, F.array_join(F.slice(bins, F.lit(1), many), "|")
+
+
+def screen_states(states: DataFrame, families=tuple(ALL_FAMILIES), directions=("long", "short"), horizons=(5,), cost_bps: float = 20.0, anchor: int = 570, overlapping: bool = False) -> DataFrame:
+    """What ``screen`` says of ``group_outcomes``, without a row for each direction and without text keys.
+
+    A state turns into the whole numbers of its groups. Long and short outcomes are mirror images, so both
+    are summed side by side, and counted by the pair of their bins (both are steps of the same return: no
+    more than twice as many pairs as bins). Names, directions and quantiles are worked out for groups only.
+    """
+    c, f = cost_bps / 100.0, F.col("forward")
+    due = lambda h: on_entry_grid(F.col("minute_of_day"), 1 if overlapping else h, anchor) & F.col(f"fwd_return_{h}m_pct").isNotNull()
+    returns = F.array_compact(F.array(*[F.when(due(h), F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_return_{h}m_pct").alias("forward"))) for h in horizons]))
+    some = states.select("symbol", "trade_date", cells(families).alias("cells"), returns.alias("returns")).where((F.size("cells") > 0) & (F.size("returns") > 0))
+    some = some.select("symbol", "trade_date", "cells", F.explode("returns").alias("o")).select("symbol", "trade_date", "cells", "o.horizon", "o.forward")
+    pair = (hist_bin(f - c) - HIST_LEAST) * (HIST_MOST - HIST_LEAST + 1) + hist_bin(-f - c) - HIST_LEAST
+    rows = some.withColumn("pair", pair).select(F.explode("cells").alias("cell"), "horizon", "symbol", "trade_date", "pair", "forward")
+
+    net = {"long": f - c, "short": -f - c}
+    sums = [F.count("*").alias("n"), F.sum("forward").alias("forward_sum"), F.min("forward").alias("least"), F.max("forward").alias("most"), F.grouping_id().alias("_g")]
+    for d in directions:
+        x = net[d]
+        sums += [F.sum(x).alias(f"{d}_net_sum"), F.sum(x * x).alias(f"{d}_net_sum_squares"), F.count_if(x > 0).alias(f"{d}_wins"), F.sum(F.when(x > 0, x).otherwise(0.0)).alias(f"{d}_positive_sum"), F.sum(F.when(x < 0, -x).otherwise(0.0)).alias(f"{d}_negative_sum_abs")]
+    parts, keys = ("symbol", "trade_date", "pair"), ("cell", "horizon")
+    cut = rows.groupingSets([[*map(F.col, keys), F.col(p)] for p in parts], *map(F.col, (*keys, *parts))).agg(*sums)
+    of = {p: F.col("_g") == 7 - (4 >> i) for i, p in enumerate(parts)}
+    only = lambda p, name: F.when(of[p], F.col(name))
+    shares = [x for p, many, share in (("symbol", "symbols", "max_symbol_share_pct"), ("trade_date", "dates", "max_date_share_pct")) for x in (F.count_if(of[p]).alias(many), (100.0 * F.max(only(p, "n")) / F.sum(only(p, "n"))).alias(share))]
+    added = ("net_sum", "net_sum_squares", "wins", "positive_sum", "negative_sum_abs")
+    width = HIST_MOST - HIST_LEAST + 1
+    bins = {"long": F.floor(F.col("pair") / width), "short": F.col("pair") % width}
+    hist = lambda d: F.sort_array(F.collect_list(F.when(of["pair"], F.struct((bins[d] + HIST_LEAST).cast("int").alias("bin"), "n")))).alias(f"{d}_hist")
+    whole = cut.groupBy(*keys).agg(
+        F.sum(only("pair", "n")).alias("observations"), F.sum(only("pair", "forward_sum")).alias("forward_sum"), F.min(only("pair", "least")).alias("least"), F.max(only("pair", "most")).alias("most"), *shares,
+        *[F.sum(only("pair", f"{d}_{a}")).alias(f"{d}_{a}") for d in directions for a in added], *[hist(d) for d in directions],
+    )
+
+    def side(d: str) -> Column:
+        low, high = ("least", "most") if d == "long" else ("most", "least")
+        sign = 1.0 if d == "long" else -1.0
+        own = [F.lit(d).alias("direction"), (sign * F.col("forward_sum")).alias("gross_sum"), *[F.col(f"{d}_{a}").alias(a) for a in added], (sign * F.col(low) - c).alias("worst_pct"), (sign * F.col(high) - c).alias("best_pct")]
+        return F.struct(*own, *[_quantile(F.col(f"{d}_hist"), F.col("observations"), q).alias(n) for n, q in QUANTILES.items()])
+
+    family, key = cell_names(F.col("cell"), families)
+    out = whole.select(family.alias("family"), "horizon", key.alias("group_key"), "observations", *[f"{x}" for x in ("symbols", "max_symbol_share_pct", "dates", "max_date_share_pct")], F.explode(F.array(*[side(d) for d in directions])).alias("side"))
+    return finalise_stats(out.select("*", "side.*").drop("side"))
+
+
 def join_validation(found: DataFrame, valid: DataFrame, keys=GROUP) -> DataFrame:
     """Groups with the same group's statistics in the validation period; none there counts as nothing observed."""
     columns = ("observations", "net_avg_pct", "profit_factor", "median_pct", "t_stat")
@@ -220,10 +291,16 @@ def erfc(x: Column) -> Column:
     return t * (a1 + t * (a2 + t * (a3 + t * (a4 + t * a5)))) * F.exp(-x * x)
 
 
-def adjusted_p(df: DataFrame, tests: int) -> DataFrame:
+def with_tests(df: DataFrame) -> DataFrame:
+    """``df`` (read twice) with its number of rows, ``tests``: one number that goes to every task."""
+    return joined(df, F.broadcast(df.agg(F.count("*").alias("tests"))), [])
+
+
+def adjusted_p(df: DataFrame, tests: int | Column) -> DataFrame:
     """Bonferroni-adjusted two-sided p of the t statistic; 1 without one."""
+    tests = F.lit(tests) if isinstance(tests, int) else tests
     raw = F.when(F.col("t_stat").isNull(), 1.0).otherwise(erfc(F.abs("t_stat") / F.sqrt(F.lit(2.0))))
-    return df.withColumn("adjusted_p", F.least(F.lit(1.0), raw * max(tests, 1)))
+    return df.withColumn("adjusted_p", F.least(F.lit(1.0), raw * F.greatest(tests, F.lit(1))))
 
 
 def discovery_status(df: DataFrame, validated: bool = True) -> DataFrame:

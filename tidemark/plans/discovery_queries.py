@@ -8,6 +8,7 @@ from tidemark.operators import discovery as do
 from tidemark.operators import rules as ro
 from tidemark.operators import states as so
 from tidemark.plans.registry import register
+from tidemark.sources.sinks import scratch_table
 
 G = "family, direction, horizon:l, group_key"
 KEY = "symbol, bar_ts, session_label"
@@ -27,7 +28,7 @@ def outcomes(t, horizons=(5,)):
 
 
 def screened(t):
-    return do.screen(outcomes(t))
+    return do.screen_states(so.bin_state(t.samples))
 
 
 def scored(t, score=do.rank_score):
@@ -87,8 +88,8 @@ def load() -> None:
     register("h2_economic_score", f"{G}, score:d", scored, _SCORED)
 
     def tested(t):
-        s = scored(t)
-        return do.discovery_status(do.adjusted_p(s, s.count()), validated=False)
+        s = do.with_tests(scratch_table(scored(t), "scores"))
+        return do.discovery_status(do.adjusted_p(s, F.col("tests")), validated=False)
 
     p_sql = f"SELECT *, CASE WHEN t_stat IS NULL THEN 1 ELSE least(1, tests * {ERFC_SQL}) END AS adjusted_p FROM (SELECT *, abs(t_stat) / sqrt(2) AS x FROM ({_SCORED}))"
     register("h3_adjusted_p", f"{G}, adjusted_p:d", tested, p_sql)

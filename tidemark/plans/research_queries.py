@@ -12,11 +12,13 @@ from tidemark.operators import market as mo
 from tidemark.operators import robustness as bo
 from tidemark.operators import rules as ro
 from tidemark.operators import universe as uo
+from tidemark.operators.selection import joined
 from tidemark.plans.ctes import CTES
 from tidemark.plans.discovery_queries import RULE, RULE_SQL, scored, screened
 from tidemark.plans.registry import register
-from tidemark.plans.universe_queries import _PLAN, scratch
-from tidemark.sources import proxies, scans, sinks
+from tidemark.plans.universe_queries import _PLAN
+from tidemark.sources import proxies, scans
+from tidemark.sources.sinks import scratch, scratch_table as kept
 from tidemark.streaming import refresh as stream
 
 FIRST, LAST = "2024-01-01", "2024-01-31"
@@ -49,6 +51,14 @@ def obs(t):
     return bo.with_net(bo.observations(bo.match_rules(t.samples, {"base": RULE}), 5, "long"), 20.0)
 
 
+OUTCOMES = ("rule", "symbol", "bar_ts", "trade_date", "minute_of_day", "liquidity_tier", "price_group", "bar_dollar_volume", "gross_return_pct", "net", "mfe_pct", "mae_pct")
+
+
+def outcomes(t, df=None):
+    """Observations (of the base rule, if none are given) as a table of few columns, for operators that read them more than once."""
+    return kept((obs(t) if df is None else df).select(*OUTCOMES), "outcomes")
+
+
 def calendar(t):
     return eo.calendar_returns(obs(t), FIRST, LAST)
 
@@ -95,13 +105,21 @@ def costed(t):
     return xo.with_costs(trades(t), EXECUTION.costs_bps)
 
 
+def costed_table(t):
+    return kept(costed(t), "costed-trades")
+
+
+def trades_table(t):
+    return kept(trades(t), "trades")
+
+
 def equity(t):
-    return xo.equity_curve(costed(t), t.bars, 5)
+    return xo.equity_curve(trades_table(t), t.bars, EXECUTION.costs_bps, 5)
 
 
 def summary(t):
     """One row: all that decisions about the base rule look at."""
-    r, k = all_obs(t), ["rule"]
+    r, k = outcomes(t, all_obs(t)), ["rule"]
     base = bo.obs_metrics(r, k).join(bo.clustered_t(r, k), k).join(bo.top_share(r, k), k).join(eo.event_dependence(r, k), k)
     other = {n: base.where(f"rule = '{n}'").select(F.col("net_avg_pct").alias(f"{n}_net_avg_pct"), F.lit(1).alias("one")) for n in ("relaxed", "tightened")}
     out = base.where("rule = 'base'").withColumn("one", F.lit(1))
@@ -170,32 +188,38 @@ def _replay() -> None:
     register("c6_join_exit", "symbol, bar_ts, delay:l, exit_price:d", entries, _EXIT)
     register("c21_match_rules", "rule, symbol, bar_ts", all_obs, "SELECT * FROM obs_all")
     register("b23_perturbed_rules", "rule, n:l", lambda t: all_obs(t).groupBy("rule").agg(F.count("*").alias("n")), "SELECT rule, count(*) AS n FROM obs_all GROUP BY 1")
+    def variants(t):
+        late = bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, DELAYS, step_minutes=5)
+        late = late.select("delay", F.col("entry_fwd_return_5m_pct").alias("gross_return_pct"), F.lit(0.0).alias("mfe_pct"), F.lit(0.0).alias("mae_pct"))
+        return bo.obs_metrics(kept(bo.with_net(late, 20.0), "variants"), ["delay"])
+
     metrics = "candidate_signals:l, observations:l, missing_outcomes:l, missing_data_rate_pct:d, gross_avg_pct:d, net_avg_pct:d, median_pct:d, p05_pct:d, p25_pct:d, p75_pct:d, p95_pct:d, worst_pct:d, best_pct:d, win_rate_pct:d, stdev_pct:d, t_stat:d, profit_factor:d, mfe_avg_pct:d, mfe_median_pct:d, mae_avg_pct:d, mae_median_pct:d"
     sql = f"""count(*) AS candidate_signals, count(net) AS observations, count(*) - count(net) AS missing_outcomes, 100.0 * (count(*) - count(net)) / count(*) AS missing_data_rate_pct, avg(gross_return_pct) AS gross_avg_pct, avg(net) AS net_avg_pct,
       {', '.join(f'quantile_cont(net, {q}) AS {n}' for n, q in bo.PERCENTILES.items())}, min(net) AS worst_pct, max(net) AS best_pct, 100.0 * avg(CASE WHEN net > 0 THEN 1 WHEN net <= 0 THEN 0 END) AS win_rate_pct, stddev_samp(net) AS stdev_pct,
       avg(net) / stddev_samp(net) * sqrt(count(net)) AS t_stat, {_PF('net')} AS profit_factor, avg(mfe_pct) AS mfe_avg_pct, quantile_cont(mfe_pct, 0.5) AS mfe_median_pct, avg(mae_pct) AS mae_avg_pct, quantile_cont(mae_pct, 0.5) AS mae_median_pct"""
-    register("d20_observation_metrics", f"rule, {metrics}", lambda t: bo.obs_metrics(all_obs(t), ["rule"]), f"SELECT rule, {sql} FROM obs_all GROUP BY rule")
-    register("d26_variant_metrics", "delay:l, observations:l, net_avg_pct:d", lambda t: bo.obs_metrics(bo.with_net(bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, DELAYS, step_minutes=5).withColumns({"gross_return_pct": F.col("entry_fwd_return_5m_pct"), "mfe_pct": F.lit(0.0), "mae_pct": F.lit(0.0)}), 20.0), ["delay"]),
+    register("d20_observation_metrics", f"rule, {metrics}", lambda t: bo.obs_metrics(outcomes(t, all_obs(t)), ["rule"]), f"SELECT rule, {sql} FROM obs_all GROUP BY rule")
+    register("d26_variant_metrics", "delay:l, observations:l, net_avg_pct:d", variants,
              f"SELECT d.delay, count(f.fwd_return_5m_pct) AS observations, avg(f.fwd_return_5m_pct - 0.2) AS net_avg_pct FROM (SELECT * FROM samples WHERE {RULE_SQL}) s CROSS JOIN (VALUES (0), (1), (2), (5)) d(delay) LEFT JOIN feat f ON f.symbol = s.symbol AND f.bar_ts = s.bar_ts + to_minutes(5 * d.delay) GROUP BY 1")
     register("d21_clustered_t", "rule, dates:l, date_clustered_t_stat:d", lambda t: bo.clustered_t(all_obs(t), ["rule"]), "SELECT rule, count(*) AS dates, avg(m) / stddev_samp(m) * sqrt(count(*)) AS date_clustered_t_stat FROM (SELECT rule, trade_date, avg(net) AS m FROM obs_all WHERE net IS NOT NULL GROUP BY ALL) GROUP BY rule")
     register("d22_leave_one_date_out", "leave_one_date_out_min_net_avg_pct:d", lambda t: bo.loo_min(obs(t), ["rule"]), "SELECT min(((SELECT sum(s) FROM obs_day) - s) / nullif((SELECT sum(n) FROM obs_day) - n, 0)) AS leave_one_date_out_min_net_avg_pct FROM obs_day")
     k = lambda p: f"greatest(1, ceil(n * {p} / 100.0))"
     tops = ", ".join(f"100.0 * sum(CASE WHEN r <= {k(p)} THEN net END) / any_value(total) AS top_{p}pct_return_share_pct, avg(CASE WHEN r > {k(p)} THEN net END) AS net_expectancy_excluding_top_{p}pct_pct" for p in (1, 5, 10))
-    register("d23_top_share", "rule, " + ", ".join(f"top_{p}pct_return_share_pct:d, net_expectancy_excluding_top_{p}pct_pct:d" for p in (1, 5, 10)), lambda t: bo.top_share(all_obs(t), ["rule"]), f"SELECT rule, {tops} FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY net DESC) AS r, count(*) OVER (PARTITION BY rule) AS n, sum(net) OVER (PARTITION BY rule) AS total FROM obs_all WHERE net IS NOT NULL) GROUP BY rule")
+    register("d23_top_share", "rule, " + ", ".join(f"top_{p}pct_return_share_pct:d, net_expectancy_excluding_top_{p}pct_pct:d" for p in (1, 5, 10)), lambda t: bo.top_share(outcomes(t, all_obs(t)), ["rule"]), f"SELECT rule, {tops} FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY net DESC) AS r, count(*) OVER (PARTITION BY rule) AS n, sum(net) OVER (PARTITION BY rule) AS total FROM obs_all WHERE net IS NOT NULL) GROUP BY rule")
     dims = {"liquidity_tier": "liquidity_tier", "price_group": "price_group", "symbol": "symbol", "trade_date": "CAST(trade_date AS VARCHAR)", "month": _MONTH, "year": "strftime(trade_date, '%Y')"}
-    register("d24_breakdown", "dimension, value, observations:l, net_avg_pct:d, median_pct:d", lambda t: bo.breakdown(obs(t)), " UNION ALL ".join(f"SELECT '{n}' AS dimension, {e} AS value, count(net) AS observations, avg(net) AS net_avg_pct, quantile_cont(net, 0.5) AS median_pct FROM obs GROUP BY {e}" for n, e in dims.items()))
-    register("d25_cost_grid", "cost_bps:d, observations:l, net_avg_pct:d, win_rate_pct:d, profit_factor:d", lambda t: bo.obs_metrics(bo.cost_grid(obs(t)), ["cost_bps"]), f"SELECT cost_bps, count(x) AS observations, avg(x) AS net_avg_pct, 100.0 * avg(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS win_rate_pct, {_PF('x')} AS profit_factor FROM (SELECT c AS cost_bps, gross_return_pct - c / 100.0 AS x FROM obs_net, (VALUES (20), (25), (30), (40)) v(c)) GROUP BY 1")
+    register("d24_breakdown", "dimension, value, observations:l, net_avg_pct:d, median_pct:d", lambda t: bo.breakdown(outcomes(t)), " UNION ALL ".join(f"SELECT '{n}' AS dimension, {e} AS value, count(net) AS observations, avg(net) AS net_avg_pct, quantile_cont(net, 0.5) AS median_pct FROM obs GROUP BY {e}" for n, e in dims.items()))
+    register("d25_cost_grid", "cost_bps:d, observations:l, net_avg_pct:d, win_rate_pct:d, profit_factor:d", lambda t: bo.obs_metrics(bo.cost_grid(outcomes(t)), ["cost_bps"]), f"SELECT cost_bps, count(x) AS observations, avg(x) AS net_avg_pct, 100.0 * avg(CASE WHEN x > 0 THEN 1 ELSE 0 END) AS win_rate_pct, {_PF('x')} AS profit_factor FROM (SELECT c AS cost_bps, gross_return_pct - c / 100.0 AS x FROM obs_net, (VALUES (20), (25), (30), (40)) v(c)) GROUP BY 1")
     context = "median_return_5m_pct:d, pct_positive_30m:d, prior_median_return_5m_pct:d, prior_pct_positive_30m:d"
     register("c12_join_context", f"symbol, bar_ts, bar_dollar_volume:d, {context}", lambda t: bo.join_context(obs(t).drop("bar_dollar_volume"), t.features, market(t)),
              "SELECT o.symbol, o.bar_ts, o.bar_dollar_volume, m.median_return_5m_pct, m.pct_positive_30m, p.median_return_5m_pct AS prior_median_return_5m_pct, p.pct_positive_30m AS prior_pct_positive_30m FROM obs o LEFT JOIN market_now m USING (bar_ts) LEFT JOIN market_now p ON p.bar_ts = o.bar_ts - INTERVAL 5 MINUTE")
     states = ("stddev_return_30m_pct", "dispersion_30m_pct", "median_relative_volume")
-    register("d48_regime_thresholds", ", ".join(f"{c}_p25:d, {c}_p75:d, {c}_n:l" for c in states), lambda t: bo.regime_thresholds(market(t)), "SELECT " + ", ".join(f"quantile_cont({c}, 0.25) AS {c}_p25, quantile_cont({c}, 0.75) AS {c}_p75, count({c}) AS {c}_n" for c in states) + " FROM market_now")
+    register("d48_regime_thresholds", ", ".join(f"{c}_p25:d, {c}_p75:d, {c}_n:l" for c in states), lambda t: bo.regime_thresholds(kept(market(t), "market")), "SELECT " + ", ".join(f"quantile_cont({c}, 0.25) AS {c}_p25, quantile_cont({c}, 0.75) AS {c}_p75, count({c}) AS {c}_n" for c in states) + " FROM market_now")
 
     def regimes(t):
-        m = market(t)
-        limits = bo.regime_thresholds(m).first().asDict()
+        m = kept(market(t), "market")
+        limits = bo.regime_thresholds(m)  # one row, which goes to every task
         o = bo.join_context(obs(t).drop("bar_dollar_volume"), t.features, m, ("median_return_30m_pct", "pct_positive_30m", "stddev_return_30m_pct", "dispersion_30m_pct", "median_relative_volume"))
-        return bo.regime_stats(o, bo.regime_labels(o, limits))
+        o = kept(joined(o, F.broadcast(limits), []).select("bar_ts", "trade_date", "net", *[v.alias(k) for k, v in bo.regime_labels({c: F.col(c) for c in limits.columns}).items()]), "regimes")
+        return bo.regime_stats(o, {k: F.col(k) for k in o.columns[3:]})
 
     band = lambda x, low, high, a, b, c: f"CASE WHEN {x} < {low} THEN '{a}' WHEN {x} > {high} THEN '{c}' WHEN {x} IS NOT NULL THEN '{b}' END"
     q = lambda c, p: f"(SELECT quantile_cont({c}, {p}) FROM market_now)"
@@ -214,16 +238,16 @@ def _replay() -> None:
 
 def _economics() -> None:
     x = "net"
-    register("d27_trade_distribution", "observations:l, average_winner_pct:d, median_winner_pct:d, average_loser_pct:d, median_loser_pct:d, breakeven_trades:l, win_loss_magnitude_ratio:d, p01_pct:d, skewness:d, excess_kurtosis:d", lambda t: eo.trade_distribution(obs(t), ["rule"]),
+    register("d27_trade_distribution", "observations:l, average_winner_pct:d, median_winner_pct:d, average_loser_pct:d, median_loser_pct:d, breakeven_trades:l, win_loss_magnitude_ratio:d, p01_pct:d, skewness:d, excess_kurtosis:d", lambda t: eo.trade_distribution(outcomes(t), ["rule"]),
              f"""SELECT count(*) AS observations, avg(CASE WHEN {x} > 0 THEN {x} END) AS average_winner_pct, quantile_cont(CASE WHEN {x} > 0 THEN {x} END, 0.5) AS median_winner_pct, avg(CASE WHEN {x} < 0 THEN {x} END) AS average_loser_pct, quantile_cont(CASE WHEN {x} < 0 THEN {x} END, 0.5) AS median_loser_pct,
              count_if({x} = 0) AS breakeven_trades, abs(avg(CASE WHEN {x} > 0 THEN {x} END) / avg(CASE WHEN {x} < 0 THEN {x} END)) AS win_loss_magnitude_ratio, quantile_cont({x}, 0.01) AS p01_pct, avg(pow((net - mu) / sd, 3)) AS skewness, avg(pow((net - mu) / sd, 4)) - 3 AS excess_kurtosis FROM (SELECT net, avg(net) OVER () AS mu, stddev_pop(net) OVER () AS sd FROM obs_net) HAVING count(*) > 0""")
-    register("d28_expected_shortfall", "expected_shortfall_95_pct:d, expected_shortfall_99_pct:d", lambda t: eo.expected_shortfall(obs(t), ["rule"]), "SELECT avg(CASE WHEN net <= (SELECT quantile_cont(net, 0.05) FROM obs_net) THEN net END) AS expected_shortfall_95_pct, avg(CASE WHEN net <= (SELECT quantile_cont(net, 0.01) FROM obs_net) THEN net END) AS expected_shortfall_99_pct FROM obs_net HAVING count(*) > 0")
+    register("d28_expected_shortfall", "expected_shortfall_95_pct:d, expected_shortfall_99_pct:d", lambda t: eo.expected_shortfall(outcomes(t), ["rule"]), "SELECT avg(CASE WHEN net <= (SELECT quantile_cont(net, 0.05) FROM obs_net) THEN net END) AS expected_shortfall_95_pct, avg(CASE WHEN net <= (SELECT quantile_cont(net, 0.01) FROM obs_net) THEN net END) AS expected_shortfall_99_pct FROM obs_net HAVING count(*) > 0")
     events = "SELECT bar_ts, avg(net) AS m, count(*) AS n FROM obs_net GROUP BY 1"
-    register("d29_event_dependence", "independent_timestamp_events:l, event_ratio:d, average_trades_per_event:d, max_trades_per_event:l, p95_trades_per_event:d, event_level_net_expectancy_pct:d, event_level_median_pct:d, event_level_win_rate_pct:d", lambda t: eo.event_dependence(obs(t), ["rule"]),
+    register("d29_event_dependence", "independent_timestamp_events:l, event_ratio:d, average_trades_per_event:d, max_trades_per_event:l, p95_trades_per_event:d, event_level_net_expectancy_pct:d, event_level_median_pct:d, event_level_win_rate_pct:d", lambda t: eo.event_dependence(outcomes(t), ["rule"]),
              f"SELECT count(*) AS independent_timestamp_events, count(*) / sum(n) AS event_ratio, avg(n) AS average_trades_per_event, max(n) AS max_trades_per_event, quantile_cont(n, 0.95) AS p95_trades_per_event, avg(m) AS event_level_net_expectancy_pct, quantile_cont(m, 0.5) AS event_level_median_pct, 100.0 * avg(CASE WHEN m > 0 THEN 1 ELSE 0 END) AS event_level_win_rate_pct FROM ({events}) HAVING count(*) > 0")
     register("d30_intraclass_correlation", "icc:d", lambda t: eo.icc(obs(t), ["bar_ts"], ["rule"]),
              "WITH g AS (SELECT bar_ts, count(*) AS n, avg(net) AS m FROM obs_net GROUP BY 1), a AS (SELECT (SELECT count(*) FROM g) AS k, (SELECT count(*) FROM obs_net) AS t, (SELECT avg(net) FROM obs_net) AS mu), b AS (SELECT (SELECT sum(n * pow(m - mu, 2)) FROM g, a) / (k - 1) AS bt, (SELECT sum(pow(o.net - g.m, 2)) FROM obs_net o JOIN g USING (bar_ts)) / (t - k) AS wi, (t - (SELECT sum(n * n) FROM g) / t) / (k - 1) AS n0 FROM a) SELECT (bt - wi) / (bt + (n0 - 1) * wi) AS icc FROM b WHERE (SELECT count(*) FROM obs_net) > 0")
-    register("d31_effective_events", "effective_events:d", lambda t: eo.event_dependence(obs(t), ["rule"]), f"SELECT sum(n) * sum(n) / sum(n * n) AS effective_events FROM ({events}) HAVING count(*) > 0")
+    register("d31_effective_events", "effective_events:d", lambda t: eo.event_dependence(outcomes(t), ["rule"]), f"SELECT sum(n) * sum(n) / sum(n * n) AS effective_events FROM ({events}) HAVING count(*) > 0")
     register("d32_mae_correlation", "pairs:l, mae_final_outcome_correlation:d", lambda t: eo.mae_corr(obs(t), ["rule"]), "SELECT count(*) AS pairs, CASE WHEN count(*) >= 3 THEN corr(mae_pct, net) END AS mae_final_outcome_correlation FROM obs_net WHERE mae_pct IS NOT NULL HAVING count(*) > 0")
     register("d33_calendar_returns", "trade_date, return_pct:d, trades:l", calendar, "SELECT * FROM calendar")
     register("d33_calendar_summary", "active_days:l, market_days:l, average_return_per_active_day_pct:d, average_return_per_market_day_pct:d, median_return_per_market_day_pct:d, profitable_market_day_pct:d", lambda t: eo.calendar_summary(calendar(t)), "SELECT count_if(trades > 0) AS active_days, count(*) AS market_days, avg(CASE WHEN trades > 0 THEN return_pct END) AS average_return_per_active_day_pct, avg(return_pct) AS average_return_per_market_day_pct, quantile_cont(return_pct, 0.5) AS median_return_per_market_day_pct, 100.0 * avg(CASE WHEN return_pct > 0 THEN 1 ELSE 0 END) AS profitable_market_day_pct FROM calendar")
@@ -234,7 +258,7 @@ def _economics() -> None:
     register("g2_boundary_events", "trade_date, ts, delta:l", lambda t: eo.boundary_events(obs(t), 15), sweep)
     register("d37_concurrency", "trade_date, maximum_concurrent_positions:l, position_minutes:d", lambda t: eo.concurrency(obs(t), 15), f"SELECT trade_date, max(open) AS maximum_concurrent_positions, sum(open * coalesce(epoch(nx - ts) / 60, 0)) AS position_minutes FROM (SELECT *, sum(d) OVER (PARTITION BY trade_date ORDER BY ts) AS open, lead(ts) OVER (PARTITION BY trade_date ORDER BY ts) AS nx FROM (SELECT trade_date, ts, sum(delta) AS d FROM ({sweep}) GROUP BY ALL)) GROUP BY 1")
     register("d38_occupancy", "trade_date, occupied_minutes:d", lambda t: eo.occupancy(obs(t), 15), "SELECT trade_date, count(DISTINCT m) * 5 AS occupied_minutes FROM (SELECT trade_date, unnest(generate_series(bar_ts, bar_ts + INTERVAL 10 MINUTE, INTERVAL 5 MINUTE)) AS m FROM obs) GROUP BY 1")
-    register("d39_capacity", "rate:d, least:d, p05:d, median:d, p95:d, capacity_least:d, capacity_median:d, missing_pct:d", lambda t: eo.capacity_metrics(obs(t)), "SELECT rate, least, p05, median, p95, least * rate AS capacity_least, median * rate AS capacity_median, 0 AS missing_pct FROM (SELECT min(bar_dollar_volume) AS least, quantile_cont(bar_dollar_volume, 0.05) AS p05, quantile_cont(bar_dollar_volume, 0.5) AS median, quantile_cont(bar_dollar_volume, 0.95) AS p95 FROM obs), (VALUES (0.01), (0.02), (0.05)) r(rate)")
+    register("d39_capacity", "rate:d, least:d, p05:d, median:d, p95:d, capacity_least:d, capacity_median:d, missing_pct:d", lambda t: eo.capacity_metrics(outcomes(t)), "SELECT rate, least, p05, median, p95, least * rate AS capacity_least, median * rate AS capacity_median, 0 AS missing_pct FROM (SELECT min(bar_dollar_volume) AS least, quantile_cont(bar_dollar_volume, 0.05) AS p05, quantile_cont(bar_dollar_volume, 0.5) AS median, quantile_cont(bar_dollar_volume, 0.95) AS p95 FROM obs), (VALUES (0.01), (0.02), (0.05)) r(rate)")
     register("e20_drawdown", "trade_date, equity:d, peak:d, drawdown_pct:d", lambda t: eo.with_drawdown(calendar(t)), "SELECT * FROM drawdowns")
     runs = "SELECT g, count(*) AS n FROM (SELECT *, count_if(drawdown_pct >= -1e-9) OVER (ORDER BY trade_date) AS g FROM drawdowns) WHERE drawdown_pct < -1e-9 GROUP BY g"
     register("e21_drawdown_stats", "maximum_drawdown_pct:d, average_drawdown_pct:d, underwater_market_days:l, maximum_underwater_duration_market_days:l, average_drawdown_duration_market_days:d, ending_equity_multiple:d", lambda t: eo.drawdown_stats(calendar(t)),
@@ -263,23 +287,27 @@ _PASSED = "SELECT ['discovery', 'validation', 'robustness'][o_orderkey % 3 + 1]
 def _execution() -> None:
     scenario = "capital:d, delay:l"
     reason = "CASE WHEN entry_price IS NULL THEN 'unavailable_entry_fill' WHEN exit_price IS NULL THEN 'unavailable_exit_fill' WHEN capacity_notional <= 0 THEN 'liquidity_capacity_unavailable' WHEN filled_notional / desired_notional < 0.25 THEN 'minimum_fill_fraction' END"
+    def portfolio(t):
+        table = trades_table(t)
+        return xo.daily_portfolio(xo.equity_curve(table, t.bars, EXECUTION.costs_bps, 5), xo.with_costs(table, EXECUTION.costs_bps))
+
     register("d40_size_fills", f"{scenario}, symbol, signal_ts, capacity_notional:d, filled_notional:d, fill_fraction:d, rejection_reason", signals, f"SELECT *, filled_notional / desired_notional AS fill_fraction, {reason} AS rejection_reason FROM (SELECT *, greatest(0, least(desired_notional, capital * 0.1, capacity_notional)) AS filled_notional FROM sized_signals)")
     register("d41_allocate_day", f"{scenario}, trade_date, symbol, signal_ts, accepted, rejection_reason, filled_notional:d", trades, "SELECT * FROM allocated")
     register("d42_dedupe_overlaps", "symbol, trade_date, bar_ts", lambda t: xo.dedupe_overlaps(obs(t), 15),
              "WITH RECURSIVE o AS MATERIALIZED (SELECT DISTINCT symbol, trade_date, bar_ts FROM obs), k AS (SELECT symbol, trade_date, min(bar_ts) AS bar_ts FROM o GROUP BY ALL UNION ALL SELECT symbol, trade_date, nx FROM (SELECT k.symbol, k.trade_date, (SELECT min(o.bar_ts) FROM o WHERE o.symbol = k.symbol AND o.trade_date = k.trade_date AND o.bar_ts >= k.bar_ts + INTERVAL 15 MINUTE) AS nx FROM k) WHERE nx IS NOT NULL) SELECT * FROM k")
     register("d43_rejections", f"{scenario}, reason, n:l, share_pct:d", lambda t: xo.rejections(trades(t)), "SELECT *, 100.0 * n / sum(n) OVER (PARTITION BY capital, delay) AS share_pct FROM (SELECT capital, delay, coalesce(rejection_reason, 'accepted') AS reason, count(*) AS n FROM allocated GROUP BY ALL)")
     money = "SELECT * FROM money"
-    register("d44_money_metrics", f"{scenario}, cost_bps:d, trades:l, net_expected_value_pct:d, trade_win_rate_pct:d, loss_rate_pct:d, gross_pnl:d, net_pnl:d, estimated_costs:d, median_trade_capacity:d, profit_factor:d", lambda t: xo.trade_money_metrics(costed(t), EXECUTION), money)
-    register("d47_stress_matrix", f"{scenario}, cost_bps:d, trades:l, net_expected_value_pct:d, net_pnl:d", lambda t: xo.stress_matrix(trades(t), EXECUTION), money)
-    register("c13_open_positions", f"{scenario}, symbol, ts, mark:d", lambda t: xo.open_positions(trades(t).where("accepted"), t.bars, 5), _OPEN.format("(SELECT * FROM allocated WHERE accepted)"))
+    register("d44_money_metrics", f"{scenario}, cost_bps:d, trades:l, net_expected_value_pct:d, trade_win_rate_pct:d, loss_rate_pct:d, gross_pnl:d, net_pnl:d, estimated_costs:d, median_trade_capacity:d, profit_factor:d", lambda t: xo.trade_money_metrics(costed_table(t), EXECUTION), money)
+    register("d47_stress_matrix", f"{scenario}, cost_bps:d, trades:l, net_expected_value_pct:d, net_pnl:d", lambda t: xo.stress_matrix(trades_table(t), EXECUTION), money)
+    register("c13_open_positions", f"{scenario}, symbol, ts, mark:d", lambda t: xo.holdings(trades(t).where("accepted"), t.bars, 5), _OPEN.format("(SELECT * FROM allocated WHERE accepted)"))
     register("d45_equity_curve", f"{scenario}, cost_bps:d, ts, realised_pnl:d, open_pnl:d, gross_exposure:d, net_exposure:d, open_positions:l, equity:d", equity, "SELECT * FROM equity_points")
     register("e20_equity_drawdown", f"{scenario}, cost_bps:d, ts, peak:d, drawdown_pct:d", lambda t: xo.with_drawdown(equity(t)), "SELECT * FROM equity_peaks")
-    register("d46_daily_portfolio", f"{scenario}, cost_bps:d, trade_date, end_equity:d, return_pct:d, turnover:d, costs:d, peak_gross_exposure:d, worst_drawdown_pct:d", lambda t: xo.daily_portfolio(equity(t), costed(t)), "SELECT * FROM portfolio_days")
+    register("d46_daily_portfolio", f"{scenario}, cost_bps:d, trade_date, end_equity:d, return_pct:d, turnover:d, costs:d, peak_gross_exposure:d, worst_drawdown_pct:d", portfolio, "SELECT * FROM portfolio_days")
 
     def by_regime(t):
         spy = mo.benchmark_pivot(mo.benchmark_features(t.bars, proxies.BENCHMARKS, 5), {"click_0": "spy"}, ("ret_30m_pct",)).select("bar_ts", F.col("spy_ret_30m_pct").alias("spy_return_30m_pct"))
         m = market(t).join(spy, "bar_ts", "left").withColumn("minute_of_day", F.hour("bar_ts") * 60 + F.minute("bar_ts")).withColumnRenamed("bar_ts", "signal_ts")
-        return bo.strategy_regimes(costed(t).where("capital = 10000 AND delay = 0 AND cost_bps = 20").join(m, "signal_ts", "left"))
+        return bo.strategy_regimes(kept(costed(t).where("capital = 10000 AND delay = 0 AND cost_bps = 20").join(m, "signal_ts", "left"), "trades-in-markets"))
 
     bands = {
         "breadth": "CASE WHEN b < 40 THEN 'weak' WHEN b > 60 THEN 'strong' ELSE 'neutral' END", "spy_30m": "CASE WHEN coalesce(s, 0) < -0.25 THEN 'falling' WHEN coalesce(s, 0) > 0.25 THEN 'rising' ELSE 'sideways' END",
@@ -293,12 +321,13 @@ def _execution() -> None:
              100.0 * avg(CASE WHEN net_return_pct > 0 THEN 1 ELSE 0 END) AS win_rate_pct, sum(filled_notional * net_return_pct / 100) AS total_pnl, (SELECT 100.0 * count(b) / count(*) FROM w) AS coverage_pct FROM ({union}) GROUP BY ALL""")
 
     def scored_card(t):
-        c = costed(t)
-        s = xo.stress_matrix(trades(t), EXECUTION).where("capital = 10000")
+        table = trades_table(t)
+        c = xo.with_costs(table, EXECUTION.costs_bps)
+        s = xo.trade_money_metrics(c, EXECUTION).where("capital = 10000")
         pick = lambda cost, delay, name: F.max(F.when((F.col("cost_bps") == cost) & (F.col("delay") == delay), F.col("net_expected_value_pct"))).alias(name)
         stress = s.groupBy("capital").agg(pick(30, 0, "stress_30_0"), pick(20, 1, "stress_base_1"), pick(20, 2, "stress_base_2"), pick(20, 5, "stress_base_5"))
         base = xo.trade_money_metrics(c.where("cost_bps = 20 AND delay = 0"), EXECUTION).where("capital = 10000")
-        days = xo.daily_portfolio(equity(t), c).where("capital = 10000 AND cost_bps = 20 AND delay = 0").groupBy("capital").agg(F.avg("return_pct").alias("average_return_per_market_day_pct"), F.min("worst_drawdown_pct").alias("maximum_drawdown_pct"))
+        days = xo.daily_portfolio(xo.equity_curve(table, t.bars, EXECUTION.costs_bps, 5), c).where("capital = 10000 AND cost_bps = 20 AND delay = 0").groupBy("capital").agg(F.avg("return_pct").alias("average_return_per_market_day_pct"), F.min("worst_drawdown_pct").alias("maximum_drawdown_pct"))
         top = bo.top_share(c.where("cost_bps = 20 AND delay = 0 AND capital = 10000").withColumn("net", F.col("net_return_pct")), ["capital"], (10,))
         gate = xo.chronology(runs(t), "c3", REQUIRED).agg((F.count("*") == 0).alias("chronology_pass"), F.lit(10_000.0).alias("capital"))
         return xo.scorecard(base.join(stress, "capital").join(days, "capital").join(top, "capital").join(gate, "capital"))
@@ -373,12 +402,12 @@ UNION ALL SELECT run_id, 'holdout without a freeze' FROM r WHERE holdout AND NOT
     register("i7_sync_ledger", "rule_id:l, fingerprint, frozen", lambda t: io.sync_ledger(ledger(t), rules(t)), "SELECT c_custkey AS rule_id, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 = 0 AND c_custkey % 7 = 0 THEN 'changed' ELSE sha256(c_name) END AS fingerprint, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 = 0 THEN true ELSE c_custkey % 2 = 0 END AS frozen FROM customer")
 
     def refreshed(t):
-        path = scratch(t.spark, "features")
+        path, state = scratch(t.spark, "features"), scratch(t.spark, "state")
+        early = t.bars.where("trade_date < DATE '2024-01-15'")
+        stream.refresh(early, early, path, state, proxies.FEATURES)
         old = t.bars.where("trade_date < DATE '2024-01-20' OR symbol <> 'click_0'")
-        from tidemark.operators.features import build_features
-
-        sinks.write_slice(build_features(old, proxies.FEATURES), path, ["trade_date"])
-        stream.refresh(t.bars, t.bars.where("trade_date >= DATE '2024-01-20' AND symbol = 'click_0'"), path, proxies.FEATURES)
+        stream.refresh(old, old.where("trade_date >= DATE '2024-01-15'"), path, state, proxies.FEATURES)
+        stream.refresh(t.bars, t.bars.where("trade_date >= DATE '2024-01-20' AND symbol = 'click_0'"), path, state, proxies.FEATURES)
         return t.spark.read.parquet(path)
 
     register("j1_incremental_refresh", "symbol, bar_ts, session_label, ret_5m_pct:d, same_minute_avg_volume_prior_days:d, previous_regular_close:d", refreshed, "SELECT * FROM feat")

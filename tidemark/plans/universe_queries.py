@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
@@ -16,22 +13,15 @@ from tidemark.operators import universe as uo
 from tidemark.plans.discovery_queries import RULE, RULE_SQL, outcomes, screened
 from tidemark.plans.registry import register
 from tidemark.sources import proxies, scans, sinks
+from tidemark.sources.sinks import scratch
 
 CONFIG = uo.UniverseConfig(tiers=(("A", 1, 65_000), ("B", 1, 53_000), ("C", 1, 41_000)), minimum_days=25, minimum_bars=1.0, minimum_dollar_volume=30_000, minimum_price=900, include=r"^[0-9]+$", exclude="7$", fund_names="(1|x3)$", maximum_symbols=400)
+#: Orders in parts of neighbouring keys.
+ORDER_PART = lambda: sinks.key_range("o_orderkey", 20_000)
 DAYS = "SELECT trade_date FROM bars WHERE symbol = 'click_0' GROUP BY trade_date"
 _STATS = "trading_days:l, average_bars_per_day:d, median_daily_dollar_volume:d, average_daily_dollar_volume:d, median_close:d"
 
 
-def scratch(spark, label: str) -> str:
-    """A folder for a query's own files, in the cluster's shared folder; a temporary one only within one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def daily(t):
     return uo.daily_liquidity(t.daily_source, ("l_orderkey", "l_linenumber"))
 
@@ -109,13 +99,20 @@ def load() -> None:
 
     def added(t):
         path = scratch(t.spark, "new-rows")
-        sinks.write_new(t["orders"].where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("old").alias("batch")), path, ["o_orderkey"])
-        sinks.write_new(t["orders"].where("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("batch")), path, ["o_orderkey"])
+        sinks.write_new(t["orders"].where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("old").alias("batch")), path, ["o_orderkey"], ORDER_PART())
+        sinks.write_new(t["orders"].where("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("batch")), path, ["o_orderkey"], ORDER_PART())
         return t.spark.read.parquet(path)
 
     register("a7_write_new", "o_orderkey:l, batch", added, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE 'new' END AS batch FROM orders")
     updates = lambda t: t["orders"].where("o_orderkey % 2 = 1 OR o_orderkey % 3 = 0").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice * 2 AS o_totalprice")
-    register("a8_upsert", "o_orderkey:l, o_orderstatus, o_totalprice:d", lambda t: sinks.upsert(t["orders"].where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus", "o_totalprice"), updates(t), ["o_orderkey"], F.col("o_orderstatus") == "F"),
+
+    def upserted(t):
+        path = scratch(t.spark, "upserts")
+        sinks.write_new(t["orders"].where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, ["o_orderkey"], ORDER_PART())
+        sinks.upsert_into(updates(t), path, ["o_orderkey"], ORDER_PART(), F.col("o_orderstatus") == "F")
+        return t.spark.read.parquet(path)
+
+    register("a8_upsert", "o_orderkey:l, o_orderstatus, o_totalprice:d", upserted,
              "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 AND (o_orderkey % 3 <> 0 OR o_orderstatus = 'F') THEN o_totalprice ELSE o_totalprice * 2 END AS o_totalprice FROM orders")
 
     def monthly(t):
