@@ -127,13 +127,11 @@ def finalise_stats(stats: DataFrame) -> DataFrame:
     return out.withColumn("t_stat", F.when(F.col("stdev_pct") > 1e-9, F.col("net_avg_pct") / F.col("stdev_pct") * F.sqrt(n)))
 
 
-def _quantile(hist: Column, total: Column, q: float) -> Column:
+def _quantile(hist: str, total: str, q: float) -> Column:
     """The middle of the first of the sorted bins (bin, n) that reaches ceil(q n) outcomes; the end bins give their edge."""
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
-    reach = F.greatest(F.lit(1), F.ceil(q * total))
-    step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.coalesce(s["at"], F.when(s["seen"] + x["n"] >= reach, x["bin"])).alias("at"))
-    value = lambda b: F.when(b <= HIST_LEAST, HIST_LEAST / 10.0).when(b >= HIST_MOST, HIST_MOST / 10.0).otherwise((b + 0.5) / 10.0)
-    return F.aggregate(hist, start, step, lambda s: value(s["at"]))
+    value = f"CASE WHEN s.at <= {HIST_LEAST} THEN {HIST_LEAST / 10.0}D WHEN s.at >= {HIST_MOST} THEN {HIST_MOST / 10.0}D ELSE (s.at + 0.5D) / 10.0D END"
+    step = f"named_struct('seen', s.seen + x.n, 'at', coalesce(s.at, CASE WHEN s.seen + x.n >= greatest(1, ceil({q}D * {total})) THEN x.bin END))"
+    return F.expr(f"aggregate({hist}, named_struct('seen', 0L, 'at', CAST(NULL AS INT)), (s, x) -> {step}, s -> {value})")
 
 
 def screen(outcomes: DataFrame, keys=GROUP) -> DataFrame:
@@ -157,7 +155,7 @@ def screen(outcomes: DataFrame, keys=GROUP) -> DataFrame:
     shares = [x for p, many, share in (("symbol", "symbols", "max_symbol_share_pct"), ("trade_date", "dates", "max_date_share_pct")) for x in (F.count_if(of[p]).alias(many), (100.0 * F.max(only(p, "n")) / F.sum(only(p, "n"))).alias(share))]
     hist = F.sort_array(F.collect_list(F.when(of["bin"], F.struct("bin", "n")))).alias("_hist")
     out = cut.groupBy(*keys).agg(F.sum(only("bin", "n")).alias("observations"), *[F.sum(only("bin", c)).alias(c) for c in added], F.min(only("bin", "worst_pct")).alias("worst_pct"), F.max(only("bin", "best_pct")).alias("best_pct"), *shares, hist)
-    return finalise_stats(out).withColumns({n: _quantile(F.col("_hist"), F.col("observations"), q) for n, q in QUANTILES.items()}).drop("_hist")
+    return finalise_stats(out).withColumns({n: _quantile("_hist", "observations", q) for n, q in QUANTILES.items()}).drop("_hist")
 
 
 #: A cell is a whole number: the family above, four bits for each of its dimensions (no dimension has more bins).
@@ -169,20 +167,21 @@ def cells(families=tuple(ALL_FAMILIES)) -> Column:
     out = []
     for i, f in enumerate(families):
         dims, condition = ALL_FAMILIES[f]
-        code = F.lit(i)
+        code = str(i)
         for k in range(_DIMS):
-            code = F.shiftleft(code, _BITS) + (F.col(dims[k]) if k < len(dims) else F.lit(0))
-        out.append(F.when(F.expr(f"({condition})"), code))  # null without all dimensions
-    return F.array_compact(F.array(*out))
+            code = f"({code} * {1 << _BITS} + {dims[k] if k < len(dims) else 0})"
+        out.append(f"CASE WHEN {condition} THEN {code} END")  # null without all dimensions
+    return F.expr(f"array_compact(array({', '.join(out)}))")
 
 
-def cell_names(cell: Column, families=tuple(ALL_FAMILIES)) -> tuple[Column, Column]:
+def cell_names(cell: str, families=tuple(ALL_FAMILIES)) -> tuple[Column, Column]:
     """Family and group key of a cell."""
-    place = F.shiftright(cell, _BITS * _DIMS)
-    family = F.element_at(F.array(*[F.lit(f) for f in families]), place + 1)
-    bins = F.array(*[F.shiftright(cell, _BITS * (_DIMS - 1 - k)).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("string") for k in range(_DIMS)])
-    many = F.element_at(F.array(*[F.lit(len(ALL_FAMILIES[f][0])) for f in families]), place + 1)
-    return family, F.array_join(F.slice(bins, F.lit(1), many), "|")
+    place = f"shiftright({cell}, {_BITS * _DIMS}) + 1"
+    pick = lambda values: f"element_at(array({', '.join(values)}), {place})"
+    family = pick([f"'{f}'" for f in families])
+    many = pick([str(len(ALL_FAMILIES[f][0])) for f in families])
+    bins = ", ".join(f"CAST(shiftright({cell}, {_BITS * (_DIMS - 1 - k)}) & {(1 << _BITS) - 1} AS STRING)" for k in range(_DIMS))
+    return F.expr(family), F.expr(f"array_join(slice(array({bins}), 1, {many}), '|')")
 
 
 def screen_states(states: DataFrame, families=tuple(ALL_FAMILIES), directions=("long", "short"), horizons=(5,), cost_bps: float = 20.0, anchor: int = 570, overlapping: bool = False) -> DataFrame:
@@ -192,41 +191,37 @@ def screen_states(states: DataFrame, families=tuple(ALL_FAMILIES), directions=("
     are summed side by side, and counted by the pair of their bins (both are steps of the same return: no
     more than twice as many pairs as bins). Names, directions and quantiles are worked out for groups only.
     """
-    c, f = cost_bps / 100.0, F.col("forward")
-    due = lambda h: on_entry_grid(F.col("minute_of_day"), 1 if overlapping else h, anchor) & F.col(f"fwd_return_{h}m_pct").isNotNull()
-    returns = F.array_compact(F.array(*[F.when(due(h), F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_return_{h}m_pct").alias("forward"))) for h in horizons]))
-    some = states.select("symbol", "trade_date", cells(families).alias("cells"), returns.alias("returns")).where((F.size("cells") > 0) & (F.size("returns") > 0))
-    some = some.select("symbol", "trade_date", "cells", F.explode("returns").alias("o")).select("symbol", "trade_date", "cells", "o.horizon", "o.forward")
-    pair = (hist_bin(f - c) - HIST_LEAST) * (HIST_MOST - HIST_LEAST + 1) + hist_bin(-f - c) - HIST_LEAST
-    rows = some.withColumn("pair", pair).select(F.explode("cells").alias("cell"), "horizon", "symbol", "trade_date", "pair", "forward")
-
-    net = {"long": f - c, "short": -f - c}
-    sums = [F.count("*").alias("n"), F.sum("forward").alias("forward_sum"), F.min("forward").alias("least"), F.max("forward").alias("most"), F.grouping_id().alias("_g")]
+    c = repr(cost_bps / 100.0) + "D"
+    due = lambda h: ("" if overlapping else f"(minute_of_day - {anchor}) % {h} = 0 AND ") + f"fwd_return_{h}m_pct IS NOT NULL"
+    returns = ", ".join(f"CASE WHEN {due(h)} THEN named_struct('horizon', {h}, 'forward', fwd_return_{h}m_pct) END" for h in horizons)
+    some = states.select("symbol", "trade_date", cells(families).alias("cells"), F.expr(f"array_compact(array({returns}))").alias("returns")).where("size(cells) > 0 AND size(returns) > 0")
+    width = HIST_MOST - HIST_LEAST + 1
+    bin_of = lambda x: f"CAST(greatest({HIST_LEAST}, least({HIST_MOST}, floor(({x}) * 10))) AS INT)"
+    net = {"long": f"forward - {c}", "short": f"-forward - {c}"}
+    pair = f"({bin_of(net['long'])} - {HIST_LEAST}) * {width} + {bin_of(net['short'])} - {HIST_LEAST} AS pair"
+    rows = some.selectExpr("symbol", "trade_date", "cells", "inline(returns)").selectExpr("symbol", "trade_date", "horizon", "forward", pair, "cells").selectExpr("explode(cells) AS cell", "horizon", "symbol", "trade_date", "pair", "forward")
+
+    sums = ["count(*) AS n", "sum(forward) AS forward_sum", "min(forward) AS least", "max(forward) AS most"]
     for d in directions:
         x = net[d]
-        sums += [F.sum(x).alias(f"{d}_net_sum"), F.sum(x * x).alias(f"{d}_net_sum_squares"), F.count_if(x > 0).alias(f"{d}_wins"), F.sum(F.when(x > 0, x).otherwise(0.0)).alias(f"{d}_positive_sum"), F.sum(F.when(x < 0, -x).otherwise(0.0)).alias(f"{d}_negative_sum_abs")]
+        sums += [f"sum({x}) AS {d}_net_sum", f"sum(({x}) * ({x})) AS {d}_net_sum_squares", f"count_if({x} > 0) AS {d}_wins", f"sum(CASE WHEN {x} > 0 THEN {x} ELSE 0D END) AS {d}_positive_sum", f"sum(CASE WHEN {x} < 0 THEN -({x}) ELSE 0D END) AS {d}_negative_sum_abs"]
     parts, keys = ("symbol", "trade_date", "pair"), ("cell", "horizon")
-    cut = rows.groupingSets([[*map(F.col, keys), F.col(p)] for p in parts], *map(F.col, (*keys, *parts))).agg(*sums)
-    of = {p: F.col("_g") == 7 - (4 >> i) for i, p in enumerate(parts)}
-    only = lambda p, name: F.when(of[p], F.col(name))
-    shares = [x for p, many, share in (("symbol", "symbols", "max_symbol_share_pct"), ("trade_date", "dates", "max_date_share_pct")) for x in (F.count_if(of[p]).alias(many), (100.0 * F.max(only(p, "n")) / F.sum(only(p, "n"))).alias(share))]
+    cut = rows.groupingSets([[*map(F.col, keys), F.col(p)] for p in parts], *map(F.col, (*keys, *parts))).agg(*map(F.expr, sums), F.grouping_id().alias("_g"))
+    only = lambda p, name: f"CASE WHEN _g = {7 - (4 >> parts.index(p))} THEN {name} END"
+    shares = [x for p, many, share in (("symbol", "symbols", "max_symbol_share_pct"), ("trade_date", "dates", "max_date_share_pct")) for x in (f"count({only(p, '1')}) AS {many}", f"100.0D * max({only(p, 'n')}) / sum({only(p, 'n')}) AS {share}")]
     added = ("net_sum", "net_sum_squares", "wins", "positive_sum", "negative_sum_abs")
-    width = HIST_MOST - HIST_LEAST + 1
-    bins = {"long": F.floor(F.col("pair") / width), "short": F.col("pair") % width}
-    hist = lambda d: F.sort_array(F.collect_list(F.when(of["pair"], F.struct((bins[d] + HIST_LEAST).cast("int").alias("bin"), "n")))).alias(f"{d}_hist")
-    whole = cut.groupBy(*keys).agg(
-        F.sum(only("pair", "n")).alias("observations"), F.sum(only("pair", "forward_sum")).alias("forward_sum"), F.min(only("pair", "least")).alias("least"), F.max(only("pair", "most")).alias("most"), *shares,
-        *[F.sum(only("pair", f"{d}_{a}")).alias(f"{d}_{a}") for d in directions for a in added], *[hist(d) for d in directions],
-    )
+    bins = {"long": f"CAST(floor(pair / {width}) + {HIST_LEAST} AS INT)", "short": f"CAST(pair % {width} + {HIST_LEAST} AS INT)"}
+    hist = lambda d: "sort_array(collect_list(" + only("pair", f"named_struct('bin', {bins[d]}, 'n', n)") + f")) AS {d}_hist"
+    own = [f"sum({only('pair', f'{d}_{x}')}) AS {d}_{x}" for d in directions for x in added]
+    whole = cut.groupBy(*keys).agg(*map(F.expr, [f"sum({only('pair', 'n')}) AS observations", f"sum({only('pair', 'forward_sum')}) AS forward_sum", f"min({only('pair', 'least')}) AS least", f"max({only('pair', 'most')}) AS most", *shares, *own, *map(hist, directions)]))
 
     def side(d: str) -> Column:
-        low, high = ("least", "most") if d == "long" else ("most", "least")
-        sign = 1.0 if d == "long" else -1.0
-        own = [F.lit(d).alias("direction"), (sign * F.col("forward_sum")).alias("gross_sum"), *[F.col(f"{d}_{a}").alias(a) for a in added], (sign * F.col(low) - c).alias("worst_pct"), (sign * F.col(high) - c).alias("best_pct")]
-        return F.struct(*own, *[_quantile(F.col(f"{d}_hist"), F.col("observations"), q).alias(n) for n, q in QUANTILES.items()])
+        low, high, sign = ("least", "most", "") if d == "long" else ("most", "least", "-")
+        ends = [f"'{d}' AS direction", f"{sign}forward_sum AS gross_sum", *[f"{d}_{x} AS {x}" for x in added], f"{sign}{low} - {c} AS worst_pct", f"{sign}{high} - {c} AS best_pct"]
+        return F.struct(*map(F.expr, ends), *[_quantile(f"{d}_hist", "observations", q).alias(n) for n, q in QUANTILES.items()])
 
-    family, key = cell_names(F.col("cell"), families)
-    out = whole.select(family.alias("family"), "horizon", key.alias("group_key"), "observations", *[f"{x}" for x in ("symbols", "max_symbol_share_pct", "dates", "max_date_share_pct")], F.explode(F.array(*[side(d) for d in directions])).alias("side"))
+    family, key = cell_names("cell", families)
+    out = whole.select(family.alias("family"), "horizon", key.alias("group_key"), "observations", "symbols", "max_symbol_share_pct", "dates", "max_date_share_pct", F.explode(F.array(*[side(d) for d in directions])).alias("side"))
     return finalise_stats(out.select("*", "side.*").drop("side"))
 
 

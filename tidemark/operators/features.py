@@ -73,28 +73,29 @@ def with_prev_bar(df: DataFrame, base_minutes: int = 1) -> DataFrame:
     ).drop("_ts", "_close")
 
 
+_SESSION = "(PARTITION BY symbol, trade_date, session_label ORDER BY bar_ts)"
+
+
+def _stepped(df: DataFrame, horizons, base_minutes: int, move: str, value, name: str, flag: str) -> DataFrame:
+    """Percent change between each bar and the one ``horizon`` minutes away, if it is exactly there; all horizons at once."""
+    whole = [h for h in horizons if h % base_minutes == 0]
+    df = df.withColumns({f"_{c}_{h}": F.expr(f"{move}({s}, {h // base_minutes}) OVER {_SESSION}") for h in whole for c, s in (("ts", "bar_ts"), ("close", "close"))})
+    out = {}
+    for h in horizons:
+        gap = f"bar_ts - _ts_{h}" if move == "lag" else f"_ts_{h} - bar_ts"
+        out[name.format(h)] = F.expr(f"CASE WHEN {gap} = INTERVAL '{h}' MINUTE THEN {value(f'_close_{h}')} END" if h in whole else "CAST(NULL AS DOUBLE)")
+        out[flag.format(h)] = F.expr(f"coalesce({gap} = INTERVAL '{h}' MINUTE, false)" if h in whole else "false")
+    return df.withColumns(out).drop(*[f"_{c}_{h}" for h in whole for c in ("ts", "close")])
+
+
 def with_returns(df: DataFrame, horizons=(1, 5, 15, 30, 60), base_minutes: int = 1) -> DataFrame:
     """ret_{h}m_pct and history_{h}m_complete; horizons that are no multiple of the bar are null."""
-    for h in horizons:
-        if h % base_minutes:
-            df = df.withColumns({f"ret_{h}m_pct": F.lit(None).cast("double"), f"history_{h}m_complete": F.lit(False)})
-            continue
-        k = h // base_minutes
-        df = df.withColumns({"_ts": F.lag("bar_ts", k).over(_session()), "_close": F.lag("close", k).over(_session())})
-        df = df.withColumns({f"ret_{h}m_pct": _gated(pct_change("close", "_close"), "bar_ts", "_ts", h), f"history_{h}m_complete": F.coalesce(F.col("bar_ts") - F.col("_ts") == _minutes(h), F.lit(False))})
-    return df.drop("_ts", "_close")
+    return _stepped(df, horizons, base_minutes, "lag", lambda c: f"(try_divide(close, {c}) - 1) * 100", "ret_{}m_pct", "history_{}m_complete")
 
 
 def with_labels(df: DataFrame, horizons=(5, 15, 30, 60), base_minutes: int = 1) -> DataFrame:
     """fwd_return_{h}m_pct and future_{h}m_complete."""
-    for h in horizons:
-        if h % base_minutes:
-            df = df.withColumns({f"fwd_return_{h}m_pct": F.lit(None).cast("double"), f"future_{h}m_complete": F.lit(False)})
-            continue
-        k = h // base_minutes
-        df = df.withColumns({"_ts": F.lead("bar_ts", k).over(_session()), "_close": F.lead("close", k).over(_session())})
-        df = df.withColumns({f"fwd_return_{h}m_pct": _gated(pct_change("_close", "close"), "_ts", "bar_ts", h), f"future_{h}m_complete": F.coalesce(F.col("_ts") - F.col("bar_ts") == _minutes(h), F.lit(False))})
-    return df.drop("_ts", "_close")
+    return _stepped(df, horizons, base_minutes, "lead", lambda c: f"(try_divide({c}, close) - 1) * 100", "fwd_return_{}m_pct", "future_{}m_complete")
 
 
 def with_session_open(df: DataFrame) -> DataFrame:

@@ -101,31 +101,28 @@ def enrich(features: DataFrame) -> DataFrame:
     return df.withColumns({"price_group": price_group(F.col("close")), "abs_ret_5m_pct": F.abs("ret_5m_pct")})
 
 
-def bin_of(value: Column, edges) -> Column:
+def bin_of(value: str, edges) -> str:
     """0 below the first edge, 1 from it on, and so forth; null for null."""
-    out = F.when(value.isNull(), F.lit(None).cast("int"))
+    steps = []
     for i, e in enumerate(edges):
         edge, below = e if isinstance(e, tuple) else (e, False)
-        out = out.when((value <= edge) if below else (value < edge), i)
-    return out.otherwise(len(edges))
+        steps.append(f"WHEN {value} {'<=' if below else '<'} {edge} THEN {i}")
+    return f"CASE WHEN {value} IS NULL THEN CAST(NULL AS INT) {' '.join(steps)} ELSE {len(edges)} END"
 
 
 def bin_column(name: str) -> Column:
     """The bin number of one dimension; null where the dimension has no value."""
-    if name in EDGES:
-        return bin_of(F.col(EDGES[name][0]), EDGES[name][1])
-    if name in MIXED_EDGES:
-        return bin_of(F.col(MIXED_EDGES[name][0]), MIXED_EDGES[name][1])
+    if name in EDGES or name in MIXED_EDGES:
+        return F.expr(bin_of(*(EDGES.get(name) or MIXED_EDGES[name])))
     if name in CLOCK:
-        edges, m = CLOCK[name], F.col("minute_of_day")
-        return F.when((m >= edges[0]) & (m < edges[-1]), bin_of(m, edges[1:-1]))
+        edges = CLOCK[name]
+        return F.expr(f"CASE WHEN minute_of_day >= {edges[0]} AND minute_of_day < {edges[-1]} THEN {bin_of('minute_of_day', edges[1:-1])} END")
     if name == "weekday_bin":
-        return F.when(F.col("weekday_iso").between(1, 5), F.col("weekday_iso") - 1).cast("int")
+        return F.expr("CAST(CASE WHEN weekday_iso BETWEEN 1 AND 5 THEN weekday_iso - 1 END AS INT)")
     if name == "opening_state_bin":
-        p = F.col("opening_range_position")
-        return F.when(p == "above", 0).when(p == "inside", 1).when(p == "below", 2)
+        return F.expr("CASE opening_range_position WHEN 'above' THEN 0 WHEN 'inside' THEN 1 WHEN 'below' THEN 2 END")
     if name == "touched_high_bin":
-        return F.when(F.col("touched_session_high"), 1).when(~F.col("touched_session_high"), 0)
+        return F.expr("CASE WHEN touched_session_high THEN 1 WHEN NOT touched_session_high THEN 0 END")
     raise KeyError(name)
 
 

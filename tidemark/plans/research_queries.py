@@ -59,13 +59,18 @@ def outcomes(t, df=None):
     return kept((obs(t) if df is None else df).select(*OUTCOMES), "outcomes")
 
 
+STATE = ("bar_ts", "high", "low", "cumulative_high", "cumulative_low", "cumulative_range_position", "relative_volume_20bar", "relative_trade_count_20bar", "ret_5m_pct", "ret_30m_pct", "rolling_realised_volatility_30bar",
+         "previous_day_realised_volatility", "activity_adjusted_return_5m", "prior_activity_adjusted_return_5m")
+
+
 def calendar(t):
     return eo.calendar_returns(obs(t), FIRST, LAST)
 
 
 def market(t):
-    b = mo.market_breadth(t.samples, (5, 30))
-    return b.join(mo.market_breadth_extras(t.samples).select("bar_ts", "median_relative_volume"), "bar_ts", "left")
+    s = kept(t.samples.select(*STATE), "market-samples")
+    b = mo.market_breadth(s, (5, 30))
+    return b.join(mo.market_breadth_extras(s).select("bar_ts", "median_relative_volume"), "bar_ts", "left")
 
 
 DELAYS = (0, 1, 2, 5)
@@ -73,8 +78,9 @@ DELAYS = (0, 1, 2, 5)
 
 def entries(t):
     """Signals of the rule entered so many bars later and left three bars after that, on the same day."""
-    e = bo.join_entry(t.samples.where(ro.rule_filter(RULE)), t.features, DELAYS, ("close", "bar_dollar_volume"), 5)
-    return bo.join_exit(e, t.features, 15)
+    bars = t.bars.withColumn("bar_dollar_volume", F.col("close") * F.col("volume"))
+    e = bo.join_entry(t.samples.where(ro.rule_filter(RULE)), bars, DELAYS, ("close", "bar_dollar_volume"), 5)
+    return bo.join_exit(e, bars, 15)
 
 
 def symbol_snapshots(t):
@@ -217,7 +223,8 @@ def _replay() -> None:
     def regimes(t):
         m = kept(market(t), "market")
         limits = bo.regime_thresholds(m)  # one row, which goes to every task
-        o = bo.join_context(obs(t).drop("bar_dollar_volume"), t.features, m, ("median_return_30m_pct", "pct_positive_30m", "stddev_return_30m_pct", "dispersion_30m_pct", "median_relative_volume"))
+        table = outcomes(t)
+        o = bo.join_context(table.drop("bar_dollar_volume"), table, m, ("median_return_30m_pct", "pct_positive_30m", "stddev_return_30m_pct", "dispersion_30m_pct", "median_relative_volume"))
         o = kept(joined(o, F.broadcast(limits), []).select("bar_ts", "trade_date", "net", *[v.alias(k) for k, v in bo.regime_labels({c: F.col(c) for c in limits.columns}).items()]), "regimes")
         return bo.regime_stats(o, {k: F.col(k) for k in o.columns[3:]})
 
