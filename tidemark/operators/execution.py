@@ -51,6 +51,7 @@ def _let(value: Column, body) -> Column:
 
 
 _HELD = "array<struct<exit:timestamp_ntz,symbol:string,sign:double,notional:double>>"
+_STRETCH = 64
 _FILLS = "array<struct<filled_notional:double,fill_fraction:double,rejection_reason:string>>"
 
 
@@ -70,7 +71,7 @@ def allocate_day(signals: DataFrame, c: ExecutionConfig) -> DataFrame:
     if c.priority != "symbol":
         order.append((-F.coalesce("daily_dollar_volume", F.lit(0.0))).alias("by_volume"))
     kept = ("symbol", "entry_ts", "exit_ts", "direction", "entry_price", "exit_price", "gross_return_pct", "capacity_notional", "desired_notional")
-    days = signals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *kept))).alias("day"))
+    days = signals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *kept))).alias("day"))
     limit = lambda name: F.col("capital") * (getattr(c, f"max_{name}_pct") / 100)
     missing = lambda x: x.isNull() | F.isnan(x)
     zero, none = F.lit(0.0), F.lit(None).cast("double")
@@ -90,14 +91,18 @@ def allocate_day(signals: DataFrame, c: ExecutionConfig) -> DataFrame:
             crowd = F.when(F.lit(c.one_per_symbol) & F.exists(live, lambda h: h["symbol"] == r["symbol"]), "existing_symbol_position").when(F.size(live) >= c.max_positions, "max_positions")
             short = F.when(r["capacity_notional"] <= 0, "liquidity_capacity_unavailable").when(F.lit(not c.allow_partial) & (fill + 1e-9 < r["desired_notional"]), "partial_fill_not_allowed").when((fill <= 0) | (fraction < c.min_fill), "minimum_fill_fraction")
             tested = F.struct(F.when(crowd.isNull(), fill).alias("filled_notional"), F.when(crowd.isNull(), fraction).alias("fill_fraction"), F.coalesce(crowd, short).alias("rejection_reason"))
-            return _let(tested, lambda out: F.struct(F.when(out["rejection_reason"].isNull(), F.concat(live, F.array(F.struct(r["exit_ts"].alias("exit"), r["symbol"].alias("symbol"), sign.alias("sign"), fill.alias("notional"))))).otherwise(live).cast(_HELD).alias("held"), F.concat(s["out"], F.array(out)).cast(_FILLS).alias("out")))
+            return _let(tested, lambda out: F.struct(F.when(out["rejection_reason"].isNull(), F.concat(live, F.array(F.struct(r["exit_ts"].alias("exit"), r["symbol"].alias("symbol"), sign.alias("sign"), fill.alias("notional"))))).otherwise(live).alias("held"), F.concat(s["out"], F.array(out)).alias("out")))
 
         gone = F.struct(none.alias("filled_notional"), none.alias("fill_fraction"), unfilled.alias("rejection_reason"))
-        kept_on = F.struct(s["held"].cast(_HELD).alias("held"), F.concat(s["out"], F.array(gone)).cast(_FILLS).alias("out"))
+        kept_on = F.struct(s["held"].alias("held"), F.concat(s["out"], F.array(gone)).alias("out"))
         return F.when(unfilled.isNotNull(), kept_on).otherwise(_let(F.filter(s["held"], lambda h: h["exit"] > r["entry_ts"]), among))
 
-    start = F.struct(F.array().cast(_HELD).alias("held"), F.array().cast(_FILLS).alias("out"))
-    folded = days.select(*keys, F.explode(F.arrays_zip("day", F.aggregate("day", start, step, lambda s: s["out"]).alias("fill"))).alias("x"))
+    # a stretch of signals at a time, so that adding a result never copies all those before it
+    stretches = F.transform(F.sequence(F.lit(1), F.size("day"), F.lit(_STRETCH)), lambda i: F.slice("day", i, F.lit(_STRETCH)))
+    one = lambda s, part: _let(F.aggregate(part, F.struct(s["held"].alias("held"), F.array().cast(_FILLS).alias("out")), step), lambda x: F.struct(x["held"].alias("held"), F.concat(s["outs"], F.array(x["out"])).alias("outs")))
+    start = F.struct(F.array().cast(_HELD).alias("held"), F.array().cast(f"array<{_FILLS}>").alias("outs"))
+    fills = F.aggregate(stretches, start, one, lambda s: F.flatten(s["outs"]))
+    folded = days.select(*keys, F.explode(F.arrays_zip("day", fills.alias("fill"))).alias("x"))
     rows = folded.select(*keys, "x.day.*", "x.fill.*")
     return rows.select(*keys, "symbol", "signal_ts", "entry_ts", "exit_ts", "direction", "entry_price", "exit_price", "gross_return_pct", "capacity_notional", "filled_notional", "fill_fraction", F.col("rejection_reason").isNull().alias("accepted"), "rejection_reason")
 
