@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import fill_in_middle, pivot_search, source_divergence
+from tidemark.llm import fill_in_middle, html_extraction, pivot_search, source_divergence
 from tidemark.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -205,3 +205,23 @@ def test_caps_are_never_below_the_scores():
         gap = np.abs(far[:, None] - far[None]).max(2) * (1 - 1e-9)
         norm = (x * x).sum(1)
         assert (pivot_search.caps(norm[:, None], norm[None], gap) >= x @ x.T).all()
+
+
+def test_main_text_of_short_and_bare_pages_and_lists_of_links(spark):
+    """Pages that are their text and nothing else, hand-written; what is only menus or forms stays empty."""
+    prose = "The river rose for three days, and the village moved its boats to the square. Nobody slept much."
+    links = [f"The {w} of the valley" for w in "mill bridge church school market tower garden harbour orchard library station archive".split()]
+    listed = "".join(f'<li><a href="/{i}">{t}</a></li>' for i, t in enumerate(links))
+    pages = {
+        1: ("<p>Tiny</p>", "Tiny"),
+        2: ("<html><body><p>Tiny</p></body></html>", "Tiny"),
+        3: ("plain words, without any tag &amp; more", "plain words, without any tag & more"),
+        4: (f"<article><h1>Places to see</h1><p>{prose}</p><p>{prose}</p><ul>{listed}</ul><p>{prose}</p></article>", "\n\n".join(["Places to see", prose, prose, *links, prose])),
+        5: ("<nav><a href='/'>Home</a><a href='/x'>More</a></nav>", ""),
+        6: ("<form><label>Name</label><input><button>Send</button></form><script>x = 1</script>", ""),
+        7: (f"<nav><ul>{listed}</ul></nav><article><p>{prose}</p></article><footer>&copy; 2024 Village press</footer>", prose),
+        8: ("<html><head><title>t</title></head><body><h1>Notice</h1><p>Closed on Monday.</p></body></html>", "Notice\n\nClosed on Monday."),
+    }
+    df = spark.createDataFrame([(k, "u", h) for k, (h, _) in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extracted(df, html_extraction.fit(read_table(spark, SF, "pages"))).collect()}
+    assert got == {k: t for k, (_, t) in pages.items()}

@@ -9,7 +9,9 @@ and siblings; how much an attribute word tells is learnt from the same pages.
 
 Decoding. A node is worth its log-odds. Keeping it allows keeping children, dropping it drops all
 below it; the best total over the tree is found from the leaves up, so no block is kept inside a
-dropped element and none dropped only for a doubtful parent. An only child goes with its parent.
+dropped element and none dropped only for a doubtful parent. An only child goes with its parent. A page has
+a main text unless all that it says stands in elements for something else: where the best choice is
+nothing, the texts outside such elements are kept.
 
 Defined results: null or empty html gives an empty text; broken markup is read like browsers do in
 spirit (see ``dom.parse``); pages of any size are read whole; rows that repeat are each extracted;
@@ -160,7 +162,7 @@ def training_pages(words: list[str], n: int = TRAIN_PAGES, seed: int = 7, tellin
 
     def part(kind: str) -> str:
         if kind == "menu":
-            return items(link, 2, 9)
+            return items(lambda: link(1, longest), 2, 14) if (longest := rng.choice((3, 3, 8))) else ""
         if kind == "head":
             return rng.choice((link(1, 2), f"<p>{phrase(1, 4)}</p>", f"<div>{phrase(1, 3)}</div>", f"<h1>{link(1, 3)}</h1>", f"<h2>{link(1, 2)}</h2>")) + rng.choice(("", items(link, 2, 6)))
         if kind == "foot":
@@ -180,8 +182,8 @@ def training_pages(words: list[str], n: int = TRAIN_PAGES, seed: int = 7, tellin
     def block() -> str:
         return rng.choices(
             (lambda: f"<p>{prose(1, 6)}</p>", lambda: f"<h2>{phrase(1, 6)}</h2>", lambda: items(lambda: prose(1, 2), 2, 5) if rng.random() < 0.5 else f"<ul><li>{phrase(1, 8)}</li><li>{phrase(1, 8)}</li></ul>", lambda: f"<blockquote><p>{prose(1, 2)}</p></blockquote>", lambda: f"<table><tr><td>{phrase(1, 3)}</td><td>{phrase(1, 3)}</td></tr><tr><td>{phrase(1, 3)}</td><td>{phrase(1, 3)}</td></tr></table>",
-             lambda: f"<p>{prose(1, 2)} {link(1, 4)} {phrase(2, 6)}.</p>", lambda: f"<pre>{phrase(4, 20)}</pre>", lambda: f"<figure><figcaption>{prose(1, 1)}</figcaption></figure>", lambda: f"<p><b>{prose(1, 2)}<br><p>{prose(1, 3)}</p>", lambda: f"<div><p>{prose(1, 4)}</p></div>", lambda: f"<p>{phrase(1, 4)}</p>"),
-            (12, 2, 2, 1, 1, 3, 1, 1, 1, 1, 1),
+             lambda: f"<p>{prose(1, 2)} {link(1, 4)} {phrase(2, 6)}.</p>", lambda: f"<p>{prose(1, 1)}</p><ul>" + "".join(f"<li>{link(1, 8)}</li>" for _ in range(rng.randint(3, 14))) + "</ul>", lambda: f"<pre>{phrase(4, 20)}</pre>", lambda: f"<figure><figcaption>{prose(1, 1)}</figcaption></figure>", lambda: f"<p><b>{prose(1, 2)}<br><p>{prose(1, 3)}</p>", lambda: f"<div><p>{prose(1, 4)}</p></div>", lambda: f"<p>{phrase(1, 4)}</p>"),
+            (12, 2, 2, 1, 1, 3, 0.4, 1, 1, 1, 1, 1),
         )[0]()
 
     kinds = list(PARTS)
@@ -194,6 +196,8 @@ def training_pages(words: list[str], n: int = TRAIN_PAGES, seed: int = 7, tellin
             kind = rng.choice(("share", "advert", "form", "side", "comments", "notice"))
             some.insert(len(some) if kind in ("comments", "share") and rng.random() < 0.6 else rng.randint(1, len(some)), wrapped(kind, part(kind), ' data-off="1"'))
         body = head + (prose(1, 4) if rng.random() < 0.08 else "".join(some))
+        if rng.random() < 0.1:  # next to nothing, among the parts of any page
+            body = title + rng.choice((f"<p>{phrase(1, 4)}</p>", f"<p>{prose(1, 1, 5)}</p>", ""))
         tag = rng.choice(MAIN[0])
         inner = f"<{tag}{attributes(MAIN[1], ' data-main="1"')}>{body}</{tag}>"
         before = [wrapped(k, part(k)) for k in rng.sample(("menu", "head", "advert", "notice", "form", "side"), rng.randint(0, 3))]
@@ -201,6 +205,10 @@ def training_pages(words: list[str], n: int = TRAIN_PAGES, seed: int = 7, tellin
         if rng.random() < 0.25:
             inner = f"<div>{inner}{wrapped(k := rng.choice(kinds), part(k))}</div>"
         page = "".join((*before, inner, *after))
+        if rng.random() < 0.07:  # a page that is its text and nothing else
+            bare = rng.choice((f"<p>{phrase(1, 6)}</p>", f"<p>{prose(1, 2)}</p>", f"<h1>{phrase(1, 5)}</h1><p>{phrase(1, 9)}</p>", f"<h1>{phrase(1, 3)}</h1><p>{prose(1, 1, 5)}</p>", f"<p>{prose(1, 3)}</p><p>{prose(1, 3)}</p>", prose(1, 2)))
+            pages.append(rng.choice(("{}", "<html><body>{}</body></html>")).format(f'<div data-main="1">{bare}</div>'))
+            continue
         if rng.random() < 0.3:
             page = f'<div class="{rng.choice(("wrap", "container", "page", "outer", "main", "content"))}">{page}</div>'
         pages.append(f"<html><body>{page}</body></html>")
@@ -289,7 +297,23 @@ def decode(nodes: list[Node], scores: np.ndarray) -> str:
         kept[id(x)] = kept.get(id(x.parent), True) and worth[id(x)] > 0
         if kept[id(x)] and x.tag == "#text":
             out.append(x.text)
-    return "\n\n".join(out)
+    return "\n\n".join(out or [x.text for x in nodes if x.tag == "#text" and _plain(x)])
+
+
+#: Elements that stand for something else than the text.
+_ASIDE = frozenset("nav menu aside footer header form fieldset button select option dialog search".split())
+_NOT_TEXT = frozenset(w for kind, (_, ws) in PARTS.items() if kind != "head" for w in ws.split()) - frozenset(MAIN[1].split())
+
+
+def _plain(x: Node) -> bool:
+    """Whether no element above says that this is no text, and it is not mostly links."""
+    if 2 * x.links > x.chars:
+        return False
+    while x.parent:
+        x = x.parent
+        if x.tag in _ASIDE or x.hidden or _NOT_TEXT & set(x.tokens):
+            return False
+    return True
 
 
 def extracted(pages: DataFrame, model: Trees | None = None) -> DataFrame:
