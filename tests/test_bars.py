@@ -15,9 +15,11 @@ from tidemark.operators import robustness as bo
 from tidemark.operators import rules as ro
 from tidemark.operators import states as so
 from tidemark.operators import universe as uo
+from tidemark.plans import registry
 from tidemark.sources import sinks
 
 MINUTE = dt.timedelta(minutes=1)
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -268,3 +270,21 @@ def test_overlapping_signals_of_a_symbol_are_dropped(spark):
     at = lambda m: dt.datetime(2024, 1, 2, 10, 0) + m * MINUTE
     s = spark.createDataFrame([("A", dt.date(2024, 1, 2), at(m)) for m in (0, 3, 5, 9, 10)], "symbol string, trade_date date, bar_ts timestamp_ntz")
     assert sorted(r.bar_ts.minute for r in xo.dedupe_overlaps(s, 5).collect()) == [0, 5, 10]
+
+
+@pytest.mark.parametrize("options", [{"horizons": (5, 15), "cost_bps": 12.0}, {"directions": ("short",), "horizons": (15,), "overlapping": True, "families": ("volume_shock", "blank_canvas_price_activity")}])
+def test_screen_of_cells_is_that_of_outcomes(spark, options):
+    states = so.bin_state(registry.Tables(spark, SF).samples)
+    columns = ("observations", "symbols", "dates", "wins", "gross_sum", "net_avg_pct", "stdev_pct", "t_stat", "profit_factor", "worst_pct", "best_pct", "max_symbol_share_pct", "max_date_share_pct", *do.QUANTILES)
+    rows = lambda df: {tuple(r[k] for k in do.GROUP): tuple(None if r[c] is None else round(float(r[c]), 7) for c in columns) for r in df.collect()}
+    got = rows(do.screen_states(states, **options))
+    assert got and got == rows(do.screen(do.group_outcomes(states, **options)))
+
+
+def test_the_screen_sends_no_row_for_a_direction(spark):
+    """Rows and keys that the exchange takes in: whole numbers, one for each family of a state."""
+    states = so.bin_state(registry.Tables(spark, SF).samples)
+    plan = do.screen_states(states)._jdf.queryExecution().executedPlan().toString()
+    groups = do.group_outcomes(states).select("family", "group_key", "symbol", "bar_ts").distinct().count()
+    cells = states.where("fwd_return_5m_pct IS NOT NULL").select(F.explode(do.cells())).count()
+    assert cells == groups and "concat_ws" not in plan
