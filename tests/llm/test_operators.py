@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import components, fingerprints, html_extraction, id_coder, katz, license_scan, ngram_join, packing, quality_rules, source_mixing, token_output, warc
-from tidemark.llm.common import read_table
+from tidemark.llm.common import read_table, stored
 from tidemark.llm.tokens import Encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -546,9 +546,16 @@ def test_pipeline_sequences_follow_the_mixture(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(40)), "en", "few" if i % 17 == 0 else "many", 0) for i in range(1700)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    pieces = sorted(corpus_pipeline.packing_stage(spark, docs, SF).collect(), key=lambda r: (r.sequence_id, r.offset))
-    order = list(dict.fromkeys(r.doc_id for r in pieces))
-    assert len(order) == 1700
+    def packed():
+        pieces = sorted(corpus_pipeline.packing_stage(spark, docs, SF).collect(), key=lambda r: (r.sequence_id, r.offset))
+        return list(dict.fromkeys(r.doc_id for r in pieces))
+
+    spark.conf.unset(corpus_pipeline.MIXTURE)
+    without = packed()
+    assert sorted(r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect()) == list(range(1700))
+    order = packed()
+    spark.conf.unset(corpus_pipeline.MIXTURE)
+    assert len(order) == len(without) == 1700 and order != without
     # weights by the square roots of 100 and 1,600 rows: one in five, until the 100 are used up
     few = 0
     for i, k in enumerate(order[:400]):
@@ -556,6 +563,31 @@ def test_pipeline_sequences_follow_the_mixture(spark, monkeypatch):
         assert abs(few - (i + 1) / 5) <= source_mixing.BLOCK_ROWS + 50 / 5
 
 
+def test_pipeline_on_odd_rows_and_none(spark, docs):
+    """Nulls, repeated rows, a long text, clashing columns; an empty table."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 9973}q" for i in range(120_000))
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(None, "no id at all " * 30, None, None, None), (77_000, long, "en", "src0", 1), (77_000, long, "en", "src0", 1)], "doc_id long, text string, lang string, source string, n_chars long"))
+    odd = odd.withColumns({"position": F.lit("clash"), "ids": F.lit("clash"), "n": F.lit(0)})
+    for rows in (odd, odd.limit(0)):
+        spark.conf.unset(corpus_pipeline.MIXTURE)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, SF)
+            assert out.columns == odd.columns
+            rows = stored(out, "stage")
+        pieces = corpus_pipeline.packing_stage(spark, rows, SF).collect()
+        got = collections.Counter()
+        for r in pieces:
+            got[r.doc_id] += r.length
+        e = Encoder(tokenizer_path("byte_bpe_50k.json"), True)
+        want = collections.Counter()
+        for r in rows.collect():
+            want[r.doc_id] += len(e.tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+        assert got == want
+    spark.conf.unset(corpus_pipeline.MIXTURE)
+
+
 def test_pipeline_join_takes_five_words_and_four_fifths(spark):
     import corpus_pipeline
 

@@ -11,9 +11,9 @@
 4. What is left at the end of a shard goes on into the next; at the end of a range the last window
    is cut at powers of two, which need no padding.
 
-With ``in_mixture``, ranges, shards and seeds follow the schedule of the sources instead of the key:
-a shard is a stretch of the mixture, so sequence ids keep the schedule's shares from shard to shard,
-and neighbours come from the seed's own stretch.
+With an ``order`` (doc_id, position), ranges, shards and seeds follow it instead of the lead and key: a
+shard is a stretch of that order, so sequence ids keep the shares of a mixture from shard to shard, and
+neighbours come from the seed's own stretch. Documents without a position come first.
 
 Defined results: null and empty texts hold just the end id; every id of every row is in exactly one
 piece; rows with equal doc_id are packed like others; extra columns are ignored; an empty table
@@ -31,7 +31,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import source_mixing
 from tidemark.llm.common import mix64, slices, stored
 from tidemark.llm.tokens import encoder, tokenizer_path
 
@@ -48,8 +47,8 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _PIECES.split(", ")])
 
 
-def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 1, spaced: bool = True, source: bool = False) -> DataFrame:
-    """doc_id, locality key, number of ids and ids (little-endian 16-bit) of each document; its source on demand."""
+def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 1, spaced: bool = True) -> DataFrame:
+    """doc_id, locality key, number of ids and ids (little-endian 16-bit) of each document."""
     path = tokenizer_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,13 +62,8 @@ def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int =
             raw = ids.astype("<u2")
             columns = {"doc_id": batch.column("doc_id"), "key": key.astype(np.int64), "n": np.diff(begins), "ids": [raw[a:b].tobytes() for a, b in zip(begins, begins[1:])]}
             fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
-            if source:
-                columns["source"] = batch.column("source")
-                fields.append(("source", pa.string()))
             yield pa.RecordBatch.from_pydict(columns, schema=pa.schema(fields))
 
-    if source:
-        return docs.select("doc_id", "text", "source").mapInArrow(run, f"{_TOKENS}, source string")
     return docs.select("doc_id", "text").mapInArrow(run, _TOKENS)
 
 
@@ -198,10 +192,9 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_PIECES_ARROW)
 
 
-def packed(docs: DataFrame, window: int = WINDOW, in_mixture: bool = False, target: dict | None = None) -> DataFrame:
-    """The pieces of all sequences over all rows of ``docs``; ``in_mixture``: in the order in which
-    ``source_mixing`` schedules their sources for ``target``."""
-    tokens = stored(tokenized(docs, source=in_mixture), "packing-ids")
+def packed(docs: DataFrame, window: int = WINDOW, order: DataFrame | None = None) -> DataFrame:
+    """The pieces of all sequences over all rows of ``docs``; with an ``order`` (doc_id, position) in that order."""
+    tokens = stored(tokenized(docs), "packing-ids")
     df = document_frequencies(tokens)
     stats = tokens.agg(F.count("*").alias("docs"), F.sum("n").alias("ids")).first()
     count, mean = stats["docs"], max(1.0, (stats["ids"] or 0) / max(1, stats["docs"]))
@@ -241,8 +234,10 @@ def packed(docs: DataFrame, window: int = WINDOW, in_mixture: bool = False, targ
         if packer.rows:
             yield packer.batch()
 
-    if in_mixture:
-        dealt = source_mixing.mixed(tokens.select("doc_id", "source", "ids"), target)
+    if order is not None:
+        first = order.groupBy(F.col("doc_id").alias("of")).agg(F.min("position").alias("position"))
+        placed = tokens.select("doc_id", "ids").join(first, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+        dealt = placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "ids")
     else:
         rows = tokens.select("doc_id", "key", "ids").mapInArrow(led, "doc_id long, key long, ids binary, lead int")
         dealt = rows.repartitionByRange("lead", "key", "doc_id").sortWithinPartitions("lead", "key", "doc_id", "ids")

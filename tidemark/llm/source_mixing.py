@@ -114,6 +114,6 @@ def schedule(docs: DataFrame, target: dict | None = None, block_rows: int = BLOC
 
 def mixed(docs: DataFrame, target: dict | None = None, block_rows: int = BLOCK_ROWS, slots: int = SLOTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The rows of ``docs`` in the order of the mixture, with their own columns only: partitions are
-    consecutive stretches of it. Once stored and read again, rows are found in this order by calling it anew."""
+    consecutive stretches of it. Stored and read again, rows have no order: ``schedule`` has their positions."""
     rows = _placed(docs, target, block_rows, slots, shard_rows)
     return rows.repartitionByRange(f"{_P}slot", f"{_P}at").sortWithinPartitions(f"{_P}slot", f"{_P}at").select(*[F.col(f"`{c}`") for c in docs.columns])
