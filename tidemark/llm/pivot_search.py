@@ -37,6 +37,8 @@ PIVOT_SAMPLE = 2048
 #: Vectors of a block, queries of a query block.
 BLOCK = 2048
 QUERY_BLOCK = 8192
+#: Blocks of vectors that meet one copy of a block of queries, at least.
+LANE_BLOCKS = 4
 #: Cells of a matrix of scores at a time.
 _CELLS = 1 << 21
 _LAST = np.iinfo(np.int64).max
@@ -344,7 +346,8 @@ def top_products(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int =
     # the stated queries against all rows, in blocks: the ranges of every two blocks meet, then what passes
     ranges = blocks.select("block", "low", "high", "norm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups).cast("long"))).alias("g"))
     met = ranges.alias("b").join(asked.select("g", "low", "high", "norm", "best").alias("q"), "g")
-    spread = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a lane takes some blocks of vectors, for each of which its block of queries need not come again
+    spread = max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count() // LANE_BLOCKS))
     lane = F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int").alias("lane")
     pairs = stored(met.where(F.col("q.best") <= reach()).select("g", "block", reach().alias("cap"), lane), "block-pairs")
     served = pairs.join(blocks.select("block", "data"), "block").select("g", "lane", F.lit(1).alias("kind"), "cap", "data")

@@ -174,8 +174,7 @@ def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, s
     shards = lambda: F.greatest(F.lit(1), F.ceil(F.col("kept") / shard_terms)).cast("int")
     langs = stored(sources.join(size, "lang", "left").fillna(0, ["kept"]), "language-totals")
     heads = langs.withColumn("shard", F.explode(F.sequence(F.lit(0), shards() - 1)))
-    # a row of each language tells its number of shards: no more rows than languages occur
-    terms = kept.join(F.broadcast(langs.select("lang", shards().alias("shards"))), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"), "term", "by")
+    terms = kept.join(langs.select("lang", shards().alias("shards")), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"), "term", "by")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         head = right.to_pylist()[0]
