@@ -460,6 +460,25 @@ def test_license_numbers_and_names_of_a_template_are_needed():
             assert license_scan.needed_pairs(t) <= license_scan._pairs(t)
 
 
+def test_license_windows_without_a_key_pair_are_never_confirmed():
+    keys = license_scan.key_pairs(0.7)
+    for ts in license_scan.TEMPLATES.values():
+        for t in ts:
+            own, need = license_scan._pairs(t), license_scan.needed_pairs(t)
+            without = own - keys  # the most that a window without a key has of this template
+            assert not need <= without or len(without) < 0.7 * len(own)
+    for ts in license_scan.TITLES.values():
+        assert all(license_scan._pairs(t) & keys for t in ts)
+
+
+def test_license_windows_passed_over_change_no_result(spark, license_model):
+    d = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    d = d.unionByName(spark.createDataFrame([(10**9 + i, t) for i, (_, t) in enumerate(_RELATIVES)], "doc_id long, text string"))
+    short, every = (license_scan.windows_of(d, n).withColumn("terms", license_scan._terms()) for n in (license_scan.needed_words(), 0))
+    columns = lambda w: license_scan._confirmed_windows(w, license_model, license_scan.OVERLAP).select("doc_id", "paragraph", "at", "family", "overlap")
+    assert sorted(map(tuple, columns(short).collect())) == sorted(map(tuple, columns(every).collect())) != []
+
+
 def test_license_words_needed_are_a_lower_bound():
     need = license_scan.needed_words()
     assert need >= 1

@@ -14,8 +14,8 @@ Families whose templates hardly differ, as versions of one licence, are kin: amo
 the largest overlap stands, the longer template among equals, in a window and among windows that
 overlap each other. A notice that opens with another family's words is that family alone (``OPENS``).
 
-Every confirmed window holds at least ``needed_words()`` telling template words; windows, paragraphs
-and texts with fewer are passed over first, which changes no result. All steps are DataFrame
+Every confirmed window holds at least ``needed_words()`` telling template words and one of
+``key_pairs()``; windows, paragraphs and texts without are passed over first, which changes no result. All steps are DataFrame
 operations and JVM-side ML stages.
 
 The labelled sample: windows of ``SAMPLE_DOCS`` documents chosen by a hash of doc_id, ``SAMPLE_WINDOWS``
@@ -209,31 +209,6 @@ def _list(values: list[str]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def _telling(words: str, least: int) -> Column:
-    return F.expr(f"size(array_distinct(filter({words}, w -> w IN ({_list(TELLING)})))) >= {least}")
-
-
-def windows_of(docs: DataFrame, least: int = 0) -> DataFrame:
-    """doc_id, paragraph, line (of the window's first word), words and their lines, and whether words follow, of every
-    window; ``least``: telling words it has."""
-    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    if least:
-        some = some.withColumn("own", words_of(F.col("text"))).where(_telling("own", least)).drop("own")
-    # a text is cut before each blank line; what a piece has of line ends gives the next one's first line
-    pieces = some.select("row", "doc_id", F.posexplode(F.split("text", r"(?<=\n)(?=[ \t\f\r\x0B]*\n)")).alias("paragraph", "piece"))
-    ends = F.length("piece") - F.length(F.replace(F.col("piece"), F.lit("\n"), F.lit("")))
-    before = Window.partitionBy("row").orderBy("paragraph").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("base", F.coalesce(F.sum(ends).over(before), F.lit(0)))
-    words = F.flatten(F.transform(F.split("piece", "\n"), lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), i.alias("line")))))
-    placed = pieces.withColumn("placed", words).where(F.size("placed") > 0)
-    if least:
-        placed = placed.where(_telling("placed.w", least))
-    last = F.greatest(F.lit(0), F.ceil((F.size("placed") - WINDOW) / STEP) * STEP).cast("int")
-    spans = placed.withColumn("at", F.explode(F.sequence(F.lit(0), last, F.lit(STEP)))).withColumn("window", F.slice("placed", F.col("at") + 1, WINDOW))
-    out = spans.select("row", "doc_id", "paragraph", "at", (F.col("base") + F.col("window")[0]["line"]).cast("int").alias("line"), F.col("window.w").alias("words"), F.col("window.line").alias("lines"), (F.size("placed") > F.col("at") + WINDOW).alias("more"))
-    return out.where(_telling("words", least)) if least else out
-
-
 _PAIRS_OF = "zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> concat(a, ' ', b))"
 
 
@@ -252,6 +227,46 @@ def needed_pairs(template: str) -> set[str]:
     return {p for p in _pairs(template) if p in NAMES or re.fullmatch(r"v?\d+", p.split()[1])}
 
 
+def key_pairs(overlap_cut: float) -> set[str]:
+    """Word pairs of which every window that is confirmed has one: of each template a needed pair, or so many that
+    the rest of its pairs aren't enough; of each title its first. Pairs of telling words are taken first."""
+    worth = lambda p: (sum(w in COMMON or w.isdigit() for w in p.split()), p)
+    out = {" ".join(t.split()[:2]) for ts in TITLES.values() for t in ts}
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        need, own = needed_pairs(t), sorted(_pairs(t), key=worth)
+        spare = len(own) - math.ceil(overlap_cut * len(own) - 1e-9)
+        out.update([min(need, key=worth)] if need else own[: spare + 1])
+    return out
+
+
+def _telling(words: str, least: int, overlap_cut: float) -> Column:
+    """Whether ``words`` (worked out once) have a key pair and ``least`` telling words."""
+    keys = sorted(key_pairs(overlap_cut))
+    paired = f"zip_with(v, slice(v, 2, size(v)), (a, b) -> a IN ({_list(sorted({k.split()[0] for k in keys}))}) AND concat(a, ' ', b) IN ({_list(keys)}))"
+    return F.expr(f"exists(array({words}), v -> array_contains({paired}, true) AND size(array_distinct(filter(v, w -> w IN ({_list(TELLING)})))) >= {least})")
+
+
+def windows_of(docs: DataFrame, least: int = 0, overlap_cut: float = OVERLAP) -> DataFrame:
+    """doc_id, paragraph, line (of the window's first word), words and their lines, and whether words follow, of every
+    window; ``least``: telling words it has, and a key pair."""
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    if least:
+        some = some.withColumn("own", words_of(F.col("text"))).where(_telling("own", least, overlap_cut)).drop("own")
+    # a text is cut before each blank line; what a piece has of line ends gives the next one's first line
+    pieces = some.select("row", "doc_id", F.posexplode(F.split("text", r"(?<=\n)(?=[ \t\f\r\x0B]*\n)")).alias("paragraph", "piece"))
+    ends = F.length("piece") - F.length(F.replace(F.col("piece"), F.lit("\n"), F.lit("")))
+    before = Window.partitionBy("row").orderBy("paragraph").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("base", F.coalesce(F.sum(ends).over(before), F.lit(0)))
+    words = F.flatten(F.transform(F.split("piece", "\n"), lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), i.alias("line")))))
+    placed = pieces.withColumn("placed", words).where(F.size("placed") > 0)
+    if least:
+        placed = placed.where(_telling("placed.w", least, overlap_cut))
+    last = F.greatest(F.lit(0), F.ceil((F.size("placed") - WINDOW) / STEP) * STEP).cast("int")
+    spans = placed.withColumn("at", F.explode(F.sequence(F.lit(0), last, F.lit(STEP)))).withColumn("window", F.slice("placed", F.col("at") + 1, WINDOW))
+    out = spans.select("row", "doc_id", "paragraph", "at", (F.col("base") + F.col("window")[0]["line"]).cast("int").alias("line"), F.col("window.w").alias("words"), F.col("window.line").alias("lines"), (F.size("placed") > F.col("at") + WINDOW).alias("more"))
+    return out.where(_telling("words", least, overlap_cut)) if least else out
+
+
 #: The whole lines of a window: not its first unless the paragraph begins there, nor its last if words follow.
 _WHOLE_LINES = (
     "transform(slice(array_distinct(lines), if(at > 0, 2, 1), greatest(0, size(array_distinct(lines)) - if(at > 0, 1, 0) - if(more, 1, 0))), "
@@ -339,6 +354,14 @@ def fit(docs: DataFrame, false_alarms: float = FALSE_ALARMS) -> LicenseModel:
     return LicenseModel(stages, 0.5 if cut is None else cut)  # no unknown row held out: the middle
 
 
+def _confirmed_windows(rows: DataFrame, model: LicenseModel, overlap_cut: float) -> DataFrame:
+    """The windows that the model takes for a family and a template or title confirms."""
+    found = _probabilities(model.stages, rows).where(F.col("best")["p"] > model.cut)
+    names = F.array(*[F.lit(f) for f in TEMPLATES])
+    named = found.select("row", "doc_id", "paragraph", "at", "line", F.get(names, F.col("best")["i"]).alias("family"), F.col("best")["p"].alias("probability"), "words", F.expr(_PAIRS_OF).alias("pairs"), F.expr(_WHOLE_LINES).alias("whole_lines"))
+    return named.withColumn("c", confirmed()).where(F.col("c.overlap") >= overlap_cut).select("row", "doc_id", "paragraph", "at", "line", "c.family", "probability", "c.overlap", F.struct("c.overlap", "c.size").alias("rank"))
+
+
 def scanned(docs: DataFrame, model: LicenseModel | None = None, overlap_cut: float = OVERLAP) -> DataFrame:
     """doc_id, paragraph, line, family, probability, overlap of every family confirmed in a paragraph.
 
@@ -346,11 +369,8 @@ def scanned(docs: DataFrame, model: LicenseModel | None = None, overlap_cut: flo
     of equal ones; ``line`` is the line (from 0) on which it begins.
     """
     model = model or fit(docs)
-    rows = windows_of(docs, needed_words(overlap_cut)).withColumn("terms", _terms())
-    found = _probabilities(model.stages, rows).where(F.col("best")["p"] > model.cut)
-    names = F.array(*[F.lit(f) for f in TEMPLATES])
-    named = found.select("row", "doc_id", "paragraph", "at", "line", F.get(names, F.col("best")["i"]).alias("family"), F.col("best")["p"].alias("probability"), "words", F.expr(_PAIRS_OF).alias("pairs"), F.expr(_WHOLE_LINES).alias("whole_lines"))
-    sure = named.withColumn("c", confirmed()).where(F.col("c.overlap") >= overlap_cut).select("row", "doc_id", "paragraph", "at", "line", "c.family", "probability", "c.overlap", F.struct("c.overlap", "c.size").alias("rank"))
+    rows = windows_of(docs, needed_words(overlap_cut), overlap_cut).withColumn("terms", _terms())
+    sure = _confirmed_windows(rows, model, overlap_cut)
     first = F.create_map(*[F.lit(x) for f, own in kin().items() for x in (f, own[0])])  # a family in each kin stands for it
     near = Window.partitionBy("row", "paragraph", first[F.col("family")]).orderBy("at").rangeBetween(1 - WINDOW, WINDOW - 1)
     sure = sure.withColumn("most", F.max("rank").over(near)).where(F.col("rank") == F.col("most"))
