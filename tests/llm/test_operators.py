@@ -567,6 +567,25 @@ def test_archives_and_index(spark, sent, opened, monkeypatch):
     assert warc.read_back(spark, path, index).count() == 0
 
 
+def test_records_are_read_back_through_the_directory(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PAGE_BLOCKS", 2)
+    rows = [(i, f"http://a{i % 7}.org/{i // 2}", f"text {i}") for i in range(200)] + [(900 + i, "http://same.org/", f"copy {i}") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write_archives(pages)
+    index = warc.write_index(warc.captures(spark, path), 8)
+    assert sorted(r.page_id for r in warc.read_back(spark, path, index, pages).collect()) == sorted(r[0] for r in rows)
+    some = pages.where("page_id % 9 = 4 OR page_id = 905")
+    urls = {r.url for r in some.collect()}
+    assert sorted(r.page_id for r in warc.read_back(spark, path, index, some).collect()) == sorted(i for i, u, _ in rows if u in urls)
+    # what the directory does not name is not found, though its block is there
+    directory, blocks = spark.read.parquet(f"{index}/directory"), spark.read.parquet(f"{index}/blocks")
+    less = f"{tmp_path}/less"
+    directory.where("page = 0").write.parquet(f"{less}/directory")
+    blocks.write.parquet(f"{less}/blocks")
+    named = blocks.where("block < 2").agg(F.sum("lines")).first()[0]
+    assert 0 < warc.read_back(spark, path, less, pages).count() == named < len(rows)
+
+
 def test_archives_with_spills_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 16)
     monkeypatch.setattr(warc, "PAGE_BLOCKS", 3)

@@ -27,8 +27,9 @@ FROM d LEFT JOIN f USING (payload_digest)
 
 
 def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, index = warc.archived(read_table(spark, sf_dir, "pages"))
-    return warc.read_back(spark, path, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = read_table(spark, sf_dir, "pages")
+    path, index = warc.archived(pages)
+    return warc.read_back(spark, path, index, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,9 @@ archive, whose bounded size is what a read costs.
 Index. Offsets are found by walking the archives as they were written. Captures are sorted by
 reversed-host URL key (``com,example,www)/path``) and cut into blocks of ``BLOCK_LINES`` lines, each
 compressed: the first level. The second is a sparse directory with the first and last key of each
-block, in sorted pages. ``lookup`` binary-searches the pages of the directory, reads just the blocks
-found, binary-searches their lines, and then reads the byte ranges from just their archives.
-``read_back`` visits all entries.
+block, in sorted pages. ``lookup`` and ``read_back`` find keys by binary search in a page of the
+directory, then in the lines of just the blocks found, and then read the byte ranges: ``lookup`` those
+of a list of URLs from just their archives, ``read_back`` those of a table of URLs.
 
 Defined results: null html is an empty payload; null url has the empty key; a null page_id is never
 referred to while another page has the payload; rows that repeat a page_id and payload are all
@@ -38,7 +38,7 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 8 << 20
 BLOCK_LINES = 256
 #: Blocks in a page of the directory.
-PAGE_BLOCKS = 4096
+PAGE_BLOCKS = 64
 #: Over so many tasks the pages of one payload are spread.
 SALT = 16
 #: Up to so many ranges (some 50 bytes each) are sent to the archives; more meet them in a shuffle.
@@ -50,7 +50,9 @@ EOL = "\r\n"
 
 _BLOCKS = "part int, block int, first_key string, last_key string, lines int, bytes binary"
 _BLOCKS_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("lines", pa.int32()), ("bytes", pa.binary())])
-_PAGES = "part int, blocks array<int>, first_keys array<string>, last_keys array<string>"
+_PAGES = "part int, page long, blocks array<int>, first_keys array<string>, last_keys array<string>"
+_LED_ARROW = pa.schema([("part", pa.int32()), ("page", pa.int64()), ("key", pa.string())])
+_HITS_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("wanted", pa.list_(pa.string()))])
 
 
 def url_key(url: Column) -> Column:
@@ -124,7 +126,7 @@ def _archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """key, page_id, digest, archive, offset, length of every record, from the archives themselves."""
+    """url, page_id, digest, archive, offset, length and key of every record, from the archives themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +142,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ENTRY_ARROW)], schema=_ENTRY_ARROW)
 
-    found = _archives(spark, path).mapInArrow(run, _ENTRY)
-    return found.withColumn("key", url_key(F.col("key")))
+    found = _archives(spark, path).mapInArrow(run, _ENTRY).withColumnRenamed("key", "url")
+    return found.withColumn("key", url_key(F.col("url")))
 
 
 def write_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> str:
@@ -172,7 +174,7 @@ def write_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> str:
     some = captures.sparkSession.read.schema(_BLOCKS).parquet(f"{path}/blocks").select("part", "block", "first_key", "last_key", F.floor(F.col("block") / PAGE_BLOCKS).alias("page"))
     column = lambda c: F.transform("rows", lambda r: r[c]).alias(f"{c}s")
     pages = some.groupBy("part", "page").agg(F.sort_array(F.collect_list(F.struct("block", "first_key", "last_key"))).alias("rows"))
-    pages.select("part", column("block"), column("first_key"), column("last_key")).write.parquet(f"{path}/directory")
+    pages.select("part", "page", column("block"), column("first_key"), column("last_key")).write.parquet(f"{path}/directory")
     return path
 
 
@@ -187,41 +189,44 @@ def _parsed(lines: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(dict(zip(_ENTRY_ARROW.names, columns)), schema=_ENTRY_ARROW)
 
 
-def entries(blocks: DataFrame) -> DataFrame:
-    """All capture lines of the given index blocks."""
+def found_entries(spark: SparkSession, index: str, urls: DataFrame) -> DataFrame:
+    """The capture lines of all values of ``url``, by binary search in the directory, then in blocks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("bytes"):
-                yield _parsed(zlib.decompress(data.as_py()).decode().split("\n"))
-
-    return blocks.select("bytes").mapInArrow(run, _ENTRY)
-
-
-def lookup_entries(spark: SparkSession, index: str, urls: list[str]) -> DataFrame:
-    """The capture lines of a list of URLs, by binary search in the directory's pages, then in blocks."""
-    wanted = sorted({r["k"] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(url_key(F.col("url")).alias("k")).collect()})
+    The bounds of the directory's pages (one for each ``PAGE_BLOCKS`` blocks) go to every task and lead each
+    key to its page; the keys of a page meet it in one group, and those of a block meet that block only.
+    """
+    directory = spark.read.schema(_PAGES).parquet(f"{index}/directory")
+    bounds = directory.select("part", "page", F.element_at("first_keys", 1).alias("first"), F.element_at("last_keys", -1).alias("last")).collect()
+    bounds.sort(key=lambda r: (r["part"], r["page"]))  # parts are ranges of keys in order
+    first, last, place = [r["first"] for r in bounds], [r["last"] for r in bounds], [(r["part"], r["page"]) for r in bounds]
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                spans = [(bisect.bisect_left(row["last_keys"], k), bisect.bisect_right(row["first_keys"], k)) for k in wanted]
-                hits = sorted({i for a, b in spans for i in range(a, b)})
-                if hits:
-                    yield pa.RecordBatch.from_pydict({"part": [row["part"]] * len(hits), "block": [row["blocks"][i] for i in hits]}, schema=pa.schema([("part", pa.int32()), ("block", pa.int32())]))
+            hits = [(*place[i], k) for k in batch.column("key").to_pylist() for i in range(bisect.bisect_left(last, k), bisect.bisect_right(first, k))]
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hits), _LED_ARROW)], schema=_LED_ARROW)
+
+    def search(led: pa.Table, pages: pa.Table) -> pa.Table:
+        hits: dict[tuple[int, int], list[str]] = {}
+        for row in pages.to_pylist():
+            for k in sorted(led.column("key").to_pylist()):
+                for i in range(bisect.bisect_left(row["last_keys"], k), bisect.bisect_right(row["first_keys"], k)):
+                    hits.setdefault((row["part"], row["blocks"][i]), []).append(k)
+        return pa.Table.from_pydict({"part": [p for p, _ in hits], "block": [b for _, b in hits], "wanted": list(hits.values())}, schema=_HITS_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("bytes"):
+            for data, wanted in zip(batch.column("bytes"), batch.column("wanted").to_pylist()):
                 lines = zlib.decompress(data.as_py()).decode().split("\n")
                 keys = [x[: x.index("\t")] for x in lines]
                 found = [x for k in wanted for x in lines[bisect.bisect_left(keys, k) : bisect.bisect_right(keys, k)]]
                 if found:
                     yield _parsed(found)
 
-    hits = spark.read.schema(_PAGES).parquet(f"{index}/directory").mapInArrow(search, "part int, block int")
-    blocks = spark.read.schema(_BLOCKS).parquet(f"{index}/blocks")
-    return blocks.join(hits, ["part", "block"], "left_semi").select("bytes").mapInArrow(run, _ENTRY)
+    led = urls.select(url_key(F.col("url")).alias("key")).distinct().mapInArrow(lead, "part int, page long, key string")
+    hits = led.groupBy("part", "page").cogroup(directory.groupBy("part", "page")).applyInArrow(search, "part int, block int, wanted array<string>")
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{index}/blocks").select("part", "block", "bytes")
+    return blocks.join(hits, ["part", "block"]).select("bytes", "wanted").mapInArrow(run, _ENTRY)
 
 
 def read_ranges(files: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
@@ -285,14 +290,19 @@ def archived(pages: DataFrame) -> tuple[str, str]:
 
 def lookup(spark: SparkSession, path: str, index: str, urls: list[str]) -> DataFrame:
     """The records captured for the given URLs; only the archives that hold them are read."""
-    found = stored(lookup_entries(spark, index, urls), "capture-lookup")
+    found = stored(found_entries(spark, index, spark.createDataFrame([(u,) for u in urls], "url string")), "capture-lookup")
     names = [r["archive"] for r in found.select("archive").distinct().limit(MOST_OPENED + 1).collect()]
     if not names:
         return parsed_records(spark.createDataFrame([], "record binary"))
     return parsed_records(read_ranges(_archives(spark, [f"{path}/{n}" for n in names] if len(names) <= MOST_OPENED else path), found, found.count()))
 
 
-def read_back(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """The records of all captures, each found through the index."""
-    blocks = spark.read.schema(_BLOCKS).parquet(f"{index}/blocks")
-    return parsed_records(read_ranges(_archives(spark, path), entries(blocks), blocks.agg(F.sum("lines")).first()[0] or 0))
+def read_back(spark: SparkSession, path: str, index: str, urls: DataFrame | None = None) -> DataFrame:
+    """The records captured for all values of ``url``, each found through the directory and its block.
+
+    Without ``urls``, for all URLs that the archives name.
+    """
+    if urls is None:
+        urls = captures(spark, path).select(F.col("url"))
+    most = spark.read.schema(_BLOCKS).parquet(f"{index}/blocks").agg(F.sum("lines")).first()[0] or 0
+    return parsed_records(read_ranges(_archives(spark, path), found_entries(spark, index, urls), most))
