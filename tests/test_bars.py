@@ -104,6 +104,31 @@ def test_interval_coverage(spark):
     assert {x.k: x.covered for x in uo.covers_range(r, ("k",), "2024-01-01", "2024-01-31").collect()} == {"whole": True, "gap": False, "over": True}
 
 
+def test_uncovered_ranges_are_those_of_days(spark):
+    """Overlapping, touching, nested, repeated and very long ranges, keys of one side only and no key at all."""
+    rng, first = random.Random(5), dt.date(2024, 1, 1)
+    some = lambda n, keys: [(rng.choice(keys), first + dt.timedelta(a), first + dt.timedelta(a + rng.randrange(0, 12))) for a in (rng.randrange(0, 90) for _ in range(n))]
+    planned, covered = some(120, [1, 2, 3, None]) * 2, some(60, [1, 2, None, 4])
+    planned += [(5, first, first), (7, first, dt.date(2024, 3, 1))]
+    covered += [(7, dt.date(2024, 2, 1), dt.date(2024, 2, 1)), (8, first, first)]
+    days = lambda rows: {(k, a + dt.timedelta(i)) for k, a, b in rows for i in range((b - a).days + 1)}
+    left = days(planned) - days(covered)
+    starts = {(k, d) for k, d in left if (k, d - dt.timedelta(1)) not in left}
+    want = set()
+    for k, d in starts:
+        e = d
+        while (k, e + dt.timedelta(1)) in left:
+            e += dt.timedelta(1)
+        want.add((k, d, e))
+    schema = "key long, range_start date, range_end date"
+    ages = [(9, dt.date(1, 1, 1), dt.date(9000, 1, 1))] * 3  # spread into days, these would be ten million rows
+    got = uo.uncovered(spark.createDataFrame(planned + ages, schema), spark.createDataFrame(covered, schema), "key")
+    rows = [tuple(r) for r in got.select("key", "range_start", "range_end").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want | {ages[0]}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan
+
+
 def test_shortfall_and_compounding(spark):
     obs = spark.createDataFrame([("r", float(x)) for x in (-4, -2, -1, 1, 2, 10)], "rule string, net double")
     assert eo.expected_shortfall(obs, ["rule"]).first()["expected_shortfall_95_pct"] == -4

@@ -180,11 +180,19 @@ def source_readiness(sessions: DataFrame, ranges: DataFrame, start: str, end: st
 
 
 def uncovered(planned: DataFrame, covered: DataFrame, key: str) -> DataFrame:
-    """Planned ranges less covered ones, as maximal ranges by key (range_start, range_end, inclusive)."""
-    days = lambda df: df.select(key, F.explode(F.sequence("range_start", "range_end")).alias("day")).distinct()
-    left = days(planned).join(days(covered), [key, "day"], "left_anti")
-    left = left.withColumn("island", F.date_sub("day", F.row_number().over(Window.partitionBy(key).orderBy("day"))))
-    return left.groupBy(key, "island").agg(F.min("day").alias("range_start"), F.max("day").alias("range_end")).drop("island")
+    """Planned ranges less covered ones, as maximal ranges by key (range_start, range_end, inclusive).
+
+    Ranges are swept by their ends, never spread into days: a key has a row for each day on which the
+    number of its open ranges changes. Ranges that end before they start are empty; a null key is a key.
+    """
+    end = lambda day, plan, cover: F.struct(day.alias("day"), F.lit(plan).cast("long").alias("plan"), F.lit(cover).cast("long").alias("cover"))
+    ends = lambda df, plan, cover: df.where("range_start <= range_end").select(key, F.explode(F.array(end(F.col("range_start"), plan, cover), end(F.date_add("range_end", 1), -plan, -cover))).alias("e")).select(key, "e.*")
+    changes = ends(planned, 1, 0).unionByName(ends(covered, 0, 1)).groupBy(key, "day").agg(F.sum("plan").alias("plan"), F.sum("cover").alias("cover")).where("plan <> 0 OR cover <> 0")
+    w = Window.partitionBy(key).orderBy("day")
+    spans = changes.select(key, "day", F.lead("day").over(w).alias("until"), ((F.sum("plan").over(w) > 0) & (F.sum("cover").over(w) == 0)).alias("open"))
+    spans = spans.withColumn("new", F.col("open") & ~F.coalesce(F.lag("open").over(w), F.lit(False)))
+    spans = spans.withColumn("island", F.count_if("new").over(w)).where("open")
+    return spans.groupBy(key, "island").agg(F.min("day").alias("range_start"), F.date_sub(F.max("until"), 1).alias("range_end")).drop("island")
 
 
 def stage_of(ranges: DataFrame, periods: DataFrame) -> DataFrame:
