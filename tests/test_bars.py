@@ -212,6 +212,39 @@ def test_allocation_follows_a_plain_loop(spark, partial, priority):
     assert xo.allocate_day(xo.size_fills(s.limit(0), F.col("capital"), c), c).count() == 0
 
 
+@pytest.mark.parametrize("one_per_symbol", [True, False])
+def test_a_crowded_day_is_folded_over_few_signals(spark, one_per_symbol):
+    """Many signals at each instant: all are judged as by a plain loop, but few of an instant may be accepted."""
+    rng, day = random.Random(7), dt.date(2024, 1, 2)
+    c = xo.ExecutionConfig(max_positions=3, one_per_symbol=one_per_symbol)
+    at = lambda m: dt.datetime(2024, 1, 2, 10, 0) + m * MINUTE
+    made = [
+        {"symbol": f"S{s:03}", "at": m, "minutes": rng.choice((5, 15, 15, 0)), "direction": rng.choice(("long", "short")), "price": rng.choice((None, 10.0, 10.0)), "end_price": rng.choice((None, 11.0, 11.0)), "bar": rng.choice((None, 9_000.0, 1e7)), "day": rng.choice((0.0, 1e9, 2e9)), "capital": 10_000.0}
+        for m in range(0, 60, 5) for s in range(150)
+    ]
+    schema = "capital double, delay int, trade_date date, symbol string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction string, entry_price double, exit_price double, gross_return_pct double, entry_bar_dollar_volume double, daily_dollar_volume double"
+    rows = [(r["capital"], 0, day, r["symbol"], at(r["at"]), at(r["at"]), at(r["at"] + r["minutes"]), r["direction"], r["price"], r["end_price"], 1.0, r["bar"], r["day"]) for r in made]
+    s = xo.size_fills(spark.createDataFrame(rows, schema), F.col("capital"), c)
+    got = {(r.symbol, r.signal_ts.hour * 60 + r.signal_ts.minute - 600): r for r in xo.allocate_day(s, c).collect()}
+    want = _plain_allocation(made, c)
+    assert {k: r.rejection_reason for k, r in got.items()} == {k: w for k, (w, _) in want.items()}
+    assert {k: r.filled_notional for k, r in got.items()} == {k: None if f is None else pytest.approx(f) for k, (_, f) in want.items()}
+    assert {None, "existing_symbol_position", "max_positions", "minimum_fill_fraction"} - {w for w, _ in want.values()} <= ({"existing_symbol_position"} if not one_per_symbol else set())
+    lasting = xo._candidates(s, c).where("candidate AND lasts").groupBy("at").count()
+    assert lasting.agg(F.max("count")).first()[0] == 2 * c.max_positions - 1
+
+
+def test_entries_out_of_order_close_positions_for_good(spark):
+    """A signal that enters late closes what ends before it also for signals after it that enter earlier."""
+    day, at = dt.date(2024, 1, 2), lambda m: dt.datetime(2024, 1, 2, 10, 0) + m * MINUTE
+    c = xo.ExecutionConfig(max_positions=1)
+    rows = [("A", 0, 0, 10), ("B", 1, 20, 30), ("C", 2, 2, 9), ("D", 2, 25, 60), ("E", 2, 40, 50)]
+    schema = "capital double, delay int, trade_date date, symbol string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, direction string, entry_price double, exit_price double, gross_return_pct double, entry_bar_dollar_volume double, daily_dollar_volume double"
+    s = spark.createDataFrame([(1000.0, 0, day, n, at(a), at(b), at(e), "long", 1.0, 1.0, 0.0, 1e9, 1e9) for n, a, b, e in rows], schema)
+    got = {r.symbol: r.rejection_reason for r in xo.allocate_day(xo.size_fills(s, F.col("capital"), c), c).collect()}
+    assert got == {"A": None, "B": None, "C": "max_positions", "D": "max_positions", "E": None}
+
+
 def test_equity_follows_the_trades(spark):
     """One long and one short trade of a day, minute by minute."""
     at = lambda m: dt.datetime(2024, 1, 2, 10, 0) + m * MINUTE

@@ -104,7 +104,7 @@ def signals(t):
 
 
 def trades(t):
-    return xo.allocate_day(signals(t), EXECUTION)
+    return xo.allocate_day(kept(signals(t), "signals"), EXECUTION)
 
 
 def costed(t):
