@@ -123,7 +123,8 @@ def load() -> None:
     register("a9_write_monthly", "month, n:l", monthly, "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
 
     def exported(t):
-        rows = sinks.leaderboard_rows(screened(t).where("observations >= 10").withColumn("dims", F.split("group_key", r"\|")), [], [F.col("net_avg_pct").desc_nulls_last()])
+        found = sinks.scratch_table(screened(t).where("observations >= 10"), "candidates")  # ordering and both exports read it again
+        rows = sinks.leaderboard_rows(found.withColumn("dims", F.split("group_key", r"\|")), [], [F.col("net_avg_pct").desc_nulls_last()])
         folder = scratch(t.spark, "export")
         sinks.export_candidates(rows, folder)
         return sinks.manifest(t.spark.read.json(f"{folder}/json"))
