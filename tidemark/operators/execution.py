@@ -51,138 +51,64 @@ def _let(value: Column, body) -> Column:
 
 
 _HELD = "array<struct<exit:timestamp_ntz,symbol:string,sign:double,notional:double>>"
-#: So many instants are folded before their states are added to those of earlier ones.
 _STRETCH = 64
-
-
-def _rooms_never_bind(c: ExecutionConfig) -> bool:
-    """Whether the greatest number of positions, each of the greatest size, leaves every exposure limit untouched."""
-    return c.max_positions * c.max_symbol_pct <= min(c.max_gross_pct, c.max_net_pct)
+_FILLS = "array<struct<filled_notional:double,fill_fraction:double,rejection_reason:string>>"
 
 
 def allocate_day(signals: DataFrame, c: ExecutionConfig) -> DataFrame:
     """Accept signals in order of time and priority within each (capital, delay, day); positions never cross days.
 
     A signal is tested for its fills, a position in its symbol, the number of positions, capacity, a
-    partial fill and the least fill, in this order. Needs capital, delay, trade_date, symbol, signal_ts,
-    entry_ts, exit_ts, direction, entry_price, exit_price, gross_return_pct, capacity_notional,
-    desired_notional and daily_dollar_volume, and signal_strength if it decides. What a signal could fill
-    is null where it did not come to that. ``signals`` are read twice: give a stored table.
-
-    What a day accepts is a fold whose state is the open positions, but only signals that may be accepted
-    (``_candidates``) are in it: of an instant hardly more than twice the number of positions, however many
-    signals it has. All signals are then judged where they lie, by the positions open after the candidates
-    before them.
-    """
-    rows, judged = _candidates(signals, c), _judge(c)
-    states = _folded(rows, judged)
-    out = rows.join(states, "at", "left").withColumn("live", F.filter(F.element_at("states", F.col("before") + 1), lambda h: h["exit"] > F.col("entry_ts")))
-    row = lambda name: F.col(name)
-    out = out.withColumn("fill", F.when(F.col("fillable"), judged(F.col("live"), row)).otherwise(F.struct(*[F.lit(None).cast("double").alias(n) for n in ("filled_notional", "fill_fraction")], F.col("unfilled").alias("rejection_reason"))))
-    return out.select(*KEYS, "symbol", "signal_ts", "entry_ts", "exit_ts", "direction", "entry_price", "exit_price", "gross_return_pct", "capacity_notional", "fill.filled_notional", "fill.fill_fraction", F.col("fill.rejection_reason").isNull().alias("accepted"), "fill.rejection_reason")
-
-
-KEYS = ("capital", "delay", "trade_date")
-#: What a candidate is judged by.
-_JUDGED = ("capital", "symbol", "entry_ts", "exit_ts", "direction", "capacity_notional", "desired_notional")
-
-
-def _judge(c: ExecutionConfig):
-    """The function of the open positions and a signal's columns that gives its fill, fraction and rejection."""
-    zero = F.lit(0.0)
-
-    def judged(live: Column, r) -> Column:
-        limit = lambda name: r("capital") * (getattr(c, f"max_{name}_pct") / 100)
-        sign = F.when(r("direction") == "long", 1.0).otherwise(-1.0)
-        gross = F.aggregate(live, zero, lambda a, h: a + h["notional"])
-        net = F.aggregate(live, zero, lambda a, h: a + h["sign"] * h["notional"])
-        room = F.least(F.greatest(zero, limit("gross") - gross), F.greatest(zero, limit("net") - sign * net), limit("symbol"))
-
-        def tested(fill: Column) -> Column:
-            fraction = F.when(r("desired_notional") > 0, fill / r("desired_notional")).otherwise(0.0)
-            crowd = F.when(F.lit(c.one_per_symbol) & F.exists(live, lambda h: h["symbol"] == r("symbol")), "existing_symbol_position").when(F.size(live) >= c.max_positions, "max_positions")
-            return _let(crowd, lambda why: F.struct(F.when(why.isNull(), fill).alias("filled_notional"), F.when(why.isNull(), fraction).alias("fill_fraction"), F.coalesce(why, _short(c, fill, fraction, r)).alias("rejection_reason")))
-
-        return _let(F.greatest(zero, F.least(r("desired_notional"), room, r("capacity_notional"))), tested)
-
-    return judged
-
-
-def _short(c: ExecutionConfig, fill: Column, fraction: Column, r) -> Column:
-    """Why a fill is not enough, null if it is."""
-    short = F.when(r("capacity_notional") <= 0, "liquidity_capacity_unavailable").when(F.lit(not c.allow_partial) & (fill + 1e-9 < r("desired_notional")), "partial_fill_not_allowed")
-    return short.when((fill <= 0) | (fraction < c.min_fill), "minimum_fill_fraction")
-
-
-def _candidates(signals: DataFrame, c: ExecutionConfig) -> DataFrame:
-    """Signals by instant (``at``), with whether each may be accepted and how many such ones come before it there.
-
-    A signal that would not fill enough with no position open never will. Where no exposure limit can bind and an
-    instant's signals enter together, positions taken there last and fills do not depend on them. So after twice
-    the number of positions (less one) of signals in different symbols that fill and last, the number of positions
-    is reached: fewer than that were open and stood in the way, fewer were taken. No later signal is accepted.
+    partial fill and the least fill, in this order. It is a fold over one day of one scenario, whose
+    state is the open positions: a group has as many rows as a day has signals, whatever the history.
+    Needs capital, delay, trade_date, symbol, signal_ts, entry_ts, exit_ts, direction, entry_price,
+    exit_price, gross_return_pct, capacity_notional, desired_notional and daily_dollar_volume, and
+    signal_strength if it decides. What a signal could fill is null where it did not come to that.
     """
-    order = []
+    keys, order = ["capital", "delay", "trade_date"], [F.col("signal_ts")]
     if c.priority == "signal_strength_desc":
-        order.append(-F.abs(F.coalesce("signal_strength", F.lit(0.0))))
+        order.append((-F.abs(F.coalesce("signal_strength", F.lit(0.0)))).alias("by_strength"))
     if c.priority != "symbol":
-        order.append(-F.coalesce("daily_dollar_volume", F.lit(0.0)))
-    order += [F.col(x) for x in ("symbol", "entry_ts", "exit_ts", "direction", "entry_price", "exit_price", "gross_return_pct", "capacity_notional", "desired_notional")]
-    missing = lambda x: F.col(x).isNull() | F.isnan(x)
-    unfilled = F.when(missing("entry_price"), "unavailable_entry_fill").when(missing("exit_price"), "unavailable_exit_fill")
-    most = F.greatest(F.lit(0.0), F.least("desired_notional", F.col("capital") * (c.max_symbol_pct / 100), "capacity_notional"))
-    fraction = F.when(F.col("desired_notional") > 0, most / F.col("desired_notional")).otherwise(0.0)
-    rows = signals.withColumns({"at": F.struct(*KEYS, "signal_ts"), "unfilled": unfilled, "fillable": unfilled.isNull(), "may_fill": unfilled.isNull() & _short(c, most, fraction, F.col).isNull(), "lasts": F.coalesce(F.col("exit_ts") > F.col("entry_ts"), F.lit(False))})
-
-    instant = Window.partitionBy("at")
-    entry = F.when(F.col("fillable"), F.col("entry_ts"))
-    together = F.coalesce(F.min(entry).over(instant) == F.max(entry).over(instant), F.lit(False)) & (F.count(entry).over(instant) == F.count_if("fillable").over(instant))
-    rows = rows.withColumn("together", together)
-    if _rooms_never_bind(c):
-        fills = F.col("may_fill") & F.col("lasts")
-        first = F.lit(True)
-        if c.one_per_symbol:
-            first = F.col("symbol").isNull() | (F.row_number().over(Window.partitionBy("at", "symbol", fills).orderBy(*order)) == 1)
-        rows = rows.withColumn("counts", fills & first)
-        earlier = F.count_if("counts").over(instant.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-        kept = F.col("may_fill") & (~F.col("lasts") | (F.col("counts") & (earlier < 2 * c.max_positions - 1)))
-    else:
-        kept = F.col("may_fill")
-    rows = rows.withColumn("candidate", F.when(F.col("together"), kept).otherwise(F.col("fillable")))
-    return rows.withColumn("before", F.count_if("candidate").over(instant.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)).cast("int"))
-
-
-def _folded(rows: DataFrame, judged) -> DataFrame:
-    """at and states: the positions open before the first candidate of each instant and after each one."""
-    one = F.when(F.col("candidate"), F.struct("before", *_JUDGED))
-    instants = rows.where("fillable").groupBy("at").agg(F.min(F.when(F.col("together"), F.col("entry_ts"))).alias("entry"), F.sort_array(F.collect_list(one)).alias("candidates"))
-    day = F.struct(*[F.col(f"at.{k}").alias(k) for k in KEYS])
-    instants = instants.withColumn("day", day).withColumn("stretch", F.floor((F.row_number().over(Window.partitionBy("day").orderBy("at")) - 1) / _STRETCH))
-    stretches = instants.groupBy("day", "stretch").agg(F.sort_array(F.collect_list(F.struct("at", "entry", "candidates"))).alias("instants"))
-    days = stretches.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("stretch", "instants"))).alias("stretches"))
-    sign = lambda r: F.when(r["direction"] == "long", 1.0).otherwise(-1.0)
-
-    def step(states: Column, r: Column) -> Column:
-        def among(live: Column) -> Column:
-            taken = F.array(F.struct(r["exit_ts"].alias("exit"), r["symbol"].alias("symbol"), sign(r).alias("sign"), judged(live, lambda n: r[n])["filled_notional"].alias("notional")))
-            return F.concat(states, F.array(F.when(judged(live, lambda n: r[n])["rejection_reason"].isNull(), F.concat(live, taken)).otherwise(live)))
+        order.append((-F.coalesce("daily_dollar_volume", F.lit(0.0))).alias("by_volume"))
+    kept = ("symbol", "entry_ts", "exit_ts", "direction", "entry_price", "exit_price", "gross_return_pct", "capacity_notional", "desired_notional")
+    # a stretch of signals at a time, so that adding a result never copies all those before it; stretches are gathered
+    # as such: slices of the day's array would each copy it whole
+    rows = signals.select(*keys, *order, *kept)
+    names = rows.columns[len(keys) :]
+    rows = rows.withColumn("stretch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*names)) - 1) / _STRETCH))
+    parts = rows.groupBy(*keys, "stretch").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("part"))
+    days = parts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("stretch", "part"))), lambda p: p["part"]).alias("stretches")).withColumn("day", F.flatten("stretches"))
+    limit = lambda name: F.col("capital") * (getattr(c, f"max_{name}_pct") / 100)
+    missing = lambda x: x.isNull() | F.isnan(x)
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+
+    def step(s: Column, r: Column) -> Column:
+        sign = F.when(r["direction"] == "long", 1.0).otherwise(-1.0)
+        unfilled = F.when(missing(r["entry_price"]), "unavailable_entry_fill").when(missing(r["exit_price"]), "unavailable_exit_fill")
 
-        return _let(F.filter(F.element_at(states, -1), lambda h: h["exit"] > r["entry_ts"]), among)
-
-    def of_instant(s: Column, i: Column) -> Column:
-        start = F.when(i["entry"].isNotNull(), F.filter(s["held"], lambda h: h["exit"] > i["entry"])).otherwise(s["held"])
-        states = F.aggregate(i["candidates"], F.array(start), step)
-        return _let(states, lambda x: F.struct(F.element_at(x, -1).alias("held"), F.concat(s["out"], F.array(F.struct(i["at"].alias("at"), x.alias("states")))).alias("out")))
-
-    some = f"array<struct<at:struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in rows.schema['at'].dataType)}>,states:array<{_HELD}>>>"
-
-    def of_stretch(s: Column, part: Column) -> Column:
-        start = F.struct(s["held"].alias("held"), F.array().cast(some).alias("out"))
-        return _let(F.aggregate(part["instants"], start, of_instant), lambda x: F.struct(x["held"].alias("held"), F.concat(s["outs"], F.array(x["out"])).alias("outs")))
-
-    start = F.struct(F.array().cast(_HELD).alias("held"), F.array().cast(f"array<{some}>").alias("outs"))
-    folded = days.select(F.explode(F.aggregate("stretches", start, of_stretch, lambda s: F.flatten(s["outs"]))).alias("x"))
-    return folded.select("x.at", "x.states")
+        def among(live: Column) -> Column:
+            gross = F.aggregate(live, zero, lambda a, h: a + h["notional"])
+            net = F.aggregate(live, zero, lambda a, h: a + h["sign"] * h["notional"])
+            room = F.least(F.greatest(zero, limit("gross") - gross), F.greatest(zero, limit("net") - sign * net), limit("symbol"))
+            return _let(F.greatest(zero, F.least(r["desired_notional"], room, r["capacity_notional"])), lambda fill: judged(live, fill))
+
+        def judged(live: Column, fill: Column) -> Column:
+            fraction = F.when(r["desired_notional"] > 0, fill / r["desired_notional"]).otherwise(0.0)
+            crowd = F.when(F.lit(c.one_per_symbol) & F.exists(live, lambda h: h["symbol"] == r["symbol"]), "existing_symbol_position").when(F.size(live) >= c.max_positions, "max_positions")
+            short = F.when(r["capacity_notional"] <= 0, "liquidity_capacity_unavailable").when(F.lit(not c.allow_partial) & (fill + 1e-9 < r["desired_notional"]), "partial_fill_not_allowed").when((fill <= 0) | (fraction < c.min_fill), "minimum_fill_fraction")
+            tested = F.struct(F.when(crowd.isNull(), fill).alias("filled_notional"), F.when(crowd.isNull(), fraction).alias("fill_fraction"), F.coalesce(crowd, short).alias("rejection_reason"))
+            return _let(tested, lambda out: F.struct(F.when(out["rejection_reason"].isNull(), F.concat(live, F.array(F.struct(r["exit_ts"].alias("exit"), r["symbol"].alias("symbol"), sign.alias("sign"), fill.alias("notional"))))).otherwise(live).alias("held"), F.concat(s["out"], F.array(out)).alias("out")))
+
+        gone = F.struct(none.alias("filled_notional"), none.alias("fill_fraction"), unfilled.alias("rejection_reason"))
+        kept_on = F.struct(s["held"].alias("held"), F.concat(s["out"], F.array(gone)).alias("out"))
+        return F.when(unfilled.isNotNull(), kept_on).otherwise(_let(F.filter(s["held"], lambda h: h["exit"] > r["entry_ts"]), among))
+
+    one = lambda s, part: _let(F.aggregate(part, F.struct(s["held"].alias("held"), F.array().cast(_FILLS).alias("out")), step), lambda x: F.struct(x["held"].alias("held"), F.concat(s["outs"], F.array(x["out"])).alias("outs")))
+    start = F.struct(F.array().cast(_HELD).alias("held"), F.array().cast(f"array<{_FILLS}>").alias("outs"))
+    fills = F.aggregate("stretches", start, one, lambda s: F.flatten(s["outs"]))
+    folded = days.select(*keys, F.explode(F.arrays_zip("day", fills.alias("fill"))).alias("x"))
+    rows = folded.select(*keys, "x.day.*", "x.fill.*")
+    return rows.select(*keys, "symbol", "signal_ts", "entry_ts", "exit_ts", "direction", "entry_price", "exit_price", "gross_return_pct", "capacity_notional", "filled_notional", "fill_fraction", F.col("rejection_reason").isNull().alias("accepted"), "rejection_reason")
 
 
 def dedupe_overlaps(signals: DataFrame, minutes: int) -> DataFrame:
