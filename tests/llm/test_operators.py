@@ -370,6 +370,20 @@ def test_katz_messages_do_not_grow_with_parts(docs, spark, monkeypatch):
     assert sent[0] == sent[1]
 
 
+def test_katz_weights_go_only_where_an_ngram_is_unseen(docs, monkeypatch):
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 5000)
+    model, chunks, answers = katz._fitted(docs, 2)
+    held = collections.defaultdict(list)
+    for r in katz._together(chunks, answers).collect():
+        held[r.place].append((r.kind, r.part, r.data))
+    for rows in held.values():
+        chunk, got = katz._opened(sorted(rows))
+        unseen = got["gram", 2][0][katz._dealt(chunk.grams(2), model.parts)[2]] == 0
+        asked = set(katz._dealt(chunk.histories(2), model.parts)[2][unseen].tolist())
+        weight = got["history", 2][1]
+        assert len(asked) < len(weight) and set(np.flatnonzero(weight).tolist()) <= asked
+
+
 @pytest.fixture(scope="module")
 def license_model(spark):
     return license_scan.fit(read_table(spark, "/root/testdata/sf0.01", "documents"))

@@ -13,15 +13,16 @@ sums, so each distribution adds up to one. Counts to ``MOST`` are discounted by
 ones by 1/2. ``order`` is the longest n-gram.
 
 Tables. For each order a table of n-grams and their counts, and for orders above one a table of
-histories with c(h) and a(h). Both are keyed by 64-bit hashes and split by them into parts of about
+histories with c(h) and a(h). Both are keyed by 64-bit hashes and split into ranges of them, parts of about
 ``PART_KEYS`` keys, whatever the tokens, so no part grows with a frequent word or history.
 
 How it runs. Texts become chunks of token indices, a table. A chunk sends the distinct keys it needs,
 with their training counts, sorted and packed, to the parts they belong to; a part sums what it gets,
 stores its table and answers each chunk with values in the order of the keys it sent. One of the
-chunks that sent an n-gram is told to account for it when histories are summed. Messages hold keys
-and values only, so they grow with the distinct n-grams of the chunks, never with documents times
-parts. A chunk then evaluates each of its tokens recursively from the answers. A fitted model answers
+chunks that sent an n-gram is told to account for it when histories are summed. A chunk gets a(h) only
+of histories that it has before an n-gram without a count; of others it needs no more than c(h). Messages
+hold keys and values only, so they grow with the distinct n-grams of the chunks, never with documents
+times parts. A chunk then evaluates each of its tokens recursively from the answers. A fitted model answers
 for other texts in the same way from its stored tables (``KatzModel.scored``).
 
 Defined results: null and empty texts hold just the end; rows that share a doc_id are scored each
@@ -149,7 +150,12 @@ def chunked(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal size, chunk
-            types, at = np.unique(np.concatenate(tokens), return_inverse=True)
+            types, at, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            # frequent ones first, so that most indices are small; in the order of hashes where about as frequent
+            order = np.argsort(-np.frexp(count)[1], kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            types, at = types[order], place[at]
             given = np.array([i is not None for i in ids], np.uint8)
             row = _row("chunk", chunk, 0, _pack(np.array([i or 0 for i in ids], np.int64), given, np.concatenate(lengths).astype(np.int32), types, at.astype(np.int32)))
             for x in (ids, tokens, lengths):
@@ -204,13 +210,13 @@ class _Chunk:
 
 
 def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys by (part, key), where each part's begin, and each key's place among them."""
+    """Distinct keys in order, where each part's begin, and each key's place among them.
+
+    A part is a range of the hashes: in a message that has a part's keys alone, they lie closer than in all of the key space.
+    """
     distinct, at = np.unique(keys, return_inverse=True)
-    part = (distinct % _U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return distinct[order], np.searchsorted(part[order], np.arange(parts + 1)), place[at]
+    least = np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)
+    return distinct, np.r_[np.searchsorted(distinct, least), len(distinct)], at
 
 
 def _sent(kind: str, chunk: int, keys: np.ndarray, cuts: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -221,13 +227,14 @@ def _sent(kind: str, chunk: int, keys: np.ndarray, cuts: np.ndarray, *values: np
 
 def _summed(batches: Iterator[pa.RecordBatch], table, reply) -> Iterator[pa.RecordBatch]:
     """One part at a time: sums of each key's values over all chunks. ``table`` makes the stored rows
-    from keys and sums, ``reply`` a chunk's answer from the sums at its keys and whether it is the first to have them."""
+    from keys and sums, ``reply`` a chunk's answer from the sums at its keys, whether it is the first to have them, and the last of its own values."""
     for part, held in _grouped(batches):
         chunks = [c for _, c, _ in held]
         packs = [_unpack(d) for _, _, d in held]
         sizes = np.cumsum([len(p[0]) for p in packs])
         keys = np.concatenate([p[0] for p in packs])
         values = [np.concatenate(v) for v in list(zip(*packs))[1:]]
+        own = values[-1]
         values = [v.astype(np.int64) if v.dtype.kind == "i" else v for v in values]
         del packs, held
         order = np.argsort(keys, kind="stable")
@@ -241,7 +248,7 @@ def _summed(batches: Iterator[pa.RecordBatch], table, reply) -> Iterator[pa.Reco
         first = np.zeros(len(order), bool)
         first[order[begin]] = True
         for c, a, b in zip(chunks, [0, *sizes], sizes):
-            yield _row("answer", c, part, _pack(*reply([s[at[a:b]] for s in sums], first[a:b])))
+            yield _row("answer", c, part, _pack(*reply([s[at[a:b]] for s in sums], first[a:b], own[a:b])))
 
 
 @dataclass
@@ -361,7 +368,7 @@ def _counted(chunks: DataFrame, k: int, parts: int) -> DataFrame:
         for i, n in enumerate([*counts, r.sum()]):
             yield _row("counts", i, int(n), b"")
 
-    def reply(sums: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, ...]:
+    def reply(sums: list[np.ndarray], first: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
         return sums[0], first.astype(np.uint8)
 
     return _written(_by_place(chunks.mapInArrow(send, _ROWS)).mapInArrow(lambda b: _summed(b, table, reply), _ROWS), f"katz-grams-{k}")
@@ -380,19 +387,23 @@ def _histories(chunks: DataFrame, answers: dict[tuple[str, int], DataFrame], mod
             keys, cuts, at = _dealt(chunk.histories(k), plain.parts)
             where = np.empty(len(grams), np.int64)
             where[gram] = np.arange(len(gram))  # a token that ends each n-gram
+            asks = np.bincount(at, r[gram] == 0, len(keys)) > 0
             mine = np.flatnonzero((first > 0) & (r > 0))
             r, token = r[mine].astype(np.int64), where[mine]
             add = lambda w: np.bincount(at[token], w, len(keys))
-            yield from _sent("keys", place, keys, cuts, add(r).astype(np.int64), add(star(r, plain.stars[k])), add(lower[token]))
+            yield from _sent("keys", place, keys, cuts, add(r).astype(np.int64), add(star(r, plain.stars[k])), add(lower[token]), asks.astype(np.uint8))
 
     def table(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        count, mass, lower = sums
+        count, mass, lower, _ = sums
         weight = np.where(count > 0, (1 - mass / np.maximum(count, 1)) / np.maximum(1 - lower, 1e-300), 1.0)
         sums[:] = [count, weight]
         yield _row("table", part, 0, _pack(keys[count > 0], count[count > 0], weight[count > 0]))
 
+    def reply(sums: list[np.ndarray], first: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, ...]:
+        return sums[0], np.where(asks > 0, sums[1], 0.0)
+
     rows = _by_place(_together(chunks, answers)).mapInArrow(send, _ROWS)
-    return _written(_by_place(rows).mapInArrow(lambda b: _summed(b, table, lambda sums, _: sums), _ROWS), f"katz-histories-{k}")
+    return _written(_by_place(rows).mapInArrow(lambda b: _summed(b, table, reply), _ROWS), f"katz-histories-{k}")
 
 
 def _kind(rows: DataFrame, kind: str) -> DataFrame:
