@@ -159,6 +159,34 @@ def test_jaccard_join_of_a_split_group_and_shared_ids(spark, monkeypatch):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == want
 
 
+@pytest.mark.parametrize("members", [2000, 2_000_000])
+def test_jaccard_join_sends_no_pairs_of_sets_near_the_limit(spark, members, monkeypatch):
+    """Sets whose pairs all lie just below the limit: each is sent on once, not each pair; links among them are found."""
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(80):  # 197 shingles; four of them differ for each changed word, and four changed words are one too many
+        w = base.copy()
+        for at in (10 + 2 * i, 199 - 10 - i) if i % 10 else (10 + 2 * i,):
+            w[at] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = np.empty(0, np.uint64)
+    sig = ngram_join.signatures(docs, none, none, 0).cache()
+    cells = sig.select(F.lit(1).cast("long").alias("cell"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "n", F.col("node").alias("component"), "bitmap")
+    found = ngram_join.block_pairs(cells).cache()
+    if members > 100_000:
+        assert 0 < found.count() <= len(rows)
+    pairs = {(r.a, r.b) for r in ngram_join.exact_pairs(found, ngram_join.whole_sets(docs, sig, sig.select("node"), "test")).collect()} | {(r.node, r.b) for r in found.where("side = -1").collect()}
+    names = {r.node: r.doc_id for r in sig.collect()}
+    sets = {k: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for k, w in ((k, t.split()) for k, t in rows)}
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    pairs = {(names[a], names[b]) for a, b in pairs}
+    assert all(link(a, b) for a, b in pairs)
+    joined = lambda some: {r.node: r.component for r in components.connected_components(spark.createDataFrame(sorted(some), "a long, b long")).collect()}
+    assert joined(pairs) == joined({(a, b) for a in sets for b in sets if a < b and link(a, b)})
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(e).collect()}

@@ -18,9 +18,11 @@ Words a shingle and percent are parameters of ``components`` and ``deduplicated`
    ``BLOCK`` sets: those outside the cell's largest component meet each other and the blocks of that
    component, every two blocks in a task of their own. A task compares parity bitmaps, whose Hamming
    distance never exceeds the size of the symmetric difference, and sends on one pair for each two
-   components that it can surely join, and all pairs that are too close to the limit to tell.
-6. Pairs are checked exactly on the full sets. Should a pair that looked sure fail, the cells are
-   searched once more with the components found so far, and then send on all pairs that may link.
+   components that it can surely join. Of pairs too close to the limit to tell it sends on the sets,
+   once each: they meet again as whole sets, and one pair for each two components that link is sent on.
+   No step makes more rows than its blocks have sets.
+6. Pairs found by bitmaps are checked exactly on the full sets. Should a pair that looked sure fail, the
+   cells are searched once more with the components found so far, and all that may link meets as whole sets.
 
 No candidate is dropped for the length of its list. Defined results: null and empty texts have no
 shingles and no links, and are their own component; rows that share a doc_id count as linked, each
@@ -55,6 +57,8 @@ SHORT = 8
 BLOCK = 1024
 #: Widest bitmap in bits: that of a block of very long sets still fits a task.
 MOST_BITS = 1 << 16
+#: Members that the whole sets of one side have in a task, unless a single set has more.
+MEMBERS = 2_000_000
 _FILTER_BITS = 1 << 20
 _U = np.uint64
 _I64, _BIN = pa.int64(), pa.binary()
@@ -186,13 +190,17 @@ def _id_filter(ids: DataFrame) -> Column:
     return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (here % 8).cast("int") + 1)) != 0
 
 
-def verified(docs: DataFrame, sig: DataFrame, likely: DataFrame, label: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of the stored table ``likely`` that do link."""
-    ids = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def whole_sets(docs: DataFrame, sig: DataFrame, ids: DataFrame, label: str, shingle: int = SHINGLE) -> DataFrame:
+    """node and members of the sets that ``ids`` (node, distinct) names: a stored table."""
     names = stored(sig.select("node", "doc_id").join(ids, "node", "left_semi"), f"{label}-names")
     some = docs.select("doc_id", "text").where(_id_filter(names.select(F.col("doc_id").alias("id"))))
     sets = _mapped(some, lambda i, s: (_node(s), s.tobytes()) if len(s) else None, "node long, members binary", pa.schema([("node", _I64), ("members", _BIN)]), shingle)
-    sets = stored(sets.join(names.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), f"{label}-sets")
+    return stored(sets.join(names.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), f"{label}-sets")
+
+
+def verified(docs: DataFrame, sig: DataFrame, likely: DataFrame, label: str, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of the stored table ``likely`` that do link."""
+    sets = whole_sets(docs, sig, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), label, shingle)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,38 +292,76 @@ def _close(x: _Block, y: _Block, percent: int) -> Iterator[tuple[np.ndarray, np.
                     yield own[at + i], other[c + j], _within(total[i, j], apart[i, j] + lost, percent)
 
 
-def _joining(x: _Block, y: _Block, percent: int, every: bool) -> np.ndarray:
-    """Pairs of nodes: for each two components one that surely links them, unless others do already, and all
-    that may link what is still apart. ``every``: all that may link. The last column: whether it looked sure."""
+def _joined(label: np.ndarray, mine: int, others: np.ndarray) -> np.ndarray:
+    """Joins components in ``label`` with the one called ``mine``; the first of ``others`` that names each new one."""
+    roots, first = np.unique(others, return_index=True)
+    new = roots != mine
+    if new.any():
+        label[np.isin(label, roots[new])] = mine
+    return first[new]
+
+
+def _joining(x: _Block, y: _Block, percent: int, every: bool) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Pairs of nodes, for each two components one that surely links them, unless others do already. For x and y,
+    the places of the sets that may link with what is still apart, and their components by then. ``every``: no pair is sure."""
     names, at = np.unique(np.concatenate([x.comp, y.comp]), return_inverse=True)
     own, other = at[: len(x.comp)], at[len(x.comp) :]
     label = np.arange(len(names))
     out, unsure = [], []
     for i, j, sure in _close(x, y, percent):
         if every:
-            out.append(np.stack([x.node[i], y.node[j], np.zeros(len(i), np.int64)], 1))
-            continue
+            sure = np.zeros(len(i), bool)
         unsure.append((i[~sure], j[~sure]))
         i, j = i[sure], j[sure]
         cut = np.r_[0, np.flatnonzero(np.diff(i)) + 1, len(i)] if len(i) else np.zeros(1, np.int64)
         for a, b in zip(cut, cut[1:]):
-            mine = label[own[i[a]]]
-            roots, first = np.unique(label[other[j[a:b]]], return_index=True)
-            new = roots != mine
-            if new.any():
-                k = a + first[new]
-                out.append(np.stack([x.node[i[k]], y.node[j[k]], np.ones(len(k), np.int64)], 1))
-                label[np.isin(label, roots[new])] = mine
+            k = a + _joined(label, label[own[i[a]]], label[other[j[a:b]]])
+            out.append(np.stack([x.node[i[k]], y.node[j[k]]], 1))
+    left: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
     for i, j in unsure:
         apart = label[own[i]] != label[other[j]]
-        out.append(np.stack([x.node[i], y.node[j], np.zeros(len(i), np.int64)], 1)[apart])
-    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
+        left[0].append(np.unique(i[apart]))
+        left[1].append(np.unique(j[apart]))
+    places = [np.unique(np.concatenate(p)) for p in left]
+    open_sets = [(p, names[label[of[p]]]) for p, of in zip(places, (own, other))]
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64), open_sets
+
+
+_FOUND = "cell long, i int, j int, part long, side int, node long, component long, b long"
+_FOUND_ARROW = pa.schema([(c.split()[0], {"long": _I64, "int": pa.int32()}[c.split()[1]]) for c in _FOUND.split(", ")])
+#: The side of a row that is a sure pair (node, b).
+_PAIR = -1
+
+
+def _rows_of(key: tuple, x: _Block, y: _Block, percent: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """What two blocks send on: sure pairs, and sets that are to meet as a whole, in parts of at most ``MEMBERS``."""
+
+    def row(part: int, side: int, node: np.ndarray, component: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+        n = len(node)
+        columns = [*(np.full(n, k) for k in (*key, part, side)), node, component, np.zeros(n, np.int64) if b is None else b]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
+
+    pairs, ((mine, name), (theirs, their_name)) = _joining(x, y, percent, every)
+    if len(pairs):
+        yield row(0, _PAIR, pairs.min(1), np.zeros(len(pairs), np.int64), pairs.max(1))
+    if not len(mine):
+        return
+    alone = x is y
+    if alone:
+        mine, first = np.unique(np.r_[mine, theirs], return_index=True)
+        name = np.r_[name, their_name][first]
+        theirs, their_name = mine, name
+    u, v = np.cumsum(x.n[mine]) // MEMBERS, np.cumsum(y.n[theirs]) // MEMBERS
+    for part, (p, q) in enumerate((p, q) for p in np.unique(u) for q in np.unique(v) if not alone or p <= q):
+        yield row(part, 0, x.node[mine[u == p]], name[u == p])
+        if not alone or p < q:
+            yield row(part, 1, y.node[theirs[v == q]], their_name[v == q])
 
 
 def block_pairs(cells: DataFrame, percent: int = PERCENT, every: bool = False) -> DataFrame:
-    """Pairs (a, b, sure) found by bitmaps. cells: cell, i, j, side (0 or 1), node, n, component, bitmap;
-    rows of one (cell, i, j), at most about twice ``BLOCK``, meet in one task: side 0 with side 1, or
-    with itself where there is no side 1."""
+    """What bitmaps find: sure pairs (node, b) on side -1, and sets for ``exact_pairs``. cells: cell, i, j, side (0 or 1), node,
+    n, component, bitmap; rows of one (cell, i, j), at most about twice ``BLOCK``, meet in one task: side 0 with side 1,
+    or with itself where there is no side 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])
@@ -323,9 +369,7 @@ def block_pairs(cells: DataFrame, percent: int = PERCENT, every: bool = False) -
         def flush() -> Iterator[pa.RecordBatch]:
             if held[0] and (held[1] or len(held[0]) > 1):
                 x = _Block(held[0])
-                p = _joining(x, _Block(held[1]) if held[1] else x, percent, every)
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, :2].min(1)), pa.array(p[:, :2].max(1)), pa.array(p[:, 2])], names=["a", "b", "sure"])
+                yield from _rows_of(now, x, _Block(held[1]) if held[1] else x, percent, every)
 
         for batch in batches:
             for cell, i, j, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -336,8 +380,54 @@ def block_pairs(cells: DataFrame, percent: int = PERCENT, every: bool = False) -
         yield from flush()
 
     dealt = cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    pairs = dealt.select("cell", "i", "j", "side", "node", "n", "component", "bitmap").mapInArrow(run, "a long, b long, sure long")
-    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    return dealt.select("cell", "i", "j", "side", "node", "n", "component", "bitmap").mapInArrow(run, _FOUND)
+
+
+def _linking(x: list[tuple], y: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of nodes that link, one for each two components that do: x and y hold node, component and members."""
+    _, at = np.unique([r[1] for r in (*x, *y)], return_inverse=True)
+    own, other, label = at[: len(x)], at[len(x) :], np.arange(len(at))
+    sets = [np.frombuffer(r[2], np.uint64) for r in (*x, *y)]
+    size = np.array([len(m) for m in sets])
+    n, m = size[: len(x)], size[len(x) :]
+    distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(place, np.cumsum(size)[:-1])
+    here = np.zeros(len(distinct), bool)
+    for i in range(len(x)):
+        j = np.flatnonzero((label[other] != label[own[i]]) & (100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)))
+        if not len(j):
+            continue
+        here[places[i]] = True
+        both = np.add.reduceat(here[np.concatenate([places[len(x) + k] for k in j])], np.r_[0, np.cumsum(m[j])[:-1]], dtype=np.int64)
+        here[places[i]] = False
+        j = j[100 * both >= percent * (n[i] + m[j] - both)]
+        if len(j):
+            for k in j[_joined(label, label[own[i]], label[other[j]])].tolist():
+                yield x[i][0], y[k][0]
+
+
+def exact_pairs(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) among the sets of ``block_pairs``' rows, from whole sets: enough to join all that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if pairs := [*_linking(held[0], held[1] or held[0], percent)] if held[0] else []:
+                p = np.array(pairs, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(p.min(1)), pa.array(p.max(1))], names=["a", "b"])
+
+        for batch in batches:
+            for *key, side, node, component, members in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    yield from flush()
+                    now, held = key, ([], [])
+                held[side].append((node, component, members))
+        yield from flush()
+
+    key = ("cell", "i", "j", "part")
+    dealt = found.where(F.col("side") != _PAIR).join(sets, "node").repartition(*key).sortWithinPartitions(*key)
+    return dealt.select(*key, "side", "node", "component", "members").mapInArrow(run, "a long, b long").distinct()
 
 
 def blocks(cells: DataFrame) -> DataFrame:
@@ -381,11 +471,18 @@ def list_links(docs: DataFrame, sig: DataFrame, near: DataFrame, label: str, shi
     cells = stored(candidate_cells(sig, near), f"{label}-cells")
     pairs = short_pairs(cells.where(F.col("size") <= SHORT), percent)
     short = _bitmap_links(pairs.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b"), percent).distinct()
-    long = block_pairs(blocks(cells.where(F.col("size") > SHORT)).join(sig.select("node", "bitmap").dropDuplicates(["node"]), "node"), percent, every)
-    likely = stored(short.withColumn("sure", F.lit(0).cast("long")).unionByName(long), f"{label}-likely")
-    links = verified(docs, sig, likely.select("a", "b").distinct(), label, shingle, percent)
-    failed = likely.where("sure = 1").join(links, ["a", "b"], "left_anti")
-    return links, not every and not failed.isEmpty()
+    found = block_pairs(blocks(cells.where(F.col("size") > SHORT)).join(sig.select("node", "bitmap").dropDuplicates(["node"]), "node"), percent, every)
+    found = stored(found, f"{label}-found")
+    sure = found.where(F.col("side") == _PAIR).select(F.col("node").alias("a"), "b").distinct()
+    likely = stored(short.unionByName(sure).distinct(), f"{label}-likely")
+    links = verified(docs, sig, likely, label, shingle, percent)
+    failed = sure.join(links, ["a", "b"], "left_anti")
+    more = not every and not failed.isEmpty()
+    some = found.where(F.col("side") != _PAIR)
+    if not some.isEmpty():
+        sets = whole_sets(docs, sig, some.select("node").distinct(), f"{label}-open", shingle)
+        links = links.unionByName(stored(exact_pairs(found, sets, percent), f"{label}-exact"))
+    return links, more
 
 
 def _relabelled(links: DataFrame, near: DataFrame) -> DataFrame:
