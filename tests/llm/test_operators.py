@@ -238,6 +238,18 @@ def test_packing_neighbours_equal_brute_force_bm25():
         assert set(got) == set(score) and all(score[a] >= score[b] - 1e-9 for a, b in zip(got, got[1:]))
 
 
+def test_packing_weighs_many_documents_at_once():
+    rng = np.random.default_rng(4)
+    docs = [(rng.zipf(1.3, n) % 65_536).astype("<u2") for n in (5, 1, 300, 0, 40, 2000)]
+    idf = rng.random(1 << 16).astype(np.float32)
+    owner, t, w = packing._weights(docs, idf, 90.0)
+    for i, d in enumerate(docs):
+        ids, tf = np.unique(d, return_counts=True)
+        assert (t[owner == i] == ids).all() and np.allclose(w[owner == i], idf[ids] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / 90.0)))
+    shard = packing._Shard(docs, idf, 90.0)
+    assert [q.tolist() for q in shard.query] == [np.unique(d).tolist() for d in docs]
+
+
 def test_token_output_round_trip(docs, empty):
     e = Encoder(tokenizer_path("word_bpe_49k.json"), False)
     got, at = {r.doc_id: r for r in token_output.round_trip(docs).collect()}, 0

@@ -82,28 +82,25 @@ def document_frequencies(tokens: DataFrame) -> dict[int, int]:
     return {r["id"]: r["df"] for r in table.collect()}
 
 
-def _weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a document and their BM25 weights in it."""
-    t, tf = np.unique(ids, return_counts=True)
-    return t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
+def _weights(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids of each document, by document: its place, the id, the id's BM25 weight in it."""
+    size = np.array([len(d) for d in docs], np.int64)
+    wide = np.uint32 if len(docs) <= MOST_IDS else np.uint64
+    key, tf = np.unique(np.repeat(np.arange(len(docs), dtype=wide) * wide(MOST_IDS), size) + np.concatenate(docs).astype(wide), return_counts=True)
+    owner, t = (key // wide(MOST_IDS)).astype(np.int32), (key % wide(MOST_IDS)).astype(np.uint16)
+    return owner, t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / mean))
 
 
 class _Shard:
     """The inverted index of one shard: postings sorted by term, with BM25 weights."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        terms, owner, weight = [], [], []
-        self.query: list[np.ndarray] = []
-        for i, ids in enumerate(docs):
-            t, w = _weights(ids, idf, mean)
-            terms.append(t)
-            owner.append(np.full(len(t), i, np.int32))
-            weight.append(w)
-            self.query.append(t)
-        terms_all = np.concatenate(terms)
-        order = np.argsort(terms_all, kind="stable")
-        self.owner, self.weight = np.concatenate(owner)[order], np.concatenate(weight)[order]
-        self.begin = np.searchsorted(terms_all[order], np.arange(MOST_IDS + 1))
+        owner, terms, weight = _weights(docs, idf, mean)
+        self.query = np.split(terms, np.searchsorted(owner, np.arange(1, len(docs))))
+        order = np.argsort(terms, kind="stable")
+        self.owner, self.weight = owner[order].astype(np.intp), weight[order]
+        self.size = np.array([len(d) for d in docs], np.int64)
+        self.begin = np.searchsorted(terms[order], np.arange(MOST_IDS + 1))
         self.free = np.ones(len(docs), bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
@@ -113,7 +110,7 @@ class _Shard:
             return np.empty(0, np.int64)
         score = np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.free))
         found = np.flatnonzero((score > 0) & self.free)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 class _Packer:
@@ -155,15 +152,20 @@ class _Packer:
             at = self.put(doc_ids[seed], docs[seed], at)
         if self.room == self.window:
             return
-        cut = -1
-        for d in index.neighbours(seed):
-            if len(docs[d]) <= self.room:
-                index.free[d] = False
-                self.put(doc_ids[d], docs[d])
-                if self.room == self.window:
-                    return
-            elif cut < 0:
-                cut = d
+        cut, found, at = -1, index.neighbours(seed), 0
+        size = index.size[found]
+        while at < len(found):
+            fits = np.flatnonzero(size[at:] <= self.room)
+            if cut < 0 and not (len(fits) and fits[0] == 0):
+                cut = found[at]
+            if not len(fits):
+                break
+            at += int(fits[0]) + 1
+            d = found[at - 1]
+            index.free[d] = False
+            self.put(doc_ids[d], docs[d])
+            if self.room == self.window:
+                return
         if cut >= 0:  # the best one that does not fit is cut here and seeds the next window
             index.free[cut] = False
             at = self.put(doc_ids[cut], docs[cut])
@@ -206,11 +208,17 @@ def packed(docs: DataFrame, window: int = WINDOW, order: DataFrame | None = None
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leads = []
-            for raw in batch.column("ids"):
-                t, w = _weights(np.frombuffer(raw.as_buffer(), "<u2"), idf, mean)
-                known = shared[t]
-                leads.append(int(t[known][np.argmax(w[known])]) if known.any() else -1)
+            if not batch.num_rows:
+                continue
+            leads = np.full(batch.num_rows, -1, np.int32)
+            owner, t, w = _weights([np.frombuffer(raw.as_buffer(), "<u2") for raw in batch.column("ids")], idf, mean)
+            known = shared[t]
+            owner, t, w = owner[known], t[known], w[known]
+            if len(t):
+                begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                best = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, begin), np.diff(np.r_[begin, len(w)])))
+                first = best[np.r_[True, owner[best][1:] != owner[best][:-1]]]
+                leads[owner[first]] = t[first]
             yield batch.append_column("lead", pa.array(leads, pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
