@@ -746,3 +746,21 @@ def test_pipeline_join_takes_five_words_and_four_fifths(spark):
     assert 7 not in wanted and 13 in wanted  # six words replaced are a near copy, nine are not
     assert {r.doc_id for r in corpus_pipeline.join_stage(spark, docs, SF).collect()} == wanted
     assert 7 in {r.doc_id for r in ngram_join.deduplicated(docs).collect()}
+
+
+@pytest.mark.parametrize("file, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_new_words_share_the_pieces_of_known_ones(file, spaced):
+    """Marks beside a word, and case where the tokenizer has none, send nothing more to the tokenizer."""
+    e, rng = Encoder(tokenizer_path(file), spaced), random.Random(4)
+    e.encode(["zugblat Éaiçou , . ( zugblat.\nZugblat Éaiçou, x"])
+    known = len(e.piece)
+    e.encode(["zugblat, Éaiçou.\nZugblat ,zugblat x,Éaiçou"])
+    assert len(e.piece) - known <= (3 if spaced else 0)  # words without the space before them
+    signs = "aAbBzéÉßÿÀ019',.-<|>\n\n\t_~sStTrElLdvm$€ªº×µ\r\x0b\x1c\u0107\u0130\u0301  "
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    odd += [" ".join(rng.choice(["it's", "IT'S", "we'Re", "x.\nY", "don''t", "a\n\nb", "(Ça", "12th", "'", "''s", "a\tb", "--'ll"]) for _ in range(20)) for _ in range(300)]
+    for end in (None, 1):
+        ids, begins = e.encode(odd, end)
+        for i, t in enumerate(odd):
+            assert ids[begins[i] : begins[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [end] * (end is not None), t
+        e._forget()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, slices, stored
-from tidemark.llm.tokens import encoder, tokenizer_path
+from tidemark.llm.tokens import TEXT_BYTES, encoder, tokenizer_path
 
 WINDOW = 2048
 SHARD_IDS = 3_000_000
@@ -52,8 +52,8 @@ def tokenized(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int =
     path = tokenizer_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            ids, begins = encoder(path, spaced).encode(batch.column("text").to_pylist(), end)
+        for batch in slices(batches, "text", TEXT_BYTES):
+            ids, begins = encoder(path, spaced).encode(batch.column("text"), end)
             with np.errstate(over="ignore"):
                 pair = mix64(ids.astype(np.uint64) * _U(1 << 20) + np.r_[ids[1:], 0].astype(np.uint64))
             key = np.minimum.reduceat(pair, begins[:-1]) >> _U(1)

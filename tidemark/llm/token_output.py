@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stored
 from tidemark.llm.id_coder import BrokenBlock, decode_segment, encode_segment, own_bytes
-from tidemark.llm.tokens import encoder, tokenizer_path
+from tidemark.llm.tokens import TEXT_BYTES, encoder, tokenizer_path
 
 SEGMENT_IDS = 8_000_000
 _SEGMENT = "part int, segment int, n_ids long, bytes binary"
@@ -64,8 +64,8 @@ def encoded(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 2,
                 x.clear()
             return pa.RecordBatch.from_pydict(row, schema=_ARROW)
 
-        for batch in slices(batches, "text"):
-            ids, begins = encoder(path, spaced).encode(batch.column("text").to_pylist(), end)
+        for batch in slices(batches, "text", TEXT_BYTES):
+            ids, begins = encoder(path, spaced).encode(batch.column("text"), end)
             doc_ids += batch.column("doc_id").to_pylist()
             lengths += np.diff(begins).tolist()
             held.append(ids)
