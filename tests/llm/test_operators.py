@@ -764,3 +764,12 @@ def test_new_words_share_the_pieces_of_known_ones(file, spaced):
         for i, t in enumerate(odd):
             assert ids[begins[i] : begins[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [end] * (end is not None), t
         e._forget()
+
+
+def test_katz_chunks_are_never_shuffled(docs, monkeypatch):
+    """Answers come to the buckets of the chunks: one exchange, of answers alone, and one chunk a row."""
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 5000)
+    model, chunks, answers = katz._fitted(docs, 2)
+    plan = model.finished(chunks, answers)._jdf.queryExecution().executedPlan().toString()
+    left, right = plan[plan.index("FlatMapCoGroupsInArrow") :].split("Exchange", 1)
+    assert "katz_chunks" in left and "katz_chunks" not in right and "Exchange" not in right

@@ -16,7 +16,8 @@ Tables. For each order a table of n-grams and their counts, and for orders above
 histories with c(h) and a(h). Both are keyed by 64-bit hashes and split into ranges of them, parts of about
 ``PART_KEYS`` keys, whatever the tokens, so no part grows with a frequent word or history.
 
-How it runs. Texts become chunks of token indices, a table. A chunk sends the distinct keys it needs,
+How it runs. Texts become chunks of token indices, a table that is bucketed by chunk, so that answers
+come to where its chunks are read and chunks are never shuffled. A chunk sends the distinct keys it needs,
 with their training counts, sorted and packed, to the parts they belong to; a part sums what it gets,
 stores its table and answers each chunk with values in the order of the keys it sent. One of the
 chunks that sent an n-gram is told to account for it when histories are summed. A chunk gets a(h) only
@@ -35,6 +36,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -277,22 +279,20 @@ class KatzModel:
     def finished(self, chunks: DataFrame, answers: dict[tuple[str, int], DataFrame]) -> DataFrame:
         model, width = self._plain(), np.log10(self.total + self.known + 1)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, held in _grouped(batches):
-                chunk, got = _opened(held)
-                p, count = model.probabilities(chunk, got, model.order)
-                row = np.repeat(np.arange(len(chunk.ids)), chunk.lengths)
-                add = lambda w: np.bincount(row, w, len(chunk.ids))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip((chunk.ids, chunk.held, chunk.lengths.astype(np.int64), add(count > 0).astype(np.int64), np.full(len(chunk.ids), model.total), add(np.log10(count + 1.0) - width), add(np.log10(p))), _OUT)],
-                    schema=_OUT,
-                )
+        def run(_: int, chunk: _Chunk, got: dict[tuple[str, int], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            p, count = model.probabilities(chunk, got, model.order)
+            row = np.repeat(np.arange(len(chunk.ids)), chunk.lengths)
+            add = lambda w: np.bincount(row, w, len(chunk.ids))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, f.type) for x, f in zip((chunk.ids, chunk.held, chunk.lengths.astype(np.int64), add(count > 0).astype(np.int64), np.full(len(chunk.ids), model.total), add(np.log10(count + 1.0) - width), add(np.log10(p))), _OUT)],
+                schema=_OUT,
+            )
 
-        return _by_place(_together(chunks, answers)).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return _answered(chunks, answers, run, _OUT, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """The scores of any texts, from the stored tables; columns as of the module's ``scored``."""
-        chunks = stored(chunked(docs), "katz-chunks")
+        chunks = _bucketed(chunked(docs), "katz-chunks")
         answers = {}
         for (kind, k), table in self.tables.items():
             parts = self.parts
@@ -327,11 +327,35 @@ class KatzModel:
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
+def _bucketed(rows: DataFrame, label: str) -> DataFrame:
+    """Stored like ``stored``, as a table bucketed by place: rows that meet its rows by place come to them."""
+    spark = rows.sparkSession
+    path = shared_folder(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, "place").option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
+def _named(answers: dict[tuple[str, int], DataFrame]) -> DataFrame:
+    """All answers, of kinds "gram 1", "history 2" and so on."""
+    kinds = [rows.select(F.lit(f"{kind} {k}").alias("kind"), "place", "part", "data") for (kind, k), rows in answers.items()]
+    return reduce(DataFrame.unionByName, kinds)
+
+
 def _together(chunks: DataFrame, answers: dict[tuple[str, int], DataFrame]) -> DataFrame:
-    """Chunks and their answers, of kinds "gram 1", "history 2" and so on."""
-    for (kind, k), rows in answers.items():
-        chunks = chunks.unionByName(rows.select(F.lit(f"{kind} {k}").alias("kind"), "place", "part", "data"))
-    return chunks
+    """Chunks and their answers as rows of one table."""
+    return chunks.unionByName(_named(answers))
+
+
+def _answered(chunks: DataFrame, answers: dict[tuple[str, int], DataFrame], run, arrow: pa.Schema, schema: str) -> DataFrame:
+    """The rows that ``run`` makes of each chunk's place, the chunk and its answers; only answers move."""
+
+    def beside(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        held = sorted((kind, part, data) for t in (chunk, told) for kind, part, data in zip(*(t.column(c).to_pylist() for c in ("kind", "part", "data"))))
+        return pa.Table.from_batches(list(run(chunk.column("place")[0].as_py(), *_opened(held))), schema=arrow)
+
+    return chunks.groupBy("place").cogroup(_named(answers).groupBy("place")).applyInArrow(beside, schema)
 
 
 def _opened(held: list[tuple[str, int, bytes]]) -> tuple[_Chunk, dict[tuple[str, int], list[np.ndarray]]]:
@@ -378,20 +402,18 @@ def _histories(chunks: DataFrame, answers: dict[tuple[str, int], DataFrame], mod
     """The history table of order ``k`` and the answers to all chunks."""
     plain = model._plain()
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, held in _grouped(batches):
-            chunk, got = _opened(held)
-            r, first = got.pop(("gram", k))
-            lower = plain.probabilities(chunk, got, k - 1)[0]
-            grams, _, gram = _dealt(chunk.grams(k), plain.parts)
-            keys, cuts, at = _dealt(chunk.histories(k), plain.parts)
-            where = np.empty(len(grams), np.int64)
-            where[gram] = np.arange(len(gram))  # a token that ends each n-gram
-            asks = np.bincount(at, r[gram] == 0, len(keys)) > 0
-            mine = np.flatnonzero((first > 0) & (r > 0))
-            r, token = r[mine].astype(np.int64), where[mine]
-            add = lambda w: np.bincount(at[token], w, len(keys))
-            yield from _sent("keys", place, keys, cuts, add(r).astype(np.int64), add(star(r, plain.stars[k])), add(lower[token]), asks.astype(np.uint8))
+    def send(place: int, chunk: _Chunk, got: dict[tuple[str, int], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        r, first = got.pop(("gram", k))
+        lower = plain.probabilities(chunk, got, k - 1)[0]
+        grams, _, gram = _dealt(chunk.grams(k), plain.parts)
+        keys, cuts, at = _dealt(chunk.histories(k), plain.parts)
+        where = np.empty(len(grams), np.int64)
+        where[gram] = np.arange(len(gram))  # a token that ends each n-gram
+        asks = np.bincount(at, r[gram] == 0, len(keys)) > 0
+        mine = np.flatnonzero((first > 0) & (r > 0))
+        r, token = r[mine].astype(np.int64), where[mine]
+        add = lambda w: np.bincount(at[token], w, len(keys))
+        yield from _sent("keys", place, keys, cuts, add(r).astype(np.int64), add(star(r, plain.stars[k])), add(lower[token]), asks.astype(np.uint8))
 
     def table(part: int, keys: np.ndarray, sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         count, mass, lower, _ = sums
@@ -402,7 +424,7 @@ def _histories(chunks: DataFrame, answers: dict[tuple[str, int], DataFrame], mod
     def reply(sums: list[np.ndarray], first: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, ...]:
         return sums[0], np.where(asks > 0, sums[1], 0.0)
 
-    rows = _by_place(_together(chunks, answers)).mapInArrow(send, _ROWS)
+    rows = _answered(chunks, answers, send, _SCHEMA, _ROWS)
     return _written(_by_place(rows).mapInArrow(lambda b: _summed(b, table, reply), _ROWS), f"katz-histories-{k}")
 
 
@@ -412,7 +434,7 @@ def _kind(rows: DataFrame, kind: str) -> DataFrame:
 
 def _fitted(docs: DataFrame, order: int) -> tuple[KatzModel, DataFrame, dict[tuple[str, int], DataFrame]]:
     """The model, the chunks of ``docs``, and what the tables answer to them."""
-    chunks = stored(chunked(docs), "katz-chunks")
+    chunks = _bucketed(chunked(docs), "katz-chunks")
     tokens = chunks.select(F.sum(F.octet_length("data"))).first()[0] or 0  # an n-gram in some two bytes of a chunk
     model = KatzModel(order, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tokens // (2 * PART_KEYS)))
     answers: dict[tuple[str, int], DataFrame] = {}
