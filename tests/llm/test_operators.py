@@ -773,3 +773,12 @@ def test_katz_chunks_are_never_shuffled(docs, monkeypatch):
     plan = model.finished(chunks, answers)._jdf.queryExecution().executedPlan().toString()
     left, right = plan[plan.index("FlatMapCoGroupsInArrow") :].split("Exchange", 1)
     assert "katz_chunks" in left and "katz_chunks" not in right and "Exchange" not in right
+
+
+def test_id_coder_models_learn_at_stops_alone(monkeypatch):
+    """Writing and reading, the models take in a block's ids at its stops, not id by id."""
+    calls, learn = [], id_coder._Model.learn
+    monkeypatch.setattr(id_coder._Model, "learn", lambda self, ids: (calls.append(len(ids)), learn(self, ids)) and None)
+    x = np.random.default_rng(2).zipf(1.3, 40_000) % 49_408
+    assert (id_coder.decode_segment(id_coder.encode_segment(x)) == x).all()
+    assert sum(calls) == 2 * id_coder.BLOCK and len(calls) == 2 * (len(id_coder._stops(id_coder.BLOCK)) - 1) < 50

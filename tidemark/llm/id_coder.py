@@ -2,20 +2,22 @@
 
 A segment is cut into blocks of ``BLOCK`` ids. Every block starts from the same fresh state and is
 coded on its own, with a CRC-32 of its ids, so that any block can be read without the others
-(``decode_blocks``). All blocks of a segment advance together, one id each a step: one NumPy operation
-serves them all.
+(``decode_blocks``). All blocks of a segment advance together: one NumPy operation serves them all. The
+models learn at a few places of a block (``_stops``), the same in all, from all ids before; between them
+they stand still, so that the writer works out whole stretches at once and only the coder goes id by id.
 
 Four predictions are mixed for each id:
 
+* order 2 and order 1: the id that last followed the previous two ids or one in this block, with a
+  confidence level. How often a level is right is counted as the block goes;
 * order 0, adaptive: counts of the ids of this block, in a hashed cache whose rare entries give way;
-* order 1 and order 2: the id that last followed the previous one or two ids in this block, with a
-  confidence count. How often a count is right is learnt as the block goes;
 * a fallback that knows every id: how common ids are in the segment, from a table in its header.
 
-The mixture's weights follow Bayes' rule with a floor. The coder's interval is split in parts: the
-order-2 id, the order-1 id, the ids of the cache by their counts, and an escape after which the id is
-coded by the fallback. Probabilities use only IEEE basic operations, so that encoder and decoder agree
-on every machine. A segment also carries bytes of its writer's own, with a CRC-32 of theirs.
+The longest context has the share that its level earned, the next one its share of the rest; the weights
+of cache and fallback follow Bayes' rule. An id is coded in two parts: which prediction, then, by the
+cache's counts or the fallback, which id. Weights are whole numbers, or come from IEEE basic operations
+without long sums, so that encoder and decoder agree on every machine. A segment also carries bytes of
+its writer's own, with a CRC-32 of theirs.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"TMIDS2\0\0"
-_SLOTS0, _SLOTS1, _SLOTS2, _LEVELS = 512, 1024, 2048, 8
-_MOST_COUNT, _GROUP0 = 1 << 14, 16
+MAGIC = b"TMIDS3\0\0"
+_SLOTS0, _SLOTS1, _SLOTS2, _LEVEL_BITS = 256, 1024, 2048, 3
+_LEVELS = 1 << _LEVEL_BITS
 _STEP_BITS, _BASE_BITS = 16, 24
 _FULL, _LOW = (1 << 48) - 1, 1 << 32
 _U = np.uint64
@@ -38,117 +40,100 @@ class BrokenBlock(ValueError):
     """A block's ids do not have its checksum."""
 
 
-#: What a prediction's rate moves to after a miss and a hit; the confidence after each, by the one before.
-_AIM = np.array([0.005, 0.995])
-_NEXT = np.array([*[1 if s <= 1 else s >> 1 for s in range(_LEVELS)], *[min(s + 1, _LEVELS - 1) for s in range(_LEVELS)]], np.int8)
+#: The confidence after a miss and a hit, by the one before.
+_NEXT = np.array([*[1 if s <= 1 else s >> 1 for s in range(_LEVELS)], *[min(s + 1, _LEVELS - 1) for s in range(_LEVELS)]], np.int32)
+
+
+def _stops(steps: int) -> list[int]:
+    """Where the models learn, and the end."""
+    return [*(t for t in (0, 16, 32, 64, 128, *range(256, BLOCK, 256)) if t < steps), steps]
 
 
 class _Model:
-    """The state of all blocks of a segment."""
-
-    def __init__(self, lanes: int, share0: np.ndarray) -> None:
-        self.share0 = share0
-        self.id1, self.id2 = np.zeros((lanes, _SLOTS1), np.int32), np.zeros((lanes, _SLOTS2), np.int32)
-        self.sure1, self.sure2 = np.zeros((lanes, _SLOTS1), np.int8), np.zeros((lanes, _SLOTS2), np.int8)
-        start = np.r_[0.0, np.linspace(0.3, 0.9, _LEVELS - 1)]
-        self.right1, self.right2 = np.tile(start, (lanes, 1)), np.tile(start, (lanes, 1))
-        self.w = np.full((4, lanes), 1 / 4)
-        self.id0, self.count0, self.total0 = np.full((lanes, _SLOTS0), -1, np.int32), np.zeros((lanes, _SLOTS0), np.int32), np.zeros(lanes, np.int64)
-        self.sums0 = np.zeros((lanes, _SLOTS0 // _GROUP0), np.int32)  # counts by group of slots
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.cut(lanes)
-
-    def cut(self, lanes: int) -> None:
-        """Go on with the first blocks only: the last may be shorter."""
-        self.n = np.arange(lanes)
-        for k in ("id0", "id1", "id2", "sure1", "sure2", "right1", "right2", "prev1", "prev2", "count0", "total0", "sums0"):
-            setattr(self, k, getattr(self, k)[:lanes])
-        self.w = self.w[:, :lanes]
-        self.flat = {k: getattr(self, k).reshape(-1) for k in ("id0", "id1", "id2", "sure1", "sure2", "right1", "right2", "count0", "sums0")}
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The widths, out of 2**16, of the order-2 id, of the order-1 id and of all of the cache."""
-        f = self.flat
-        self.at1 = self.n * _SLOTS1 + ((self.prev1 * 40503) >> 4) % _SLOTS1
-        self.at2 = self.n * _SLOTS2 + ((self.prev1 * 40503 + self.prev2 * 30011 + 7) >> 3) % _SLOTS2
-        self.c1, self.c2 = f["id1"].take(self.at1), f["id2"].take(self.at2)
-        self.s1, self.s2 = f["sure1"].take(self.at1), f["sure2"].take(self.at2)
-        self.k1, self.k2 = self.n * _LEVELS + self.s1, self.n * _LEVELS + self.s2
-        self.q1, self.q2 = f["right1"].take(self.k1), f["right2"].take(self.k2)
-        a1 = (self.w[1] * self.q1 * 65000.0).astype(np.int64)
-        a2 = (self.w[2] * self.q2 * 65000.0).astype(np.int64)
-        same = np.flatnonzero((self.c1 == self.c2) & (a2 > 0))
-        a2[same] += a1[same]
-        a1[same] = 0
-        self.a0 = (self.w[3] * 65000.0).astype(np.int64) * (self.total0 > 0)
-        return a2, a1, self.a0
-
-    def slots0(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return ((ids * 40503) >> 4) % _SLOTS0 + lanes * _SLOTS0
-
-    def cached(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the ids are in the cache, where their parts of its interval begin, and their widths."""
-        flat = self.slots0(lanes, ids)
-        there = np.flatnonzero(self.flat["id0"].take(flat) == ids)
-        lanes, flat = lanes[there], flat[there]
-        slot = flat - lanes * _SLOTS0
-        group, row = slot // _GROUP0, np.arange(len(lanes))
-        sums = self.sums0[lanes]
-        before = np.cumsum(sums, 1)[row, group] - sums[row, group]
-        within = self.count0.reshape(len(self.count0), -1, _GROUP0)[lanes, group]
-        end = before + np.cumsum(within, 1)[row, slot % _GROUP0]
-        begin, end = self._scaled(lanes, end - self.flat["count0"].take(flat)), self._scaled(lanes, end)
-        return there, begin, end - begin
-
-    def pointed(self, lanes: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose parts hold the spots of the cache's interval, and the parts' begins and widths."""
-        row = np.arange(len(lanes))
-        sums = np.cumsum(self.sums0[lanes], 1)
-        group = (self._scaled(lanes[:, None], sums) <= spot[:, None]).sum(1)
-        before = np.where(group > 0, sums[row, np.maximum(group - 1, 0)], 0)
-        ends = before[:, None] + np.cumsum(self.count0.reshape(len(self.count0), -1, _GROUP0)[lanes, group], 1)
-        scaled = self._scaled(lanes[:, None], ends)
-        at = (scaled <= spot[:, None]).sum(1)
-        begin = np.where(at > 0, scaled[row, np.maximum(at - 1, 0)], self._scaled(lanes, before))
-        return self.id0[lanes, group * _GROUP0 + at].astype(np.int64), begin, scaled[row, at] - begin
-
-    def _scaled(self, lanes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.a0[lanes] * counts // self.total0[lanes]
-
-    def update(self, ids: np.ndarray) -> None:
-        f = self.flat
-        h1, h2 = (self.c1 == ids) & (self.s1 > 0), (self.c2 == ids) & (self.s2 > 0)
-        p0 = self.share0.take(ids)
-        l1, l2 = np.where(h1, self.q1, (1.0 - self.q1) * p0), np.where(h2, self.q2, (1.0 - self.q2) * p0)
-        at0 = self.slots0(self.n, ids)
-        n0 = f["count0"].take(at0)
-        h0 = f["id0"].take(at0) == ids
-        w0, w1, w2, w3 = self.w[0] * p0, self.w[1] * l1, self.w[2] * l2, self.w[3] * (h0 * n0 / np.maximum(self.total0, 1) + 0.05 * p0)
-        scale = 0.96 / (w0 + w1 + w2 + w3)
-        self.w[0], self.w[1], self.w[2], self.w[3] = w0 * scale + 0.01, w1 * scale + 0.01, w2 * scale + 0.01, w3 * scale + 0.01
-        left = n0 >> 1  # what another id leaves of a count; nothing left, it takes the slot
-        now = np.where(h0, np.minimum(n0 + 2, _MOST_COUNT), np.where(left > 0, left, 2))
-        taken = np.flatnonzero(~h0 & (left == 0))
-        f["id0"][at0[taken]] = ids[taken]
-        f["count0"][at0] = now
-        now -= n0
-        self.total0 += now
-        f["sums0"][at0 // _GROUP0] += now
-        for h, s, q, k, at, right, sure, idk in (
-            (h1, self.s1, self.q1, self.k1, self.at1, "right1", "sure1", "id1"),
-            (h2, self.s2, self.q2, self.k2, self.at2, "right2", "sure2", "id2"),
-        ):
-            f[right][k] = (q + (_AIM.take(h.view(np.int8)) - q) * 0.05) * (s > 0)
-            f[sure][at] = _NEXT.take(s + _LEVELS * h.view(np.int8))
-            new = np.flatnonzero(~h & (s <= 1))
-            f[idk][at[new]] = ids[new]
-        self.prev2, self.prev1 = self.prev1, ids
+    """The state of all blocks of a segment; arrays of ids have a row for each step and a column for each block."""
+
+    def __init__(self, lanes: int, share0: np.ndarray, width0: np.ndarray) -> None:
+        self.share0, self.width0, self.n = share0, width0, np.arange(lanes)
+        # by order: the follower and, in the last bits, its level
+        self.follower = [np.zeros(lanes * slots, np.int32) for slots in (_SLOTS1, _SLOTS2)]
+        # of a level's predictions: right ones and all; a new level is right one time in three, a sure one more often
+        self.right = [np.tile(np.arange(1, _LEVELS + 1), lanes) for _ in range(2)]
+        self.tried = [np.tile(np.arange(1, _LEVELS + 1) // 2 + 3, lanes) + np.tile(np.arange(_LEVELS), lanes) // 2 for _ in range(2)]
+        self.id0, self.count0 = np.full(lanes * _SLOTS0, -1, np.int32), np.zeros(lanes * _SLOTS0, np.int64)
+        self.own, self.all = np.full(lanes, 1 << 16), np.full(lanes, 2 << 16)  # what the cache earned, of how much
+        self.prev = np.zeros((2, lanes), np.int64)
+        self.settle()
+
+    def settle(self) -> None:
+        """The widths that hold until the next stop."""
+        self.rate = [np.where(np.arange(len(r)) % _LEVELS > 0, np.minimum(r * 65000 // t, 65000), 0) for r, t in zip(self.right, self.tried)]
+        ends = np.cumsum(self.count0.reshape(len(self.n), _SLOTS0), 1)
+        total = ends[:, -1:].copy()
+        self.weight0 = np.where(total[:, 0] > 0, self.own * 64000 // self.all, 0)
+        ends *= 1 << _BASE_BITS
+        ends //= np.maximum(total, 1)
+        # of all lanes one after the other, so that one search finds the slots of all
+        self.ends0 = (ends + (self.n << _BASE_BITS)[:, None]).ravel()
+
+    def slots(self, prev1: np.ndarray, prev2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.n * _SLOTS1 + ((prev1 * 40503) >> 4) % _SLOTS1, self.n * _SLOTS2 + ((prev1 * 40503 + prev2 * 30011 + 7) >> 3) % _SLOTS2
+
+    def predict(self, at1: np.ndarray, at2: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The followers by order 1 and 2, and the widths, out of 2**16, of order 2, order 1 and the cache."""
+        c1, c2, level = self.follower[0].take(at1), self.follower[1].take(at2), self.n * _LEVELS
+        a2 = self.rate[1].take(level + (c2 & _LEVELS - 1))
+        a1 = (65536 - a2) * self.rate[0].take(level + (c1 & _LEVELS - 1)) >> 16
+        c1 >>= _LEVEL_BITS
+        c2 >>= _LEVEL_BITS
+        a1 *= (c1 != c2) | (a2 == 0)
+        return c1, c2, a2, a1, (65536 - a2 - a1) * self.weight0 >> 16
+
+    def slots0(self, ids: np.ndarray) -> np.ndarray:
+        return self.n * _SLOTS0 + ((ids * 40503) >> 4) % _SLOTS0
+
+    def cached(self, at0: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids' parts of the cache begin, and their widths, none for ids that it has not."""
+        begin = self.ends0.take(np.maximum(at0 - 1, 0)) - (self.n << _BASE_BITS)
+        begin *= at0 > self.n * _SLOTS0
+        width = self.ends0.take(at0) - (self.n << _BASE_BITS) - begin
+        width *= self.id0.take(at0) == ids
+        return begin, width
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Take in the ids since the last stop."""
+        before = np.concatenate([self.prev, ids])
+        ats = self.slots(before[1:-1], before[:-2])
+        missed = np.ones(ids.shape, bool)
+        for k in (1, 0):
+            at, follower = ats[k], self.follower[k]
+            now = follower.take(at)
+            s, hit = now & _LEVELS - 1, now >> _LEVEL_BITS == ids
+            hit &= s > 0
+            level = (self.n * _LEVELS + s)[missed]
+            self.tried[k] = self.tried[k] + np.bincount(level, minlength=len(self.tried[k]))
+            self.right[k] = self.right[k] + np.bincount(level[hit[missed]], minlength=len(self.right[k]))
+            missed &= ~hit
+            # of several, the last
+            follower[at] = np.where(hit | (s > 1), now - s, ids << _LEVEL_BITS) + _NEXT.take(s + _LEVELS * hit)
+        at0 = self.slots0(ids)
+        cache, fall = self.weight0 * self.cached(at0, ids)[1], (65536 - self.weight0) * self.width0.take(ids)
+        earned = (cache << 8) // np.maximum(cache + fall >> 8, 1) * missed
+        self.own, self.all = self.own + earned.sum(0), self.all + (missed.sum(0) << 16)
+        other = self.id0.take(at0) != ids
+        less = at0[other]
+        self.count0[less] >>= 1  # once, however often the slot is asked for
+        give = other & (self.count0.take(at0) < 2)
+        self.count0[at0[give]] = 0
+        self.id0[at0[give]] = ids[give]
+        self.count0 += 2 * np.bincount(at0[self.id0.take(at0) == ids], minlength=len(self.count0))
+        self.prev = before[-2:]
+        self.settle()
 
 
 class _Writer:
     def __init__(self, lanes: int) -> None:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL, np.uint64)
-        self.out, self.size = np.zeros((lanes, 2 * BLOCK + BLOCK // 4 + 16), np.uint16), np.zeros(lanes, np.int64)
+        self.out, self.size = np.zeros((lanes, 3 * BLOCK + 16), np.uint16), np.zeros(lanes, np.int64)
 
     def put(self, lanes: np.ndarray | slice, low: np.ndarray, width: np.ndarray, bits: int) -> None:
         """Code an interval in each lane; a slice stands for the first lanes, all of them."""
@@ -231,43 +216,35 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK, own: bytes = b"") -> byt
     lanes = -(-n // block)
     counts = np.bincount(ids, minlength=1) if n else np.zeros(1, np.int64)
     table = zlib.compress(counts.astype("<u4").tobytes(), 6)
-    crcs = np.array([zlib.crc32(ids[i : i + block].astype("<u4").tobytes()) for i in range(0, n, block)], "<u4")
+    crcs = np.zeros(lanes, "<u4")
     blocks: list[bytes] = []
     if n:
         width0, begin0, share0 = _base_table(counts)
-        last = n - (lanes - 1) * block
-        grid = np.zeros(lanes * block, np.int64)
+        grid = np.full(lanes * block, ids[-1])  # the last block is filled up with its last id
         grid[:n] = ids
         grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-        model, writer, active = _Model(lanes, share0), _Writer(lanes), np.arange(lanes)
-        for t in range(block):
-            if t == last:
-                active = active[:-1]
-                model.cut(lanes - 1)
-                if not len(active):
-                    break
-            s = grid[t, : len(active)]
-            a2, a1, a0 = model.predict()
-            is2 = (s == model.c2) & (a2 > 0)
-            is1 = (s == model.c1) & (a1 > 0) & ~is2
-            low = np.where(is2, 0, np.where(is1, a2, a2 + a1 + a0))
-            width = np.where(is2, a2, np.where(is1, a1, 65536 - a2 - a1 - a0))
-            escaped = ~(is2 | is1)
-            rest = np.flatnonzero(escaped & (a0 > 0))
-            if len(rest):
-                there, begin, own_width = model.cached(rest, s[rest])
-                rest = rest[there]
-                # an id that is in the cache may still be cheaper by the fallback
-                found = own_width > width[rest] * share0.take(s[rest])
-                rest = rest[found]
-                low[rest], width[rest] = a2[rest] + a1[rest] + begin[found], own_width[found]
-                escaped[rest] = False
-            writer.put(slice(len(active)), low, width, _STEP_BITS)
-            escaped = np.flatnonzero(escaped)
-            if len(escaped):
-                x = s[escaped]
-                writer.put(escaped, begin0.take(x), width0.take(x), _BASE_BITS)
-            model.update(s)
+        model, writer, every = _Model(lanes, share0, width0), _Writer(lanes), slice(lanes)
+        stops = _stops(min(block, n))
+        crcs[:] = [zlib.crc32(x.astype("<u4").tobytes()) for x in grid[: stops[-1]].T]
+        for a, b in zip(stops, stops[1:]):
+            x = grid[a:b]
+            before = np.concatenate([model.prev, x])
+            c1, c2, a2, a1, a0 = model.predict(*model.slots(before[1:-1], before[:-2]))
+            is2 = (x == c2) & (a2 > 0)
+            is1 = (x == c1) & (a1 > 0) & ~is2
+            begin, part = model.cached(model.slots0(x), x)
+            base = width0.take(x)
+            rest = 65536 - a2 - a1 - a0
+            is0 = (a0 * part > rest * base) & ~is2 & ~is1  # an id that is in the cache may still be cheaper by the fallback
+            lows = np.where(is2, 0, np.where(is1, a2, np.where(is0, a2 + a1, a2 + a1 + a0)))
+            widths = np.where(is2, a2, np.where(is1, a1, np.where(is0, a0, rest)))
+            known = is2 | is1  # nothing more to tell: all of the second part
+            lows2 = np.where(known, 0, np.where(is0, begin, begin0.take(x)))
+            widths2 = np.where(known, 1 << _BASE_BITS, np.where(is0, part, base))
+            for t in range(b - a):
+                writer.put(every, lows[t], widths[t], _STEP_BITS)
+                writer.put(every, lows2[t], widths2[t], _BASE_BITS)
+            model.learn(x)
         blocks = writer.end()
     sizes = np.array([len(b) for b in blocks], "<u4")
     return b"".join([MAGIC, struct.pack("<QIIIII", n, block, lanes, len(table), len(own), zlib.crc32(own)), own, table, sizes.tobytes(), crcs.tobytes(), *blocks])
@@ -307,37 +284,42 @@ def decode_blocks(data: bytes, which: list[int] | None = None) -> list[np.ndarra
     reader = _Reader(words, np.r_[0, np.cumsum(sizes[chosen] // 2)].astype(np.int64))
     length = np.array([min(block, n - i * block) for i in chosen])
     grid = np.zeros((block, len(chosen)), np.int64)
-    model, active = _Model(len(chosen), share0), np.arange(len(chosen))
-    for t in range(block):
-        if t == length[-1] and len(active) == len(chosen):
-            active = active[:-1]
-            model.cut(len(active))
-            if not len(active):
-                break
-        a2, a1, a0 = model.predict()
-        every = slice(len(active))
-        spot = reader.spot(every, _STEP_BITS)
-        is2 = spot < a2
-        is1 = ~is2 & (spot < a2 + a1)
-        is0 = ~is2 & ~is1 & (spot < a2 + a1 + a0)
-        low, width = np.where(is2, 0, np.where(is1, a2, a2 + a1 + a0)), np.where(is2, a2, np.where(is1, a1, 65536 - a2 - a1 - a0))
-        s = np.where(is2, model.c2, model.c1).astype(np.int64)
-        held = np.flatnonzero(is0)
-        if len(held):
-            s[held], begin, own_width = model.pointed(held, spot[held] - a2[held] - a1[held])
-            low[held], width[held] = a2[held] + a1[held] + begin, own_width
-        reader.drop(every, low, width)
-        escaped = np.flatnonzero(~(is2 | is1 | is0))
-        if len(escaped):
-            x = np.minimum(np.searchsorted(begin0, reader.spot(escaped, _BASE_BITS), "right") - 1, len(counts) - 1)
-            reader.drop(escaped, begin0[x], width0[x])
-            s[escaped] = x
-        grid[t, : len(active)] = s
-        model.update(s)
-    out = [grid[:k, i].astype(np.uint32) for i, k in enumerate(length)]
-    for i, ids in zip(chosen, out):
+    model, every = _Model(len(chosen), share0, width0), slice(len(chosen))
+    stops = _stops(min(block, n))
+    for a, b in zip(stops, stops[1:]):
+        prev2, prev1 = model.prev
+        for t in range(a, b):
+            c1, c2, a2, a1, a0 = model.predict(*model.slots(prev1, prev2))
+            spot = reader.spot(every, _STEP_BITS)
+            a1, a0 = a2 + a1, a2 + a1 + a0
+            is2, is1, is0 = spot < a2, spot < a1, spot < a0
+            low = np.where(is2, 0, np.where(is1, a2, np.where(is0, a1, a0)))
+            reader.drop(every, low, np.where(is2, a2, np.where(is1, a1, np.where(is0, a0, 65536))) - low)
+            spot = reader.spot(every, _BASE_BITS)
+            low, width = np.zeros(len(chosen), np.int64), np.full(len(chosen), 1 << _BASE_BITS)
+            s = np.where(is2, c2, c1).astype(np.int64)
+            held = np.flatnonzero(is0 & ~is1 & ~is2)
+            if len(held):
+                at0 = np.searchsorted(model.ends0, spot[held] + (held << _BASE_BITS), "right")
+                at0 = np.minimum(at0, (held + 1) * _SLOTS0 - 1)
+                s[held] = model.id0.take(at0)
+                begin = np.where(at0 > held * _SLOTS0, model.ends0.take(np.maximum(at0 - 1, 0)) - (held << _BASE_BITS), 0)
+                low[held], width[held] = begin, model.ends0.take(at0) - (held << _BASE_BITS) - begin
+            escaped = np.flatnonzero(~(is2 | is1 | is0))
+            if len(escaped):
+                x = np.minimum(np.searchsorted(begin0, spot[escaped], "right") - 1, len(counts) - 1)
+                low[escaped], width[escaped] = begin0[x], width0[x]
+                s[escaped] = x
+            s = np.maximum(s, 0)  # a broken block may point to nothing
+            reader.drop(every, low, width)
+            grid[t] = s
+            prev2, prev1 = prev1, s
+        model.learn(grid[a:b])
+    out = []
+    for i, k, ids in zip(chosen, length, grid[: stops[-1]].T):
         if zlib.crc32(ids.astype("<u4").tobytes()) != crcs[i]:
             raise BrokenBlock(f"block {i} does not have its checksum")
+        out.append(ids[:k].astype(np.uint32))
     return out
 
 
