@@ -782,3 +782,22 @@ def test_id_coder_models_learn_at_stops_alone(monkeypatch):
     x = np.random.default_rng(2).zipf(1.3, 40_000) % 49_408
     assert (id_coder.decode_segment(id_coder.encode_segment(x)) == x).all()
     assert sum(calls) == 2 * id_coder.BLOCK and len(calls) == 2 * (len(id_coder._stops(id_coder.BLOCK)) - 1) < 50
+
+
+@pytest.mark.parametrize("file, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_of_known_pieces_stay_in_no_cache(file, spaced):
+    """A worker keeps pieces alone: as many words as there are between the same pieces take no memory of their own."""
+    import tracemalloc
+
+    e, rng = Encoder(tokenizer_path(file), spaced), random.Random(5)
+    part = ["zug", "1", ".", "blat", "-", "27", "Éa", "'s", ",", "ü"]
+    texts = [" ".join("".join(rng.choices(part, k=9)) for _ in range(200)) for _ in range(500)]
+    e.encode(texts[:5])
+    tracemalloc.start()
+    held = tracemalloc.get_traced_memory()[0]
+    ids, begins = e.encode(texts)
+    got = [ids[begins[i] : begins[i + 1]].tolist() for i in (0, 250, 499)]
+    del ids, begins
+    grown = tracemalloc.get_traced_memory()[0] - held
+    tracemalloc.stop()
+    assert got == [e.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in (0, 250, 499)] and grown < 5 << 20
