@@ -801,3 +801,12 @@ def test_words_of_known_pieces_stay_in_no_cache(file, spaced):
     grown = tracemalloc.get_traced_memory()[0] - held
     tracemalloc.stop()
     assert got == [e.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in (0, 250, 499)] and grown < 5 << 20
+
+
+def test_fallback_finds_the_ids_of_all_places():
+    """Places that one id has for itself, those several share, and ids that do not occur."""
+    counts = np.random.default_rng(3).zipf(1.2, 30_000).clip(0, 10**6) * (np.arange(30_000) % 3 > 0)
+    width, begin, _ = id_coder._base_table(counts)
+    places = np.r_[0, (1 << 24) - 1, np.random.default_rng(4).integers(0, 1 << 24, 50_000), begin[:-1][width > 0], (begin[1:] - 1)[width > 0]]
+    got = id_coder._Fallback(begin, len(counts)).find(places)
+    assert (got == np.minimum(np.searchsorted(begin, places, "right") - 1, len(counts) - 1)).all()

@@ -103,16 +103,18 @@ class _Model:
         """Take in the ids since the last stop."""
         before = np.concatenate([self.prev, ids])
         ats = self.slots(before[1:-1], before[:-2])
-        missed = np.ones(ids.shape, bool)
+        missed = None
         for k in (1, 0):
             at, follower = ats[k], self.follower[k]
             now = follower.take(at)
             s, hit = now & _LEVELS - 1, now >> _LEVEL_BITS == ids
             hit &= s > 0
-            level = (self.n * _LEVELS + s)[missed]
-            self.tried[k] = self.tried[k] + np.bincount(level, minlength=len(self.tried[k]))
-            self.right[k] = self.right[k] + np.bincount(level[hit[missed]], minlength=len(self.right[k]))
-            missed &= ~hit
+            level = (self.n * _LEVELS + s) * 2 + hit
+            # wrong and right ones of each level, side by side
+            found = np.bincount(level.ravel() if missed is None else level[missed], minlength=2 * len(self.tried[k])).reshape(-1, 2)
+            self.tried[k] = self.tried[k] + found.sum(1)
+            self.right[k] = self.right[k] + found[:, 1]
+            missed = ~hit if missed is None else missed & ~hit
             # of several, the last
             follower[at] = np.where(hit | (s > 1), now - s, ids << _LEVEL_BITS) + _NEXT.take(s + _LEVELS * hit)
         at0 = self.slots0(ids)
@@ -120,11 +122,12 @@ class _Model:
         earned = (cache << 8) // np.maximum(cache + fall >> 8, 1) * missed
         self.own, self.all = self.own + earned.sum(0), self.all + (missed.sum(0) << 16)
         other = self.id0.take(at0) != ids
-        less = at0[other]
+        less, new = at0[other], ids[other]
         self.count0[less] >>= 1  # once, however often the slot is asked for
-        give = other & (self.count0.take(at0) < 2)
-        self.count0[at0[give]] = 0
-        self.id0[at0[give]] = ids[give]
+        give = self.count0.take(less) < 2
+        less, new = less[give], new[give]
+        self.count0[less] = 0
+        self.id0[less] = new
         self.count0 += 2 * np.bincount(at0[self.id0.take(at0) == ids], minlength=len(self.count0))
         self.prev = before[-2:]
         self.settle()
@@ -209,6 +212,27 @@ def _base_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return width, begin, width / float(1 << _BASE_BITS)
 
 
+class _Fallback:
+    """Finds the ids of places in the base table; most by the first of 16 places alone, which have one id."""
+
+    _BITS = 4
+
+    def __init__(self, begin: np.ndarray, ids: int) -> None:
+        self.begin, self.most = begin, ids - 1
+        self.first = self.search(np.arange(0, (1 << _BASE_BITS) + 1, 1 << self._BITS)).astype(np.int32)
+
+    def search(self, spot: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.begin, spot, "right") - 1, self.most)
+
+    def find(self, spot: np.ndarray) -> np.ndarray:
+        at = spot >> self._BITS
+        x = self.first.take(at)
+        at += 1
+        several = np.flatnonzero(self.first.take(at) != x)
+        x[several] = self.search(spot[several])
+        return x
+
+
 def encode_segment(ids: np.ndarray, block: int = BLOCK, own: bytes = b"") -> bytes:
     """A segment's bytes: header, the writer's ``own`` bytes, fallback table, block sizes and checksums, blocks. ``block`` <= BLOCK."""
     ids = np.ascontiguousarray(ids, np.int64)
@@ -281,6 +305,7 @@ def decode_blocks(data: bytes, which: list[int] | None = None) -> list[np.ndarra
         return []
     words = np.frombuffer(b"".join(data[begins[i] : begins[i + 1]] for i in chosen), "<u2")
     width0, begin0, share0 = _base_table(counts)
+    fallback = _Fallback(begin0, len(counts))
     reader = _Reader(words, np.r_[0, np.cumsum(sizes[chosen] // 2)].astype(np.int64))
     length = np.array([min(block, n - i * block) for i in chosen])
     grid = np.zeros((block, len(chosen)), np.int64)
@@ -307,7 +332,7 @@ def decode_blocks(data: bytes, which: list[int] | None = None) -> list[np.ndarra
                 low[held], width[held] = begin, model.ends0.take(at0) - (held << _BASE_BITS) - begin
             escaped = np.flatnonzero(~(is2 | is1 | is0))
             if len(escaped):
-                x = np.minimum(np.searchsorted(begin0, spot[escaped], "right") - 1, len(counts) - 1)
+                x = fallback.find(spot[escaped])
                 low[escaped], width[escaped] = begin0[x], width0[x]
                 s[escaped] = x
             s = np.maximum(s, 0)  # a broken block may point to nothing
